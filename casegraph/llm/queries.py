@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from casegraph.llm.mixing import OP2_SQL, op2_mixing
+from casegraph.llm.neardup import OP4_SQL, op4_near_duplicates
 from casegraph.llm.packing import op7_packing
+from casegraph.llm.quality import OP3_SQL, op3_quality_rules
 from casegraph.llm.sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_packing": op7_packing,
 }
 
 SQL = {
     "op2_mixing": OP2_SQL,
+    "op3_quality_rules": OP3_SQL,
+    "op4_near_duplicates": OP4_SQL,
 }
