@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from casegraph.llm.linededup import op10_line_dedup
 from casegraph.llm.mixing import OP2_SQL, op2_mixing
 from casegraph.llm.neardup import OP4_SQL, op4_near_duplicates
 from casegraph.llm.packing import op7_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_packing": op7_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL = {
