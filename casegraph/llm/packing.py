@@ -10,7 +10,10 @@ sequences; pieces are ranked within their length and looked up there.
 from __future__ import annotations
 
 import heapq
+import unicodedata
+from array import array
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -21,44 +24,61 @@ from pyspark.sql import types as T
 from casegraph.llm.scratch import materialize
 
 RANK_BLOCKS = 1024
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 
-class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins characters across white space.
+_MARKS = b"!#$%&*+,-./:;<=>?@^_`|~"
 
-    Words repeat, so their ids are kept, for at most ``CACHED_WORDS`` words.  A document's
-    ids are those of its words in order, as the tokenizer splits at white space itself.
+
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level tokenizers use for each byte: itself if it is
+    printable in Latin-1 and no blank, else the next code point from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [x for x in range(256) if x not in printable]
+    return [chr(x) if x in printable else chr(256 + others.index(x)) for x in range(256)]
+
+
+class WordTokenizer(dict):
+    """Ids of whole texts by a tokenizer that lowers case and splits at white space.
+
+    Words repeat, so the ids of up to ``CACHED_WORDS`` are kept, as bytes by word.  A
+    document's ids are those of its words in order.  A word of lower-case letters is one
+    unit of the tokenizer and goes straight to its model; marks after it are a unit of
+    their own; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        unknown = [w for w in words if w not in self.known]
-        if len(self.known) + len(unknown) > CACHED_WORDS:
-            self.known.clear()
-            unknown = list(words)
-        for at in range(0, len(unknown), 20_000):
-            some = unknown[at : at + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids of the words of one text; long texts in runs, so that the cache stays bounded."""
-        out = []
-        for at in range(0, len(words), 100_000):
-            run = words[at : at + 100_000]
-            try:
-                out.append(b"".join(map(self.known.__getitem__, run)))
-            except KeyError:
-                self.learn(set(run))
-                out.append(b"".join(map(self.known.__getitem__, run)))
-        return np.frombuffer(b"".join(out), "<u4")
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(_MARKS)
+        text = core.decode()
+        if not text.isalpha() or not (text.isascii() or (text == text.lower() and unicodedata.is_normalized("NFC", text))):
+            ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        elif len(core) < len(word):
+            ids = self[core] + self._marks(word[len(core) :])
+        else:
+            unit = text if text.isascii() else "".join(map(self.letters.__getitem__, core))
+            ids = array("I", [x.id for x in self.model.tokenize(unit)]).tobytes()
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _marks(self, marks: bytes) -> bytes:
+        if marks not in self:
+            self[marks] = array("I", [x.id for x in self.model.tokenize(marks.decode())]).tobytes()
+        return self[marks]
+
+    def ids(self, text: str) -> bytes:
+        """Ids of a text, 4 bytes each."""
+        return b"".join(map(self.__getitem__, text.encode().lower().split()))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -143,16 +163,14 @@ def pack_documents(
     fields += [T.StructField("ids", T.BinaryType())] if with_ids else []
 
     def tokenized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from zlib import crc32
-
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer, end = _tokenizer(tokenizer_path), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
             for k, x in zip(batch["key"], batch["text"], strict=True):
-                ids = np.append(tokenizer.ids((x or "").encode().split()), np.uint32(end_id)).astype("<u4")
-                for start, length in cut(len(ids), max_tokens):
-                    piece = ids[start : start + length].tobytes()
-                    rows.append((k, start, length, crc32(piece), len(ids), piece)[: len(fields)])
+                ids = tokenizer.ids(x or "") + end
+                for start, length in cut(len(ids) // 4, max_tokens):
+                    piece = ids[4 * start : 4 * (start + length)]
+                    rows.append((k, start, length, crc32(piece), len(ids) // 4, piece)[: len(fields)])
             yield pd.DataFrame(rows, columns=[f.name for f in fields]).astype({"key": batch["key"].dtype})
 
     selected = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
