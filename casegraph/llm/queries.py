@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from casegraph.llm.fingerprints import op6_fingerprints
 from casegraph.llm.linededup import op10_line_dedup
+from casegraph.llm.lmscore import op9_lm_scoring
 from casegraph.llm.mixing import OP2_SQL, op2_mixing
 from casegraph.llm.neardup import OP4_SQL, op4_near_duplicates
 from casegraph.llm.packing import op7_packing
 from casegraph.llm.quality import OP3_SQL, op3_quality_rules
+from casegraph.llm.secrets import op8_secret_scans
 from casegraph.llm.sharding import op1_sharding
+from casegraph.llm.tokencount import op5_token_counts
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_token_counts": op5_token_counts,
+    "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
+    "op8_secret_scans": op8_secret_scans,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
 }
 
