@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casegraph.plans import graph_queries, scalar_queries, table_queries
+
+_MODULES = [scalar_queries, table_queries, graph_queries]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return queries()["agg_evidence_named"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for module in _MODULES for name, s in module.SQL.items()}
