@@ -64,9 +64,9 @@ def expanded(articles: DataFrame, most: int = MAX_SPLIT_CHARS) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as articles: title is the first line with words, ``error`` tells what is not text."""
+    """Text files as articles: title is the first line with words, ``error`` tells that there is none."""
     raw = spark.read.format("binaryFile").load(path)
-    text = F.try_to_binary(F.base64("content"), F.lit("base64")).cast("string")
+    text = F.col("content").cast("string")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     return raw.select(F.col("path").alias("url"), F.trim(F.get(lines, F.lit(0))).alias("title"), text.alias("text"), F.when(F.size(lines) == 0, "no text").alias("error"))
 
