@@ -149,7 +149,7 @@ def apply_quality_rules(
     min_texts: int = MIN_TEXTS,
     host_percent: int = HOST_PERCENT,
     min_left_percent: int = MIN_LEFT_PERCENT,
-    max_shared_lines: int = 2_000_000,
+    max_shared_lines: int = 200_000,
     owner: str = "query",
 ) -> DataFrame:
     """Every row with its features, its verdicts and its text without boilerplate lines.
@@ -169,9 +169,8 @@ def apply_quality_rules(
     lines = materialize(frequent_lines(docs, text, host, min_texts, host_percent), "lines", owner)
     n_lines = lines.count()
     shared = None
-    if n_lines <= max_shared_lines:  # 16 MB in each worker at most
-        keys = np.sort(np.array([r[0] for r in lines.collect()], np.int64))
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(keys.tolist()))
+    if n_lines <= max_shared_lines:  # some 20 MB in each worker at most
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in lines.collect()))
         rows = docs.select(packed(docs).alias("_row"), F.lit(None).cast("array<int>").alias("_removed"))
     else:
         rows = _with_removed(docs, lines, text, host)

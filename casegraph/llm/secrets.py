@@ -14,7 +14,6 @@ import base64
 import hashlib
 import random
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
