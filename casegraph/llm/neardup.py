@@ -177,7 +177,11 @@ def _groups(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.Da
 
 
 def _tiled(rest: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, share: float, hasher: MinHasher) -> DataFrame:
-    """Pairs of buckets split over components that may be linked, by tiles of the buckets."""
+    """Pairs of buckets split over components that may be linked, by tiles of the buckets.
+
+    The largest component of a bucket meets the others and never itself, so the copies of a
+    hot group are dealt out once for each tile of what is not in it.
+    """
     longer = MinHasher(1, LONG_SIGNATURE, seed=6)
     deviation = (share * (1 - share) / LONG_SIGNATURE) ** 0.5
     least, sure = share - 4.5 * deviation, share + 5 * deviation
@@ -193,10 +197,19 @@ def _tiled(rest: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text:
     texts, wanted = _texts_of(rest.select("node").distinct(), classes, docs, key, text)
     found = texts.mapInPandas(signed, "class binary, bands array<long>, signature binary").join(wanted.select("node", "class"), "class")
     found = found.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    tiles = F.ceil(F.col("mates") / TILE).cast("int")
-    placed = rest.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node"), tiles).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.select("band", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "component")
+    held = rest.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = held.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("mates"))
+    main = main.select("band", "main", F.ceil((F.col("mates") - F.col("most")) / TILE).cast("int").alias("minor"), F.ceil(F.col("most") / TILE).cast("int").alias("major"))
+    placed = rest.join(main, "band")
+    is_main = F.col("component") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("major")).otherwise(F.col("minor"))).cast("int")
+    side = F.when(is_main, F.col("minor") + own).otherwise(own)
+    minors = F.sequence(F.lit(0), F.col("minor") - 1)
+    with_minor = F.transform(minors, lambda i: F.struct(F.least(i, side).alias("one"), F.greatest(i, side).alias("two")))
+    with_major = F.transform(F.sequence(F.col("minor"), F.col("minor") + F.col("major") - 1), lambda k: F.struct(side.alias("one"), k.alias("two")))
+    tiles = F.when(is_main, with_minor).otherwise(F.concat(with_minor, with_major))
+    placed = placed.select("band", side.alias("own"), "node", "component", F.explode(tiles).alias("tile"))
+    placed = placed.select("band", "tile.one", "tile.two", "own", "node", "component")
     spread = placed.join(found, "node").repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,8 +303,8 @@ def near_duplicates(
     for turn in range(2):
         if turn:
             members = buckets.join(labels, "node")
-            split = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("mates"))
-            rest = members.join(split.filter("lo <> hi").select("band", "mates"), "band").select("band", "node", "component", "mates")
+            split = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+            rest = members.join(split.filter("lo <> hi").select("band"), "band", "left_semi").select("band", "node", "component")
             rest = materialize(rest, "rest", owner)
             pairs = _tiled(rest, named, docs, key, text, shingle_words, percent / 100, hasher)
         agreeing = pairs if turn else _agreeing(pairs, signatures)
