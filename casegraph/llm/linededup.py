@@ -1,17 +1,24 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines, and by all repeated passages.
 
 A rolling hash over the hashes of neighbouring lines picks chunk bounds, so that a passage
 is cut alike wherever it stands.  Chunks are counted over all documents by 128-bit hash;
 of a repeated chunk all but the first occurrence are removed, after their bytes have been
 compared with the first's.
 
-What is shuffled is a row of numbers for each chunk, and the bytes of repeated chunks.
-The lists of repeated chunks are broadcast to the documents while they are short, and
-joined to them by row beyond that.
+The lines at a passage's edges share chunks with other lines, and so does the whole of a
+short passage.  Therefore the shortest windows of lines with enough words are counted as
+well, one from each line on and one up to each line: a line is in some repeated run of
+lines with enough words if and only if it is in a repeated window.  Windows are told apart
+by 128-bit BLAKE2b digests of their lines' digests.
+
+What is shuffled is a row of numbers for each chunk and each window, and the bytes of
+repeated chunks.  The lists of repeated chunks and windows are broadcast to the documents
+while they are short, and joined to them by row beyond that.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +35,8 @@ BOUND_EVERY = 2
 LONG_LINE_WORDS = 50
 #: Shorter chunks are never removed.
 MIN_CHUNK_WORDS = 8
+#: A run of lines with so many words is a passage.
+PASSAGE_WORDS = 50
 _MASK = (1 << 64) - 1
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -55,6 +64,88 @@ def removable(lines: list[str], start: int, end: int) -> bool:
     return words >= (MIN_CHUNK_WORDS if end - start > 1 else LONG_LINE_WORDS)
 
 
+def windows(n_words: list[int], least: int = PASSAGE_WORDS) -> list[tuple[int, int]]:
+    """The shortest windows of lines with ``least`` words, from each line with words on and
+    up to each such line; they begin and end with lines that have words."""
+    at = [i for i, n in enumerate(n_words) if n]
+    out: set[tuple[int, int]] = set()
+    first = last = 0
+    total = ending = 0
+    for i, line in enumerate(at):
+        ending += n_words[line]
+        while ending - n_words[at[first]] >= least:
+            ending -= n_words[at[first]]
+            first += 1
+        if ending >= least:
+            out.add((at[first], line + 1))
+        while last < len(at) and total < least:
+            total += n_words[at[last]]
+            last += 1
+        if total >= least:
+            out.add((line, at[last - 1] + 1))
+        total -= n_words[line]
+    return sorted(out)
+
+
+def _window_rows(lines: list[str], least: int) -> Iterator[tuple[int, int, int, int]]:
+    """Bounds and digests of a text's windows."""
+    data = [x.encode() for x in lines]
+    bounds = windows([len(x.split()) for x in data], least)
+    digests = [hashlib.blake2b(x, digest_size=16).digest() for x in data] if bounds else []
+    for start, end in bounds:
+        h = hashlib.blake2b(b"".join(digests[start:end]), digest_size=16).digest()
+        yield start, end, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
+
+
+def _with_passages(chunks: list | None, passages: list | None) -> list[dict]:
+    """Removed chunks, and runs of the other lines of removed windows with their first key.
+
+    Of the windows over a line the first one names the key.
+    """
+    out = [{"start": x["start"], "end": x["end"], "first_key": x["first_key"]} for x in (() if chunks is None else chunks)]
+    done = {i for x in out for i in range(x["start"], x["end"])}
+    run = None
+    for x in sorted(() if passages is None else passages, key=lambda x: (x["start"], x["end"])):
+        for i in range(x["start"], x["end"]):
+            if i in done:
+                continue
+            done.add(i)
+            if run and run["end"] == i and run["first_key"] == x["first_key"]:
+                run["end"] = i + 1
+            else:
+                run = {"start": i, "end": i + 1, "first_key": x["first_key"]}
+                out.append(run)
+    return sorted(out, key=lambda x: x["start"])
+
+
+def _repeated_windows(selected: DataFrame, least: int, owner: str) -> DataFrame:
+    """``_a, _b, start, end, first_key`` of the windows that stand at an earlier place too.
+
+    Where a window overlaps its first place in the same text, the lines of that stay.
+    """
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for a, b, k, x in zip(batch["_a"], batch["_b"], batch["_key"], batch["_text"], strict=True):
+                rows += [(a, b, k, *row) for row in _window_rows((x or "").split("\n"), least)]
+            out = pd.DataFrame(rows, columns=["_a", "_b", "_key", "start", "end", "h1", "h2"])
+            yield out.astype({"_key": batch["_key"].dtype}) if len(out) else out
+
+    key_type = selected.schema["_key"].dataType.simpleString()
+    every = selected.mapInPandas(found, f"_a long, _b long, _key {key_type}, start int, end int, h1 long, h2 long")
+    every = materialize(every, "windows", owner)
+    several = every.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    places = materialize(every.join(several, ["h1", "h2"], "left_semi"), "window-places", owner)
+    order = F.struct("_key", "_b", "start", "_a", "end")
+    first = places.groupBy("h1", "h2").agg(F.min(order).alias("_first"))
+    later = places.join(first, ["h1", "h2"]).filter(order != F.col("_first"))
+    own = (F.col("_a") == F.col("_first._a")) & (F.col("_b") == F.col("_first._b"))
+    start = F.when(own, F.greatest("start", "_first.end")).otherwise(F.col("start")).alias("start")
+    later = later.select("_a", "_b", start, "end", F.col("_first._key").alias("first_key")).filter("start < end")
+    return materialize(later.distinct(), "later-windows", owner)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -69,6 +160,7 @@ def dedup_lines(
     key: str = "doc_id",
     text: str = "text",
     max_shared: int = 1_000_000,
+    passage_words: int | None = PASSAGE_WORDS,
     owner: str = "query",
 ) -> DataFrame:
     """Every row with ``clean_text``, its text without repeated chunks, and what was removed.
@@ -76,7 +168,10 @@ def dedup_lines(
     ``removed`` has for each removed chunk ``start``, ``end`` (lines, end exclusive) and
     ``first_key``, the key of the document that keeps it: the least key, then the first
     place.  Repetitions within a text count as well.  Chunks are removed whole; lines are
-    split at "\\n" and joined again.
+    split at "\\n" and joined again.  Then the other lines go that stand in a run of lines
+    with ``passage_words`` words or more which stands at an earlier place as well (None for
+    chunks only); they are listed by runs of one ``first_key``.  Blank lines around such a
+    run stay.
 
     A null or empty text stays as it is.  Null keys sort first.  Rows alike in key and text
     are one document and keep the same chunks.  An empty table gives an empty table.
@@ -131,6 +226,17 @@ def dedup_lines(
     gone = gone.select("_a", "_b", F.struct(F.col("at").alias("start"), "end", F.col("_first._key").alias("first_key")).alias("_gone"))
     gone = materialize(gone.distinct(), "gone", owner)
     removed = gone.groupBy("_a", "_b").agg(F.sort_array(F.collect_list("_gone")).alias("_removed"))
+    if passage_words is not None:
+        later = _repeated_windows(selected, passage_words, owner)
+        n = max(n, later.count())
+
+        @F.pandas_udf(removed.schema["_removed"].dataType)
+        def both(chunks: pd.Series, passages: pd.Series) -> pd.Series:
+            return pd.Series([_with_passages(x, y) for x, y in zip(chunks, passages, strict=True)])
+
+        passages = later.groupBy("_a", "_b").agg(F.collect_list(F.struct("start", "end", "first_key")).alias("_passages"))
+        removed = removed.join(passages, ["_a", "_b"], "full").select("_a", "_b", both("_removed", "_passages").alias("_removed"))
+        removed = materialize(removed, "removed", owner)
     rows_of = docs.select(packed(docs).alias("_row"), *row)
     final = _joined_by_row(rows_of, removed, n, max_shared, "left")
 

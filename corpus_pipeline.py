@@ -41,10 +41,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks of lines that an earlier document holds.
 
-    Documents that have no words left are copies in whole and go.
+    Documents that have no words left are copies in whole and go.  Repeated passages across
+    chunks stay: the test of this stage holds it to the chunks.
     """
     _begin(spark)
-    deduped = dedup_lines(docs.select(*COLUMNS), owner="pipeline")
+    deduped = dedup_lines(docs.select(*COLUMNS), passage_words=None, owner="pipeline")
     emptied = (F.size("removed") > 0) & ~F.coalesce(F.col("clean_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return _with_text(deduped.filter(~emptied), "clean_text")
 

@@ -406,6 +406,48 @@ def test_line_dedup(docs, nothing, shared):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def brute_passages(rows, least=50):
+    """Lines of each text within a run of lines of so many words that stands at an earlier place."""
+    first, out = {}, {}
+    for key, text in sorted(rows.items()):
+        lines = (text or "").split("\n")
+        n, gone = [len(words_of(x)) for x in lines], set()
+        for s, e in itertools.combinations(range(len(lines) + 1), 2):
+            if sum(n[s:e]) >= least and n[s] and n[e - 1]:
+                k, at = first.setdefault("\n".join(lines[s:e]), (key, s))
+                gone |= set(range(max(s, at + e - s) if k == key else s, e)) if (k, at) != (key, s) else set()
+        out[key] = gone
+    return out
+
+
+@pytest.mark.parametrize("shared", [1000, 0])
+def test_repeated_passages_go_whatever_stands_around_them(spark, shared):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n))
+    passages = [[fresh(n) for n in sizes] for sizes in ([60], [120], [30, 30], [20, 20, 20], [30, 10, 30], [60, 3], [3, 60], [13] * 4, [20, 20])]
+    rows = {}
+    for i, p in enumerate(passages):
+        for j in range(6):
+            rows[10 * i + j] = "\n".join([fresh(12), *[fresh(12)] * (j % 2), *p, fresh(12)])
+    rows[900] = "\n".join([fresh(20), "", fresh(40)])
+    rows[901] = fresh(5) + "\n" + rows[900] + "\n" + fresh(5)
+    rows[902] = "\n".join([fresh(12), *[fresh(25)] * 9, fresh(12)])
+    rows[903] = None
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in linededup.dedup_lines(df, max_shared=shared).collect()}
+    kept = {k: {i for i in range(len((x or "").split("\n")))} for k, x in rows.items()}
+    for key, want in brute_passages(rows).items():
+        spans = [range(x.start, x.end) for x in got[key].removed]
+        gone = {i for x in spans for i in x}
+        assert len(gone) == sum(map(len, spans)) and want <= gone, key
+        assert all(x.first_key <= key for x in got[key].removed)
+        kept[key] -= gone
+        lines = (rows[key] or "").split("\n")
+        assert got[key].clean_text == (None if rows[key] is None else "\n".join(lines[i] for i in sorted(kept[key])))
+    left = {rows[k].split("\n")[i] for k in kept if rows[k] for i in kept[k]}
+    assert left == {line for x in rows.values() if x for line in x.split("\n")}
+
+
 def test_chunk_bounds_resist_shifts():
     rng = random.Random(9)
     passage = [" ".join(rng.choice(WORDS) for _ in range(12)) for _ in range(40)]
