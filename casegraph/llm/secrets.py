@@ -2,7 +2,7 @@
 
 Every token of 16 characters or more that holds a letter and a digit and lies outside the
 base findings is a candidate.  A small network in numpy reads it with its surrounding
-context.  It is trained on the driver, always in the same way, on labelled findings: ones
+context, a long one through overlapping windows, of which the highest score counts.  It is trained on the driver, always in the same way, on labelled findings: ones
 generated by rule, and those of a bounded sample of documents, labelled by the base
 patterns.  Scores are calibrated on findings held out from training, and the threshold is
 the highest that keeps the wanted recall on them.
@@ -31,6 +31,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
 
 LEFT, INSIDE, RIGHT = 24, 48, 8
+#: Characters from one window over a long candidate to the next.
+STEP = 24
+#: Windows that a task scores at a time, and those of one harmless finding in training.
+RUN, HARMLESS_WINDOWS = 4096, 4
 WIDTH, FILTERS, DEPTH = 5, 24, 8
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-:\"' \n"
 _CODES = np.full(128, len(_SYMBOLS) + 1, np.int64)
@@ -65,6 +69,12 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
+def windows(text: str, start: int, end: int) -> list[np.ndarray]:
+    """The window of a candidate, and those over all its characters if it is longer."""
+    later = [*range(start + STEP, end - INSIDE, STEP), end - INSIDE] if end - start > INSIDE else []
+    return [window(text, start, end), *[window(text, at, at + INSIDE) for at in later]]
+
+
 @dataclass
 class CharCnn:
     """Embedding, one convolution, ReLU, maximum over places, one linear unit."""
@@ -107,10 +117,15 @@ class CharCnn:
         np.add.at(embedding, codes[rows[:, :, None], places], back)
         return [embedding, np.einsum("nf,nfk->kf", slope, picked), slope.sum(axis=0), peaks.T @ error, error.sum(keepdims=True)]
 
+    def logits(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.forward(codes[i : i + 256])[3] for i in range(0, len(codes), 256)])
+
+    def calibrated(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * logits + self.offset)))
+
     def probability(self, codes: np.ndarray) -> np.ndarray:
         """Calibrated probability of a secret for each window."""
-        logits = np.concatenate([self.forward(codes[i : i + 256])[3] for i in range(0, len(codes), 256)])
-        return 1 / (1 + np.exp(-(self.slope * logits + self.offset)))
+        return self.calibrated(self.logits(codes))
 
 
 def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
@@ -170,12 +185,20 @@ def train(findings: list[tuple[str, int, int, int]], *, recall: float = 0.95, ep
     """The network fitted to three quarters of the findings and calibrated on the others.
 
     ``threshold`` is the highest calibrated probability that still finds ``recall`` of the
-    held-out secrets, and one half at least.
+    held-out secrets.  Of a long harmless finding some of its windows are learned.
     """
     order = np.random.default_rng(seed).permutation(len(findings))
-    codes = np.stack([window(x, s, e) for x, s, e, _ in findings])[order]
-    labels = np.array([y for *_, y in findings], float)[order]
-    cut = 3 * len(labels) // 4
+    shuffled = [findings[i] for i in order]
+    fitted, held = shuffled[: 3 * len(order) // 4], shuffled[3 * len(order) // 4 :]
+    drawn = random.Random(seed)
+    learned = []
+    for x, s, e, y in fitted:
+        own = windows(x, s, e)
+        some = own[:1] if y else own if len(own) <= HARMLESS_WINDOWS else drawn.sample(own, HARMLESS_WINDOWS)
+        learned += [(w, y) for w in some]
+    codes = np.stack([w for w, _ in learned])
+    labels = np.array([y for _, y in learned], float)
+    cut = len(labels)
     net = CharCnn.fresh(seed)
     first, second = [[np.zeros_like(w) for w in net.weights()] for _ in range(2)]
     step, rng = 0, np.random.default_rng(seed + 1)
@@ -186,13 +209,14 @@ def train(findings: list[tuple[str, int, int, int]], *, recall: float = 0.95, ep
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 w -= 0.004 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    logits, truth = net.forward(codes[cut:])[3], labels[cut:]
+    logits = np.array([net.logits(np.stack(windows(x, s, e))).max() for x, s, e, _ in held])
+    truth = np.array([y for *_, y in held], float)
     for _ in range(500):  # Platt's scaling by gradient descent
         error = 1 / (1 + np.exp(-(net.slope * logits + net.offset))) - truth
         net.slope -= 0.05 * float((error * logits).mean())
         net.offset -= 0.05 * float(error.mean())
-    secret = np.sort(net.probability(codes[cut:])[truth == 1])
-    net.threshold = max(0.5, float(secret[int((1 - recall) * len(secret))]))
+    secret = np.sort(net.calibrated(logits)[truth == 1])
+    net.threshold = float(secret[int((1 - recall) * len(secret))])
     return net
 
 
@@ -213,7 +237,7 @@ def scan_secrets(docs: DataFrame, network: CharCnn, *, text: str = "text") -> Da
     """Every row with ``findings``: kind, start, end (code points, end exclusive) and score.
 
     Base findings come first in a row and have score 1; those of kind ``model`` are the
-    candidates that score the network's threshold or more.  A null or empty text has no
+    candidates with a window that scores the network's threshold or more.  A null or empty text has no
     findings.  Repeated rows have the same.  An empty table gives an empty table.  An
     input column ``findings`` is replaced.
     """
@@ -222,17 +246,30 @@ def scan_secrets(docs: DataFrame, network: CharCnn, *, text: str = "text") -> Da
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int,score:double>>")
     def scanned(texts: pd.Series) -> pd.Series:
-        out, pending = [], []
+        out, pending, held = [], [], []
+
+        def flush() -> None:
+            scores = shared.value.probability(np.stack(held)) if held else ()
+            for at, score in zip(pending, scores, strict=True):
+                best[at] = max(best.get(at, 0.0), float(score))
+            pending.clear()
+            held.clear()
+
+        best: dict[tuple[int, int, int], float] = {}
         for i, x in enumerate(texts):
             x = x or ""
             base = base_spans(x)
             out.append([{"kind": k, "start": s, "end": e, "score": 1.0} for s, k, e in base])
-            pending += [(i, s, e, window(x, s, e)) for s, e in candidates(x, base)]
-        if pending:
-            scores = shared.value.probability(np.stack([w for *_, w in pending]))
-            for (i, s, e, _), score in zip(pending, scores.tolist(), strict=True):
-                if score >= shared.value.threshold:
-                    out[i].append({"kind": "model", "start": s, "end": e, "score": score})
+            for s, e in candidates(x, base):
+                for w in windows(x, s, e):
+                    pending.append((i, s, e))
+                    held.append(w)
+                    if len(held) >= RUN:
+                        flush()
+        flush()
+        for (i, s, e), score in best.items():
+            if score >= shared.value.threshold:
+                out[i].append({"kind": "model", "start": s, "end": e, "score": score})
         return pd.Series(out)
 
     rows = docs.select(packed(docs).alias("_row")).withColumn("_findings", scanned(F.col("_row")[text]))

@@ -406,6 +406,23 @@ def test_line_dedup(docs, nothing, shared):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def test_secrets_are_found_wherever_they_stand_in_a_long_token(spark):
+    network = secrets.train(secrets.generated_findings(6000, 1))
+    rng = random.Random(4)
+    path = "/" + "/".join(["projects", "harbour", "backend", "services", "storage", "settings", "release"] * 2)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(32))
+    rows = [(i, f"see the file {path}={key()} for this") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secrets.scan_secrets(df, network).collect()
+    assert sum(any(x.kind == "model" for x in r.findings) for r in got) >= 18
+    assert all(score < network.threshold for score in network.probability(np.stack([secrets.window(x, 13, x.index(" for")) for _, x in rows])))
+
+
+def test_secret_threshold_keeps_the_recall():
+    network = secrets.train(secrets.generated_findings(1500, 1), epochs=1, recall=1.0)
+    assert network.threshold < 0.5
+
+
 def brute_passages(rows, least=50):
     """Lines of each text within a run of lines of so many words that stands at an earlier place."""
     first, out = {}, {}
