@@ -78,21 +78,21 @@ def shingle_set(text: str | None, size: int) -> tuple[bytes, np.ndarray]:
 
 
 def _signed_rows(docs: DataFrame, key: str, text: str, size: int, hasher: MinHasher) -> DataFrame:
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *[T.StructField(n, t) for n, t in (("class", T.BinaryType()), ("n_shingles", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("signature", T.BinaryType()))]])
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *[T.StructField(n, t) for n, t in (("row", T.LongType()), ("class", T.BinaryType()), ("n_shingles", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("signature", T.BinaryType()))]])
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, x in zip(batch["key"], batch["text"], strict=True):
+            for k, row, x in zip(batch["key"], batch["row"], batch["text"], strict=True):
                 own, shingles = shingle_set(x, size)
                 if not own:
-                    rows.append((k, None, 0, None, None))
+                    rows.append((k, row, None, 0, None, None))
                     continue
                 minima = hasher.minima(shingles)
-                rows.append((k, own, len(shingles), hasher.band_keys(minima), minima.astype(np.uint8).tobytes()))
+                rows.append((k, row, own, len(shingles), hasher.band_keys(minima), minima.astype(np.uint8).tobytes()))
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields]).astype({"key": batch["key"].dtype})
 
-    selected = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    selected = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
     return selected.mapInPandas(signed, schema)
 
 
@@ -108,16 +108,20 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b")
 
 
-def _only_keys(docs: DataFrame, key: str, wanted: DataFrame, max_shared: int = 1_000_000) -> DataFrame:
-    """Rows of ``docs`` with a key in ``wanted``, which is broadcast only if it is small."""
-    keys = wanted.select(F.col("key").alias(key)).distinct()
-    return docs.join(F.broadcast(keys) if wanted.count() <= max_shared else keys, key, "left_semi")
+def _only_rows(docs: DataFrame, wanted: DataFrame, max_shared: int = 1_000_000) -> DataFrame:
+    """Rows of ``docs`` with a ``row`` in ``wanted``, which is broadcast only if it is small."""
+    rows = wanted.select("row").distinct()
+    return docs.join(F.broadcast(rows) if wanted.count() <= max_shared else rows, "row", "left_semi")
 
 
 def _texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Texts of the documents that may belong to the nodes, and the nodes' classes."""
-    wanted = classes.join(nodes, "node").select("node", "key", "class")
-    return _only_keys(docs.select(key, text), key, wanted).select(F.col(text).alias("text")), wanted
+    """Texts of the documents that may belong to the nodes, and the nodes' classes.
+
+    Documents are found by a hash of key and text, since a null key is equal to nothing.
+    """
+    wanted = classes.join(nodes, "node").select("node", "row", "class")
+    texts = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
+    return _only_rows(texts, wanted).select("text"), wanted
 
 
 def _tile(
@@ -284,8 +288,8 @@ def near_duplicates(
     hasher = MinHasher(bands, rows)
     signed = _signed_rows(docs, key, text, shingle_words, hasher)
     signed = materialize(signed.withColumn("node", F.monotonically_increasing_id()), "signed", owner)
-    least = signed.filter("class is not null").groupBy("class").agg(F.min(F.struct("node", "key")).alias("_least"))
-    named = materialize(least.select("class", "_least.node", "_least.key"), "classes", owner)
+    least = signed.filter("class is not null").groupBy("class").agg(F.min(F.struct("node", "row")).alias("_least"))
+    named = materialize(least.select("class", "_least.node", "_least.row"), "classes", owner)
     firsts = signed.select("node", "bands", "signature").join(named.select("node"), "node", "left_semi")
     firsts = materialize(firsts, "firsts", owner)
     signatures = firsts.select("node", "signature")

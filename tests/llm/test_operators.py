@@ -406,6 +406,16 @@ def test_line_dedup(docs, nothing, shared):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def test_near_copies_of_null_key(spark):
+    rng = random.Random(8)
+    words = [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(120)]
+    near = lambda i: " ".join(words[:i] + ["changed"] + words[i + 1 :])
+    rows = [(None, " ".join(words)), (None, near(30)), (7, " ".join(words)), (8, near(60)), (None, "something else that has no copy at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 7, False), (0, 7, False), (7, 7, True), (8, 7, False)]
+
+
 def test_secrets_are_found_wherever_they_stand_in_a_long_token(spark):
     network = secrets.train(secrets.generated_findings(6000, 1))
     rng = random.Random(4)
