@@ -251,6 +251,7 @@ def dedup_lines(
             out.append(x)
         return pd.Series(out, dtype=object)
 
+    cleaned = cleaned.asNondeterministic()  # else a filter on the clean text would clean every text once more
     body = F.col("_row")[text]
     clean = F.when(F.col("_removed").isNull(), body).otherwise(cleaned(F.when(F.col("_removed").isNotNull(), body), "_removed"))
     empty = F.array().cast(f"array<struct<start:int,end:int,first_key:{key_type}>>")

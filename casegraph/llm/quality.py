@@ -197,6 +197,7 @@ def apply_quality_rules(
             rows.append((*found, failed, left, clean, not failed and not depleted))
         return pd.DataFrame(rows, columns=[n for n, _ in added])
 
+    judged = judged.asNondeterministic()  # else a filter on a verdict would judge every text once more
     verdict = judged(F.col("_row")[text], F.col("_row")[host].cast("string"), F.col("_removed"))
     judged_rows = rows.select("_row", verdict.alias("_v"))
     return unpacked(judged_rows, "_row", names, **{n: F.col("_v")[n] for n, _ in added})

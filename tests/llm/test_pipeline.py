@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline as C
+import pytest
 from casegraph.llm.quality import base_failed, features
 from casegraph.llm.text import WORD
 from test_operators import brute_line_dedup, brute_components, words_of
@@ -54,3 +55,10 @@ def test_repeated_ids_are_one_document(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = dict(C.STAGES)["near dedup"](spark, df, "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "q"), (1, "another text of other words here"), (2, "z y x w v u t")]
+
+
+@pytest.mark.parametrize("stage", ["quality rules", "line dedup"])
+def test_each_text_is_read_once_by_the_last_function(spark, stage):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = dict(C.STAGES)[stage](spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
