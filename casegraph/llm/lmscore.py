@@ -1,14 +1,23 @@
 """Documents scored by cross-entropy difference between two n-gram models.
 
-The target model is counted over the documents labelled good, the background model over
-all documents, in the same way and with one vocabulary: the most frequent words of the
-corpus, hash classes for all others, and a bound at either end.  A document's score is the
-mean over its tokens of the background model's loss less the target model's, so higher
-means closer to the target.
-
-Word and bigram counts cover all documents and are summed in each batch before they are
-shuffled.  The models are two square tables over the vocabulary, whose size does not
-depend on the corpus (2 x 16 MB at the default of 2048 tokens), and are broadcast.
+The background model is counted over all documents, the target model over those labelled
+good, in the same way and over one vocabulary, which is every word of the corpus and a
+bound that stands before and after each text.  A document's score is the mean over its
+tokens of the background model's loss less the target model's, so higher means closer to
+the target.  A document's own counts are taken out of both models before it is scored.
+
+Neither the vocabulary nor the bigrams are cut, so the models grow with the corpus and are
+never in one place:
+
+1. Texts become blocks of about ``BLOCK_TOKENS`` tokens, written once: the block's distinct
+   words by 64-bit hash, and its tokens as places among them.
+2. Each block asks for its distinct words and bigrams, with their counts in the block,
+   packed in a row for each part of the key space.  A part sums the counts of all blocks
+   and answers each of them in the order of its question.
+3. A block puts its answers together and scores its documents in numpy.
+
+A key is sent once by each block that holds it, so the most common bigram weighs on its
+part with one number a block.
 """
 
 from __future__ import annotations
@@ -17,116 +26,175 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from casegraph.llm.scratch import materialize
-from casegraph.llm.text import word_hashes
-
-VOCABULARY = 2048
-CLASSES = 511
-#: Tokens that a task sums at a time.
-RUN = 1 << 20
-
-
-def token_ids(text: str | None, words: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """Ids of a text between two bounds: 0 is the bound, then the words by hash, then the classes."""
-    hashes = word_hashes((text or "").encode().lower())
-    out = np.zeros(len(hashes) + 2, np.int64)
-    if len(hashes):
-        other = 1 + len(words) + (hashes % np.uint64(classes)).astype(np.int64)
-        if len(words):
-            at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-            other = np.where(words[at] == hashes, 1 + at, other)
-        out[1:-1] = other
-    return out
-
-
-def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the number of their rows and the sum of their weights."""
-    distinct, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return distinct, counts, np.bincount(which, weights, len(distinct)).astype(np.int64)
-
-
-def _runs(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Parts of parallel arrays joined to runs of about ``RUN`` elements."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-    for part in parts:
-        held.append(part)
-        size += len(part[0])
-        if size >= RUN:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            held, size = [], 0
-    if size:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
-
-def _frequent_words(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Hashes of the n most frequent lower-cased words, ascending; ties go to the lesser hash."""
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+from casegraph.llm.text import mix64, word_hashes
+
+#: Tokens of a block, and those for which there is one part of the key space.
+BLOCK_TOKENS = 1 << 20
+PART_TOKENS = 1 << 19
+#: Shares of the word model in the bigram model, and of the uniform one in the word model.
+#: They are the same for both models, so that the smaller one is no kinder to what is new.
+WORD_SHARE, UNIFORM_SHARE = 0.5, 0.1
+_ODD = np.uint64(1)
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold the largest."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    """The numbers of :func:`_narrow`."""
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+
+
+class Block:
+    """Documents of a block: distinct words (the bound first), and bigrams in text order.
+
+    ``before`` and ``after`` are the places of each bigram's words, ``bigram`` its place
+    among the distinct ones and ``doc`` its document.
+    """
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> None:
+        self.words, self.sizes = words, sizes
+        full = np.flatnonzero(sizes)
+        lengths = sizes[full] + 1
+        ends = np.cumsum(lengths)
+        self.doc = np.repeat(full, lengths)
+        inner = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+        inner[ends - 1] = False
+        self.after = np.zeros(len(inner), np.int64)
+        self.after[inner] = tokens
+        self.before = np.zeros(len(inner), np.int64)
+        self.before[1:] = self.after[:-1]
+        distinct, self.bigram = np.unique(self.before * len(words) + self.after, return_inverse=True)
+        self.pairs = np.stack([distinct // max(len(words), 1), distinct % max(len(words), 1)])
+
+    def keys(self) -> np.ndarray:
+        """Even keys of the distinct words, then odd ones of the distinct bigrams."""
+        first, second = self.words[self.pairs[0]], self.words[self.pairs[1]]
+        return np.concatenate([self.words & ~_ODD, mix64(mix64(first + _FACTOR) * _FACTOR + second) | _ODD])
+
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often the block's chosen documents hold each key; a bound counts once a document."""
+        some = chosen[self.doc]
+        return np.concatenate([np.bincount(self.after[some], minlength=len(self.words)), np.bincount(self.bigram[some], minlength=self.pairs.shape[1])])
+
+
+def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Parts of the key space with the places of their keys, in order of the key."""
+    part = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((keys, part))
+    edges = np.flatnonzero(np.diff(part[order])) + 1
+    for places in np.split(order, edges):
+        if len(places):
+            yield int(part[places[0]]), places
+
+
+def _blocks(texts: DataFrame, key_type: T.DataType, block_tokens: int) -> DataFrame:
+    """Blocks of the rows ``key, text, good``."""
+    fields = [T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(key_type)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("good", T.ArrayType(T.BooleanType()))]
+    fields += [T.StructField("words", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_good", T.LongType())]
+    arrow_key = to_arrow_type(key_type)
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        keys, good, hashes, total = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in hashes], np.int64)
+            words, tokens = np.unique(np.concatenate([np.zeros(1, np.uint64), *hashes]), return_inverse=True)
+            events = np.where(sizes > 0, sizes + 1, 0)
+            row = [[number], [list(keys)], [sizes.tolist()], [list(good)], [words.tobytes()], [tokens[1:].astype(np.uint32).tobytes()], [int(events.sum())], [int(events[np.array(good, bool)].sum())]]
+            kinds = [pa.int64(), pa.list_(arrow_key), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[f.name for f in fields])
+
         for batch in batches:
-            for (hashes,) in _runs((word_hashes(x.encode().lower()),) for x in batch["text"] if x):
-                distinct, counts = np.unique(hashes, return_counts=True)
-                yield pd.DataFrame({"word": distinct.view(np.int64), "n": counts.astype(np.int64)})
+            for key, text, is_good in zip(batch["key"], batch["text"], batch["good"], strict=True):
+                keys.append(key.as_py())
+                good.append(bool(is_good.as_py()))
+                hashes.append(word_hashes((text.as_py() or "").encode().lower()))
+                total += len(hashes[-1]) + 1
+                if total >= block_tokens:
+                    yield block()
+                    number += 1
+                    keys, good, hashes, total = [], [], [], 0
+        if keys:
+            yield block()
 
-    words = docs.select(F.col(text).alias("text")).mapInPandas(counted, "word long, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n).select("word")
-    return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
+    return texts.mapInArrow(blocked, T.StructType(fields))
 
 
-def _bigram_counts(marked: DataFrame, words: np.ndarray, size: int) -> DataFrame:
-    """``first, second, n, n_target`` over all documents."""
+def _read(row: dict) -> tuple[Block, np.ndarray]:
+    words = np.frombuffer(row["words"], np.uint64)
+    tokens = np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
+    return Block(words, tokens, np.array(row["sizes"], np.int64)), np.array(row["good"], bool)
 
-    def bigrams(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
-        for x, target in zip(batch["text"], batch["target"], strict=True):
-            if x:
-                ids = token_ids(x, words)
-                yield ids[:-1] * size + ids[1:], np.full(len(ids) - 1, target, np.int8)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _asked(blocks: DataFrame, parts: int) -> DataFrame:
+    """A row for each block and part: the block's keys there and their counts."""
+    names = ["part", "block", "n", "keys", "every", "good"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, weights in _runs(bigrams(batch)):
-                pairs, n, n_target = _summed(keys, weights)
-                yield pd.DataFrame({"pair": pairs, "n": n, "n_target": n_target})
-
-    pairs = marked.mapInPandas(counted, "pair long, n long, n_target long")
-    summed = pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    return summed.select((F.col("pair") / size).cast("int").alias("first"), (F.col("pair") % size).cast("int").alias("second"), "n", "n_target")
-
-
-def _log_rows(second: np.ndarray, counts: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """Log probabilities of all tokens after one token, Witten-Bell smoothed with ``single``."""
-    total, kinds = counts.sum(), np.count_nonzero(counts)
-    rest = kinds / (total + kinds) if total else 1.0
-    out = rest * single
-    if total:
-        np.add.at(out, second, (1 - rest) * counts / total)
-    return np.log(out).astype(np.float32)
-
-
-def _models(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of token pairs under the target and the background model."""
-    singles = [np.ones(size), np.ones(size)]
-    for r in counts.groupBy("second").agg(F.sum("n_target"), F.sum("n")).collect():  # at most size rows
-        singles[0][r[0]] += r[1]
-        singles[1][r[0]] += r[2]
-    target_single, all_single = (x / x.sum() for x in singles)
-
-    def smoothed(group: pd.DataFrame) -> pd.DataFrame:  # at most size rows
-        second = group["second"].to_numpy()
-        target = _log_rows(second, group["n_target"].to_numpy(), target_single)
-        background = _log_rows(second, group["n"].to_numpy(), all_single)
-        return pd.DataFrame({"first": [int(group["first"].iloc[0])], "target": [target.tobytes()], "background": [background.tobytes()]})
-
-    rows = counts.groupBy("first").applyInPandas(smoothed, "first int, target binary, background binary")
-    tables = [np.tile(np.log(x).astype(np.float32), (size, 1)) for x in (target_single, all_single)]
-    for r in rows.toLocalIterator():
-        tables[0][r[0]] = np.frombuffer(r[1], np.float32)
-        tables[1][r[0]] = np.frombuffer(r[2], np.float32)
-    return tables[0], tables[1]
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block, good = _read(row)
+                keys, every, target = block.keys(), block.counts(np.ones(len(good), bool)), block.counts(good)
+                rows = [(part, row["block"], len(at), keys[at].tobytes(), _narrow(every[at]), _narrow(target[at])) for part, at in _by_part(keys, parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return blocks.select("block", "sizes", "good", "words", "tokens").mapInArrow(ask, "part int, block long, n long, keys binary, every binary, good binary")
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """For each row of :func:`_asked` the counts over all blocks, and once a part its number of words."""
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:  # about PART_TOKENS keys
+        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group["keys"]])
+        distinct, which = np.unique(keys, return_inverse=True)
+        sums = []
+        for name in ("every", "good"):
+            counts = np.concatenate([_wide(x, n) for x, n in zip(group[name], group["n"], strict=True)])
+            sums.append(np.bincount(which, counts, len(distinct)).astype(np.int64)[which])
+        edges = np.cumsum(group["n"].to_numpy())[:-1]
+        out = group[["part", "block", "n"]].copy()
+        out["every"], out["good"] = [[_narrow(x) for x in np.split(s, edges)] for s in sums]
+        out["n_words"] = [int((distinct & _ODD == 0).sum())] + [0] * (len(group) - 1)
+        return out
+
+    return asked.groupBy("part").applyInPandas(answer, "part int, block long, n long, every binary, good binary, n_words long")
+
+
+def losses(block: Block, good: np.ndarray, counts: np.ndarray, is_target: bool, n_tokens: int, n_words: int) -> np.ndarray:
+    """Mean loss of each document under the model of ``counts``, without its own counts.
+
+    p(w) = (1 - u) c(w) / n + u / words and p(w | v) = (1 - s) c(v, w) / c(v) + s p(w), where
+    u and s are 1 if n or c(v) is 0.
+    """
+    n = len(block.words)
+    own = good[block.doc] if is_target else np.ones(len(block.doc), bool)
+    by_pair, pair_at, pair_n = np.unique(block.doc * max(block.pairs.shape[1], 1) + block.bigram, return_inverse=True, return_counts=True)
+    by_word, word_at, word_n = np.unique(block.doc * n + block.after, return_inverse=True, return_counts=True)
+    own_before = word_n[np.searchsorted(by_word, block.doc * n + block.before)]  # each word stands as often before as after
+    sizes = np.where(block.sizes > 0, block.sizes + 1, 0)
+    of_pair = counts[n:][block.bigram] - own * pair_n[pair_at]
+    of_before = counts[block.before] - own * own_before
+    of_after = counts[block.after] - own * word_n[word_at]
+    rest = n_tokens - own * sizes[block.doc]
+    word = np.where(rest > 0, (1 - UNIFORM_SHARE) * of_after / np.maximum(rest, 1) + UNIFORM_SHARE / n_words, 1 / n_words)
+    p = np.where(of_before > 0, (1 - WORD_SHARE) * of_pair / np.maximum(of_before, 1) + WORD_SHARE * word, word)
+    total = np.bincount(block.doc, -np.log(p), len(sizes))
+    return total / np.maximum(sizes, 1)
 
 
 def score_documents(
@@ -136,50 +204,58 @@ def score_documents(
     key: str = "doc_id",
     text: str = "text",
     label: str = "quality",
-    vocabulary: int = VOCABULARY,
+    block_tokens: int = BLOCK_TOKENS,
+    part_tokens: int = PART_TOKENS,
     max_shared_ids: int = 1_000_000,
     owner: str = "query",
 ) -> DataFrame:
     """``key, n_tokens, target_loss, background_loss, score`` of every row.
 
-    Losses are mean negative log probabilities (nats) over the text's bigrams, with a bound
-    before the first word and after the last.  ``score`` is background less target loss.
-    Documents whose greatest ``label`` is 1 are the target.
+    Losses are mean negative log probabilities (nats) over the text's bigrams of lower-cased
+    (A-Z) words, with a bound before the first word and after the last.  ``score`` is
+    background less target loss.  Documents whose greatest ``label`` is 1 are the target;
+    each document is scored by the models of the others.
 
-    A null or blank text has no tokens and null losses and score.  Repeated rows count as
-    often as they stand; null keys and rows without label are background only.  Without any
-    target the target model knows no words and is uniform.  An empty table gives an empty
-    table; other columns go.
+    A null or blank text has no tokens and null losses and score, and takes no part in the
+    models.  Repeated rows count as often as they stand, so copies know each other; null
+    keys and rows without label are background only.  Without any target the target model
+    knows the number of words alone and is uniform.  An empty table gives an empty table;
+    other columns go.  Words and bigrams are told apart by 63-bit hashes.
     """
-    target = materialize(labels.filter(F.col(label) == 1).select(F.col(key).alias("key")).distinct().withColumn("good", F.lit(1)), "target", owner)
+    greatest = labels.groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
+    target = materialize(greatest.filter("label = 1 and key is not null").select("key", F.lit(True).alias("good")), "target", owner)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     few = target.count() <= max_shared_ids
-    joined = texts.join(F.broadcast(target) if few else target, "key", "left")
-    marked = joined.select("text", F.coalesce("good", F.lit(0)).alias("target"))
-    words = _frequent_words(docs, text, vocabulary - CLASSES - 1)
-    size = 1 + len(words) + CLASSES
-    counts = materialize(_bigram_counts(marked, words, size), "bigrams", owner)
-    shared = docs.sparkSession.sparkContext.broadcast((words, *_models(counts, size)))
+    marked = texts.join(F.broadcast(target) if few else target, "key", "left").select("key", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    key_type = docs.schema[key].dataType
+    blocks = materialize(_blocks(marked, key_type, block_tokens), "blocks", owner)
+    n_tokens, n_good = (x or 0 for x in blocks.agg(F.sum("n_tokens"), F.sum("n_good")).first())
+    answers = materialize(_answered(_asked(blocks, max(1, n_tokens // part_tokens))), "answers", owner)
+    n_words = answers.agg(F.sum("n_words")).first()[0] or 1
+    lists = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "n", "every", "good"))).alias("answers"))
+    parts = max(1, n_tokens // part_tokens)
     names = [key, "n_tokens", "target_loss", "background_loss", "score"]
+    arrow_key = to_arrow_type(key_type)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, target, background = shared.value
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, x in zip(batch["key"], batch["text"], strict=True):
-                ids = token_ids(x, words)
-                n = len(ids) - 2
-                if not n:
-                    rows.append((k, 0, None, None, None))
-                    continue
-                a = -float(target[ids[:-1], ids[1:]].mean(dtype=np.float64))
-                b = -float(background[ids[:-1], ids[1:]].mean(dtype=np.float64))
-                rows.append((k, n, a, b, b - a))
-            yield pd.DataFrame(rows, columns=names).astype({key: batch["key"].dtype})
-
-    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("n_tokens", T.LongType())]
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block, good = _read(row)
+                keys = block.keys()
+                every, chosen = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+                for (part, at), answer in zip(_by_part(keys, parts), row["answers"] or (), strict=True):
+                    assert part == answer["part"]
+                    every[at], chosen[at] = _wide(answer["every"], answer["n"]), _wide(answer["good"], answer["n"])
+                a = losses(block, good, chosen, True, n_good, n_words)
+                b = losses(block, good, every, False, n_tokens, n_words)
+                none = block.sizes == 0
+                columns = [pa.array(row["keys"], arrow_key), pa.array(block.sizes, pa.int64()), *[pa.array(x, pa.float64(), mask=none) for x in (a, b, b - a)]]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    fields = [T.StructField(key, key_type), T.StructField("n_tokens", T.LongType())]
     schema = T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in names[2:]]])
-    return texts.mapInPandas(scored, schema)
+    return blocks.join(lists, "block", "left").select("keys", "sizes", "good", "words", "tokens", "answers").mapInArrow(scored, schema)
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -350,38 +350,56 @@ def test_gradients_are_right():
         assert slopes[at] == pytest.approx((high - low) / 2e-5, rel=1e-3)
 
 
-def test_lm_scoring(spark, docs, nothing):
+def brute_losses(rows, good):
+    """Losses of each text under the bigrams of all others, and of the good ones among them."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [[None, *words_of(x.translate(low)), None] if words_of(x) else [] for _, x in rows]
+    n_words = len({w for x in texts for w in x})
+    out = []
+    for i, own in enumerate(texts):
+        both = []
+        for chosen in (lambda j: rows[j][0] in good, lambda j: True):
+            others = [x for j, x in enumerate(texts) if j != i and chosen(j)]
+            pairs, single = Counter(p for x in others for p in itertools.pairwise(x)), Counter(w for x in others for w in x[1:])
+            total, loss = single.total(), 0.0
+            for v, w in itertools.pairwise(own):
+                p = 0.9 * single[w] / total + 0.1 / n_words if total else 1 / n_words
+                loss -= np.log(0.5 * pairs[v, w] / single[v] + 0.5 * p if single[v] else p)
+            both.append(loss / (len(own) - 1) if own else None)
+        out.append((rows[i][0], max(len(own) - 2, 0), *both))
+    return out
+
+
+@pytest.mark.parametrize("tokens", [100, 1 << 20])
+def test_lm_scoring(spark, docs, nothing, tokens):
     rng = random.Random(8)
-    good = lambda: " ".join(rng.choice(["red", "green", "blue"]) for _ in range(40))
-    bad = lambda: " ".join(rng.choice(["stone", "rock", "sand"]) for _ in range(40))
-    rows = [(i, good() if i % 2 else bad()) for i in range(60)] + [(100, None), (101, " ")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in lmscore.score_documents(df, labels, vocabulary=600).collect()}
-    assert min(got[i].score for i in range(21, 60, 2)) > max(got[i].score for i in range(20, 60, 2))
-    assert got[100].score is None and got[101].n_tokens == 0
-    words = np.sort(np.array([int(word_hashes(w.encode())[0]) for w in ["red", "green", "blue", "stone", "rock", "sand"]], np.uint64))
-    size = 1 + 6 + lmscore.CLASSES
-    pairs, single = Counter(), Counter({i: 1 for i in range(size)})
-    for i, x in rows:
-        if x and i < 20 and i % 2:
-            ids = lmscore.token_ids(x, words).tolist()
-            pairs.update(zip(ids, ids[1:], strict=False))
-            single.update(ids[1:])
-    total = sum(single.values())
-
-    def p(a, b):
-        after = {y: c for (x, y), c in pairs.items() if x == a}
-        n, kinds = sum(after.values()), len(after)
-        rest = kinds / (n + kinds) if n else 1.0
-        return (1 - rest) * after.get(b, 0) / n + rest * single[b] / total if n else single[b] / total
-
-    ids = lmscore.token_ids(rows[21][1], words).tolist()
-    assert got[21].target_loss == pytest.approx(-sum(np.log(p(a, b)) for a, b in zip(ids, ids[1:], strict=False)) / (len(ids) - 1), rel=1e-5)
+    good = lambda: " ".join(rng.choice(["red", "green", "Blue"]) for _ in range(40))
+    bad = lambda: " ".join(rng.choice(["stone", "rock", "sand", f"rare{rng.randrange(10**6)}"]) for _ in range(40))
+    rows = [(i, good() if i % 2 else bad()) for i in range(60)] + [(100, ""), (101, " "), (3, "a text of the same id"), (None, "a b c"), (102, "one"), (103, "one"), (104, "x " * 5000)]
+    df = spark.createDataFrame([(k, x or None) for k, x in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    got = lmscore.score_documents(df, labels, block_tokens=tokens, part_tokens=tokens).collect()
+    want = brute_losses(rows, set(range(1, 20, 2)))
+    order = lambda r: tuple((x is not None, x) for x in r)
+    for r, w in zip(sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got), key=order), sorted(want, key=order), strict=True):
+        assert r[:2] == w[:2]
+        assert r[2:] == (pytest.approx(w[2:], rel=1e-9) if w[2] is not None else (None, None))
+    score = {r.doc_id: r.score for r in got}
+    assert min(score[i] for i in range(21, 60, 2)) > max(score[i] for i in range(20, 60, 2))
     assert lmscore.score_documents(docs, labels).count() == docs.count()
     assert lmscore.score_documents(nothing, labels).count() == 0
 
 
+def test_lm_scoring_knows_what_stands_twice(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(60)) for _ in range(300)]
+    rows = [*enumerate(texts), *((1000 + i, texts[i]) for i in range(15))]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in range(100, 200)], "doc_id long, quality int")
+    got = lmscore.score_documents(df, labels).collect()
+    twice = {r.doc_id for r in sorted(got, key=lambda r: r.score)[:30]}
+    assert twice == {*range(15), *range(1000, 1015)}
+
+
 def brute_line_dedup(rows):
     first, out = {}, {}
     for key, text in sorted(rows.items()):
