@@ -12,7 +12,9 @@
 4. Buckets that still hold several components are compared in tiles of bounded size, on
    longer signatures and inside numpy: only pairs of different components that may be
    linked leave a tile, once each, and go through step 3.  A bucket whose members are all
-   in one component has nothing left to compare.
+   in one component has nothing left to compare.  Pairs that look surely linked join their
+   components within a tile; should step 3 refuse one of them, the buckets that are still
+   split are compared once more without such trust.
 
 A pair at the threshold is missed by all bands with probability (1 - t^rows)^bands, 1.5e-5
 at the defaults.
@@ -126,40 +128,37 @@ def _texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
 
 def _tile(
     band: int, nodes: np.ndarray, components: np.ndarray, bands: np.ndarray, signatures: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, sure: float
-) -> list[tuple[int, int]]:
-    """Pairs of ``left`` x ``right`` that may be linked across components.
+) -> list[tuple[int, int, bool]]:
+    """Pairs of ``left`` x ``right`` that may be linked across components, and which are surely.
 
     A pair counts in the first band that it shares.  Pairs that are surely linked join
     their components here, so that a dense group leaves few of its pairs.
     """
-    roots = {int(c): int(c) for c in components}
-
-    def root(c: int) -> int:
-        while roots[c] != c:
-            roots[c] = roots[roots[c]]
-            c = roots[c]
-        return c
-
-    found = []
+    label = components.copy()
+    pairs, unsure = [], []
     triangle = np.array_equal(left, right)
-    for i in left:
-        others = right[components[right] != components[i]]
-        if triangle:
-            others = others[nodes[others] > nodes[i]]
-        if len(others):
+    for wanted in (True, False):  # first what is surely linked, so that little of a dense group is left
+        for i in left:
+            others = right[label[right] != label[i]]
+            if triangle:
+                others = others[nodes[others] > nodes[i]]
+            if not len(others):
+                continue
             agree = (signatures[others] == signatures[i]).mean(axis=1)
-            others, agree = others[agree >= least], agree[agree >= least]
-            same = bands[others] == bands[i]
-            first = bands[i][same.argmax(axis=1)] == band
-            found += [(float(g), int(i), int(j)) for g, j in zip(agree[first], others[first], strict=True)]
-    pairs = []
-    for g, i, j in sorted(found, reverse=True):
-        one, two = root(int(components[i])), root(int(components[j]))
-        if one != two:
-            pairs.append((min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j]))))
-            if g >= sure:
-                roots[max(one, two)] = min(one, two)
-    return pairs
+            fit = agree >= sure if wanted else (agree >= least) & (agree < sure)
+            others = others[fit]
+            others = others[bands[i][(bands[others] == bands[i]).argmax(axis=1)] == band]
+            if not wanted:
+                unsure.append(np.stack([np.full(len(others), i), others]))
+                continue
+            while len(others):
+                pairs.append((i, others[0], True))
+                label[label == label[others[0]]] = label[i]
+                others = others[label[others] != label[i]]
+    if unsure:
+        one, two = np.concatenate(unsure, axis=1)
+        pairs += [(i, j, False) for i, j in zip(one, two, strict=True)]
+    return [(min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j])), flag) for i, j, flag in pairs]
 
 
 def _groups(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
@@ -180,15 +179,16 @@ def _groups(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.Da
         yield pd.concat(kept)
 
 
-def _tiled(rest: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, share: float, hasher: MinHasher) -> DataFrame:
+def _tiled(rest: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, share: float, hasher: MinHasher, trusting: bool) -> DataFrame:
     """Pairs of buckets split over components that may be linked, by tiles of the buckets.
 
     The largest component of a bucket meets the others and never itself, so the copies of a
-    hot group are dealt out once for each tile of what is not in it.
+    hot group are dealt out once for each tile of what is not in it.  Unless ``trusting``,
+    no pair counts as surely linked.
     """
     longer = MinHasher(1, LONG_SIGNATURE, seed=6)
     deviation = (share * (1 - share) / LONG_SIGNATURE) ** 0.5
-    least, sure = share - 4.5 * deviation, share + 5 * deviation
+    least, sure = share - 4.5 * deviation, share + 5 * deviation if trusting else 2.0
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -230,9 +230,9 @@ def _tiled(rest: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text:
                 least,
                 sure,
             )
-            yield pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+            yield pd.DataFrame(pairs, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": "bool"})
 
-    return spread.mapInPandas(compared, "a long, b long")
+    return spread.mapInPandas(compared, "a long, b long, sure boolean")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -262,6 +262,18 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     return pairs.join(one, "a").join(two, "b").filter(similar("sa", "sb")).select("a", "b")
 
 
+def _joined_hot(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has a row and the number ``n`` of rows for each key.
+
+    Keys that hold more than a thousandth of all rows, of which there can be a thousand at
+    most, are broadcast, so that none of them goes to one task.
+    """
+    limit = max(1000, (table.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot = F.broadcast(table.filter(F.col("n") > limit).drop("n"))
+    rest = rows.join(F.broadcast(table.filter(F.col("n") > limit).select(on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(table.filter(F.col("n") <= limit).drop("n"), on))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -288,8 +300,9 @@ def near_duplicates(
     hasher = MinHasher(bands, rows)
     signed = _signed_rows(docs, key, text, shingle_words, hasher)
     signed = materialize(signed.withColumn("node", F.monotonically_increasing_id()), "signed", owner)
-    least = signed.filter("class is not null").groupBy("class").agg(F.min(F.struct("node", "row")).alias("_least"))
-    named = materialize(least.select("class", "_least.node", "_least.row"), "classes", owner)
+    first = F.min(F.struct(F.col("key").isNull().alias("missing"), "key", "node")).alias("first")
+    least = signed.filter("class is not null").groupBy("class").agg(F.min(F.struct("node", "row")).alias("_least"), F.count("*").alias("n"), first)
+    named = materialize(least.select("class", "_least.node", "_least.row", "n", "first"), "classes", owner)
     firsts = signed.select("node", "bands", "signature").join(named.select("node"), "node", "left_semi")
     firsts = materialize(firsts, "firsts", owner)
     signatures = firsts.select("node", "signature")
@@ -304,35 +317,37 @@ def near_duplicates(
     centre = F.max_by("node", F.struct("degree", -F.col("node"))).alias("centre")
     pairs = buckets.join(buckets.groupBy("band").agg(centre), "band").filter("node <> centre")
     pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    for turn in range(2):
+    for turn in range(3):
         if turn:
             members = buckets.join(labels, "node")
             split = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
             rest = members.join(split.filter("lo <> hi").select("band"), "band", "left_semi").select("band", "node", "component")
             rest = materialize(rest, "rest", owner)
-            pairs = _tiled(rest, named, docs, key, text, shingle_words, percent / 100, hasher)
-        agreeing = pairs if turn else _agreeing(pairs, signatures)
-        agreeing = materialize(agreeing.distinct(), "agreeing", owner)
+            pairs = _tiled(rest, named, docs, key, text, shingle_words, percent / 100, hasher, turn == 1)
+            agreeing = pairs.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"))
+        else:
+            agreeing = _agreeing(pairs, signatures).distinct().withColumn("sure", F.lit(False))
+        agreeing = materialize(agreeing, "agreeing", owner)
         if agreeing.isEmpty():
             continue
-        links = _confirmed(agreeing, named, docs, key, text, shingle_words, percent)
+        links = materialize(_confirmed(agreeing.select("a", "b"), named, docs, key, text, shingle_words, percent), "links", owner)
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("u")), "a")
         ends = ends.join(labels.select(F.col("node").alias("b"), F.col("component").alias("v")), "b")
         merged = connected_components(ends.select("u", "v"), owner).select(F.col("node").alias("component"), F.col("component").alias("_new"))
-        joined = labels.join(merged, "component", "left")
-        labels = materialize(joined.select("node", F.coalesce("_new", "component").alias("component")), "labels", owner)
-
-    placed = named.select("class", "node").join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    rows_of = signed.select("node", "key", "class", "n_shingles").join(placed, "class", "left")
-    rows_of = rows_of.withColumn("component", F.coalesce("component", "node"))
-    first = F.min(F.struct(F.col("key").isNull().alias("missing"), "key", "node")).alias("first")
-    firsts_of = rows_of.groupBy("component").agg(first)
-    return rows_of.join(firsts_of, "component").select(
-        F.col("key").alias(key),
-        F.col("n_shingles"),
-        F.col("first.key").alias("component_id"),
-        (F.col("node") == F.col("first.node")).alias("kept"),
-    )
+        merged = merged.join(labels.groupBy("component").agg(F.count("*").alias("n")), "component")
+        joined = _joined_hot(labels, merged, "component").select("node", F.col("_new").alias("component"))
+        labels = materialize(joined.union(labels.join(merged, "component", "left_anti").select("node", "component")), "labels", owner)
+        if turn == 1 and agreeing.filter("sure").join(links, ["a", "b"], "left_anti").isEmpty():
+            break  # else what was left out for a sure pair that is no link is compared as well
+
+    placed = named.select("class", "node", "n", "first").join(labels, "node", "left")
+    placed = materialize(placed.select("class", "n", "first", F.coalesce("component", "node").alias("component")), "placed", owner)
+    heads = placed.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("n"))
+    classes = materialize(_joined_hot(placed.select("class", F.col("n").alias("rows"), "component"), heads, "component").select("class", F.col("rows").alias("n"), "head"), "heads", owner)
+    rows_of = signed.select("node", "key", "class", "n_shingles")
+    judged = _joined_hot(rows_of, classes, "class").select("key", "n_shingles", F.col("head.key").alias("component_id"), (F.col("node") == F.col("head.node")).alias("kept"))
+    alone = rows_of.filter("class is null").select("key", "n_shingles", F.col("key").alias("component_id"), F.lit(True).alias("kept"))
+    return judged.union(alone).withColumnRenamed("key", key)
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
