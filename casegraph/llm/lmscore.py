@@ -37,8 +37,10 @@ from casegraph.llm.scratch import materialize
 from casegraph.llm.text import mix64, word_hashes
 
 #: Tokens of a block, and those for which there is one part of the key space.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 17
 PART_TOKENS = 1 << 19
+#: Bytes of a key within its part.
+KEY_BYTES = 6
 #: Shares of the word model in the bigram model, and of the uniform one in the word model.
 #: They are the same for both models, so that the smaller one is no kinder to what is new.
 WORD_SHARE, UNIFORM_SHARE = 0.5, 0.1
@@ -56,6 +58,17 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.empty(0, np.int64)
 
 
+def _short(keys: np.ndarray) -> bytes:
+    """The low bytes of keys; their part stands for some more of their bits."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64)[:, 0]
+
+
 class Block:
     """Documents of a block: distinct words (the bound first), and bigrams in text order.
 
@@ -91,7 +104,7 @@ class Block:
 
 def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Parts of the key space with the places of their keys, in order of the key."""
-    part = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    part = ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((keys, part))
     edges = np.flatnonzero(np.diff(part[order])) + 1
     for places in np.split(order, edges):
@@ -113,7 +126,7 @@ def _blocks(texts: DataFrame, key_type: T.DataType, block_tokens: int) -> DataFr
             sizes = np.array([len(x) for x in hashes], np.int64)
             words, tokens = np.unique(np.concatenate([np.zeros(1, np.uint64), *hashes]), return_inverse=True)
             events = np.where(sizes > 0, sizes + 1, 0)
-            row = [[number], [list(keys)], [sizes.tolist()], [list(good)], [words.tobytes()], [tokens[1:].astype(np.uint32).tobytes()], [int(events.sum())], [int(events[np.array(good, bool)].sum())]]
+            row = [[number], [list(keys)], [sizes.tolist()], [list(good)], [words.tobytes()], [_narrow(tokens[1:])], [int(events.sum())], [int(events[np.array(good, bool)].sum())]]
             kinds = [pa.int64(), pa.list_(arrow_key), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[f.name for f in fields])
 
@@ -135,8 +148,8 @@ def _blocks(texts: DataFrame, key_type: T.DataType, block_tokens: int) -> DataFr
 
 def _read(row: dict) -> tuple[Block, np.ndarray]:
     words = np.frombuffer(row["words"], np.uint64)
-    tokens = np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
-    return Block(words, tokens, np.array(row["sizes"], np.int64)), np.array(row["good"], bool)
+    sizes = np.array(row["sizes"], np.int64)
+    return Block(words, _wide(row["tokens"], int(sizes.sum())), sizes), np.array(row["good"], bool)
 
 
 def _asked(blocks: DataFrame, parts: int) -> DataFrame:
@@ -150,7 +163,7 @@ def _asked(blocks: DataFrame, parts: int) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 block, good = _read(row)
                 keys, every, target = block.keys(), block.counts(np.ones(len(good), bool)), block.counts(good)
-                rows = [(part, row["block"], len(at), keys[at].tobytes(), _narrow(every[at]), _narrow(target[at])) for part, at in _by_part(keys, parts)]
+                rows = [(part, row["block"], len(at), _short(keys[at]), _narrow(every[at]), _narrow(target[at])) for part, at in _by_part(keys, parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return blocks.select("block", "sizes", "good", "words", "tokens").mapInArrow(ask, "part int, block long, n long, keys binary, every binary, good binary")
@@ -160,7 +173,7 @@ def _answered(asked: DataFrame) -> DataFrame:
     """For each row of :func:`_asked` the counts over all blocks, and once a part its number of words."""
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:  # about PART_TOKENS keys
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group["keys"]])
+        keys = np.concatenate([_long(x) for x in group["keys"]])
         distinct, which = np.unique(keys, return_inverse=True)
         sums = []
         for name in ("every", "good"):
@@ -220,7 +233,8 @@ def score_documents(
     models.  Repeated rows count as often as they stand, so copies know each other; null
     keys and rows without label are background only.  Without any target the target model
     knows the number of words alone and is uniform.  An empty table gives an empty table;
-    other columns go.  Words and bigrams are told apart by 63-bit hashes.
+    other columns go.  Words and bigrams are told apart by their part and ``8 * KEY_BYTES``
+    bits of a hash.
     """
     greatest = labels.groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
     target = materialize(greatest.filter("label = 1 and key is not null").select("key", F.lit(True).alias("good")), "target", owner)
