@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph.llm.components import connected_components
+from casegraph.llm.hot import joined_hot
+from casegraph.llm.memory import trim, trimmed
 from casegraph.llm.scratch import materialize
 from casegraph.llm.text import mix64, shingle_hashes, word_hashes
 
@@ -95,7 +97,7 @@ def _signed_rows(docs: DataFrame, key: str, text: str, size: int, hasher: MinHas
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields]).astype({"key": batch["key"].dtype})
 
     selected = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
-    return selected.mapInPandas(signed, schema)
+    return selected.mapInPandas(trimmed(signed), schema)
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -199,7 +201,7 @@ def _tiled(rest: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text:
             yield pd.DataFrame(rows, columns=["class", "bands", "signature"])
 
     texts, wanted = _texts_of(rest.select("node").distinct(), classes, docs, key, text)
-    found = texts.mapInPandas(signed, "class binary, bands array<long>, signature binary").join(wanted.select("node", "class"), "class")
+    found = texts.mapInPandas(trimmed(signed), "class binary, bands array<long>, signature binary").join(wanted.select("node", "class"), "class")
     found = found.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     held = rest.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = held.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("mates"))
@@ -232,7 +234,7 @@ def _tiled(rest: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text:
             )
             yield pd.DataFrame(pairs, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": "bool"})
 
-    return spread.mapInPandas(compared, "a long, b long, sure boolean")
+    return spread.mapInPandas(trimmed(compared), "a long, b long, sure boolean")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -245,7 +247,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
             rows = [(own, found.tobytes()) for own, found in (shingle_set(x, size) for x in batch["text"]) if own]
             yield pd.DataFrame(rows, columns=["class", "shingles"])
 
-    found = texts.mapInPandas(sets, "class binary, shingles binary").join(wanted.select("node", "class"), "class")
+    found = texts.mapInPandas(trimmed(sets), "class binary, shingles binary").join(wanted.select("node", "class"), "class")
     found = found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
     @F.pandas_udf("boolean")
@@ -255,6 +257,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
             one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             common = len(np.intersect1d(one, two, assume_unique=True))
             out.append(100 * common >= percent * (len(one) + len(two) - common))
+        trim()
         return pd.Series(out)
 
     one = found.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -262,18 +265,6 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     return pairs.join(one, "a").join(two, "b").filter(similar("sa", "sb")).select("a", "b")
 
 
-def _joined_hot(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    """``rows`` joined with ``table``, which has a row and the number ``n`` of rows for each key.
-
-    Keys that hold more than a thousandth of all rows, of which there can be a thousand at
-    most, are broadcast, so that none of them goes to one task.
-    """
-    limit = max(1000, (table.agg(F.sum("n")).first()[0] or 0) // 1000)
-    hot = F.broadcast(table.filter(F.col("n") > limit).drop("n"))
-    rest = rows.join(F.broadcast(table.filter(F.col("n") > limit).select(on)), on, "left_anti")
-    return rows.join(hot, on).unionByName(rest.join(table.filter(F.col("n") <= limit).drop("n"), on))
-
-
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -334,18 +325,18 @@ def near_duplicates(
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("u")), "a")
         ends = ends.join(labels.select(F.col("node").alias("b"), F.col("component").alias("v")), "b")
         merged = connected_components(ends.select("u", "v"), owner).select(F.col("node").alias("component"), F.col("component").alias("_new"))
-        merged = merged.join(labels.groupBy("component").agg(F.count("*").alias("n")), "component")
-        joined = _joined_hot(labels, merged, "component").select("node", F.col("_new").alias("component"))
+        merged = materialize(merged.join(labels.groupBy("component").agg(F.count("*").alias("n")), "component"), "merged", owner)
+        joined = joined_hot(labels, merged, ["component"]).select("node", F.col("_new").alias("component"))
         labels = materialize(joined.union(labels.join(merged, "component", "left_anti").select("node", "component")), "labels", owner)
         if turn == 1 and agreeing.filter("sure").join(links, ["a", "b"], "left_anti").isEmpty():
             break  # else what was left out for a sure pair that is no link is compared as well
 
     placed = named.select("class", "node", "n", "first").join(labels, "node", "left")
     placed = materialize(placed.select("class", "n", "first", F.coalesce("component", "node").alias("component")), "placed", owner)
-    heads = placed.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("n"))
-    classes = materialize(_joined_hot(placed.select("class", F.col("n").alias("rows"), "component"), heads, "component").select("class", F.col("rows").alias("n"), "head"), "heads", owner)
+    heads = materialize(placed.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("n")), "component-heads", owner)
+    classes = materialize(joined_hot(placed.select("class", F.col("n").alias("rows"), "component"), heads, ["component"]).select("class", F.col("rows").alias("n"), "head"), "heads", owner)
     rows_of = signed.select("node", "key", "class", "n_shingles")
-    judged = _joined_hot(rows_of, classes, "class").select("key", "n_shingles", F.col("head.key").alias("component_id"), (F.col("node") == F.col("head.node")).alias("kept"))
+    judged = joined_hot(rows_of, classes, ["class"]).select("key", "n_shingles", F.col("head.key").alias("component_id"), (F.col("node") == F.col("head.node")).alias("kept"))
     alone = rows_of.filter("class is null").select("key", "n_shingles", F.col("key").alias("component_id"), F.lit(True).alias("kept"))
     return judged.union(alone).withColumnRenamed("key", key)
 

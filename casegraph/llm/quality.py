@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph.llm.columns import packed, unpacked
+from casegraph.llm.memory import trim, trimmed
 from casegraph.llm.scratch import materialize
 from casegraph.llm.text import shingle_hashes, word_hashes
 
@@ -110,7 +111,7 @@ def frequent_lines(docs: DataFrame, text: str, host: str, min_texts: int, host_p
             yield pd.DataFrame({"host": hosts, "line_key": keys, "text_key": texts}).astype({"line_key": "int64", "text_key": "int64"})
 
     selected = docs.select(F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    held = selected.mapInPandas(lines, schema)
+    held = selected.mapInPandas(trimmed(lines), schema)
     per_line = held.groupBy("line_key").agg(F.countDistinct("text_key").alias("texts"), F.first("host").alias("host"))
     filled = selected.filter(F.length("text") > 0).select("host", F.xxhash64("text").alias("text_key"))
     per_host = filled.groupBy("host").agg(F.countDistinct("text_key").alias("host_texts"))
@@ -135,7 +136,7 @@ def _with_removed(docs: DataFrame, lines: DataFrame, text: str, host: str) -> Da
 
     rows = docs.select(packed(docs).alias("_row"), F.xxhash64(text, F.octet_length(text)).alias("text_key"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
     texts = rows.select("text_key", "host", "text")
-    found = texts.mapInPandas(numbered, schema).join(lines, "line_key", "left_semi")
+    found = texts.mapInPandas(trimmed(numbered), schema).join(lines, "line_key", "left_semi")
     removed = found.groupBy("text_key", "host").agg(F.collect_set("line_no").alias("_removed"))
     same = (rows["text_key"] == removed["text_key"]) & rows["host"].eqNullSafe(removed["host"])
     return rows.join(removed, same, "left").select("_row", "_removed")
@@ -195,6 +196,7 @@ def apply_quality_rules(
                 left = len(clean.encode().split())
             depleted = bool(drop) and 100 * left < min_left_percent * found[0]
             rows.append((*found, failed, left, clean, not failed and not depleted))
+        trim()
         return pd.DataFrame(rows, columns=[n for n, _ in added])
 
     judged = judged.asNondeterministic()  # else a filter on a verdict would judge every text once more
