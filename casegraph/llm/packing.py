@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casegraph.llm.hot import hot_limit
+from casegraph.llm.memory import trimmed
 from casegraph.llm.scratch import materialize
 
 RANK_BLOCKS = 1024
-CACHED_WORDS = 800_000
+CACHED_WORDS = 200_000
 
 
 _MARKS = b"!#$%&*+,-./:;<=>?@^_`|~"
@@ -174,17 +176,23 @@ def pack_documents(
             yield pd.DataFrame(rows, columns=[f.name for f in fields]).astype({"key": batch["key"].dtype})
 
     selected = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    pieces = materialize(selected.mapInPandas(tokenized, T.StructType(fields)), "pieces", owner)
+    numbered = selected.mapInPandas(trimmed(tokenized), T.StructType(fields)).withColumn("_no", F.monotonically_increasing_id())
+    pieces = materialize(numbered, "pieces", owner)
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # max_tokens rows at most
     places = _places(shortest_pack_first(histogram, max_tokens))
 
     block = F.pmod(F.xxhash64("key", "start", "ids_crc32"), F.lit(RANK_BLOCKS)).cast("int")
     blocked = pieces.withColumn("_block", block)
-    counts = blocked.groupBy("length", "_block").count()  # at most max_tokens * RANK_BLOCKS rows
-    earlier = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "_block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_block").orderBy("key", "start", "ids_crc32", "doc_tokens")
-    ranked = blocked.join(counts, ["length", "_block"]).withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1)
+    sizes = materialize(blocked.groupBy("length", "_block").agg(F.count("*").alias("n")), "sizes", owner)
+    limit = hot_limit(sizes)  # repeated rows share a block; those of a hot one are dealt out by their number
+    hot = F.broadcast(sizes.filter(F.col("n") > limit).select("length", "_block", F.lit(True).alias("_hot")))
+    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64("_no"), F.lit(RANK_BLOCKS))).otherwise(0).cast("int")
+    blocked = blocked.join(hot, ["length", "_block"], "left").withColumn("_spread", spread).drop("_hot")
+    counts = blocked.groupBy("length", "_block", "_spread").count()  # at most (max_tokens + MOST_KEYS) * RANK_BLOCKS rows
+    earlier = Window.partitionBy("length").orderBy("_block", "_spread").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("length", "_block", "_spread", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("length", "_block", "_spread").orderBy("key", "start", "ids_crc32", "doc_tokens")
+    ranked = blocked.join(counts, ["length", "_block", "_spread"]).withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1)
 
     shared = docs.sparkSession.sparkContext.broadcast(places)
     where = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
