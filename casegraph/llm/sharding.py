@@ -22,28 +22,35 @@ def text_bytes(text: str) -> Column:
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1
 
 
-def _scattered(rows: DataFrame, key: str, text: str, seed: int, buckets: int) -> DataFrame:
-    place = F.xxhash64(F.lit(seed), F.col("_row")[key], F.col("_row")[text], F.col("_copy"))
+def _scattered(rows: DataFrame, seed: int, buckets: int) -> DataFrame:
+    place = F.xxhash64(F.lit(seed), F.col("_row"), F.col("_copy"))
     return rows.withColumn("_place", place).withColumn("_bucket", F.pmod("_place", F.lit(buckets)).cast("int"))
 
 
+def _counted(rows: DataFrame, buckets: int) -> np.ndarray:
+    """Rows of each bucket, 16 bytes a bucket on the driver."""
+    table = rows.groupBy("_bucket").count().toArrow()
+    sizes = np.zeros(buckets, np.int64)
+    sizes[table["_bucket"].to_numpy()] = table["count"].to_numpy()
+    return sizes
+
+
 def shard_documents(
     docs: DataFrame,
     n_shards: int = 8,
     *,
-    key: str = "doc_id",
     text: str = "text",
     seed: int = 17,
     bucket_bytes: int = 32 << 20,
-    max_buckets: int = 1 << 19,
+    max_buckets: int = 1 << 22,
     max_partitions: int = 20_000,
 ) -> DataFrame:
     """Every row of ``docs`` with ``shard`` (0..n_shards-1) and ``slot`` (its place there).
 
     Shards are filled to counts that differ by one at most; slots are gapless from 0.
     The result is a function of the rows, ``seed`` and the bucket count alone.  Beyond
-    ``max_buckets`` buckets grow instead of becoming more, so that their counts, which go
-    to the driver and are broadcast, stay bounded (8 MB at the default).
+    ``max_buckets`` (128 TB at the defaults) buckets grow instead of becoming more, so that
+    their counts, which go to the driver as Arrow and are broadcast, stay bounded.
 
     Nulls in any column are carried along; a null text counts 1 byte.  Rows alike in
     every column are told apart by a copy number once their bucket is overfull, so a
@@ -54,22 +61,21 @@ def shard_documents(
     n, total = docs.agg(F.count("*"), F.sum(text_bytes(text))).first()
     buckets = max(1, min(max_buckets, math.ceil((total or 0) / bucket_bytes)))
     partitions = min(buckets, max_partitions)
-    rows = _scattered(docs.select(packed(docs).alias("_row"), F.lit(0).cast("long").alias("_copy")), key, text, seed, buckets)
-    counts = {r[0]: r[1] for r in rows.groupBy("_bucket").count().collect()}
-    overfull = [b for b, c in counts.items() if c > 4 * n / buckets + 1000]
+    rows = _scattered(docs.select(packed(docs).alias("_row"), F.lit(0).cast("long").alias("_copy")), seed, buckets)
+    sizes = _counted(rows, buckets)
+    overfull = np.flatnonzero(sizes > 4 * n / buckets + 1000).tolist()  # few: above four times the mean
     if overfull:
         copies = rows.filter(F.col("_bucket").isin(overfull)).groupBy("_row").agg(F.count("*").alias("_n"))
         copies = copies.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy"))
         rest = rows.filter(~F.col("_bucket").isin(overfull)).select("_row", "_copy", "_place", "_bucket")
-        rows = rest.union(_scattered(copies, key, text, seed, buckets))
-        counts = {r[0]: r[1] for r in rows.groupBy("_bucket").count().collect()}
-    sizes = np.array([counts.get(b, 0) for b in range(buckets)], np.int64)
+        rows = rest.union(_scattered(copies, seed, buckets))
+        sizes = _counted(rows, buckets)
     bases = np.cumsum(sizes) - sizes
     spark = docs.sparkSession
     ids = np.arange(buckets, dtype=np.int64)
     table = spark.createDataFrame(pa.table({"_bucket": ids.astype(np.int32), "_base": bases, "_part": (ids * partitions // buckets).astype(np.int32)}))
     arrays = (
-        rows.join(F.broadcast(table), "_bucket")  # at most max_buckets rows of 16 bytes
+        rows.join(F.broadcast(table), "_bucket")  # at most max_buckets rows of 20 bytes
         .repartitionById(partitions, F.col("_part"))
         .sortWithinPartitions("_bucket", "_place")
         .groupBy("_part", "_bucket", "_base")
