@@ -5,9 +5,10 @@ The documents of a source, in the order of a seeded hash, form a stream that may
 source has sent by then over its target.  All streams are sorted together by that time
 and truncated where the budget is spent, which leaves each source near its target.
 
-Running totals are taken in two levels, over hash blocks of a source and within a block,
-and again over ranges of the finish time and within a range, so that no task holds a
-source.
+Rows are measured once and written.  Running totals are taken in two levels, over hash
+blocks of a source and within a block, and again over ranges of the finish time and within
+a range, so that no task holds a source; a hot key is cut into blocks of its own.  One
+task sees a row for each source.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegraph.llm.columns import packed, unpacked
+from casegraph.llm.hot import LEAST_ROWS, MOST_KEYS
+from casegraph.llm.scratch import materialize
 from casegraph.llm.text import n_words
 
-HASH_BLOCKS = 4096
 TIME_RANGES = 4096
 
 
@@ -41,22 +43,45 @@ def _targets(per_source: DataFrame, weights: tuple, budget_share: float, max_rep
     return leveled.withColumn("target", F.least(F.col("cap").cast("double"), share)).drop("_level", "cap")
 
 
-def _finish_times(
-    docs: DataFrame, key: str, text: str, source: str, weights: tuple, budget_share: float, max_repeats: int, seed: int
-) -> tuple[DataFrame, DataFrame]:
-    """Each row with its hash order and the words its source has sent up to it; the sources."""
+def _measured(docs: DataFrame, key: str, text: str, source: str, seed: int, owner: str) -> DataFrame:
+    """Each row with its size, its place in the order of hashes and its number, written once."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")).cast("string")).cast("binary"))
+    name = F.col(source).cast("string")
     base = docs.select(
         packed(docs).alias("_row"),
-        F.col(source).cast("string").alias("source"),
+        F.when(name.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), name)).alias("_source"),
         F.col(key).alias("_key"),
         n_words(F.col(text)).alias("_size"),
         order.alias("_order"),
         F.xxhash64(key, text).alias("_tie"),
     )
-    named = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
-    base = base.withColumn("_source", named).drop("source")
-    base = base.withColumn("_block", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
+    return materialize(base.withColumn("_no", F.monotonically_increasing_id()), "measured", owner)
+
+
+def _blocked(base: DataFrame) -> DataFrame:
+    """The rows with the block of the order that each is in.
+
+    Blocks are ranges of the order, but rows of a hot key follow at the end of their range
+    by ranges of their tie, and rows that are hot in key and text by ranges of their number.
+    """
+    names = ["_source", "_order"]
+    keys = base.groupBy(*names).agg(F.count("*").alias("n"))
+    total = base.agg(F.count("*")).first()[0]
+    limit = max(LEAST_ROWS, total // MOST_KEYS)
+    hot = keys.filter(F.col("n") > limit).select(*names, F.lit(True).alias("_hot"))
+    same = base.join(F.broadcast(hot), names, "left_semi").groupBy(*names, "_tie").agg(F.count("*").alias("n"))
+    alike = same.filter(F.col("n") > limit).select(*names, "_tie", F.lit(True).alias("_alike"))
+    marked = base.join(F.broadcast(hot), names, "left").join(F.broadcast(alike), [*names, "_tie"], "left")
+    digits = lambda c, n: F.substring(F.hex(c), -n, n)
+    tie = F.lpad(F.hex("_tie"), 16, "0")
+    ranges = F.when(F.col("_alike"), F.concat(tie, F.lit("~"), F.lpad(digits(F.xxhash64("_no"), 2), 2, "0"))).otherwise(F.substring(tie, 1, 2))
+    block = F.concat(F.substring("_order", 1, 3), F.when(F.col("_hot"), F.concat(F.lit("~"), "_order", ranges)).otherwise(""))
+    return marked.withColumn("_block", block).drop("_hot", "_alike")
+
+
+def _finish_times(base: DataFrame, weights: tuple, budget_share: float, max_repeats: int) -> tuple[DataFrame, DataFrame]:
+    """Each row with the words its source has sent up to it; the sources."""
+    base = _blocked(base)
     blocks = base.groupBy("_source", "_block").agg(F.sum("_size").alias("_words"), F.max("_size").alias("_longest"))
     per_source = blocks.groupBy("_source").agg(F.sum("_words").alias("source_size"), F.max("_longest").alias("longest"))
     per_source = per_source.withColumn("source", F.when(F.col("_source") != "-", F.substring("_source", 2, 2**31 - 1)))
@@ -100,6 +125,7 @@ def mix_documents(
     budget_share: float = 1.0,
     max_repeats: int = 3,
     seed: int = 11,
+    owner: str = "query",
 ) -> DataFrame:
     """Every row with its ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``.
 
@@ -110,11 +136,12 @@ def mix_documents(
 
     A null source is a source; a null or blank text has no words and is never taken; rows
     of a source without words have target 0.  Ties in the order fall to key, size and a
-    hash of the text; rows alike in all of these are interchangeable.  Reruns agree.  An
+    hash of the text, rows of a key with more than a thousandth of all rows come last in
+    their block; rows alike in all of these are interchangeable.  Reruns agree.  An
     empty table gives an empty table.  Input columns named ``mix_...`` are replaced.
     """
     names = docs.columns
-    timed, targets = _finish_times(docs, key, text, source, weights, budget_share, max_repeats, seed)
+    timed, targets = _finish_times(_measured(docs, key, text, source, seed, owner), weights, budget_share, max_repeats)
     budget, longest = targets.agg(F.max("budget"), F.sum("longest")).first()
     cut = None
     if budget:
