@@ -2,8 +2,8 @@
 
 A rolling hash over the hashes of neighbouring lines picks chunk bounds, so that a passage
 is cut alike wherever it stands.  Chunks are counted over all documents by 128-bit hash;
-of a repeated chunk all but the first occurrence are removed, after their bytes have been
-compared with the first's.
+of a repeated chunk of several lines all but the first occurrence are removed, after their
+bytes have been compared with the first's.
 
 The lines at a passage's edges share chunks with other lines, and so does the whole of a
 short passage.  Therefore the shortest windows of lines with enough words are counted as
@@ -13,7 +13,8 @@ by 128-bit BLAKE2b digests of their lines' digests.
 
 What is shuffled is a row of numbers for each chunk and each window, and the bytes of
 repeated chunks.  The lists of repeated chunks and windows are broadcast to the documents
-while they are short, and joined to them by row beyond that.
+while they are short, and joined to them by row beyond that.  Chunks and windows that very
+many documents hold meet their first place in a broadcast and not in one task.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.llm.columns import packed, unpacked
+from casegraph.llm.hot import joined_hot
+from casegraph.llm.memory import trim, trimmed
 from casegraph.llm.scratch import materialize
 
 #: One line pair in this many ends a chunk.
@@ -35,7 +38,7 @@ BOUND_EVERY = 2
 LONG_LINE_WORDS = 50
 #: Shorter chunks are never removed.
 MIN_CHUNK_WORDS = 8
-#: A run of lines with so many words is a passage.
+#: A run of lines with so many words, be it one line, is a passage.
 PASSAGE_WORDS = 50
 _MASK = (1 << 64) - 1
 _FACTOR = 0x9E3779B97F4A7C15
@@ -59,9 +62,8 @@ def chunks(lines: list[str]) -> list[tuple[int, int]]:
 
 
 def removable(lines: list[str], start: int, end: int) -> bool:
-    """Whether a chunk may be removed: several lines, or a long one, with words enough."""
-    words = sum(len(x.encode().split()) for x in lines[start:end])
-    return words >= (MIN_CHUNK_WORDS if end - start > 1 else LONG_LINE_WORDS)
+    """Whether a chunk may be removed: several lines with words enough."""
+    return end - start > 1 and sum(len(x.encode().split()) for x in lines[start:end]) >= MIN_CHUNK_WORDS
 
 
 def windows(n_words: list[int], least: int = PASSAGE_WORDS) -> list[tuple[int, int]]:
@@ -102,7 +104,7 @@ def _with_passages(chunks: list | None, passages: list | None) -> list[dict]:
 
     Of the windows over a line the first one names the key.
     """
-    out = [{"start": x["start"], "end": x["end"], "first_key": x["first_key"]} for x in (() if chunks is None else chunks)]
+    out = [{"start": x["start"], "end": x["end"], "first_key": x["first_key"], "kind": "chunk"} for x in (() if chunks is None else chunks)]
     done = {i for x in out for i in range(x["start"], x["end"])}
     run = None
     for x in sorted(() if passages is None else passages, key=lambda x: (x["start"], x["end"])):
@@ -113,7 +115,7 @@ def _with_passages(chunks: list | None, passages: list | None) -> list[dict]:
             if run and run["end"] == i and run["first_key"] == x["first_key"]:
                 run["end"] = i + 1
             else:
-                run = {"start": i, "end": i + 1, "first_key": x["first_key"]}
+                run = {"start": i, "end": i + 1, "first_key": x["first_key"], "kind": "passage"}
                 out.append(run)
     return sorted(out, key=lambda x: x["start"])
 
@@ -133,13 +135,11 @@ def _repeated_windows(selected: DataFrame, least: int, owner: str) -> DataFrame:
             yield out.astype({"_key": batch["_key"].dtype}) if len(out) else out
 
     key_type = selected.schema["_key"].dataType.simpleString()
-    every = selected.mapInPandas(found, f"_a long, _b long, _key {key_type}, start int, end int, h1 long, h2 long")
+    every = selected.mapInPandas(trimmed(found), f"_a long, _b long, _key {key_type}, start int, end int, h1 long, h2 long")
     every = materialize(every, "windows", owner)
-    several = every.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    places = materialize(every.join(several, ["h1", "h2"], "left_semi"), "window-places", owner)
     order = F.struct("_key", "_b", "start", "_a", "end")
-    first = places.groupBy("h1", "h2").agg(F.min(order).alias("_first"))
-    later = places.join(first, ["h1", "h2"]).filter(order != F.col("_first"))
+    first = every.groupBy("h1", "h2").agg(F.min(order).alias("_first"), F.count("*").alias("n")).filter("n > 1")
+    later = joined_hot(every, materialize(first, "first-windows", owner), ["h1", "h2"]).filter(order != F.col("_first"))
     own = (F.col("_a") == F.col("_first._a")) & (F.col("_b") == F.col("_first._b"))
     start = F.when(own, F.greatest("start", "_first.end")).otherwise(F.col("start")).alias("start")
     later = later.select("_a", "_b", start, "end", F.col("_first._key").alias("first_key")).filter("start < end")
@@ -159,15 +159,15 @@ def dedup_lines(
     *,
     key: str = "doc_id",
     text: str = "text",
-    max_shared: int = 1_000_000,
+    max_shared: int = 250_000,
     passage_words: int | None = PASSAGE_WORDS,
     owner: str = "query",
 ) -> DataFrame:
     """Every row with ``clean_text``, its text without repeated chunks, and what was removed.
 
-    ``removed`` has for each removed chunk ``start``, ``end`` (lines, end exclusive) and
+    ``removed`` has for each removed chunk ``start``, ``end`` (lines, end exclusive),
     ``first_key``, the key of the document that keeps it: the least key, then the first
-    place.  Repetitions within a text count as well.  Chunks are removed whole; lines are
+    place, and ``kind`` (chunk or passage).  Repetitions within a text count as well.  Chunks are removed whole; lines are
     split at "\\n" and joined again.  Then the other lines go that stand in a run of lines
     with ``passage_words`` words or more which stands at an earlier place as well (None for
     chunks only); they are listed by runs of one ``first_key``.  Blank lines around such a
@@ -176,7 +176,8 @@ def dedup_lines(
     A null or empty text stays as it is.  Null keys sort first.  Rows alike in key and text
     are one document and keep the same chunks.  An empty table gives an empty table.
     Input columns of the added names are replaced.  ``max_shared`` is the number of
-    repeated chunks up to which their places are broadcast (40 bytes each).
+    places of repeated chunks and windows up to which they are broadcast (64 bytes each,
+    16 MB at the default).
     """
     names = docs.columns
     row = (F.xxhash64(key, text).alias("_a"), F.xxhash64(text, key, F.octet_length(text)).alias("_b"))
@@ -194,11 +195,10 @@ def dedup_lines(
                         rows.append((a, b, start, _signed(h >> 64), _signed(h & _MASK)))
             yield pd.DataFrame(rows, columns=["_a", "_b", "at", "h1", "h2"]).astype({"_a": "int64", "_b": "int64", "at": "int32", "h1": "int64", "h2": "int64"})
 
-    found = selected.select("_a", "_b", "_text").mapInPandas(hashed, schema)
+    found = selected.select("_a", "_b", "_text").mapInPandas(trimmed(hashed), schema)
     keyed = materialize(found, "chunks", owner)
-    repeated = keyed.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    places = keyed.join(repeated, ["h1", "h2"], "left_semi")
-    places = materialize(places, "places", owner)
+    repeated = materialize(keyed.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1"), "repeated", owner)
+    places = materialize(joined_hot(keyed, repeated, ["h1", "h2"]), "places", owner)
     n = places.count()
     lists = places.groupBy("_a", "_b").agg(F.collect_list(F.struct("at", "h1", "h2")).alias("_list"))
     with_lists = _joined_by_row(selected, lists, n, max_shared, "inner")
@@ -216,14 +216,13 @@ def dedup_lines(
             out = pd.DataFrame(rows, columns=["_a", "_b", "_key", "at", "end", "h1", "h2", "bytes"])
             yield out.astype({"_key": batch["_key"].dtype}) if len(out) else out
 
-    texts = with_lists.mapInPandas(cut_out, f"_a long, _b long, _key {key_type}, at int, end int, h1 long, h2 long, bytes binary")
+    texts = with_lists.mapInPandas(trimmed(cut_out), f"_a long, _b long, _key {key_type}, at int, end int, h1 long, h2 long, bytes binary")
     texts = materialize(texts, "texts", owner)
     order = F.struct(F.col("_key"), F.col("_b"), F.col("at"))
-    first = texts.groupBy("h1", "h2").agg(F.min(order).alias("_first"))
-    leading = texts.join(first, ["h1", "h2"]).filter(order == F.col("_first"))
-    leading = leading.groupBy("h1", "h2").agg(F.first("_first").alias("_first"), F.first("bytes").alias("_bytes"))
-    gone = texts.join(leading, ["h1", "h2"]).filter((order != F.col("_first")) & (F.col("bytes") == F.col("_bytes")))
-    gone = gone.select("_a", "_b", F.struct(F.col("at").alias("start"), "end", F.col("_first._key").alias("first_key")).alias("_gone"))
+    leading = texts.groupBy("h1", "h2").agg(F.min(order).alias("_first"), F.min_by("bytes", order).alias("_bytes"), F.count("*").alias("n"))
+    gone = joined_hot(texts, materialize(leading, "leading", owner), ["h1", "h2"])
+    gone = gone.filter((order != F.col("_first")) & (F.col("bytes") == F.col("_bytes")))
+    gone = gone.select("_a", "_b", F.struct(F.col("at").alias("start"), "end", F.col("_first._key").alias("first_key"), F.lit("chunk").alias("kind")).alias("_gone"))
     gone = materialize(gone.distinct(), "gone", owner)
     removed = gone.groupBy("_a", "_b").agg(F.sort_array(F.collect_list("_gone")).alias("_removed"))
     if passage_words is not None:
@@ -249,23 +248,25 @@ def dedup_lines(
                 drop = {i for place in own for i in range(place["start"], place["end"])}
                 x = "\n".join(line for i, line in enumerate(lines) if i not in drop)
             out.append(x)
+        trim()
         return pd.Series(out, dtype=object)
 
     cleaned = cleaned.asNondeterministic()  # else a filter on the clean text would clean every text once more
     body = F.col("_row")[text]
     clean = F.when(F.col("_removed").isNull(), body).otherwise(cleaned(F.when(F.col("_removed").isNotNull(), body), "_removed"))
-    empty = F.array().cast(f"array<struct<start:int,end:int,first_key:{key_type}>>")
+    empty = F.array().cast(f"array<struct<start:int,end:int,first_key:{key_type},kind:string>>")
     return unpacked(final, "_row", names, clean_text=clean, removed=F.coalesce("_removed", empty))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents without repeated chunks, with the chunks that were removed."""
+    """All documents without repeated chunks and passages, with what was removed."""
     deduped = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     lines = F.transform("removed", lambda x: x["end"] - x["start"])
     return deduped.select(
         "doc_id",
         F.col("clean_text").alias("text"),
-        F.size("removed").cast("long").alias("n_removed_chunks"),
+        F.size(F.filter("removed", lambda x: x["kind"] == "chunk")).cast("long").alias("n_removed_chunks"),
+        F.size(F.filter("removed", lambda x: x["kind"] == "passage")).cast("long").alias("n_removed_passages"),
         F.aggregate(lines, F.lit(0), lambda a, x: a + x).cast("long").alias("n_removed_lines"),
         F.transform("removed", lambda x: x["first_key"]).alias("first_doc_ids"),
     )
