@@ -24,6 +24,8 @@ from casegraph.llm.text import mix64, shingle_hashes, word_hashes
 BITS = 128
 TERM_WORDS = 5
 _RUN = 4096
+#: Ranges of the key, at most: beyond that they grow, and are streamed in order.
+MAX_BLOCKS = 20_000
 
 
 def simhash(text: str) -> bytes:
@@ -51,7 +53,7 @@ def edited(text: str, following: str) -> str:
 def _blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> tuple[np.ndarray, dict[int, int]]:
     """Bounds of ranges of keys, descending, and for the first key of each range the range before it."""
     n, size = docs.agg(F.count(key), F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))).first()
-    n_blocks = max(1, min(math.ceil((size or 0) / block_bytes), n))
+    n_blocks = max(1, min(math.ceil((size or 0) / block_bytes), n, MAX_BLOCKS))
     bounds = np.empty(0, np.int64)
     if n_blocks > 1:
         shares = [(i + 1) / n_blocks for i in range(n_blocks - 1)]
@@ -98,7 +100,7 @@ def fingerprint_documents(
     places = selected.withColumn("place", F.explode(_block_of(bounds, before)("key")))
     placed = places.select("key", "text", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("block"), (F.col("place") < 0).alias("after"))
     n = len(bounds) + 2
-    dealt = placed.repartition(n, "block").sortWithinPartitions("block", "after", F.col("key").desc_nulls_last(), F.xxhash64("text"))
+    dealt = placed.repartitionById(n, F.col("block")).sortWithinPartitions("block", "after", F.col("key").desc_nulls_last(), F.xxhash64("text"))
     names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def row(key: int, own: str, mark: bytes, following: str, next_mark: bytes) -> tuple:
