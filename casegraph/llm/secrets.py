@@ -1,11 +1,12 @@
 """Secret scans: base patterns, and a character convolutional network for what they miss.
 
-Every token of 16 characters or more that holds a letter and a digit and lies outside the
-base findings is a candidate.  A small network in numpy reads it with its surrounding
-context, a long one through overlapping windows, of which the highest score counts.  It is trained on the driver, always in the same way, on labelled findings: ones
-generated by rule, and those of a bounded sample of documents, labelled by the base
-patterns.  Scores are calibrated on findings held out from training, and the threshold is
-the highest that keeps the wanted recall on them.
+Every run of ``CANDIDATE`` characters or more that keys and tokens are made of, with a
+letter or a digit in it, is a candidate where it lies outside the base findings.  A small
+network in numpy reads it with its surrounding context, a long one through overlapping
+windows, of which the highest score counts.  It is trained on the driver, always in the
+same way, on labelled findings: ones generated by rule, and those of a bounded sample of
+documents, labelled by the base patterns.  Scores are calibrated on findings held out from
+training, and the threshold is the highest that keeps the wanted recall on them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import base64
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,13 +30,18 @@ _ASSIGN = re.compile(r"(?ai:(?:password|passwd|secret|token|api_?key))[\"']?\x20
 _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+#: Least characters of a candidate.
+CANDIDATE = 12
+_TOKEN = re.compile(f"[A-Za-z0-9+/_=-]{{{CANDIDATE},}}")
+_ALNUM = re.compile("[A-Za-z0-9]")
 
 LEFT, INSIDE, RIGHT = 24, 48, 8
 #: Characters from one window over a long candidate to the next.
 STEP = 24
 #: Windows that a task scores at a time, and those of one harmless finding in training.
 RUN, HARMLESS_WINDOWS = 4096, 4
+#: Findings of a document, and characters of one, that training may use.
+DOCUMENT_FINDINGS, TRAINING_LENGTH = 20, 2048
 WIDTH, FILTERS, DEPTH = 5, 24, 8
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-:\"' \n"
 _CODES = np.full(128, len(_SYMBOLS) + 1, np.int64)
@@ -55,9 +62,24 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """Tokens outside the findings that the network has to judge."""
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    return [(s, e) for s, e in tokens if all(e <= a or b <= s for a, _, b in taken)]
+    """What the network has to judge: runs outside the findings, ``taken`` in order of start."""
+    closed: list[list[int]] = []
+    for s, _, e in taken:
+        if closed and s <= closed[-1][1]:
+            closed[-1][1] = max(closed[-1][1], e)
+        else:
+            closed.append([s, e])
+    out, at = [], 0
+    for m in _TOKEN.finditer(text):
+        start, end = m.span()
+        while at < len(closed) and closed[at][0] < end:
+            out.append((start, closed[at][0]))
+            start = max(start, closed[at][1])
+            if closed[at][1] > end:
+                break  # it goes on into the next run
+            at += 1
+        out.append((start, end))
+    return [(s, e) for s, e in out if e - s >= CANDIDATE and _ALNUM.search(text, s, e)]
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
@@ -69,10 +91,12 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
-def windows(text: str, start: int, end: int) -> list[np.ndarray]:
+def windows(text: str, start: int, end: int) -> Iterator[np.ndarray]:
     """The window of a candidate, and those over all its characters if it is longer."""
-    later = [*range(start + STEP, end - INSIDE, STEP), end - INSIDE] if end - start > INSIDE else []
-    return [window(text, start, end), *[window(text, at, at + INSIDE) for at in later]]
+    yield window(text, start, end)
+    if end - start > INSIDE:
+        for at in (*range(start + STEP, end - INSIDE, STEP), end - INSIDE):
+            yield window(text, at, at + INSIDE)
 
 
 @dataclass
@@ -147,6 +171,8 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: some("0123456789abcdef", rng.choice([16, 18, 20, 22])),
         lambda: some("0123456789ABCDEF", rng.choice([20, 32, 40])),
         lambda: some(letters.upper() + digits, rng.randint(20, 30)),
+        lambda: some(mixed, rng.randint(12, 19)),
+        lambda: some(letters + letters.upper(), rng.randint(20, 40)),
     ]
     harmless = [
         lambda: f"{word(5, 12)}-{word(4, 9)}-{rng.randint(1, 2030)}",
@@ -155,6 +181,11 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: f"{word(6, 14)}_{word(6, 12)}_{rng.randint(0, 999)}",
         lambda: f"{word(9, 18)}{rng.randint(0, 99)}{word(6, 9)}",
         lambda: f"{word(3, 6).title()}{word(3, 6).title()}{word(5, 9).title()}{rng.randint(1, 9)}",
+        lambda: word(12, 22),
+        lambda: word(12, 18).title(),
+        lambda: word(12, 18).upper(),
+        lambda: "-".join(word(3, 8) for _ in range(rng.randint(3, 5))),
+        lambda: some(digits, rng.randint(12, 20)),
         lambda: f"{'=' * rng.randint(8, 20)}{rng.randint(1, 9)}a{'=' * rng.randint(8, 20)}",
     ]
     out = []
@@ -163,21 +194,25 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         token = rng.choice(secrets if label else harmless)()
         left = " ".join(word() for _ in range(4)) + rng.choice([" ", " ", " key: ", "=", ' "', ":"])
         right = rng.choice([" ", ". ", '" ', ", ", "\n"]) + word()
-        if _TOKEN.fullmatch(token):
+        if candidates(token, []) == [(0, len(token))]:
             out.append((left + token + right, len(left), len(left) + len(token), label))
     return out
 
 
-def findings_of(texts: list[str], seed: int) -> list[tuple[str, int, int, int]]:
-    """Labelled findings of documents: base findings as secrets, other long tokens as not."""
+def findings_of(text: str, seed: int) -> list[tuple[str, int, int, int]]:
+    """Labelled findings of a document: base findings as secrets, other long words as not.
+
+    Of each label ``DOCUMENT_FINDINGS`` at most are drawn, each cut at ``TRAINING_LENGTH``.
+    """
+    taken = base_spans(text)
+    drawn = random.Random(f"{seed}:{len(text)}")
+    spans = [(s, e, 1) for s, _, e in drawn.sample(taken, min(DOCUMENT_FINDINGS, len(taken)))]
+    free = candidates(text, taken)
+    spans += [(s, e, 0) for s, e in drawn.sample(free, min(DOCUMENT_FINDINGS, len(free)))]
     out = []
-    for text in texts:
-        taken = base_spans(text)
-        out += [(text[max(0, s - LEFT) : e + RIGHT], min(s, LEFT), min(s, LEFT) + e - s, 1) for s, _, e in taken]
-        long_words = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", text)]
-        free = [(s, e) for s, e in long_words if all(e <= a or b <= s for a, _, b in taken)]
-        free = random.Random(f"{seed}:{len(text)}").sample(free, min(2, len(free)))
-        out += [(text[max(0, s - LEFT) : e + RIGHT], min(s, LEFT), min(s, LEFT) + e - s, 0) for s, e in free]
+    for s, e, label in spans:
+        n = min(e - s, TRAINING_LENGTH)
+        out.append((text[max(0, s - LEFT) : s + n + RIGHT], min(s, LEFT), min(s, LEFT) + n, label))
     return out
 
 
@@ -193,7 +228,7 @@ def train(findings: list[tuple[str, int, int, int]], *, recall: float = 0.95, ep
     drawn = random.Random(seed)
     learned = []
     for x, s, e, y in fitted:
-        own = windows(x, s, e)
+        own = list(windows(x, s, e))
         some = own[:1] if y else own if len(own) <= HARMLESS_WINDOWS else drawn.sample(own, HARMLESS_WINDOWS)
         learned += [(w, y) for w in some]
     codes = np.stack([w for w, _ in learned])
@@ -209,7 +244,7 @@ def train(findings: list[tuple[str, int, int, int]], *, recall: float = 0.95, ep
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 w -= 0.004 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    logits = np.array([net.logits(np.stack(windows(x, s, e))).max() for x, s, e, _ in held])
+    logits = np.array([net.logits(np.stack(list(windows(x, s, e)))).max() for x, s, e, _ in held])
     truth = np.array([y for *_, y in held], float)
     for _ in range(500):  # Platt's scaling by gradient descent
         error = 1 / (1 + np.exp(-(net.slope * logits + net.offset))) - truth
@@ -221,11 +256,22 @@ def train(findings: list[tuple[str, int, int, int]], *, recall: float = 0.95, ep
 
 
 def trained_network(docs: DataFrame, key: str, text: str, sample: int, generated: int) -> CharCnn:
-    """The network for a corpus: fitted to ``sample`` documents at most, drawn by hash."""
-    every = max(1, docs.count() // max(1, sample))
-    drawn = docs.filter(F.pmod(F.xxhash64(key, text), F.lit(every)) == 0).filter(F.length(text) < 100_000)
-    texts = [r[0] for r in drawn.select(text).limit(2 * sample).collect()]
-    return train(generated_findings(generated, seed=1) + findings_of(sorted(texts), seed=2))
+    """The network for a corpus: fitted to findings of the ``sample`` distinct rows of least hash.
+
+    Rows alike in key and text count as one, so a row that stands often is drawn once.  The
+    driver gets ``2 * DOCUMENT_FINDINGS * sample`` findings at most.
+    """
+    marked = docs.select(F.xxhash64(key, text).alias("mark"), F.col(text).alias("text"))
+    least = marked.select("mark").distinct().orderBy("mark").limit(sample)
+    drawn = marked.join(F.broadcast(least), "mark").dropDuplicates(["mark"])
+
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [x for text in batch["text"] if text for x in findings_of(text, seed=2)]
+            yield pd.DataFrame(rows, columns=["text", "start", "end", "label"])
+
+    found = drawn.mapInPandas(labelled, "text string, start int, end int, label int").collect()
+    return train(generated_findings(generated, seed=1) + sorted(tuple(r) for r in found))
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
