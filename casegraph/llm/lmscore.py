@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from casegraph.llm.memory import trim, trimmed
 from casegraph.llm.scratch import materialize
 from casegraph.llm.text import mix64, word_hashes
 
@@ -143,7 +144,7 @@ def _blocks(texts: DataFrame, key_type: T.DataType, block_tokens: int) -> DataFr
         if keys:
             yield block()
 
-    return texts.mapInArrow(blocked, T.StructType(fields))
+    return texts.mapInArrow(trimmed(blocked), T.StructType(fields))
 
 
 def _read(row: dict) -> tuple[Block, np.ndarray]:
@@ -166,7 +167,7 @@ def _asked(blocks: DataFrame, parts: int) -> DataFrame:
                 rows = [(part, row["block"], len(at), _short(keys[at]), _narrow(every[at]), _narrow(target[at])) for part, at in _by_part(keys, parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return blocks.select("block", "sizes", "good", "words", "tokens").mapInArrow(ask, "part int, block long, n long, keys binary, every binary, good binary")
+    return blocks.select("block", "sizes", "good", "words", "tokens").mapInArrow(trimmed(ask), "part int, block long, n long, keys binary, every binary, good binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
@@ -182,6 +183,7 @@ def _answered(asked: DataFrame) -> DataFrame:
         edges = np.cumsum(group["n"].to_numpy())[:-1]
         out = group[["part", "block", "n"]].copy()
         out["every"], out["good"] = [[_narrow(x) for x in np.split(s, edges)] for s in sums]
+        trim()
         out["n_words"] = [int((distinct & _ODD == 0).sum())] + [0] * (len(group) - 1)
         return out
 
@@ -269,7 +271,7 @@ def score_documents(
 
     fields = [T.StructField(key, key_type), T.StructField("n_tokens", T.LongType())]
     schema = T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in names[2:]]])
-    return blocks.join(lists, "block", "left").select("keys", "sizes", "good", "words", "tokens", "answers").mapInArrow(scored, schema)
+    return blocks.join(lists, "block", "left").select("keys", "sizes", "good", "words", "tokens", "answers").mapInArrow(trimmed(scored), schema)
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

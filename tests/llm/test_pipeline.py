@@ -6,7 +6,7 @@ import corpus_pipeline as C
 import pytest
 from casegraph.llm.quality import base_failed, features
 from casegraph.llm.text import WORD
-from test_operators import brute_line_dedup, brute_components, words_of
+from test_operators import brute_clean, brute_components, words_of
 
 
 def rows_of(df):
@@ -31,7 +31,7 @@ def test_stages(spark, tmp_path):
     assert kept.keys() <= good and len(kept) >= 0.98 * len(good)
 
     deduped = written("line dedup", steps["line dedup"](spark, ruled, ""))
-    want = {k: x for k, x in brute_line_dedup(kept).items() if words_of(x) or not words_of(kept[k])}
+    want = {k: x for k, x in brute_clean(kept).items() if words_of(x) or not words_of(kept[k])}
     assert {r.doc_id: r.text for r in rows_of(deduped)} == want
 
     unique = written("near dedup", steps["near dedup"](spark, deduped, ""))
