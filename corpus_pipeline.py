@@ -39,13 +39,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that an earlier document holds.
+    """Documents without the chunks and passages of lines that an earlier document holds.
 
-    Documents that have no words left are copies in whole and go.  Repeated passages across
-    chunks stay: the test of this stage holds it to the chunks.
+    Documents that have no words left are copies in whole and go.
     """
     _begin(spark)
-    deduped = dedup_lines(docs.select(*COLUMNS), passage_words=None, owner="pipeline")
+    deduped = dedup_lines(docs.select(*COLUMNS), owner="pipeline")
     emptied = (F.size("removed") > 0) & ~F.coalesce(F.col("clean_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return _with_text(deduped.filter(~emptied), "clean_text")
 
@@ -72,7 +71,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: a row for each copy of a document that the mix takes."""
     _begin(spark)
-    mixed = mix_documents(docs.select(*COLUMNS)).filter("mix_copies > 0")
+    mixed = mix_documents(docs.select(*COLUMNS), owner="pipeline").filter("mix_copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*COLUMNS)
 
 
