@@ -10,7 +10,7 @@ Neither the vocabulary nor the bigrams are cut, so the models grow with the corp
 never in one place:
 
 1. Texts become blocks of about ``BLOCK_TOKENS`` tokens, written once: the block's distinct
-   words by 64-bit hash, and its tokens as places among them.
+   words by hash, frequent ones first, and its tokens as places among them.
 2. Each block asks for its distinct words and bigrams, with their counts in the block,
    packed in a row for each part of the key space.  A part sums the counts of all blocks
    and answers each of them in the order of its question.
@@ -34,40 +34,35 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from casegraph.llm.memory import trim, trimmed
-from casegraph.llm.scratch import materialize
+from casegraph.llm.scratch import forget_shuffles, materialize
 from casegraph.llm.text import mix64, word_hashes
 
 #: Tokens of a block, and those for which there is one part of the key space.
-BLOCK_TOKENS = 1 << 17
-PART_TOKENS = 1 << 19
-#: Bytes of a key within its part.
-KEY_BYTES = 6
+BLOCK_TOKENS = 1 << 19
+PART_TOKENS = 1 << 20
+#: Bits of a word's hash, and of a key within its part.
+WORD_BITS, KEY_BITS = 48, 40
 #: Shares of the word model in the bigram model, and of the uniform one in the word model.
 #: They are the same for both models, so that the smaller one is no kinder to what is new.
 WORD_SHARE, UNIFORM_SHARE = 0.5, 0.1
 _ODD = np.uint64(1)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
+_LOW, _WORD = np.uint64((1 << KEY_BITS) - 1), np.uint64((1 << WORD_BITS) - 1)
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Whole numbers in the fewest bytes that hold the largest."""
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes()
+    """Whole numbers in the fewest bytes that hold the largest, the lowest bytes of all first,
+    so that the others, which are mostly zero, compress."""
+    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
+    return x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
 
 
 def _wide(data: bytes, n: int) -> np.ndarray:
     """The numbers of :func:`_narrow`."""
-    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.empty(0, np.int64)
-
-
-def _short(keys: np.ndarray) -> bytes:
-    """The low bytes of keys; their part stands for some more of their bits."""
-    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
-
-
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
-    return out.view(np.uint64)[:, 0]
+    if not n:
+        return np.empty(0, np.int64)
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(planes.T).view(f"u{len(planes)}")[:, 0].astype(np.int64)
 
 
 class Block:
@@ -95,7 +90,7 @@ class Block:
     def keys(self) -> np.ndarray:
         """Even keys of the distinct words, then odd ones of the distinct bigrams."""
         first, second = self.words[self.pairs[0]], self.words[self.pairs[1]]
-        return np.concatenate([self.words & ~_ODD, mix64(mix64(first + _FACTOR) * _FACTOR + second) | _ODD])
+        return np.concatenate([mix64(self.words) & ~_ODD, mix64(mix64(first + _FACTOR) * _FACTOR + second) | _ODD])
 
     def counts(self, chosen: np.ndarray) -> np.ndarray:
         """How often the block's chosen documents hold each key; a bound counts once a document."""
@@ -105,8 +100,8 @@ class Block:
 
 def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Parts of the key space with the places of their keys, in order of the key."""
-    part = ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((keys, part))
+    part = ((keys >> np.uint64(KEY_BITS)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((keys & _LOW, part))
     edges = np.flatnonzero(np.diff(part[order])) + 1
     for places in np.split(order, edges):
         if len(places):
@@ -116,7 +111,7 @@ def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 def _blocks(texts: DataFrame, key_type: T.DataType, block_tokens: int) -> DataFrame:
     """Blocks of the rows ``key, text, good``."""
     fields = [T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(key_type)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("good", T.ArrayType(T.BooleanType()))]
-    fields += [T.StructField("words", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_good", T.LongType())]
+    fields += [T.StructField("n_words", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_good", T.LongType())]
     arrow_key = to_arrow_type(key_type)
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,17 +120,21 @@ def _blocks(texts: DataFrame, key_type: T.DataType, block_tokens: int) -> DataFr
 
         def block() -> pa.RecordBatch:
             sizes = np.array([len(x) for x in hashes], np.int64)
-            words, tokens = np.unique(np.concatenate([np.zeros(1, np.uint64), *hashes]), return_inverse=True)
+            words, tokens, counts = np.unique(np.concatenate([np.zeros(1, np.uint64), *hashes]), return_inverse=True, return_counts=True)
+            order = np.argsort(-counts[1:], kind="stable") + 1  # the bound stays first, then frequent words
+            rank = np.zeros(len(words), np.int64)
+            rank[order] = np.arange(1, len(words))
+            words[1:], tokens = words[order], rank[tokens]
             events = np.where(sizes > 0, sizes + 1, 0)
-            row = [[number], [list(keys)], [sizes.tolist()], [list(good)], [words.tobytes()], [_narrow(tokens[1:])], [int(events.sum())], [int(events[np.array(good, bool)].sum())]]
-            kinds = [pa.int64(), pa.list_(arrow_key), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            row = [[number], [list(keys)], [sizes.tolist()], [list(good)], [len(words)], [_narrow(words)], [_narrow(tokens[1:])], [int(events.sum())], [int(events[np.array(good, bool)].sum())]]
+            kinds = [pa.int64(), pa.list_(arrow_key), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[f.name for f in fields])
 
         for batch in batches:
             for key, text, is_good in zip(batch["key"], batch["text"], batch["good"], strict=True):
                 keys.append(key.as_py())
                 good.append(bool(is_good.as_py()))
-                hashes.append(word_hashes((text.as_py() or "").encode().lower()))
+                hashes.append(word_hashes((text.as_py() or "").encode().lower()) & _WORD)
                 total += len(hashes[-1]) + 1
                 if total >= block_tokens:
                     yield block()
@@ -148,7 +147,7 @@ def _blocks(texts: DataFrame, key_type: T.DataType, block_tokens: int) -> DataFr
 
 
 def _read(row: dict) -> tuple[Block, np.ndarray]:
-    words = np.frombuffer(row["words"], np.uint64)
+    words = _wide(row["words"], row["n_words"]).astype(np.uint64)
     sizes = np.array(row["sizes"], np.int64)
     return Block(words, _wide(row["tokens"], int(sizes.sum())), sizes), np.array(row["good"], bool)
 
@@ -164,17 +163,17 @@ def _asked(blocks: DataFrame, parts: int) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 block, good = _read(row)
                 keys, every, target = block.keys(), block.counts(np.ones(len(good), bool)), block.counts(good)
-                rows = [(part, row["block"], len(at), _short(keys[at]), _narrow(every[at]), _narrow(target[at])) for part, at in _by_part(keys, parts)]
+                rows = [(part, row["block"], len(at), _narrow(np.diff(keys[at] & _LOW, prepend=np.uint64(0))), _narrow(every[at]), _narrow(target[at])) for part, at in _by_part(keys, parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return blocks.select("block", "sizes", "good", "words", "tokens").mapInArrow(trimmed(ask), "part int, block long, n long, keys binary, every binary, good binary")
+    return blocks.select("block", "sizes", "good", "n_words", "words", "tokens").mapInArrow(trimmed(ask), "part int, block long, n long, keys binary, every binary, good binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
     """For each row of :func:`_asked` the counts over all blocks, and once a part its number of words."""
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:  # about PART_TOKENS keys
-        keys = np.concatenate([_long(x) for x in group["keys"]])
+        keys = np.concatenate([np.cumsum(_wide(x, n)) for x, n in zip(group["keys"], group["n"], strict=True)]).astype(np.uint64)
         distinct, which = np.unique(keys, return_inverse=True)
         sums = []
         for name in ("every", "good"):
@@ -235,8 +234,8 @@ def score_documents(
     models.  Repeated rows count as often as they stand, so copies know each other; null
     keys and rows without label are background only.  Without any target the target model
     knows the number of words alone and is uniform.  An empty table gives an empty table;
-    other columns go.  Words and bigrams are told apart by their part and ``8 * KEY_BYTES``
-    bits of a hash.
+    other columns go.  Words and bigrams are told apart by their part and ``KEY_BITS`` bits
+    of a hash: with some 600,000 keys in a part, one in two million meets another.
     """
     greatest = labels.groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
     target = materialize(greatest.filter("label = 1 and key is not null").select("key", F.lit(True).alias("good")), "target", owner)
@@ -247,6 +246,7 @@ def score_documents(
     blocks = materialize(_blocks(marked, key_type, block_tokens), "blocks", owner)
     n_tokens, n_good = (x or 0 for x in blocks.agg(F.sum("n_tokens"), F.sum("n_good")).first())
     answers = materialize(_answered(_asked(blocks, max(1, n_tokens // part_tokens))), "answers", owner)
+    forget_shuffles(docs.sparkSession)  # the questions are answered
     n_words = answers.agg(F.sum("n_words")).first()[0] or 1
     lists = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "n", "every", "good"))).alias("answers"))
     parts = max(1, n_tokens // part_tokens)
@@ -271,7 +271,7 @@ def score_documents(
 
     fields = [T.StructField(key, key_type), T.StructField("n_tokens", T.LongType())]
     schema = T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in names[2:]]])
-    return blocks.join(lists, "block", "left").select("keys", "sizes", "good", "words", "tokens", "answers").mapInArrow(trimmed(scored), schema)
+    return blocks.join(lists, "block", "left").select("keys", "sizes", "good", "n_words", "words", "tokens", "answers").mapInArrow(trimmed(scored), schema)
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ back, so that a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,12 @@ def materialize(df: DataFrame, name: str, owner: str = "query") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession, owner: str = "query") -> None:
     """Delete the tables that ``owner`` has written, once nothing reads them any more."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
