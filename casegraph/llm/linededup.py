@@ -120,7 +120,15 @@ def _with_passages(chunks: list | None, passages: list | None) -> list[dict]:
     return sorted(out, key=lambda x: x["start"])
 
 
-def _repeated_windows(selected: DataFrame, least: int, owner: str) -> DataFrame:
+def _repeated(places: DataFrame, max_shared: int, owner: str) -> DataFrame:
+    """The places whose digest ``h1, h2`` stands at several; most digests stand at one."""
+    several = materialize(places.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1"), "repeated", owner)
+    if several.count() <= max_shared:
+        return places.join(F.broadcast(several.select("h1", "h2")), ["h1", "h2"], "left_semi")
+    return joined_hot(places, several, ["h1", "h2"])
+
+
+def _repeated_windows(selected: DataFrame, least: int, max_shared: int, owner: str) -> DataFrame:
     """``_a, _b, start, end, first_key`` of the windows that stand at an earlier place too.
 
     Where a window overlaps its first place in the same text, the lines of that stay.
@@ -137,9 +145,10 @@ def _repeated_windows(selected: DataFrame, least: int, owner: str) -> DataFrame:
     key_type = selected.schema["_key"].dataType.simpleString()
     every = selected.mapInPandas(trimmed(found), f"_a long, _b long, _key {key_type}, start int, end int, h1 long, h2 long")
     every = materialize(every, "windows", owner)
+    places = materialize(_repeated(every, max_shared, owner), "window-places", owner)
     order = F.struct("_key", "_b", "start", "_a", "end")
-    first = every.groupBy("h1", "h2").agg(F.min(order).alias("_first"), F.count("*").alias("n")).filter("n > 1")
-    later = joined_hot(every, materialize(first, "first-windows", owner), ["h1", "h2"]).filter(order != F.col("_first"))
+    first = places.groupBy("h1", "h2").agg(F.min(order).alias("_first"), F.count("*").alias("n"))
+    later = joined_hot(places, materialize(first, "first-windows", owner), ["h1", "h2"]).filter(order != F.col("_first"))
     own = (F.col("_a") == F.col("_first._a")) & (F.col("_b") == F.col("_first._b"))
     start = F.when(own, F.greatest("start", "_first.end")).otherwise(F.col("start")).alias("start")
     later = later.select("_a", "_b", start, "end", F.col("_first._key").alias("first_key")).filter("start < end")
@@ -176,7 +185,7 @@ def dedup_lines(
     A null or empty text stays as it is.  Null keys sort first.  Rows alike in key and text
     are one document and keep the same chunks.  An empty table gives an empty table.
     Input columns of the added names are replaced.  ``max_shared`` is the number of
-    places of repeated chunks and windows up to which they are broadcast (64 bytes each,
+    repeated digests, and of places of them, up to which they are broadcast (64 bytes each,
     16 MB at the default).
     """
     names = docs.columns
@@ -197,8 +206,7 @@ def dedup_lines(
 
     found = selected.select("_a", "_b", "_text").mapInPandas(trimmed(hashed), schema)
     keyed = materialize(found, "chunks", owner)
-    repeated = materialize(keyed.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1"), "repeated", owner)
-    places = materialize(joined_hot(keyed, repeated, ["h1", "h2"]), "places", owner)
+    places = materialize(_repeated(keyed, max_shared, owner), "places", owner)
     n = places.count()
     lists = places.groupBy("_a", "_b").agg(F.collect_list(F.struct("at", "h1", "h2")).alias("_list"))
     with_lists = _joined_by_row(selected, lists, n, max_shared, "inner")
@@ -226,7 +234,7 @@ def dedup_lines(
     gone = materialize(gone.distinct(), "gone", owner)
     removed = gone.groupBy("_a", "_b").agg(F.sort_array(F.collect_list("_gone")).alias("_removed"))
     if passage_words is not None:
-        later = _repeated_windows(selected, passage_words, owner)
+        later = _repeated_windows(selected, passage_words, max_shared, owner)
         n = max(n, later.count())
 
         @F.pandas_udf(removed.schema["_removed"].dataType)
