@@ -6,10 +6,13 @@ one pieces of packed sequences).  Stages are written as Parquet in between.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.llm.linededup import dedup_lines
+from casegraph.llm.memory import trim
 from casegraph.llm.mixing import mix_documents
 from casegraph.llm.neardup import near_duplicates
 from casegraph.llm.packing import pack_documents, tokenizer_path
@@ -25,6 +28,8 @@ def _begin(spark: SparkSession) -> None:
     """Send the package out, and drop what the stage before has left: its rows are written."""
     ship_package(spark)
     release(spark, "pipeline")
+    gc.collect()
+    trim()
 
 
 def _with_text(df: DataFrame, text: str) -> DataFrame:
