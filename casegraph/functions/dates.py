@@ -20,13 +20,16 @@ def iso_date(text: Column) -> Column:
     return F.coalesce(iso, compact, rfc, F.lit(""))
 
 
-def dates_compatible(a: Column, b: Column, days: int = 7) -> Column:
-    """Whether two ISO dates may mean one day: same year, wildcards for missing parts, within the window."""
+def dates_compatible(a: Column, b: Column, days: int = 7, across_years: bool = False) -> Column:
+    """Whether two ISO dates may mean one day: same year, wildcards for missing parts, within
+    the window; with ``across_years``, two days within the window may be of different years."""
     one, two = date_parts(a), date_parts(b)
     gap = F.abs(F.datediff(F.try_to_date(b, "yyyy-MM-dd"), F.try_to_date(a, "yyyy-MM-dd")))
     both_days = (one["d"] > 0) & (two["d"] > 0)
     months = (one["m"] == 0) | (two["m"] == 0) | (one["m"] == two["m"])
     same_year = (one["y"] > 0) & (one["y"] == two["y"])
+    if across_years:
+        return F.when(both_days, gap <= days).otherwise(same_year & months)
     return same_year & F.when(both_days, gap <= days).otherwise(months)
 
 

@@ -91,39 +91,58 @@ def causal_edges(claims: DataFrame) -> DataFrame:
     return sums.withColumn("weight", F.round(F.col("s") * F.col("c") * attested, 4))
 
 
-def corroborated_claims(evidence: DataFrame) -> DataFrame:
-    """``entity, supports, n_claims, best_sources, tier``: claims told apart by their embeddings.
+def claim_items(evidence: DataFrame) -> DataFrame:
+    """``entity, supports, ord, claim, sources, tier``: each item with the claim it belongs to.
 
     ``evidence``: entity, supports, source, strength, confidence, vector, ord.  Within an
-    entity and polarity, the strongest ``POOL`` rows join the first leader that is similar;
-    a claim's sources count once where they carry one text.
+    entity and polarity the first ``POOL`` items in order join the first claim whose leader
+    (``claim`` is its ord) they are similar to.  A claim's sources are told apart by the
+    first item of each; those of one text count once.
     """
-    eligible = evidence.filter("confidence > 0 and strength > 0 and source is not null")
-    pooled = top_rows(eligible, ["entity", "supports"], POOL, F.desc(F.col("strength") * F.col("confidence")), "ord")
+    eligible = evidence.filter("confidence > 0 and strength > 0 and source is not null and vector is not null")
+    pooled = top_rows(eligible, ["entity", "supports"], POOL, "ord")
 
     def clustered(group: pd.DataFrame) -> pd.DataFrame:  # at most POOL rows
         group = group.sort_values("ord")
         vectors = np.stack(group["vector"].to_list()).astype(float)
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9
+        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+        vectors /= np.where(norms == 0, 1.0, norms)
         alike = vectors @ vectors.T
+        leader = np.empty(len(group), int)
         leaders: list[int] = []
-        member_of = np.empty(len(group), int)
         for i in range(len(group)):
-            member_of[i] = next((k for k in leaders if alike[i, k] >= CLAIM_SIMILARITY), i)
-            if member_of[i] == i:
+            leader[i] = next((k for k in leaders if alike[i, k] >= CLAIM_SIMILARITY), i)
+            if leader[i] == i:
                 leaders.append(i)
-        best = 0
-        sources = group["source"].to_numpy()
+        sources, n = group["source"].to_numpy(), np.empty(len(group), int)
         for k in leaders:
-            inside = np.flatnonzero(member_of == k)
-            names = {s: s for s in sources[inside]}
-            for x, i in enumerate(inside):
-                for j in inside[:x]:
-                    if alike[i, j] >= SYNDICATION_SIMILARITY:
-                        old, new = names[sources[i]], names[sources[j]]
-                        names = {s: new if n == old else n for s, n in names.items()}
-            best = max(best, len(set(names.values())))
-        return pd.DataFrame({"entity": group["entity"].iloc[:1], "supports": group["supports"].iloc[:1], "n_claims": [len(leaders)], "best_sources": [best]})
-
-    found = pooled.groupBy("entity", "supports").applyInPandas(clustered, "entity long, supports boolean, n_claims long, best_sources long")
-    return found.withColumn("tier", tier(F.col("best_sources")))
+            inside = np.flatnonzero(leader == k)
+            firsts = sorted({s: i for i, s in reversed(list(zip(inside, sources[inside], strict=True)))}.values())
+            name = {i: i for i in firsts}
+            for i in firsts:
+                for j in firsts:
+                    if i < j and alike[i, j] >= SYNDICATION_SIMILARITY and name[i] != name[j]:
+                        name = {x: name[i] if y == name[j] else y for x, y in name.items()}
+            n[inside] = len(set(name.values()))
+        ords = group["ord"].to_numpy()
+        return pd.DataFrame({"entity": group["entity"], "supports": group["supports"], "ord": ords, "claim": ords[leader], "sources": n})
+
+    found = pooled.groupBy("entity", "supports").applyInPandas(clustered, f"entity {dict(evidence.dtypes)['entity']}, supports boolean, ord long, claim long, sources long")
+    return found.withColumn("tier", tier(F.col("sources")))
+
+
+def corroborated_claims(evidence: DataFrame) -> DataFrame:
+    """``entity, supports, sources, claim, corroborated_claims, tier`` of each entity's winning side.
+
+    The side is that of the signed evidence, with or without sources.  ``claim`` is the
+    first of the claims of most sources; corroborated ones have two at least.
+    """
+    sign = F.when(F.col("supports"), 1.0).otherwise(-1.0)
+    sides = evidence.filter("confidence > 0 and strength > 0").groupBy("entity").agg((F.sum(sign * F.col("strength") * F.col("confidence")) >= 0).alias("supports"))
+    items = claim_items(evidence).join(sides, ["entity", "supports"])
+    sums = items.groupBy("entity", "supports").agg(
+        F.max("sources").alias("sources"),
+        F.min_by("claim", F.struct(-F.col("sources"), "claim")).alias("claim"),
+        F.countDistinct(F.when(F.col("sources") >= 2, F.col("claim"))).alias("corroborated_claims"),
+    )
+    return sums.withColumn("tier", tier(F.col("sources")))

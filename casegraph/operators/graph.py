@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ from casegraph.operators.pairs import undirected
 
 # Edge types that only tie the graph together.
 STRUCTURAL = ["evidence"]
+#: Levels after which what has been reached is written as one table.
+REWRITE_EVERY = 8
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -27,17 +30,20 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hops(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
-    """``node, hops, parent``: breadth-first distance from the seeds; the least parent of a level wins."""
+def hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``node, hops, parent``: breadth-first distance from the seeds, as far as edges lead; the
+    least parent of a level wins."""
     both = settled(undirected(edges))
     reached = settled(seeds.select(F.col("node"), F.lit(0).alias("hops"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent")).distinct())
-    for level in range(1, most + 1):
+    for level in itertools.count(1):
         front = reached.filter(F.col("hops") == level - 1).select(F.col("node").alias("src"))
         nexts = both.join(front, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         new = settled(nexts.join(reached.select("node"), "node", "left_anti").select("node", F.lit(level).alias("hops"), "parent"))
         if new.isEmpty():
             break
         reached = reached.union(new)
+        if level % REWRITE_EVERY == 0:  # one table in place of one for each level
+            reached = settled(reached)
     return reached
 
 
@@ -168,8 +174,11 @@ def leads(edges: DataFrame, node_runs: DataFrame, posterior: DataFrame) -> DataF
 
 def adjacency(edges: DataFrame, most: int | None = None) -> DataFrame:
     """``node, near`` of each node; hubs of more than ``most`` neighbours are left out."""
-    g = undirected(edges).groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("near"))
-    return g if most is None else g.filter(F.size("near") <= most)
+    both = undirected(edges)
+    if most is not None:  # a hub's neighbours are counted and never gathered
+        few = both.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("src")
+        both = both.join(few, "src", "left_semi")
+    return both.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("near"))
 
 
 def balanced_sample(members: DataFrame, n: int = 25) -> DataFrame:

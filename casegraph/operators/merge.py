@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions.names import name_tokens, norm_key
@@ -67,8 +67,6 @@ def name_groups(names: DataFrame, most: int = GROUP_SIZE) -> DataFrame:
     weight = tokens.groupBy("token").agg(F.count("*").alias("n"))
     block = tokens.join(weight.filter("n > 1"), "token").groupBy("name").agg(F.min_by("token", F.struct("n", "token")).alias("block"))
     placed = names.select("name").distinct().join(block, "name", "left").withColumn("block", F.coalesce("block", "name"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("block").orderBy("name"))
     return placed.select("name", F.concat("block", F.lit("#"), F.floor((rank - 1) / most)).alias("group"))
 
@@ -115,11 +113,13 @@ def connector(nodes: DataFrame, edges: DataFrame, selected: DataFrame, most: int
     return paths, found.select("node", "betweenness", broker.alias("broker")), missing.union(lost)
 
 
-def round_robin(members: DataFrame, n: int) -> DataFrame:
+def round_robin(members: DataFrame, n: int, everyone: DataFrame | None = None) -> DataFrame:
     """``node, place``: one fresh member of each theme in turn, best themes first, until n are picked.
 
-    ``members``: theme, weight, node, score.  The best 2n members of the best 2n themes are
-    enough, so the pick itself is over a bounded table.
+    ``members``: theme, weight, node, score.  A theme has n fresh members at most before n
+    are picked, and members of n themes make up the first lap, so the best 2n members of the
+    best 2n themes are enough where themes share no members; all others wait behind them.
+    Where the themes run out, the best of ``everyone`` (node, score) fill the rest.
     """
     best = members.select("theme", "weight").distinct().orderBy(F.desc("weight"), "theme").limit(2 * n)
     rows = top_rows(members.join(best.select("theme"), "theme", "left_semi"), ["theme"], 2 * n, F.desc("score"), "node")
@@ -136,7 +136,16 @@ def round_robin(members: DataFrame, n: int) -> DataFrame:
                     taken.append(queue.pop(0))
         return pd.DataFrame({"node": taken, "place": range(1, len(taken) + 1)})
 
-    return rows.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(pick, "node string, place long")
+    picked = rows.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(pick, "node string, place long")
+    if everyone is None:
+        return picked
+    picked = graph.settled(picked)
+    left = n - picked.count()
+    if left <= 0:
+        return picked
+    rest = everyone.join(picked.select("node"), "node", "left_anti").orderBy(F.desc("score"), "node").limit(left)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "node")) + F.lit(n - left)  # at most n rows
+    return picked.union(rest.select("node", place.cast("long").alias("place")))
 
 
 def store_update(store: DataFrame, new: DataFrame) -> DataFrame:

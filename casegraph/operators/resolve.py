@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions.names import company_tokens, norm_key
-from casegraph.functions.text import cosine
+from casegraph.functions.text import cosine, jaccard
 from casegraph.operators.picks import top_rows
 
+# Likeness of the vectors and of the tokens of an alias.
+ALIAS_COSINE, ALIAS_JACCARD = 0.90, 0.50
+#: Vectors in a block, and queries whose blocks are broadcast.
+BLOB_ROWS, MAX_SHARED_QUERIES = 4096, 200_000
+
 
 def registry_resolve(names: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``ord, name, canonical``: by exact upper case among known aliases, by norm key, or minted.
@@ -48,23 +57,89 @@ def match_companies(names: DataFrame, register: DataFrame) -> DataFrame:
     """
     mine = names.select("id", "name", company_tokens(F.col("name")).alias("want")).filter(F.size("want") > 0)
     theirs = register.select("title", company_tokens(F.col("title")).alias("have")).filter(F.size("have") > 0)
-    met = mine.withColumn("token", F.explode("want")).join(theirs.withColumn("token", F.explode("have")), "token").drop("token").distinct()
     inside, around = F.size(F.array_except("want", "have")) == 0, F.size(F.array_except("have", "want")) == 0
+
+    def rarest(side: DataFrame, tokens: str, others: DataFrame, held: str) -> DataFrame:
+        """The side with the one of its tokens that fewest of the others hold, which all that hold its tokens hold."""
+        weight = others.select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        keys = [c for c in side.columns if c != tokens]
+        return side.withColumn("token", F.explode(tokens)).join(weight, "token").groupBy(*keys).agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first(tokens).alias(tokens))
+
+    one = rarest(mine, "want", theirs, "have").join(theirs.withColumn("token", F.explode("have")), "token").filter(inside)
+    two = rarest(theirs, "have", mine, "want").join(mine.withColumn("token", F.explode("want")), "token").filter(around)
+    met = one.select("id", "name", "want", "title", "have").union(two.select("id", "name", "want", "title", "have"))
     single = F.least(F.size("want"), F.size("have")) < 2
-    good = met.filter(F.when(single, inside & around).otherwise(inside | around))
+    good = met.filter(~single | (inside & around))
     gap = F.abs(F.size("have") - F.size("want"))
     return good.groupBy("id", "name").agg(F.min_by("title", F.struct(gap, "title")).alias("title"))
 
 
+def similar_aliases(new: DataFrame, saved: DataFrame, least_cosine: float = ALIAS_COSINE, least_jaccard: float = ALIAS_JACCARD) -> DataFrame:
+    """``a, b``: for each new name the saved one it is an alias of, if any.
+
+    First the least saved name whose tokens hold all of its, or the other way about, two
+    being common at least; else the most similar vector among names with enough common
+    tokens.  Names of that likeness share one of their rarer tokens and meet there.  Both
+    sides: id, tokens, vector.
+    """
+    every = new.select("tokens").union(saved.select("tokens")).select(F.explode("tokens").alias("token"))
+    weight = every.groupBy("token").agg(F.count("*").alias("n"))
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        held = df.select("id", "tokens", "vector", F.explode("tokens").alias("token")).join(weight, "token")
+        rare = held.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("order"), F.first("tokens").alias("tokens"), F.first("vector").alias("vector"))
+        n = F.size("order") - F.ceil(F.size("order") * least_jaccard).cast("int") + 1
+        return rare.select("id", "tokens", "vector", F.explode(F.slice(F.transform("order", lambda x: x["token"]), 1, n)).alias("token"))
+
+    same = new.select("id", F.array_sort("tokens").alias("t")).join(saved.filter("size(tokens) >= 2").select(F.col("id").alias("b"), F.array_sort("tokens").alias("t")), "t").select(F.col("id").alias("a"), "b")
+    inside = subset_aliases(new, saved).union(subset_aliases(saved, new).select(F.col("b").alias("a"), F.col("a").alias("b"))).union(same)
+    first = inside.groupBy("a").agg(F.min("b").alias("b"))
+    one, two = prefixes(new).alias("x"), prefixes(saved).alias("y")
+    met = one.join(two, "token").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.tokens").alias("ta"), F.col("y.tokens").alias("tb"), F.col("x.vector").alias("va"), F.col("y.vector").alias("vb"))
+    near = met.withColumn("sim", cosine(F.col("va"), F.col("vb"))).filter((F.col("sim") >= least_cosine) & (jaccard(F.col("ta"), F.col("tb")) >= least_jaccard))
+    best = near.groupBy("a").agg(F.min_by("b", F.struct(-F.round("sim", 9), "b")).alias("b"))
+    return first.union(best.join(first.select("a"), "a", "left_anti"))
+
+
+def _blobs(rows: DataFrame, size: int = BLOB_ROWS) -> DataFrame:
+    """Vectors in blocks: ids, and unit vectors as bytes."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                some = batch.iloc[at : at + size]
+                data = np.stack(some["embedding"].to_list()).astype(np.float64)
+                data /= np.linalg.norm(data, axis=1, keepdims=True) + 1e-12
+                yield pd.DataFrame({"ids": [some["vec_id"].to_numpy()], "data": [data.tobytes()]})
+
+    filled = rows.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return filled.mapInPandas(packed, "ids array<long>, data binary")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, same: bool = False) -> DataFrame:
     """``query, found, sim``: the k nearest of all vectors for each query, by cosine.
 
-    Queries are a stated, small set and are broadcast when their size is within bounds.
+    Queries are a stated set.  Both sides are cut into blocks, each block of vectors meets
+    each of queries in one matrix product, and what leaves it are the k nearest of the
+    block for each query.  Blocks of queries are broadcast up to 200,000 queries.
     """
-    q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"))
-    q = F.broadcast(q) if queries.count() <= 10_000 else q
-    pairs = vectors.select(F.col("vec_id").alias("found"), F.col("embedding").alias("_e")).join(q, F.lit(True) if same else F.col("query") != F.col("found"))
-    scored = pairs.select("query", "found", cosine(F.col("_q"), F.col("_e")).alias("sim"))
+    asked = _blobs(queries).select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    asked = F.broadcast(asked) if queries.count() <= MAX_SHARED_QUERIES else asked
+    pairs = _blobs(vectors).crossJoin(asked)  # blocks, not rows
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, data, q_ids, q_data in zip(batch["ids"], batch["data"], batch["q_ids"], batch["q_data"], strict=True):
+                one, two = np.frombuffer(q_data).reshape(len(q_ids), -1), np.frombuffer(data).reshape(len(ids), -1)
+                sims = one @ two.T
+                if not same:
+                    sims[q_ids[:, None] == ids[None, :]] = -np.inf
+                most = min(k, len(ids))
+                least = np.partition(sims, -most, axis=1)[:, -most]
+                i, j = np.nonzero((sims >= least[:, None] - 1e-12) & (sims > -np.inf))
+                yield pd.DataFrame({"query": q_ids[i], "found": ids[j], "sim": sims[i, j]})
+
+    scored = pairs.mapInPandas(compared, "query long, found long, sim double")
     return top_rows(scored, ["query"], k, F.desc("sim"), "found")
 
 

@@ -47,8 +47,15 @@ def test_corroborated_claims(spark):
     v = {"x": [1.0, 0.0], "y": [0.85, 0.5], "z": [0.0, 1.0]}
     rows = [(1, True, s, 1.0, 1.0, v["x"], i) for i, s in enumerate("abc")] + [(2, True, "a", 1.0, 1.0, v["x"], 1), (2, True, "b", 1.0, 1.0, v["y"], 2), (3, True, "a", 1.0, 1.0, v["x"], 1), (3, True, "b", 1.0, 1.0, v["z"], 2)]
     df = spark.createDataFrame(rows, "entity long, supports boolean, source string, strength double, confidence double, vector array<double>, ord long")
-    got = {r.entity: (r.n_claims, r.best_sources, r.tier) for r in E.corroborated_claims(df).collect()}
-    assert got == {1: (1, 1, "weak"), 2: (1, 2, "moderate"), 3: (2, 1, "weak")}
+    got = {r.entity: (r.corroborated_claims, r.sources, r.tier) for r in E.corroborated_claims(df).collect()}
+    assert got == {1: (0, 1, "weak"), 2: (1, 2, "moderate"), 3: (0, 1, "weak")}
+    against = [(4, False, s, 1.0, 1.0, v["x"], i) for i, s in enumerate("ab")] + [(4, True, "c", 0.1, 1.0, v["z"], 9), (4, False, "b", 1.0, 1.0, v["y"], 5)]
+    more = spark.createDataFrame(against, df.schema)
+    assert [(r.supports, r.claim, r.sources) for r in E.corroborated_claims(more).collect()] == [(False, 0, 1)]  # one representative a source
+    items = {r.ord: (r.claim, r.sources) for r in E.claim_items(more).collect()}
+    assert items == {0: (0, 1), 1: (0, 1), 5: (0, 1), 9: (9, 1)}
+    early = spark.createDataFrame([(5, True, f"s{i}", 0.1, 1.0, v["x"] if i < 300 else v["z"], i) for i in range(301)] + [(5, True, "late", 1.0, 1.0, v["z"], 999)], df.schema)
+    assert {r.claim for r in E.claim_items(early).collect()} == {0}  # the first in order, not the strongest
 
 
 def test_alias_keys(spark):

@@ -109,10 +109,14 @@ def test_date_conflicts(spark):
 def test_incidents(spark):
     rows = [(1, "strike", "2024-05-10", ["A", "B", "C"], 0.4), (2, "strike", "2024-05-16", ["a", "b", "c"], 0.9), (3, "strike", "2024-06-01", ["A", "B", "C"], 0.1), (4, "other", "2024-05-10", ["A", "B", "C"], 0.1), (5, "strike", "2024-05-11", ["X"], 0.2)]
     df = spark.createDataFrame(rows, "event long, event_type string, date string, participants array<string>, confidence double")
-    leaders = events.incident_leaders(df, ["event_type"])
+    leaders = events.incident_leaders(df)
     assert {tuple(r) for r in leaders.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
     top = {r.leader: r for r in events.merged_incidents(df, leaders).collect()}[1]
     assert (top.n, top.confidence, top.participants) == (2, 0.9, ["A", "B", "C"])
+    named = spark.createDataFrame([(1, "Strike on the port", [1.0, 0.1], "2024-05-10"), (5, "Port strike", [1.0, 0.2], "2024-05-11"), (6, "Port strike", [1.0, 0.2], "2023-05-11"), (7, "A port deal", [0.0, 1.0], "2024-05-10")], "event long, name string, vector array<double>, date string")
+    alike = events.alike_names(named)
+    assert {tuple(r) for r in alike.collect()} == {(1, 5)}
+    assert {tuple(r) for r in events.incident_leaders(df, events.same_incidents(df).union(alike)).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 1)}
 
 
 RULE = {"name": "r1", "windowDays": 30, "steps": [{"types": ["sanctions"]}, {"types": ["financial_crime"], "keywords": ["transfer"]}]}
@@ -130,7 +134,44 @@ def test_patterns(spark):
     got = {tuple(r.chain): r.bridges for r in cep.match_rule(df, RULE, edges(spark, [("A", "B")])).collect()}
     assert got.keys() == {(1, 2), (1, 3)} and "B" in got[1, 2]
     hub = edges(spark, [("A", "B"), *[("A", f"h{i}") for i in range(40)]])
-    assert [r.chain for r in cep.match_rule(df, RULE, hub).collect()] == [[1, 3]]
+    assert cep.match_rule(df, RULE, hub).count() == 0  # a hub links nothing, not even two events that share it
+    assert [tuple(r.chain) for r in cep.match_rule(df, RULE, edges(spark, [("A", "B")]), ["C"]).collect()] == [(1, 2)]
+    assert [r.bridges for r in cep.match_rule(df, RULE, edges(spark, [("A", "B")]), ["B"]).collect()] == [["B"]]
+    late = cep.match_rules(df, [RULE], edges(spark, [("A", "B")]), since="2024-01-22")
+    assert [r.chain for r in late.collect()] == [[1, 3]]
+    twice = cep.match_rules(df, [RULE, {**RULE, "name": "r2"}], edges(spark, [("A", "B")]))
+    assert {r.rule for r in twice.collect()} == {"r1"} and [r.chain for r in cep.latest(twice, 1).collect()] == [[1, 3]]
+
+
+def test_impact(spark):
+    pairs = [("X", "A"), ("X", "B"), ("X", "C"), ("A", "B"), ("B", "C"), ("C", "D"), ("D", "E")]
+    e = spark.createDataFrame([(a, b, 4.0) for a, b in pairs], "src string, dst string, weight double")
+    event = spark.createDataFrame([(1, ["X"], 1.0, 1.0), (2, ["nobody"], 1.0, 1.0)], "event long, touched array<string>, strength double, recency double")
+    got = {r.node: r for r in inference.impact(event, e, watched=["D"]).collect()}
+    assert got.keys() == {"A", "B", "C", "D"} and got["A"].hops == 1 and got["D"].hops == 2 and got["A"].score > got["D"].score
+    assert got["D"].watched and got["C"].broker and not got["A"].broker
+    assert all(r.score == pytest.approx(abs(r.delta) * 0.7**r.hops * (1.5 if r.watched else 1.0)) for r in got.values())
+    loose = spark.createDataFrame([*[(a, b, 4.0) for a, b in pairs], ("X", "F", 0.0)], "src string, dst string, weight double")
+    assert {r.node: r.score for r in inference.impact(event, loose).collect()}["F"] == pytest.approx(0.0, abs=1e-12)
+    few = spark.createDataFrame([("X", "A", 1.0), ("A", "B", 1.0)], "src string, dst string, weight double")
+    assert {r.node: r.score for r in inference.impact(event, few).collect()} == {"A": 0.7, "B": pytest.approx(0.49)}
+    known = spark.createDataFrame([("A", 0.9)], "node string, prob double")
+    assert {r.node: r.delta for r in inference.impact(event, e, known).collect()}["A"] != got["A"].delta
+
+
+def test_ripple_keeps_the_nearest(spark):
+    pairs = [("X", f"n{i:03}") for i in range(300)] + [(f"n{i:03}", f"m{i:03}") for i in range(250)] + [("Y", "X")]
+    event = spark.createDataFrame([(1, ["X", "Y"]), (2, ["n000"])], "event long, touched array<string>")
+    rows = inference.ripple(event, edges(spark, pairs), most=60).collect()
+    one = {r.node: r.hops for r in rows if r.event == 1}
+    assert one == {"X": 0, "Y": 0, **{f"n{i:03}": 1 for i in range(60)}}
+    two = {r.node: r.hops for r in rows if r.event == 2}
+    assert len(two) == 61 and two["X"] == 1 == two["m000"] and two["n001"] == 2 and "Y" not in two
+
+
+def test_long_chains_have_no_bound(spark):
+    e = edges(spark, [(f"v{i:03}", f"v{i + 1:03}") for i in range(130)])
+    assert graph.hops(e, spark.createDataFrame([("v000",)], "node string")).agg({"hops": "max"}).first()[0] == 130
 
 
 def test_stories_fire_once(spark):
