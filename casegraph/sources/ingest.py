@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_SPLIT_CHARS = 3000
@@ -37,6 +37,19 @@ def combined_payload(articles: DataFrame, entity: str) -> DataFrame:
     return rows.groupBy("run").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key.alias("key"), "text")))).alias("articles"))
 
 
+def titles(articles: DataFrame) -> DataFrame:
+    """Articles with a title, without their bodies: what a first look at a query's results needs."""
+    title = F.trim(F.coalesce("title", F.lit("")))
+    return articles.filter(title != "").select("ord", "run", "publisher", title.alias("title"))
+
+
+def property_text(properties: Column) -> Column:
+    """A map of properties, each with several values, as lines ``name: value, value`` by name."""
+    filled = F.transform(F.array_sort(F.map_entries(properties)), lambda e: F.struct(e["key"].alias("key"), F.filter(e["value"], lambda x: x.isNotNull() & (F.trim(x) != "")).alias("value")))
+    lines = F.transform(F.filter(filled, lambda e: F.size(e["value"]) > 0), lambda e: F.concat(e["key"], F.lit(": "), F.array_join(e["value"], ", ")))
+    return F.array_join(lines, "\n")
+
+
 def split_text(text: str, most: int = MAX_SPLIT_CHARS) -> list[str]:
     """Paragraphs packed into pieces of at most ``most`` characters; longer ones are cut."""
     pieces: list[str] = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.operators.picks import last_wins
@@ -43,6 +43,28 @@ def decoded(rows: DataFrame, schema: str) -> DataFrame:
     return parsed.select("r.*", F.map_filter("m", lambda k, v: ~k.isin(known)).alias("extra"))
 
 
+def migrated(legacy: DataFrame, target: DataFrame) -> DataFrame:
+    """The target's sessions, or those of a legacy store where the target has none yet: the
+    last record of each.  Both: session_id, ord and the same other columns."""
+    empty = target.agg((F.count("*") == 0).alias("_empty"))
+    taken = last_wins(legacy.select(*target.columns), ["session_id"], "ord").crossJoin(F.broadcast(empty)).filter("_empty").drop("_empty")  # one row
+    return target.unionByName(taken)
+
+
+def enriched(entities: DataFrame, providers: list[tuple[str, Column, DataFrame]]) -> DataFrame:
+    """Entities with ``provider`` and what the first provider that applies and knows them has found.
+
+    ``entities`` have a ``key``; a provider is its name, the condition on an entity under
+    which it applies, and its answers so far: key, found.
+    """
+    out = entities.withColumns({"provider": F.lit(None).cast("string"), "found": F.lit(None).cast("string")})
+    for name, applies, answers in providers:
+        known = answers.select(F.col("key").alias("_k"), F.col("found").alias("_f"))
+        out = out.join(known, F.col("provider").isNull() & applies & (F.col("key") == F.col("_k")), "left")
+        out = out.withColumns({"provider": F.coalesce("provider", F.when(F.col("_k").isNotNull(), F.lit(name))), "found": F.coalesce("found", "_f")}).drop("_k", "_f")
+    return out
+
+
 def artifact_index(names: DataFrame) -> DataFrame:
     """``base, name, id``: one artifact of each base name, the enriched one if there is one."""
     base = F.regexp_replace("name", r"(\.enriched)?\.json$", "")

@@ -51,7 +51,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("ord"),
         F.col("lang").alias("run"),
         F.col("source").alias("publisher"),
-        F.substring(F.split("text", "\n")[0], 1, 80).alias("title"),
+        F.split("text", "\n")[0].alias("title"),
         F.when(~lost, F.col("text")).alias("text"),
         F.when(lost, F.lit("403")).alias("error"),
     )
