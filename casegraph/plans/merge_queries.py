@@ -5,22 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegraph.operators import merge as M
+from casegraph.plans.register import register
 from casegraph.sources.tables import table
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under a name, with its SQL twin."""
-
-    def add(function):
-        QUERIES[name] = function
-        if sql:
-            SQL[name] = sql
-        return function
-
-    return add
+QUERIES, SQL, query = register()
 
 
 _NAME = "CASE p_partkey % 4 WHEN 0 THEN 'The ' || p_name || ' ' || p_brand WHEN 1 THEN p_name || ' ' || p_brand WHEN 2 THEN replace(p_name, ' ', '-') || '.' || p_brand ELSE p_name || ' ' || p_brand || ' Group' END"
@@ -70,11 +58,11 @@ def udf_self_dedup(spark, d):
     return M.self_dedup(spark.sql(f"SELECT p_partkey AS id, {_NAME} AS name FROM part"))
 
 
-@query("udf_retrieve", "WITH q AS (SELECT * FROM embeddings WHERE vec_id < 5), p AS (SELECT q.vec_id AS query, e.vec_id AS found, list_cosine_similarity(q.embedding, e.embedding) AS sim, e.label % 2 AS side FROM q JOIN embeddings e ON e.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query, side ORDER BY sim DESC, found) AS r FROM p) SELECT query, found, round(sim, 4) AS sim FROM k WHERE r <= 10")
+@query("udf_retrieve", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q.vec_id AS query, e.vec_id AS found, list_cosine_similarity(q.embedding, e.embedding) AS sim, e.label % 2 AS side FROM q JOIN embeddings e ON e.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query, side ORDER BY sim DESC, found) AS r FROM p) SELECT query, found, round(sim, 4) AS sim FROM k WHERE r <= 10")
 def udf_retrieve(spark, d):
-    """Hybrid retrieval: ten entities and ten relations for each query."""
+    """Hybrid retrieval: ten entities and ten relations for every twentieth vector."""
     e = table(spark, d, "embeddings")
-    return M.retrieve(e.filter("vec_id < 5"), e.filter("label % 2 = 0"), e.filter("label % 2 = 1"), "hybrid").select("query", "found", F.round("sim", 4).alias("sim"))
+    return M.retrieve(e.filter("vec_id % 20 = 0"), e.filter("label % 2 = 0"), e.filter("label % 2 = 1"), "hybrid").select("query", "found", F.round("sim", 4).alias("sim"))
 
 
 @query("gr_connector")
@@ -95,7 +83,7 @@ def gr_key_network(spark, d):
 
     e = _edges(spark, d).withColumn("type", F.lit("affiliation"))
     n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    seed = table(spark, d, "customer").filter("c_custkey % 3 = 0").orderBy(F.desc("c_acctbal"), "c_custkey").limit(6)
+    seed = table(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(6)
     return M.connector(n, e, seed.select(F.concat(F.lit("C"), "c_custkey").alias("node")), 4, 2)[0].select("a", "b", "hops", F.array_join("path", ">").alias("path"))
 
 

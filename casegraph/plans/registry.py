@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegraph.plans import graph_queries, merge_queries, report_queries, scalar_queries, table_queries
+from casegraph.plans import graph_queries, merge_queries, record_queries, report_queries, scalar_queries, table_queries
 
-_MODULES = [scalar_queries, table_queries, graph_queries, report_queries, merge_queries]
+_MODULES = [scalar_queries, table_queries, graph_queries, report_queries, merge_queries, record_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

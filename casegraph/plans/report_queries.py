@@ -8,29 +8,17 @@ from pyspark.sql import functions as F
 from casegraph.functions.names import found
 from casegraph.operators import projections as J
 from casegraph.operators.picks import first_wins, top_rows
+from casegraph.plans.register import register
 from casegraph.sources import ingest, stores
 from casegraph.sources.tables import affiliations, articles, events, table
 
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES, SQL, query = register()
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query under a name, with its SQL twin."""
-
-    def add(function):
-        QUERIES[name] = function
-        if sql:
-            SQL[name] = sql
-        return function
-
-    return add
-
-
-@query("src_query_trim", "SELECT doc_id, array_to_string(list_slice(regexp_extract_all(substr(text, 1, 300), '[A-Za-z]{4,}'), 1, 6), ' ') AS q FROM documents")
+@query("src_query_trim", "SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z]{4,}'), 1, 6), ' ') AS q FROM documents")
 def src_query_trim(spark, d):
     """A query of the first six distinctive words of each document."""
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(found(F.substring("text", 1, 300), "[A-Za-z]{4,}"), 1, 6), " ").alias("q"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(found(F.col("text"), "[A-Za-z]{4,}"), 1, 6), " ").alias("q"))
 
 
 @query("src_fan_in", "SELECT doc_id AS ord, 'news' AS provenance FROM documents WHERE doc_id % 7 <> 3 AND length(trim(text)) > 0 UNION ALL SELECT page_id, 'pages' FROM pages WHERE length(trim(regexp_replace(regexp_replace(html, '<(?:script[^>]*>[\\s\\S]*?</script|style[^>]*>[\\s\\S]*?</style)>', '', 'g'), '<.*?>', '', 'g'))) > 0")
@@ -191,11 +179,11 @@ def agg_store_stats(spark, d):
     return c.crossJoin(table(spark, d, "orders").agg(F.count("*").alias("edges"))).crossJoin(table(spark, d, "events").agg(F.count("*").alias("events")))  # one row each
 
 
-@query("jn_run_articles", "WITH e AS (SELECT l_suppkey AS entity, unnest(string_split_regex('doc' || l_partkey % 300 || CASE WHEN l_partkey % 2 = 0 THEN '; doc' ELSE ', doc' END || l_orderkey % 300, '[;,]\\s*')) AS doc FROM lineitem WHERE l_quantity > 45), a AS (SELECT 'doc' || doc_id AS doc, lang AS run FROM documents) SELECT entity, run, count(DISTINCT e.doc) AS n FROM e JOIN a ON a.doc = e.doc GROUP BY 1, 2")
+@query("jn_run_articles", "WITH e AS (SELECT l_suppkey AS entity, unnest(string_split_regex('doc' || l_partkey % 300 || CASE WHEN l_partkey % 2 = 0 THEN '; doc' ELSE ', doc' END || l_orderkey % 300, '[;,]\\s*')) AS doc FROM lineitem), a AS (SELECT 'doc' || doc_id AS doc, lang AS run FROM documents) SELECT entity, run, count(DISTINCT e.doc) AS n FROM e JOIN a ON a.doc = e.doc GROUP BY 1, 2")
 def jn_run_articles(spark, d):
     """Evidence met with the articles of each run, several ids in a field."""
     ids = F.concat(F.lit("doc"), F.col("l_partkey") % 300, F.when(F.col("l_partkey") % 2 == 0, "; doc").otherwise(", doc"), F.col("l_orderkey") % 300)
-    e = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("entity"), F.explode(F.split(ids, r"[;,]\s*")).alias("doc"))
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), F.explode(F.split(ids, r"[;,]\s*")).alias("doc"))
     a = table(spark, d, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("doc"), F.col("lang").alias("run"))
     return e.join(a, "doc").groupBy("entity", "run").agg(F.countDistinct("doc").alias("n"))
 
@@ -208,14 +196,13 @@ def jn_kb(spark, d):
     return j.filter(F.col("first").isNull() | (F.col("first") <= F.lit("1995-06-01").cast("date"))).select("c_custkey", F.col("first").cast("string").alias("first_seen"))
 
 
-@query("jn_attested", "WITH m AS (SELECT l_orderkey AS theme, list_sort(list(DISTINCT 'S' || l_suppkey)) AS members FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1), p AS (SELECT theme, members[i] AS a, members[j] AS b FROM m, range(1, 60) x(i), range(1, 60) y(j) WHERE i < j AND j <= len(members)), e AS (SELECT DISTINCT least('S' || a.l_suppkey, 'S' || b.l_suppkey) AS a, greatest('S' || a.l_suppkey, 'S' || b.l_suppkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_orderkey >= 2000 AND a.l_quantity > 48) SELECT theme, count(*) AS attested FROM p JOIN e ON p.a = e.a AND p.b = e.b GROUP BY theme")
+@query("jn_attested", "WITH m AS (SELECT l_orderkey AS theme, list_sort(list(DISTINCT 'S' || l_suppkey)) AS members FROM lineitem GROUP BY 1), p AS (SELECT theme, members[i] AS a, members[j] AS b FROM m, range(1, 60) x(i), range(1, 60) y(j) WHERE i < j AND j <= len(members)), e AS (SELECT DISTINCT least('S' || a.l_suppkey, 'S' || b.l_suppkey) AS a, greatest('S' || a.l_suppkey, 'S' || b.l_suppkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_quantity > 48) SELECT theme, count(*) AS attested FROM p JOIN e ON p.a = e.a AND p.b = e.b GROUP BY theme")
 def jn_attested(spark, d):
-    """How many pairs of a theme's members an edge attests."""
+    """How many pairs of a theme's members an edge attests, which a large line item makes."""
     x = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("S"), "l_suppkey").alias("s"), "l_quantity")
-    m = x.filter("l_orderkey < 2000").select(F.col("l_orderkey").alias("theme"), F.col("s").alias("a")).distinct()
+    m = x.select(F.col("l_orderkey").alias("theme"), F.col("s").alias("a")).distinct()
     p = m.join(m.withColumnRenamed("a", "b"), "theme").filter("a < b")
-    rest = x.filter("l_orderkey >= 2000")
-    e = rest.filter("l_quantity > 48").select("l_orderkey", F.col("s").alias("x")).distinct().join(rest.select("l_orderkey", F.col("s").alias("y")).distinct(), "l_orderkey").filter("x <> y")
+    e = x.filter("l_quantity > 48").select("l_orderkey", F.col("s").alias("x")).distinct().join(x.select("l_orderkey", F.col("s").alias("y")).distinct(), "l_orderkey").filter("x <> y")
     e = e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return p.join(e, ["a", "b"]).groupBy("theme").agg(F.count("*").alias("attested"))
 

@@ -7,22 +7,10 @@ from pyspark.sql import functions as F
 
 from casegraph.functions import dates, names, scores, text
 from casegraph.operators import predicates as P
+from casegraph.plans.register import register
 from casegraph.sources.tables import articles, table
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under a name, with its SQL twin."""
-
-    def add(function):
-        QUERIES[name] = function
-        if sql:
-            SQL[name] = sql
-        return function
-
-    return add
+QUERIES, SQL, query = register()
 
 
 def quoted(values: list[str]) -> str:
@@ -73,12 +61,12 @@ def fn_token_run(spark, d):
 
 
 @query("fn_anchor_tokens", f"""
-WITH a AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(upper(regexp_replace(substr(text, 1, 200), '[^ -~]', '', 'g')), '[A-Za-z][A-Za-z0-9&-]{{3,}}'), lambda w: regexp_replace(w, 'S+$', '')),
+WITH a AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(upper(regexp_replace(text, '[^ -~]', '', 'g')), '[A-Za-z][A-Za-z0-9&-]{{3,}}'), lambda w: regexp_replace(w, 'S+$', '')),
    lambda w: length(w) >= 5 AND NOT list_contains({quoted(names.ANCHOR_STOPS)}, w))) AS t FROM documents)
 SELECT doc_id, array_to_string(list_sort(t), ' ') AS tokens FROM a""")
 def fn_anchor_tokens(spark, d):
-    """Distinctive tokens of the head of each document."""
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(names.anchor_tokens(F.regexp_replace(F.substring("text", 1, 200), "[^ -~]", ""))), " ").alias("tokens"))
+    """Distinctive tokens of each document."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(names.anchor_tokens(F.regexp_replace("text", "[^ -~]", ""))), " ").alias("tokens"))
 
 
 _DATES = """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y')
@@ -197,13 +185,13 @@ def flt_names(spark, d):
 
 
 @query("flt_canonical_repair", f"""
-WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:6] AS labels FROM documents),
+WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS labels FROM documents),
 v AS (SELECT doc_id, list_filter(labels, lambda x: len(regexp_split_to_array(trim(x), '\\s+')) <= 7 AND NOT list_has_any(regexp_extract_all(upper(trim(x)), '[A-Z]+'), {quoted(P.HEADLINE_VERBS)})
    AND NOT (len(regexp_extract_all(upper(trim(x)), '[A-Z]+')) > 0 AND list_has_all({quoted(P.GENERIC_TERMS)}, regexp_extract_all(upper(trim(x)), '[A-Z]+')))) AS ok FROM l)
 SELECT doc_id, (SELECT x FROM (SELECT unnest(ok) AS x, generate_subscripts(ok, 1) AS i) ORDER BY length(x), i LIMIT 1) AS canonical FROM v""")
 def flt_canonical_repair(spark, d):
-    """The shortest valid label among a record's first labels."""
-    labels = F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 6)
+    """The shortest valid label among a record's labels."""
+    labels = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     return table(spark, d, "documents").select("doc_id", P.better_canonical(labels).alias("canonical"))
 
 
@@ -219,13 +207,13 @@ def flt_publishers(spark, d):
 
 
 @query("flt_timeline", f"""
-WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Mon, 3 May 2024 10:00:00 GMT' WHEN 1 THEN 'Published article on it' WHEN 2 THEN 'Reported by ' || source ELSE substr(text, 1, 30) END AS e FROM documents),
+WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Mon, 3 May 2024 10:00:00 GMT' WHEN 1 THEN 'Published article on it' WHEN 2 THEN 'Reported by ' || source ELSE text END AS e FROM documents),
 f AS (SELECT doc_id, regexp_matches(trim(e), '(?i)^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),\\s+\\d{{1,2}}\\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\\s+\\d{{4}}') OR list_bool_or(list_transform({quoted(P.PUBLICATION_PREFIXES)}, lambda p: starts_with(lower(trim(e)), p))) AS gone FROM t)
 SELECT count(*) FILTER (gone) AS dropped, count(*) FILTER (NOT gone) AS kept FROM f""")
 def flt_timeline(spark, d):
     """Timeline entries about the articles themselves, dropped and kept."""
     k = F.col("doc_id") % 5
-    e = F.when(k == 0, "Mon, 3 May 2024 10:00:00 GMT").when(k == 1, "Published article on it").when(k == 2, F.concat(F.lit("Reported by "), "source")).otherwise(F.substring("text", 1, 30))
+    e = F.when(k == 0, "Mon, 3 May 2024 10:00:00 GMT").when(k == 1, "Published article on it").when(k == 2, F.concat(F.lit("Reported by "), "source")).otherwise(F.col("text"))
     return table(spark, d, "documents").select(P.publication_entry(e).alias("gone")).agg(F.count_if("gone").alias("dropped"), F.count_if(~F.col("gone")).alias("kept"))
 
 
@@ -256,7 +244,7 @@ def fn_relations(spark, d):
 
 
 @query("src_articles", """
-WITH a AS (SELECT doc_id AS ord, source, substr(string_split(text, chr(10))[1], 1, 80) AS title, CASE WHEN doc_id % 7 <> 3 THEN text END AS body FROM documents)
+WITH a AS (SELECT doc_id AS ord, source, string_split(text, chr(10))[1] AS title, CASE WHEN doc_id % 7 <> 3 THEN text END AS body FROM documents)
 SELECT ord, coalesce(source, 'unknown') || '__' || ord AS key, body IS NOT NULL AND body <> '' AS body_available,
   sha256(CASE WHEN coalesce(body, '') <> '' THEN body ELSE '[HEADLINE ONLY (403)]' || chr(10) || 'Title: ' || trim(title) || chr(10) || 'Publisher: ' || coalesce(source, 'unknown') END) AS text_sha FROM a WHERE coalesce(body, '') <> '' OR trim(coalesce(title, '')) <> ''""")
 def src_articles(spark, d):

@@ -9,22 +9,10 @@ from casegraph.functions import dates, names, text
 from casegraph.operators import evidence as E
 from casegraph.operators import pairs as R
 from casegraph.operators.picks import first_wins, last_wins, merged, page, top_rows
+from casegraph.plans.register import register
 from casegraph.sources.tables import affiliations, articles, events, evidence, table
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under a name, with its SQL twin."""
-
-    def add(function):
-        QUERIES[name] = function
-        if sql:
-            SQL[name] = sql
-        return function
-
-    return add
+QUERIES, SQL, query = register()
 
 
 _EV = "ev AS (SELECT l_suppkey AS entity, l_partkey AS source, l_discount * 10 AS strength, 1 - l_tax AS conf, l_returnflag <> 'R' AS sup, l_orderkey * 10 + l_linenumber AS ord FROM lineitem)"
@@ -301,7 +289,7 @@ def jn_alias_subset(spark, d):
     return subset_aliases(t, t).groupBy("a").agg(F.min("b").alias("b"))
 
 
-@query("jn_company_match", f"""WITH n AS ({_ALIAS}), w AS (SELECT id, list_filter(list_distinct(regexp_extract_all(upper(name), '[A-Z0-9]+')), lambda x: length(x) > 1 AND x <> 'THE') AS t FROM n WHERE id % 5 IN (3, 4)), h AS (SELECT DISTINCT p_type || ' ' || p_name || ' ' || p_brand AS title FROM part WHERE p_partkey % 9 = 0),
+@query("jn_company_match", f"""WITH n AS ({_ALIAS}), w AS (SELECT id, list_filter(list_distinct(regexp_extract_all(upper(name), '[A-Z0-9]+')), lambda x: length(x) > 1 AND x <> 'THE') AS t FROM n), h AS (SELECT DISTINCT p_type || ' ' || p_name || ' ' || p_brand AS title FROM part),
 ht AS (SELECT title, list_filter(list_distinct(regexp_extract_all(upper(title), '[A-Z0-9]+')), lambda x: length(x) > 1) AS t FROM h)
 SELECT id, arg_min(title, abs(len(ht.t) - len(w.t)) || title) AS title FROM w JOIN ht ON CASE WHEN least(len(w.t), len(ht.t)) < 2 THEN list_has_all(w.t, ht.t) AND list_has_all(ht.t, w.t) ELSE list_has_all(w.t, ht.t) OR list_has_all(ht.t, w.t) END GROUP BY id""")
 def jn_company_match(spark, d):
@@ -310,8 +298,8 @@ def jn_company_match(spark, d):
 
     p = table(spark, d, "part")
     p.createOrReplaceTempView("part")
-    register = p.filter("p_partkey % 9 = 0").select(F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("title")).distinct()
-    return match_companies(spark.sql(_ALIAS).filter("id % 5 in (3, 4)"), register).select("id", "title")
+    register = p.select(F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("title")).distinct()
+    return match_companies(spark.sql(_ALIAS), register).select("id", "title")
 
 
 @query("jn_first_seen", f"WITH {_AFF} SELECT a, b, CAST(min(CASE WHEN chunk % 4 <> 0 THEN day END) AS VARCHAR) AS first_seen FROM af GROUP BY a, b")
@@ -324,12 +312,12 @@ def jn_first_seen(spark, d):
     return first_seen(a.select(F.col("a"), F.col("b"), F.col("chunk").alias("url")), known, ["a", "b"]).select("a", "b", F.col("first_seen").cast("string").alias("first_seen"))
 
 
-@query("jn_active_window", """WITH p AS (SELECT DISTINCT event_type || '-' || CAST(ts AS DATE) AS ev, CAST(ts AS DATE) AS day, user_id AS who FROM events WHERE user_id < 40) SELECT x.who AS a, y.who AS b, CAST(min(x.day) AS VARCHAR) AS lo, CAST(max(x.day) AS VARCHAR) AS hi FROM p x JOIN p y ON x.ev = y.ev AND x.who < y.who GROUP BY 1, 2""")
+@query("jn_active_window", """WITH p AS (SELECT DISTINCT event_type || '-' || date_trunc('hour', ts) AS ev, CAST(ts AS DATE) AS day, user_id AS who FROM events) SELECT x.who AS a, y.who AS b, CAST(min(x.day) AS VARCHAR) AS lo, CAST(max(x.day) AS VARCHAR) AS hi FROM p x JOIN p y ON x.ev = y.ev AND x.who < y.who GROUP BY 1, 2""")
 def jn_active_window(spark, d):
     """Span of the events that both ends of a pair took part in."""
     from casegraph.operators.events import active_windows
 
-    p = events(spark, d).filter("actor < 40").select(F.concat_ws("-", "event_type", F.col("day").cast("string")).alias("event"), "day", F.col("actor").alias("who")).distinct()
+    p = events(spark, d).select(F.concat_ws("-", "event_type", F.date_trunc("hour", "ts").cast("string")).alias("event"), "day", F.col("actor").alias("who")).distinct()
     return active_windows(p).select("a", "b", F.col("lo").cast("string").alias("lo"), F.col("hi").cast("string").alias("hi"))
 
 
@@ -361,11 +349,11 @@ def jn_anti_jobs(spark, d):
     return jobs.withColumn("kind", F.lit("job")).union(done.withColumn("kind", F.lit("artifact")))
 
 
-@query("jn_metrics", """WITH a AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45), b AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45)
+@query("jn_metrics", """WITH a AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'N')
 SELECT count(*) AS same, (SELECT count(DISTINCT (s, p)) FROM a WHERE s IN (SELECT s FROM b) OR p IN (SELECT p FROM b)) AS touching FROM a JOIN b ON a.s = b.s AND a.p = b.p""")
 def jn_metrics(spark, d):
     """Edges of one graph that are in another, and that touch it at either end."""
-    x = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), "l_returnflag")
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), "l_returnflag")
     a, b = (x.filter(F.col("l_returnflag") == f).select("s", "p").distinct() for f in "AN")
     same = a.join(b, ["s", "p"], "left_semi").agg(F.count("*").alias("same"))
     touching = a.join(b.select("s").distinct(), "s", "left_semi").select("s", "p").union(a.join(b.select("p").distinct(), "p", "left_semi").select("s", "p")).distinct().agg(F.count("*").alias("touching"))
