@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,9 @@ def materialize(df: DataFrame, name: str, owner: str = "query") -> DataFrame:
 def forget_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what Python has let go reaches the JVM with the first call
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def release(spark: SparkSession, owner: str = "query") -> None:
