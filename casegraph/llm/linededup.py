@@ -168,7 +168,7 @@ def dedup_lines(
     *,
     key: str = "doc_id",
     text: str = "text",
-    max_shared: int = 250_000,
+    max_shared: int = 1_000_000,
     passage_words: int | None = PASSAGE_WORDS,
     owner: str = "query",
 ) -> DataFrame:
@@ -186,7 +186,7 @@ def dedup_lines(
     are one document and keep the same chunks.  An empty table gives an empty table.
     Input columns of the added names are replaced.  ``max_shared`` is the number of
     repeated digests, and of places of them, up to which they are broadcast (64 bytes each,
-    16 MB at the default).
+    64 MB at the default).
     """
     names = docs.columns
     row = (F.xxhash64(key, text).alias("_a"), F.xxhash64(text, key, F.octet_length(text)).alias("_b"))
