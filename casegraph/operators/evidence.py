@@ -27,14 +27,16 @@ def assess(evidence: DataFrame) -> DataFrame:
     """``entity, prob, n_sources, tier`` from rows of entity, source, strength, confidence, supports.
 
     The signal is the mean of the signed strengths by confidence; several sources on the
-    winning side amplify it.  Rows without confidence do not vote.
+    winning side amplify it.  Rows without confidence do not vote.  Rows are summed by
+    source first, so that each source is counted where it is.
     """
     sign = F.when(F.col("supports"), 1.0).otherwise(-1.0)
     strength = F.coalesce("strength", F.lit(0.0))
     votes = evidence.filter(F.col("confidence") > 0)
-    backing = lambda side: F.countDistinct(F.when(side & (strength > 0), F.col("source")))
-    sums = votes.groupBy("entity").agg(
-        (F.sum(sign * strength * F.col("confidence")) / F.sum("confidence")).alias("signal"),
+    sides = votes.groupBy("entity", "source", "supports").agg(F.sum(sign * strength * F.col("confidence")).alias("signed"), F.sum("confidence").alias("weight"), F.max(strength).alias("most"))
+    backing = lambda side: F.count_if(side & (F.col("most") > 0) & F.col("source").isNotNull())
+    sums = sides.groupBy("entity").agg(
+        (F.sum("signed") / F.sum("weight")).alias("signal"),
         backing(F.col("supports")).alias("pro"),
         backing(~F.col("supports")).alias("con"),
     )

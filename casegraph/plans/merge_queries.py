@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegraph.operators import merge as M
+from casegraph.plans.graph_queries import _EDGES
 from casegraph.plans.register import register
 from casegraph.sources.tables import table
 
@@ -51,7 +52,9 @@ def udf_groups(spark, d):
     return M.name_groups(_named(spark, d, "true"))
 
 
-@query("udf_self_dedup")
+@query("udf_self_dedup", f"""WITH RECURSIVE n AS (SELECT p_partkey AS id, {_NAME} AS name FROM part), t AS (SELECT id, list_sort(list_filter(list_distinct(regexp_extract_all(replace(upper(name), '.', ''), '[A-Z0-9]+')), lambda x: x NOT IN ('THE', 'A', 'AN', 'OF', 'FOR', 'AND', 'TO', 'IN', 'ON'))) AS t FROM n),
+u AS (SELECT t, min(id) AS leader FROM t GROUP BY t), e AS (SELECT a.leader AS a, b.leader AS b FROM u a JOIN u b ON len(a.t) >= 2 AND len(a.t) < len(b.t) AND list_has_all(b.t, a.t)), bi AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT leader AS x, leader AS c FROM u UNION SELECT bi.b, r.c FROM r JOIN bi ON bi.a = r.x), m AS (SELECT x, min(c) AS c FROM r GROUP BY x) SELECT t.id, m.c AS leader FROM t JOIN u ON u.t = t.t JOIN m ON m.x = u.leader""")
 def udf_self_dedup(spark, d):
     """Parts of one name by tokens."""
     table(spark, d, "part").createOrReplaceTempView("part")
@@ -76,7 +79,10 @@ def gr_connector(spark, d):
     return M.connector(n, e, chosen)[1]
 
 
-@query("gr_key_network")
+@query("gr_key_network", f"""WITH {_EDGES}, top AS (SELECT 'C' || c_custkey AS node FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 6), pr AS (SELECT x.node AS a, y.node AS b FROM top x JOIN top y ON x.node < y.node), p1 AS (SELECT src AS a, dst AS z, [src, dst] AS path FROM gb WHERE src IN (SELECT a FROM pr)),
+p2 AS (SELECT a, dst AS z, list_append(path, dst) AS path FROM p1 JOIN gb ON src = z WHERE NOT list_contains(path, dst)), p3 AS (SELECT a, dst AS z, list_append(path, dst) AS path FROM p2 JOIN gb ON src = z WHERE NOT list_contains(path, dst)),
+p4 AS (SELECT p3.a, dst AS z, list_append(path, dst) AS path FROM p3 JOIN gb ON src = z JOIN pr ON pr.a = p3.a AND pr.b = dst WHERE NOT list_contains(path, dst)), al AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)
+SELECT al.a, pr.b, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM al JOIN pr ON pr.a = al.a AND pr.b = al.z QUALIFY row_number() OVER (PARTITION BY al.a, pr.b ORDER BY len(path), path) <= 2""")
 def gr_key_network(spark, d):
     """The connector of the highest-scored entities."""
     from casegraph.plans.graph_queries import _edges

@@ -308,6 +308,47 @@ def src_migrated(spark, d):
     return stores.migrated(o, o.limit(0))
 
 
+@query("src_sessions", "SELECT CAST(o_custkey AS VARCHAR) AS session_id, CASE WHEN o_custkey % 2 = 0 THEN max(o_orderkey) ELSE min(o_orderkey) END AS ord, o_custkey % 2 = 0 AS changed FROM orders GROUP BY o_custkey")
+def src_sessions(spark, d):
+    """Sessions added once and then changed, the last change counting."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("session_id"), F.col("o_orderkey").alias("ord"), "o_custkey")
+    first = o.groupBy("session_id").agg(F.min("ord").alias("ord")).withColumn("changed", F.lit(False))
+    store = stores.added(first.limit(0), first)
+    changes = o.filter("o_custkey % 2 = 0").select("session_id", "ord", F.lit(True).alias("changed"))
+    strangers = o.select(F.concat(F.lit("x"), "session_id").alias("session_id"), "ord", F.lit(True).alias("changed"))
+    return stores.updated(stores.added(store, first.withColumn("ord", F.lit(-1).cast("long"))), changes.union(strangers))
+
+
+@query("src_jobs", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'failed' END AS state, CASE WHEN o_orderstatus <> 'F' THEN 'interrupted' END AS error, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first_of_key FROM orders")
+def src_jobs(spark, d):
+    """Jobs after a restart, and the job that each key has."""
+    o = table(spark, d, "orders")
+    state = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "running").otherwise("queued")
+    jobs = stores.recovered(o.select(F.col("o_orderkey").alias("id"), state.alias("state"), F.lit(None).cast("string").alias("error"), F.col("o_custkey").alias("key")))
+    half = o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"))
+    firsts = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("id"))
+    known = half.join(firsts, (half["key"] == firsts["o_custkey"]) & (half["id"] == firsts["id"]), "left_semi")
+    taken = stores.accepted(o.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ord")), known)
+    return jobs.join(taken.select("key", F.col("id").alias("first_of_key")), "key").select("id", "state", "error", "first_of_key")
+
+
+@query("src_backlog", "SELECT event_type AS stage, event_id AS done, CAST(10000 AS BIGINT) AS total FROM events WHERE event_id % 3 = 0 AND event_id > 100")
+def src_backlog(spark, d):
+    """Progress that a reader has missed."""
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), "event_type", F.lit("] "), "event_id", F.lit("/10000"))).otherwise("noise")
+    return stores.backlog(table(spark, d, "events").select(F.col("event_id").alias("no"), line.alias("line")), 100)
+
+
+@query("src_review", f"""WITH n AS ({_NAMED}), k AS (SELECT DISTINCT upper(name) AS name, id % 2 AS half, list_sort(list_filter(list_distinct(regexp_extract_all(replace(upper(name), '.', ''), '[A-Z0-9]+')), lambda x: x NOT IN ('THE', 'A', 'AN', 'OF', 'FOR', 'AND', 'TO', 'IN', 'ON'))) AS t FROM n),
+x AS (SELECT DISTINCT name, t FROM k WHERE half = 0 AND name NOT IN (SELECT name FROM k WHERE half = 1)), y AS (SELECT DISTINCT name, t FROM k WHERE half = 1) SELECT DISTINCT x.name, y.name AS canonical FROM x JOIN y ON len(x.t) <> len(y.t) AND least(len(x.t), len(y.t)) >= 2 AND (list_has_all(x.t, y.t) OR list_has_all(y.t, x.t))""")
+def src_review(spark, d):
+    """Names for a person to look at before they are merged."""
+    table(spark, d, "part").createOrReplaceTempView("part")
+    n = spark.sql(_NAMED)
+    known = n.filter("id % 2 = 1").select(F.upper("name").alias("alias"), F.upper("name").alias("canonical")).distinct()
+    return stores.review_rows(n.filter("id % 2 = 0"), known)
+
+
 @query("src_enriched", "SELECT p_partkey, CASE WHEN s_suppkey IS NOT NULL THEN 'supplier' END AS provider, s_name AS found FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 300 AND p_partkey % 2 = 0")
 def src_enriched(spark, d):
     """Entities enriched by the first provider that applies to them."""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegraph.functions.names import name_tokens
 from casegraph.operators.picks import last_wins
+from casegraph.operators.resolve import subset_aliases
 
 #: Work by hosts of the domain presets: id, label, hypothesis.
 PRESETS = [("general", "General", "The subject is involved in the events reported."), ("sanctions", "Sanctions", "The subject evades sanctions."), ("fraud", "Fraud", "The subject takes part in a fraud.")]
@@ -43,6 +45,81 @@ def decoded(rows: DataFrame, schema: str) -> DataFrame:
     return parsed.select("r.*", F.map_filter("m", lambda k, v: ~k.isin(known)).alias("extra"))
 
 
+def added(store: DataFrame, new: DataFrame) -> DataFrame:
+    """The store with new sessions; those that it has already are left as they are."""
+    fresh = last_wins(new.join(store.select("session_id"), "session_id", "left_anti").select(*store.columns), ["session_id"], "ord")
+    return store.unionByName(fresh)
+
+
+def updated(store: DataFrame, changes: DataFrame) -> DataFrame:
+    """The store with the last change of each session that it has; others are not made."""
+    known = changes.join(store.select("session_id"), "session_id", "left_semi").select(*store.columns)
+    kept = store.join(known.select("session_id").distinct(), "session_id", "left_anti").select(*store.columns)
+    return kept.unionByName(last_wins(known, ["session_id"], "ord"))
+
+
+def field_of(store: DataFrame, session: str, field: str) -> DataFrame:
+    """One row with a field of a session's JSON record, null without it; none without the session."""
+    return store.filter(F.col("session_id") == session).select(F.get_json_object("record", f"$.{field}").alias("value"))
+
+
+def save_collections(collections: dict[str, DataFrame], path: str) -> int:
+    """The collections as the next version of a store; readers see it once all are written."""
+    spark = next(iter(collections.values())).sparkSession
+    version = (latest_version(spark, path) or 0) + 1
+    for name, rows in collections.items():
+        rows.write.parquet(f"{path}/version={version}/{name}")
+    spark.createDataFrame([(sorted(collections),)], "names array<string>").write.parquet(f"{path}/version={version}/_complete")
+    return version
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The last version of a store that was written to its end."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_complete/_SUCCESS")
+    found = done.getFileSystem(conf).globStatus(done) or []
+    return max((int(str(x.getPath()).rsplit("version=", 1)[1].split("/")[0]) for x in found), default=None)
+
+
+def load_collections(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The collections of the last version, empty ones where nothing was saved."""
+    version = latest_version(spark, path)
+    if version is None:
+        return {name: spark.createDataFrame([], schema) for name, schema in schemas.items()}
+    return {name: spark.read.schema(schema).parquet(f"{path}/version={version}/{name}") for name, schema in schemas.items()}
+
+
+def review_rows(names: DataFrame, known: DataFrame) -> DataFrame:
+    """``name, canonical``: names that a registry mints although their tokens stand in a known
+    one, or the other way about, for a person to look at; nothing is merged.
+
+    ``names``: name; ``known``: alias (upper case), canonical.
+    """
+    minted = names.select(F.upper("name").alias("name")).distinct().join(known.select(F.col("alias").alias("name")), "name", "left_anti")
+    one = minted.select(F.col("name").alias("id"), name_tokens(F.col("name")).alias("tokens"))
+    two = known.select(F.col("alias").alias("id"), name_tokens(F.col("alias")).alias("tokens"))
+    pairs = subset_aliases(one, two).union(subset_aliases(two, one).select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(known.select(F.col("alias").alias("b"), "canonical"), "b").select(F.col("a").alias("name"), "canonical").distinct()
+
+
+def recovered(jobs: DataFrame) -> DataFrame:
+    """Jobs after a restart: those that ran or waited have failed.  ``jobs``: id, state, error."""
+    lost = F.col("state").isin("running", "queued")
+    return jobs.withColumns({"error": F.when(lost, F.lit("interrupted")).otherwise(F.col("error")), "state": F.when(lost, F.lit("failed")).otherwise(F.col("state"))})
+
+
+def accepted(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``key, id``: the job of each request: the one that its key has already, else its own first."""
+    own = requests.groupBy("key").agg(F.min_by("id", "ord").alias("own"))
+    had = jobs.groupBy("key").agg(F.min("id").alias("had"))
+    return own.join(had, "key", "left").select("key", F.coalesce("had", "own").alias("id"))
+
+
+def backlog(lines: DataFrame, after: int) -> DataFrame:
+    """Progress of a job that a reader who has seen line ``after`` has missed.  ``lines``: no, line."""
+    return progress(lines.filter(F.col("no") > after))
+
+
 def migrated(legacy: DataFrame, target: DataFrame) -> DataFrame:
     """The target's sessions, or those of a legacy store where the target has none yet: the
     last record of each.  Both: session_id, ord and the same other columns."""
