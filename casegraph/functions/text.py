@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casegraph.functions.names import literals
-
 
 def host(url: Column) -> Column:
     """Lower-case host of a URL without ``www.``."""
@@ -22,17 +20,14 @@ def without_controls(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[\\x00-\\x1F]", ""), " ", " ")
 
 
-def one_line(text: Column) -> Column:
-    return F.regexp_replace(text, "[\\n\\r\\t]", "")
-
-
 def short_url(url: Column, width: int = 60) -> Column:
     bare = F.regexp_replace(url, "^https?://(www\\.)?", "")
     return F.when(F.length(bare) > width, F.concat(F.substring(bare, 1, width - 3), F.lit("..."))).otherwise(bare)
 
 
 def markdown_escaped(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "\\|", "\\\\\\\\|"), "\n", " ")
+    """A text for a table cell: bars escaped, on one line."""
+    return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
 def http_urls(*columns: Column) -> Column:
@@ -68,10 +63,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(1e-9))
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
-    return F.exists(literals(words), lambda w: F.contains(text, w))
-
-
 def best_window(text: Column, terms: list[str], width: int, stride: int) -> Column:
     """Start (0-based) of the first window with most hits of the terms, 0 for a short text."""
     low = F.lower(text)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from casegraph.functions.scores import relevance
 from casegraph.operators.pairs import undirected
+from casegraph.operators.predicates import survives, without_orphans
 
 # Edge types that only tie the graph together.
 STRUCTURAL = ["evidence"]
@@ -100,12 +101,10 @@ def triangulate(edges: DataFrame, probs: DataFrame, root, keep_low: bool = False
     near = hops(edges, start)
     nodes = undirected(edges).select(F.col("src").alias("node")).distinct()
     known = nodes.join(probs, "node", "full").join(near, "node", "left")
-    alive = known.filter((F.col("node") == root) | F.coalesce("is_event", F.lit(False)) | (F.col("prob").isNotNull() & (F.lit(keep_low) | (F.col("prob") > 0))))
+    alive = known.filter(survives(F.col("node") == root, F.coalesce("is_event", F.lit(False)), F.col("prob").isNotNull(), F.col("prob"), keep_low))
     rel = F.when(F.col("node") == root, 1.0).otherwise(relevance(F.col("hops")))
     scored = settled(alive.select("node", "prob", rel.alias("relevance"), F.round(rel * F.coalesce("prob", F.lit(0.0)), 6).alias("score")))
-    ids = scored.select(F.col("node").alias("src"))
-    kept = edges.join(ids, "src", "left_semi").join(ids.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst", F.lit("given").alias("kind"))
-    kept = settled(kept)
+    kept = settled(without_orphans(edges, scored).select("src", "dst", F.lit("given").alias("kind")))
     joined = hops(kept, start).select("node")
     lost = scored.select("node").join(joined, "node", "left_anti").filter(F.col("node") != root)
     wires = lost.select(F.col("node").alias("src"), F.lit(root).cast(edges.schema["src"].dataType).alias("dst"), F.lit("evidence").alias("kind"))

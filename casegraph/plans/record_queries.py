@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.functions import labels, records
+from casegraph.functions import text as texts
 from casegraph.functions.names import name_tokens
 from casegraph.operators import cascade, cep, network, roots
 from casegraph.operators.resolve import similar_aliases
@@ -67,6 +68,18 @@ def fn_claims(spark, d):
     return table(spark, d, "orders").select("o_orderkey", records.claim_text(reasoning, quotes).alias("claim"), records.trimmed(reasoning, 13).alias("short"))
 
 
+@query("fn_source_keys", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'doc-' || o_custkey WHEN 1 THEN lower(o_orderpriority) WHEN 2 THEN 'https://x/' || o_orderkey END AS key, least('C' || o_custkey, 'C' || o_orderkey % 1500) || chr(9) || greatest('C' || o_custkey, 'C' || o_orderkey % 1500) AS pair FROM orders")
+def fn_source_keys(spark, d):
+    """What a piece of evidence counts as a source, and the key of an unordered pair."""
+    from casegraph.operators.evidence import source_key
+    from casegraph.operators.pairs import pair_key
+
+    k = F.col("o_orderkey") % 4
+    doc, source, link = F.when(k == 0, F.concat(F.lit(" Doc-"), "o_custkey")).otherwise(" "), F.when(k < 2, F.col("o_orderpriority")).otherwise(""), F.when(k < 3, F.concat(F.lit("https://x/"), "o_orderkey"))
+    a, b = F.concat(F.lit("C"), "o_custkey"), F.concat(F.lit("C"), F.col("o_orderkey") % 1500)
+    return table(spark, d, "orders").select("o_orderkey", source_key(doc, source, link).alias("key"), pair_key(b, a).alias("pair"))
+
+
 @query("fn_coerced", """WITH r AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_totalprice AS VARCHAR) WHEN 1 THEN 'many' END AS n, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS s FROM orders)
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(n AS DOUBLE) ELSE 0.0 END AS number, CASE WHEN s IS NULL THEN 0 ELSE 1 END AS items, coalesce(s, 'UNKNOWN') AS kind, 'A ' || o_orderkey AS norm FROM r""")
 def fn_coerced(spark, d):
@@ -92,13 +105,13 @@ def fn_event_fields(spark, d):
 
 
 @query("fn_labels", """WITH r AS (SELECT o_orderkey, o_totalprice / 600000 AS p, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m') END AS day, 'run_' || lower(o_orderstatus) || '-' || o_orderkey % 9 AS run FROM orders)
-SELECT o_orderkey, o_orderkey % 2 = 0 AS valid, 'Run ' || upper(substr(run, 5, 1)) || ' ' || o_orderkey % 9 AS run, CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.5 THEN 'medium' ELSE 'low' END AS level, CASE WHEN p >= 0.8 THEN '#b91c1c' WHEN p >= 0.5 THEN '#f59e0b' ELSE '#64748b' END AS colour FROM r""")
+SELECT o_orderkey, o_orderkey % 2 = 0 AS valid, 'Run ' || upper(substr(run, 5, 1)) || ' ' || o_orderkey % 9 AS run, CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.5 THEN 'medium' ELSE 'low' END AS level, CASE WHEN p >= 0.8 THEN '#b91c1c' WHEN p >= 0.5 THEN '#f59e0b' ELSE '#64748b' END AS colour, 'a\\|' || run || ' b' AS cell FROM r""")
 def fn_labels(spark, d):
     """Valid dates, run names, confidence levels and colours."""
     p = F.col("o_totalprice") / 600000
     day = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM"))
     run = F.concat(F.lit("run_"), F.lower("o_orderstatus"), F.lit("-"), F.col("o_orderkey") % 9)
-    return table(spark, d, "orders").select("o_orderkey", labels.valid_date(day).alias("valid"), labels.run_name(run).alias("run"), labels.level(p).alias("level"), labels.level_colour(p).alias("colour"))
+    return table(spark, d, "orders").select("o_orderkey", labels.valid_date(day).alias("valid"), labels.run_name(run).alias("run"), labels.level(p).alias("level"), labels.level_colour(p).alias("colour"), texts.markdown_escaped(F.concat(F.lit("a|"), run, F.lit("\nb"))).alias("cell"))
 
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from casegraph.functions.names import found
 from casegraph.operators import projections as J
-from casegraph.operators.picks import first_wins, top_rows
+from casegraph.operators import reports
+from casegraph.operators.picks import first_wins
 from casegraph.plans.register import register
 from casegraph.sources import ingest, stores
 from casegraph.sources.tables import affiliations, articles, events, table
@@ -108,7 +109,8 @@ def src_presets(spark, d):
 @query("flt_score", "SELECT c_custkey FROM customer WHERE coalesce(CASE WHEN c_custkey % 5 > 0 THEN c_acctbal END, 0) >= 100")
 def flt_score(spark, d):
     """Nodes whose score reaches a threshold; a missing score is 0."""
-    return table(spark, d, "customer").filter(F.coalesce(F.when(F.col("c_custkey") % 5 > 0, F.col("c_acctbal")), F.lit(0.0)) >= 100).select("c_custkey")
+    c = table(spark, d, "customer").withColumn("score", F.when(F.col("c_custkey") % 5 > 0, F.col("c_acctbal")))
+    return reports.score_at_least(c, 100).select("c_custkey")
 
 
 @query("flt_payload_edges", "SELECT 'S' || l_suppkey AS src, 'P' || l_partkey % 90 AS dst, CASE l_returnflag WHEN 'A' THEN 'affiliation' ELSE 'evidence' END AS type, l_returnflag = 'N' AS structural, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2, 3, 4")
@@ -183,35 +185,31 @@ def agg_store_stats(spark, d):
 def jn_run_articles(spark, d):
     """Evidence met with the articles of each run, several ids in a field."""
     ids = F.concat(F.lit("doc"), F.col("l_partkey") % 300, F.when(F.col("l_partkey") % 2 == 0, "; doc").otherwise(", doc"), F.col("l_orderkey") % 300)
-    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), F.explode(F.split(ids, r"[;,]\s*")).alias("doc"))
     a = table(spark, d, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("doc"), F.col("lang").alias("run"))
-    return e.join(a, "doc").groupBy("entity", "run").agg(F.countDistinct("doc").alias("n"))
+    return reports.run_articles(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), ids.alias("doc_ids")), a)
 
 
 @query("jn_kb", "WITH s AS (SELECT o_custkey AS node, min(o_orderdate) AS first FROM orders GROUP BY 1) SELECT c_custkey, CAST(CAST(s.first AS DATE) AS VARCHAR) AS first_seen FROM customer LEFT JOIN s ON s.node = c_custkey WHERE s.first IS NULL OR s.first <= TIMESTAMP '1995-06-01'")
 def jn_kb(spark, d):
     """Results of the knowledge base with their first day, without those that begin later."""
-    s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.to_date("o_orderdate")).alias("first"))
-    j = table(spark, d, "customer").select("c_custkey").join(s, "c_custkey", "left")
-    return j.filter(F.col("first").isNull() | (F.col("first") <= F.lit("1995-06-01").cast("date"))).select("c_custkey", F.col("first").cast("string").alias("first_seen"))
+    s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.min(F.to_date("o_orderdate")).alias("first_seen"))
+    found = reports.known_at(table(spark, d, "customer").select(F.col("c_custkey").alias("node")), s, "1995-06-01")
+    return found.select(F.col("node").alias("c_custkey"), F.col("first_seen").cast("string").alias("first_seen"))
 
 
 @query("jn_attested", "WITH m AS (SELECT l_orderkey AS theme, list_sort(list(DISTINCT 'S' || l_suppkey)) AS members FROM lineitem GROUP BY 1), p AS (SELECT theme, members[i] AS a, members[j] AS b FROM m, range(1, 60) x(i), range(1, 60) y(j) WHERE i < j AND j <= len(members)), e AS (SELECT DISTINCT least('S' || a.l_suppkey, 'S' || b.l_suppkey) AS a, greatest('S' || a.l_suppkey, 'S' || b.l_suppkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_quantity > 48) SELECT theme, count(*) AS attested FROM p JOIN e ON p.a = e.a AND p.b = e.b GROUP BY theme")
 def jn_attested(spark, d):
     """How many pairs of a theme's members an edge attests, which a large line item makes."""
     x = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("S"), "l_suppkey").alias("s"), "l_quantity")
-    m = x.select(F.col("l_orderkey").alias("theme"), F.col("s").alias("a")).distinct()
-    p = m.join(m.withColumnRenamed("a", "b"), "theme").filter("a < b")
+    m = x.select(F.col("l_orderkey").alias("theme"), F.col("s").alias("node")).distinct()
     e = x.filter("l_quantity > 48").select("l_orderkey", F.col("s").alias("x")).distinct().join(x.select("l_orderkey", F.col("s").alias("y")).distinct(), "l_orderkey").filter("x <> y")
-    e = e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return p.join(e, ["a", "b"]).groupBy("theme").agg(F.count("*").alias("attested"))
+    return reports.attested_pairs(m, e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 @query("jn_chunk_edges", "WITH g AS (SELECT l_orderkey AS chunk, count(*) AS edges FROM lineitem GROUP BY 1) SELECT o_orderkey AS chunk, coalesce(edges, 0) AS edges FROM orders LEFT JOIN g ON g.chunk = o_orderkey")
 def jn_chunk_edges(spark, d):
     """Chunks with the number of their edges."""
-    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("chunk")).agg(F.count("*").alias("edges"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk")).join(g, "chunk", "left").select("chunk", F.coalesce("edges", F.lit(0)).alias("edges"))
+    return reports.chunk_edges(table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk")))
 
 
 @query("win_url_first", "SELECT o_custkey AS url, CAST(CAST(arg_min(o_orderdate, o_orderkey) AS DATE) AS VARCHAR) AS day FROM orders GROUP BY 1")
@@ -225,17 +223,15 @@ def win_url_first(spark, d):
 def top_themes(spark, d):
     """Twenty cross-run themes, one of each member set."""
     t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("theme")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey") % 10)), ",").alias("sig"), F.countDistinct("l_returnflag").alias("runs"), F.round(F.sum("l_extendedprice"), 2).alias("w"))
-    one = top_rows(t, ["sig"], 1, F.desc("runs"), F.desc("w"), "theme").filter("runs >= 2")
-    return one.orderBy(F.desc("runs"), F.desc("w"), "theme").limit(20).select("theme", "sig", "runs", "w")
+    return reports.cross_run_themes(t)
 
 
 @query("top_seed", "WITH t AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 498000 UNION SELECT c_custkey FROM customer WHERE c_acctbal > 9900), r AS (SELECT id, c_acctbal AS score FROM t JOIN customer ON c_custkey = id) SELECT id FROM r ORDER BY score DESC, id LIMIT 40")
 def top_seed(spark, d):
     """Seeds of the key network: members of themes and bridges, the best forty."""
-    members = table(spark, d, "orders").filter("o_totalprice > 498000").select(F.col("o_custkey").alias("c_custkey"))
-    c = table(spark, d, "customer")
-    seeds = members.union(c.filter("c_acctbal > 9900").select("c_custkey")).distinct()
-    return c.join(seeds, "c_custkey", "left_semi").orderBy(F.desc("c_acctbal"), "c_custkey").limit(40).select(F.col("c_custkey").alias("id"))
+    members = table(spark, d, "orders").filter("o_totalprice > 498000").select(F.col("o_custkey").alias("node"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("score"))
+    return reports.network_seed(members.union(c.filter("score > 9900").select("node")), c, 40).select(F.col("node").alias("id"))
 
 
 @query("top_digest", "WITH i AS (SELECT user_id AS event, event_id AS node, value / 100 AS score FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY score DESC, node) AS r FROM i) SELECT event, round(max(score), 6) AS top_score, count(*) AS n, max(score) >= 0.2 AS alert FROM k WHERE r <= 12 GROUP BY event")

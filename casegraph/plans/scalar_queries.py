@@ -112,13 +112,13 @@ def fn_date_sets(spark, d):
 @query("fn_pages", """
 WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '') AS host, regexp_replace(html, '<.*?>', '', 'g') AS body, regexp_replace(url, '^https?://(www\\.)?', '') AS bare FROM pages)
 SELECT page_id, host, CAST(length(body) AS BIGINT) AS body_chars, sha256(body) AS body_sha, CASE WHEN length(bare) > 30 THEN substr(bare, 1, 27) || '...' ELSE bare END AS short,
-  sha256(regexp_replace(body, '[\\x00-\\x1F]', '', 'g')) AS plain_sha FROM p""")
+  sha256(replace(regexp_replace(body, '[\\x00-\\x1F]', '', 'g'), chr(160), ' ')) AS plain_sha FROM p""")
 def fn_pages(spark, d):
     """Hosts, short URLs and tag-free bodies of pages."""
     body = text.without_tags(F.col("html"))
     return table(spark, d, "pages").select(
         "page_id", text.host(F.col("url")).alias("host"), F.length(body).cast("long").alias("body_chars"), F.sha2(body, 256).alias("body_sha"),
-        text.short_url(F.col("url"), 30).alias("short"), F.sha2(F.regexp_replace(body, "[\\x00-\\x1F]", ""), 256).alias("plain_sha"),
+        text.short_url(F.col("url"), 30).alias("short"), F.sha2(text.without_controls(body), 256).alias("plain_sha"),
     )
 
 

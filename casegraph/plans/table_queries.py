@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casegraph.functions import dates, names, text
 from casegraph.operators import evidence as E
 from casegraph.operators import pairs as R
+from casegraph.operators import reports
 from casegraph.operators.picks import first_wins, last_wins, merged, page, top_rows
 from casegraph.plans.register import register
 from casegraph.sources.tables import affiliations, articles, events, evidence, table
@@ -98,11 +99,9 @@ g AS (SELECT host, count(*) AS n, len(list(DISTINCT url)) AS n_urls, min(url) AS
 SELECT host, n, least(n_urls, 25) AS n_urls, first_url, rnk <= 3 AS top3, round(sum(CASE WHEN rnk <= 3 THEN n ELSE 0 END) OVER () / total, 6) AS top3_share FROM r""")
 def agg_sources(spark, d):
     """Pages by publisher, with the share of the three largest."""
-    g = table(spark, d, "pages").groupBy(text.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.countDistinct("url").alias("n_urls"), F.min("url").alias("first_url"))
-    top = g.orderBy(F.desc("n"), "host").limit(3).select("host", F.lit(True).alias("in_top"))
-    sums = g.join(top, "host", "left").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("in_top"), F.col("n"))).alias("most"))
-    out = g.join(top, "host", "left").crossJoin(F.broadcast(sums))  # one row
-    return out.select("host", "n", F.least("n_urls", F.lit(25)).alias("n_urls"), "first_url", F.coalesce("in_top", F.lit(False)).alias("top3"), F.round(F.col("most") / F.col("total"), 6).alias("top3_share"))
+    p = table(spark, d, "pages").select(text.host(F.col("url")).alias("host"), "url")
+    out = reports.source_concentration(p)
+    return out.select("host", "n", "n_urls", "first_url", F.col("top").alias("top3"), F.round("share", 6).alias("top3_share"))
 
 
 @query("agg_histogram", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")
@@ -123,9 +122,8 @@ SELECT round(tp / found, 6) AS precision_, round(tp / truth, 6) AS recall, round
 def agg_retrieval(spark, d):
     """Precision, recall, F1 and IoU of two id sets."""
     e = table(spark, d, "embeddings")
-    a, b = e.filter("label < 6").select("vec_id", F.lit(1).alias("a")), e.filter("label >= 3").select("vec_id", F.lit(1).alias("b"))
-    c = a.join(b, "vec_id", "full").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("tp"), F.count("a").alias("found"), F.count("b").alias("truth"), F.count("*").alias("every"))
-    return c.select(F.round(F.col("tp") / F.col("found"), 6).alias("precision_"), F.round(F.col("tp") / F.col("truth"), 6).alias("recall"), F.round(2 * F.col("tp") / (F.col("found") + F.col("truth")), 6).alias("f1"), F.round(F.col("tp") / F.col("every"), 6).alias("iou"))
+    m = reports.set_metrics(e.filter("label < 6"), e.filter("label >= 3"), ["vec_id"])
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
 @query("agg_modes", """WITH r AS (SELECT event_type AS mode, user_id AS q, count(*) AS n, max(value) AS v FROM events GROUP BY 1, 2), h AS (SELECT DISTINCT q FROM r WHERE mode = 'view'), u AS (SELECT q, count(DISTINCT mode) AS modes FROM r GROUP BY q)
@@ -344,20 +342,44 @@ def jn_participation(spark, d):
 @query("jn_anti_jobs", "SELECT o_orderkey AS id, 'job' AS kind FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10) UNION ALL SELECT DISTINCT l_orderkey, 'artifact' FROM lineitem WHERE l_quantity > 10")
 def jn_anti_jobs(spark, d):
     """Jobs without an artifact, and the artifacts."""
-    done = table(spark, d, "lineitem").filter("l_quantity > 10").select(F.col("l_orderkey").alias("id")).distinct()
-    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(done, "id", "left_anti")
-    return jobs.withColumn("kind", F.lit("job")).union(done.withColumn("kind", F.lit("artifact")))
+    done = table(spark, d, "lineitem").filter("l_quantity > 10").select(F.col("l_orderkey").alias("id"))
+    return reports.open_jobs(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), done)
 
 
-@query("jn_metrics", """WITH a AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'N')
-SELECT count(*) AS same, (SELECT count(DISTINCT (s, p)) FROM a WHERE s IN (SELECT s FROM b) OR p IN (SELECT p FROM b)) AS touching FROM a JOIN b ON a.s = b.s AND a.p = b.p""")
+@query("jn_metrics", """WITH a AS (SELECT DISTINCT 'S' || l_suppkey AS s, 'P' || l_partkey AS p FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT 'S' || l_suppkey AS s, 'P' || l_partkey AS p FROM lineitem WHERE l_returnflag = 'N'), an AS (SELECT s AS n FROM a UNION SELECT p FROM a), bn AS (SELECT s AS n FROM b UNION SELECT p FROM b)
+SELECT (SELECT count(*) FROM a JOIN b ON a.s = b.s AND a.p = b.p) AS same, (SELECT count(*) FROM a WHERE s IN (SELECT n FROM bn) OR p IN (SELECT n FROM bn)) AS touching, (SELECT count(*) FROM an WHERE n IN (SELECT n FROM bn)) AS common_nodes""")
 def jn_metrics(spark, d):
-    """Edges of one graph that are in another, and that touch it at either end."""
-    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), "l_returnflag")
-    a, b = (x.filter(F.col("l_returnflag") == f).select("s", "p").distinct() for f in "AN")
-    same = a.join(b, ["s", "p"], "left_semi").agg(F.count("*").alias("same"))
-    touching = a.join(b.select("s").distinct(), "s", "left_semi").select("s", "p").union(a.join(b.select("p").distinct(), "p", "left_semi").select("s", "p")).distinct().agg(F.count("*").alias("touching"))
-    return same.crossJoin(touching)  # one row each
+    """Edges of one graph that are in another and that touch it, whichever way about, and common nodes."""
+    name = lambda p, c: F.concat(F.lit(p), c)
+    x = table(spark, d, "lineitem")
+    a = x.filter("l_returnflag = 'A'").select(name("S", "l_suppkey").alias("src"), name("P", "l_partkey").alias("dst"))
+    b = x.filter("l_returnflag = 'N'").select(name("P", "l_partkey").alias("src"), name("S", "l_suppkey").alias("dst"))
+    return reports.graph_overlap(a, b)
+
+
+@query("agg_token_metrics", """WITH w AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark), f AS (SELECT id, unnest(w[1:len(w) // 2 + 1]) AS w FROM w), t AS (SELECT id, unnest(w) AS w FROM w), x AS (SELECT id, w, count(*) AS x FROM f GROUP BY 1, 2), y AS (SELECT id, w, count(*) AS y FROM t GROUP BY 1, 2),
+s AS (SELECT coalesce(x.id, y.id) AS id, sum(least(coalesce(x, 0), coalesce(y, 0))) AS tp, sum(coalesce(x, 0)) AS nx, sum(coalesce(y, 0)) AS ny FROM x FULL JOIN y ON x.id = y.id AND x.w = y.w GROUP BY 1) SELECT id, round(tp / nx, 6) AS precision_, round(tp / ny, 6) AS recall, round(2 * tp / (nx + ny), 6) AS f1 FROM s""")
+def agg_token_metrics(spark, d):
+    """Word by word precision and recall of the first half of each benchmark text against the whole."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    half = F.array_join(F.slice(words, 1, F.floor(F.size(words) / 2).cast("int") + 1), " ")
+    m = reports.token_metrics(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), half.alias("found"), F.col("text").alias("truth")))
+    return m.select("id", *[F.round(c, 6).alias(c) for c in ("precision_", "recall", "f1")])
+
+
+@query("win_bibliography", "WITH f AS (SELECT source, min(doc_id) AS f, 'u' || min(doc_id) AS url, count(*) AS cited FROM documents GROUP BY source) SELECT row_number() OVER (ORDER BY f, source) AS note, source, url, cited FROM f")
+def win_bibliography(spark, d):
+    """The bibliography: sources by first citation."""
+    return reports.bibliography(table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "source", F.concat(F.lit("u"), "doc_id").alias("url")))
+
+
+@query("top_seed_filled", "WITH k AS (SELECT c_custkey AS id, c_acctbal AS s FROM customer), own AS (SELECT id, s, 0 AS f FROM k WHERE s > (SELECT max(s) - 20 FROM k) ORDER BY s DESC, id LIMIT 40), n AS (SELECT count(*) AS n FROM own), r AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM k WHERE id NOT IN (SELECT id FROM own)) SELECT id FROM own UNION ALL SELECT id FROM r, n WHERE r + n <= 6")
+def top_seed_filled(spark, d):
+    """Seeds of the key network, filled up to six."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("score"))
+    best = c.agg(F.max("score").alias("most"))
+    chosen = c.crossJoin(F.broadcast(best)).filter("score > most - 20")  # one row
+    return reports.network_seed(chosen, c, 40).select(F.col("node").alias("id"))
 
 
 @query("win_first_last", "SELECT l_suppkey AS k, arg_min(l_partkey, l_orderkey * 10 + l_linenumber) AS first, arg_max(l_partkey, l_orderkey * 10 + l_linenumber) AS last FROM lineitem GROUP BY 1")
@@ -414,9 +436,7 @@ def top_page(spark, d):
 @query("top_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || p_brand || p_type), 'ring') ORDER BY p_retailprice DESC, p_partkey LIMIT 500")
 def top_search(spark, d):
     """A search over all columns of a record, by price."""
-    p = table(spark, d, "part")
-    hit = F.contains(F.lower(F.concat("p_name", "p_brand", "p_type")), F.lit("ring"))
-    return p.filter(hit).orderBy(F.desc("p_retailprice"), "p_partkey").limit(500).select("p_partkey", "p_name")
+    return reports.searched(table(spark, d, "part"), "Ring", ["p_name", "p_brand", "p_type"], F.desc("p_retailprice"), "p_partkey").select("p_partkey", "p_name")
 
 
 @query("set_runs", """WITH a AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT l_returnflag)) AS r FROM lineitem WHERE l_quantity > 49 GROUP BY 1), b AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT l_linestatus)) AS r FROM lineitem WHERE l_quantity < 2 GROUP BY 1)
