@@ -22,6 +22,7 @@ part with one number a block.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from casegraph.llm.scratch import forget_shuffles, materialize
 from casegraph.llm.text import mix64, word_hashes
 
 #: Tokens of a block, and those for which there is one part of the key space.
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 18
 PART_TOKENS = 1 << 20
 #: Bits of a word's hash, and of a key within its part.
 WORD_BITS, KEY_BITS = 48, 40
@@ -77,15 +78,16 @@ class Block:
         full = np.flatnonzero(sizes)
         lengths = sizes[full] + 1
         ends = np.cumsum(lengths)
-        self.doc = np.repeat(full, lengths)
+        self.doc = np.repeat(full.astype(np.int32), lengths)
         inner = np.ones(int(ends[-1]) if len(ends) else 0, bool)
         inner[ends - 1] = False
-        self.after = np.zeros(len(inner), np.int64)
+        self.after = np.zeros(len(inner), np.int32)
         self.after[inner] = tokens
-        self.before = np.zeros(len(inner), np.int64)
+        self.before = np.zeros(len(inner), np.int32)
         self.before[1:] = self.after[:-1]
-        distinct, self.bigram = np.unique(self.before * len(words) + self.after, return_inverse=True)
-        self.pairs = np.stack([distinct // max(len(words), 1), distinct % max(len(words), 1)])
+        distinct, which = np.unique(self.before * np.int64(len(words)) + self.after, return_inverse=True)
+        self.bigram = which.astype(np.int32)
+        self.pairs = np.stack(np.divmod(distinct, max(len(words), 1)))
 
     def keys(self) -> np.ndarray:
         """Even keys of the distinct words, then odd ones of the distinct bigrams."""
@@ -98,6 +100,17 @@ class Block:
         return np.concatenate([np.bincount(self.after[some], minlength=len(self.words)), np.bincount(self.bigram[some], minlength=self.pairs.shape[1])])
 
 
+    @functools.cached_property
+    def own_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often a bigram's own document holds it, its first and its second word."""
+        codes = self.doc * np.int64(max(self.pairs.shape[1], 1)) + self.bigram
+        _, at, n = np.unique(codes, return_inverse=True, return_counts=True)
+        pair = n[at].astype(np.int32)
+        by_word, at, n = np.unique(self.doc * np.int64(len(self.words)) + self.after, return_inverse=True, return_counts=True)
+        before = n[np.searchsorted(by_word, self.doc * np.int64(len(self.words)) + self.before)]  # each word stands as often before as after
+        return pair, before.astype(np.int32), n[at].astype(np.int32)
+
+
 def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Parts of the key space with the places of their keys, in order of the key."""
     part = ((keys >> np.uint64(KEY_BITS)) % np.uint64(parts)).astype(np.int64)
@@ -197,13 +210,11 @@ def losses(block: Block, good: np.ndarray, counts: np.ndarray, is_target: bool,
     """
     n = len(block.words)
     own = good[block.doc] if is_target else np.ones(len(block.doc), bool)
-    by_pair, pair_at, pair_n = np.unique(block.doc * max(block.pairs.shape[1], 1) + block.bigram, return_inverse=True, return_counts=True)
-    by_word, word_at, word_n = np.unique(block.doc * n + block.after, return_inverse=True, return_counts=True)
-    own_before = word_n[np.searchsorted(by_word, block.doc * n + block.before)]  # each word stands as often before as after
+    own_pair, own_before, own_after = block.own_counts
     sizes = np.where(block.sizes > 0, block.sizes + 1, 0)
-    of_pair = counts[n:][block.bigram] - own * pair_n[pair_at]
+    of_pair = counts[n:][block.bigram] - own * own_pair
     of_before = counts[block.before] - own * own_before
-    of_after = counts[block.after] - own * word_n[word_at]
+    of_after = counts[block.after] - own * own_after
     rest = n_tokens - own * sizes[block.doc]
     word = np.where(rest > 0, (1 - UNIFORM_SHARE) * of_after / np.maximum(rest, 1) + UNIFORM_SHARE / n_words, 1 / n_words)
     p = np.where(of_before > 0, (1 - WORD_SHARE) * of_pair / np.maximum(of_before, 1) + WORD_SHARE * word, word)
