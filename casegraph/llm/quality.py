@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,20 +99,20 @@ def frequent_lines(docs: DataFrame, text: str, host: str, min_texts: int, host_p
     """Keys of the lines that more texts of their host hold than the host's limit."""
     schema = "host string, line_key long, text_key long"
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, keys, texts = [], [], []
-            for h, x in zip(batch["host"], batch["text"], strict=True):
-                if not x:
+            for h, x in zip(batch["host"].to_pylist(), batch["text"], strict=True):
+                if not (x := x.as_py()):
                     continue
                 own = {k for k in (line_key(h, line) for line in x.split("\n")) if k is not None}
                 hosts += [h] * len(own)
                 keys += own
                 texts += [_signed(xxhash.xxh3_64_intdigest(x.encode()))] * len(own)
-            yield pd.DataFrame({"host": hosts, "line_key": keys, "text_key": texts}).astype({"line_key": "int64", "text_key": "int64"})
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(texts, pa.int64())], names=["host", "line_key", "text_key"])
 
     selected = docs.select(F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    held = selected.mapInPandas(trimmed(lines), schema)
+    held = selected.mapInArrow(trimmed(lines), schema)
     per_line = held.groupBy("line_key").agg(F.countDistinct("text_key").alias("texts"), F.first("host").alias("host"))
     filled = selected.filter(F.length("text") > 0).select("host", F.xxhash64("text").alias("text_key"))
     per_host = filled.groupBy("host").agg(F.countDistinct("text_key").alias("host_texts"))
@@ -125,18 +126,20 @@ def _with_removed(docs: DataFrame, lines: DataFrame, text: str, host: str) -> Da
     """Rows as ``_row`` with the numbers of their lines that are in ``lines``, by a join."""
     schema = "text_key long, host string, line_no int, line_key long"
 
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, h, x in zip(batch["text_key"], batch["host"], batch["text"], strict=True):
+            for k, h, x in zip(*(batch[c].to_pylist() for c in ("text_key", "host", "text")), strict=True):
                 for i, line in enumerate((x or "").split("\n")):
                     if (own := line_key(h, line)) is not None:
                         rows.append((k, h, i, own))
-            yield pd.DataFrame(rows, columns=["text_key", "host", "line_no", "line_key"]).astype({"text_key": "int64", "line_no": "int32", "line_key": "int64"})
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["text_key", "host", "line_no", "line_key"])
 
     rows = docs.select(packed(docs).alias("_row"), F.xxhash64(text, F.octet_length(text)).alias("text_key"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
     texts = rows.select("text_key", "host", "text")
-    found = texts.mapInPandas(trimmed(numbered), schema).join(lines, "line_key", "left_semi")
+    found = texts.mapInArrow(trimmed(numbered), schema).join(lines, "line_key", "left_semi")
     removed = found.groupBy("text_key", "host").agg(F.collect_set("line_no").alias("_removed"))
     same = (rows["text_key"] == removed["text_key"]) & rows["host"].eqNullSafe(removed["host"])
     return rows.join(removed, same, "left").select("_row", "_removed")
