@@ -26,10 +26,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str, owner: str = "query") -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it."""
+    """Write ``df`` once to the shared folder and return a scan of it.
+
+    The table goes when its owner is released, or with the application.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/casegraph-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     _owned.setdefault(owner, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
