@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.functions.scores import VERDICT_LADDER, VERDICT_LAST, clamped, ladder, tier
+from casegraph.operators.pairs import resolved
 from casegraph.operators.picks import first_wins, top_rows
 
 # Gain and cap of corroboration.
@@ -56,6 +57,27 @@ def consolidate(evidence: DataFrame, keys: DataFrame) -> DataFrame:
     return first_wins(joined, ["entity", "source", "supports"], "ord")
 
 
+def annotated(evidence: DataFrame, paths: DataFrame) -> DataFrame:
+    """Consolidated evidence with the chain that ties its entity to the root written before
+    the reasoning of what supports, and ``routed`` where there is one.
+
+    ``evidence``: entity, supports, reasoning; ``paths``: node, path (from the node to the root).
+    """
+    near = paths.filter(F.size("path") > 1).select(F.col("node").alias("entity"), F.array_join("path", "->").alias("_chain"))
+    joined = evidence.join(near, "entity", "left")
+    routed = F.col("supports") & F.col("_chain").isNotNull()
+    line = F.concat(F.lit("Evidence through affiliations "), "_chain", F.lit(".\n"))
+    return joined.withColumns({"routed": routed, "reasoning": F.when(routed, F.concat(line, F.coalesce("reasoning", F.lit("")))).otherwise(F.col("reasoning"))}).drop("_chain")
+
+
+def gated(entities: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Entities with ``prob``, ``leaf`` (some probability) and ``hypothesis`` (one half at
+    least), all by their evidence; without any they have 0, false and null."""
+    found = assess(evidence).select("entity", F.col("prob").alias("_p"))
+    joined = entities.join(found, "entity", "left")
+    return joined.withColumns({"prob": F.coalesce("_p", F.lit(0.0)), "leaf": F.coalesce(F.col("_p") > 0, F.lit(False)), "hypothesis": F.col("_p") >= 0.5}).drop("_p")
+
+
 def verdict(items: DataFrame) -> DataFrame:
     """One row: support and refutation by confidence, distinct sources, tempered net and its name.
 
@@ -81,9 +103,12 @@ def causal_edges(claims: DataFrame) -> DataFrame:
     """Claims of (cause, effect) summed: ``weight`` = strength x confidence x attestation, texts at most 3.
 
     ``claims``: cause, effect, strength, confidence, url, claim_text, ord; self-pairs go.
+    With ``hedging`` or ``direction``, their distinct values are kept as well.
     """
     rows = claims.filter("cause is not null and effect is not null and cause <> effect")
+    more = [F.array_sort(F.collect_set(F.nullif(c, F.lit("")))).alias(c) for c in ("hedging", "direction") if c in claims.columns]
     sums = rows.groupBy("cause", "effect").agg(
+        *more,
         F.max("strength").alias("s"),
         F.max("confidence").alias("c"),
         F.countDistinct("url").alias("n_urls"),
@@ -93,6 +118,12 @@ def causal_edges(claims: DataFrame) -> DataFrame:
     return sums.withColumn("weight", F.round(F.col("s") * F.col("c") * attested, 4))
 
 
+def resolved_claims(claims: DataFrame, keys: DataFrame) -> DataFrame:
+    """Claims with cause and effect by canonical name; where either is unknown, or both are
+    one, the claim goes.  ``keys``: name (upper case), canonical."""
+    return resolved(claims, keys, "cause", "effect")
+
+
 def claim_items(evidence: DataFrame) -> DataFrame:
     """``entity, supports, ord, claim, sources, tier``: each item with the claim it belongs to.
 

@@ -6,7 +6,7 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions.scores import relevance
@@ -20,7 +20,10 @@ REWRITE_EVERY = 8
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared checkpoint folder, so that loops keep short plans."""
+    """The rows written once to the shared checkpoint folder, so that loops keep short plans.
+
+    What is written goes with the application.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -28,6 +31,8 @@ def settled(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/casegraph-graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,8 +44,10 @@ def hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     for level in itertools.count(1):
         front = reached.filter(F.col("hops") == level - 1).select(F.col("node").alias("src"))
         nexts = both.join(front, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        new = settled(nexts.join(reached.select("node"), "node", "left_anti").select("node", F.lit(level).alias("hops"), "parent"))
-        if new.isEmpty():
+        met = Observation()
+        fresh = nexts.join(reached.select("node"), "node", "left_anti").select("node", F.lit(level).alias("hops"), "parent")
+        new = settled(fresh.observe(met, F.count("*").alias("n")))
+        if not met.get["n"]:
             break
         reached = reached.union(new)
         if level % REWRITE_EVERY == 0:  # one table in place of one for each level
@@ -132,22 +139,48 @@ def corroborated_edges(edges: DataFrame, root, least: int = 2) -> DataFrame:
     return out.distinct()
 
 
-def as_of(nodes: DataFrame, edges: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
-    """The graph as known on a day; what has no date stays.
+def as_of(nodes: DataFrame, edges: DataFrame, day: str | None = None, since: str | None = None, until: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph as known on a day, or what of it falls between two days; what has no date stays.
 
-    ``nodes``: node, is_event, day; ``edges``: src, dst, first_seen, window_from, structural.
-    Entities that no other than structural edge holds are pruned.
+    ``nodes``: node, is_event, day; ``edges``: src, dst, first_seen, window_from, structural,
+    and window_to for a span of days.  An edge begins with its first day, or else its
+    window, and ends with its window, or else its first day.  Entities that no other than
+    a structural edge holds are pruned.  Without any day the graph stays as it is.
     """
-    at = F.lit(day).cast("date")
-    seen = edges.filter(F.coalesce("first_seen", "window_from").isNull() | (F.coalesce("first_seen", "window_from") <= at))
-    past = nodes.filter(~F.col("is_event") | F.col("day").isNull() | (F.col("day") <= at))
-    ids = past.select(F.col("node").alias("src"))
-    live = seen.join(ids, "src", "left_semi").join(ids.withColumnRenamed("src", "dst"), "dst", "left_semi")
+    if day is None and since is None and until is None:
+        return nodes, edges
+    date = lambda x: F.lit(x).cast("date")
+    start = F.coalesce("first_seen", "window_from")
+    if day is not None:
+        edge_ok, event_ok = start <= date(day), F.col("day") <= date(day)
+    else:
+        end = F.coalesce(F.col("window_to") if "window_to" in edges.columns else F.lit(None).cast("date"), F.col("first_seen"))
+        edge_ok = F.lit(True) if until is None else start <= date(until)
+        event_ok = F.lit(True) if until is None else F.col("day") <= date(until)
+        if since is not None:
+            edge_ok, event_ok = edge_ok & (end.isNull() | (end >= date(since))), event_ok & (F.col("day") >= date(since))
+    seen = edges.filter(start.isNull() | edge_ok)
+    past = nodes.filter(~F.col("is_event") | F.col("day").isNull() | event_ok)
+    live = without_orphans(seen, past)
     solid = live.filter(~F.col("structural"))
     held = solid.select(F.col("src").alias("node")).union(solid.select("dst")).distinct()
     kept = past.filter("is_event").union(past.filter("not is_event").join(held, "node", "left_semi"))
-    ids = kept.select(F.col("node").alias("src"))
-    return kept, live.join(ids, "src", "left_semi").join(ids.withColumnRenamed("src", "dst"), "dst", "left_semi")
+    return kept, without_orphans(live, kept)
+
+
+def provenance(edges: DataFrame, root) -> DataFrame:
+    """``node, path``: a shortest path of each node to the root, as an array of nodes from it."""
+    near = settled(hops(edges, edges.sparkSession.createDataFrame([(root,)], edges.select(F.col("src").alias("node")).schema)))
+    most = near.agg(F.max("hops")).first()[0] or 0
+    up = near.select(F.col("node").alias("at"), "parent")
+    paths = near.select("node", F.col("node").alias("at"), F.array("node").alias("path"))
+    for level in range(most):
+        step = paths.join(up, "at")
+        grown = F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat("path", F.array("parent")))
+        paths = step.select("node", F.coalesce("parent", "at").alias("at"), grown.alias("path"))
+        if level % REWRITE_EVERY == REWRITE_EVERY - 1:
+            paths = settled(paths)
+    return paths.select("node", "path")
 
 
 def bridges(node_runs: DataFrame) -> DataFrame:

@@ -109,6 +109,16 @@ def set_metrics(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFram
     return c.select(share(tp, F.col("found")).alias("precision_"), share(tp, F.col("truth")).alias("recall"), share(2 * tp, F.col("found") + F.col("truth")).alias("f1"), share(tp, F.col("every")).alias("iou"))
 
 
+def mode_overlap(found: DataFrame) -> DataFrame:
+    """``a, b, jaccard``: how alike what two modes find is, over all queries.  ``found``: mode, query, item."""
+    rows = found.select("mode", "query", "item").distinct()
+    sizes = rows.groupBy("mode").agg(F.count("*").alias("n"))
+    both = rows.select(F.col("mode").alias("a"), "query", "item").join(rows.select(F.col("mode").alias("b"), "query", "item"), ["query", "item"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    pairs = sizes.select(F.col("mode").alias("a"), F.col("n").alias("na")).join(sizes.select(F.col("mode").alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b"))  # a few modes
+    common = F.coalesce("common", F.lit(0))
+    return pairs.join(both, ["a", "b"], "left").select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard"))
+
+
 def token_metrics(pairs: DataFrame) -> DataFrame:
     """``id, precision_, recall, f1`` over the words of two texts as bags.  ``pairs``: id, found, truth."""
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")

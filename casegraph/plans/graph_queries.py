@@ -37,13 +37,26 @@ p AS (SELECT b.node, min(c.node) AS parent FROM b JOIN gb ON gb.src = b.node JOI
 u AS (SELECT node, node AS cur, node AS path FROM b UNION ALL SELECT u.node, p.parent, u.path || '->' || p.parent FROM u JOIN p ON p.node = u.cur) SELECT node, path FROM u WHERE cur = 'R0'""")
 def gr_provenance(spark, d):
     """Shortest path of each node to the root, written out."""
-    near = graph.settled(graph.hops(_edges(spark, d), spark.createDataFrame([("R0",)], "node string")))
-    most = near.agg(F.max("hops")).first()[0]
-    up = near.select(F.col("node").alias("at"), "parent")
-    paths = near.select("node", F.col("node").alias("at"), F.col("node").alias("path"))
-    for _ in range(most):
-        paths = paths.join(up, "at").select("node", F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat("path", F.lit("->"), "parent")).alias("path"))
-    return paths.select("node", "path")
+    return graph.provenance(_edges(spark, d), "R0").select("node", F.array_join("path", "->").alias("path"))
+
+
+@query("jn_annotated", f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 'R0' AS node, 0 AS h UNION SELECT gb.dst, w.h + 1 FROM w JOIN gb ON gb.src = w.node WHERE w.h < 7), b AS (SELECT node, min(h) AS h FROM w GROUP BY node), p AS (SELECT b.node, min(c.node) AS parent FROM b JOIN gb ON gb.src = b.node JOIN b c ON c.node = gb.dst AND c.h = b.h - 1 GROUP BY b.node),
+u AS (SELECT node, node AS cur, node AS path FROM b UNION ALL SELECT u.node, p.parent, u.path || '->' || p.parent FROM u JOIN p ON p.node = u.cur), pa AS (SELECT node, path FROM u WHERE cur = 'R0' AND node <> 'R0'), ev AS (SELECT 'S' || l_suppkey AS entity, l_returnflag <> 'R' AS supports, l_partkey AS source, arg_min(l_shipmode, l_orderkey * 10 + l_linenumber) AS reasoning FROM (SELECT *, l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1, 2, 3)
+SELECT entity, supports, source, CASE WHEN supports AND path IS NOT NULL THEN 'Evidence through affiliations ' || path || '.' || chr(10) || reasoning ELSE reasoning END AS reasoning, supports AND path IS NOT NULL AS routed FROM ev LEFT JOIN pa ON pa.node = entity""")
+def jn_annotated(spark, d):
+    """Evidence, first of each source and polarity, with the chain that ties it to the root."""
+    x = table(spark, d, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("entity"), (F.col("l_returnflag") != "R").alias("supports"), F.col("l_partkey").alias("source"), F.col("l_linestatus").alias("reasoning"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    keys = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("name")).withColumn("canonical", F.col("name"))
+    rows = E.consolidate(x, keys)
+    return E.annotated(rows, graph.provenance(_edges(spark, d), "R0")).select("entity", "supports", "source", "reasoning", "routed")
+
+
+@query("agg_gated", """WITH ev AS (SELECT l_suppkey AS entity, l_partkey AS source, l_discount * 10 AS strength, 1 - l_tax AS conf, l_returnflag <> 'R' AS sup FROM lineitem WHERE l_suppkey % 2 = 0), pa AS (SELECT entity, sum(CASE WHEN sup THEN 1.0 ELSE -1.0 END * strength * conf) / sum(conf) AS sig, count(DISTINCT CASE WHEN sup AND strength > 0 THEN source END) AS pos, count(DISTINCT CASE WHEN NOT sup AND strength > 0 THEN source END) AS neg FROM ev WHERE conf > 0 GROUP BY entity),
+pb AS (SELECT entity, sig, CASE WHEN sig >= 0 THEN pos ELSE neg END AS n FROM pa), pr AS (SELECT entity, (greatest(-1.0, least(1.0, sig * CASE WHEN least(n, 8) > 1 THEN 1 + 0.35 * log2(least(n, 8)) ELSE 1.0 END)) + 1) / 2 AS p FROM pb) SELECT s_suppkey AS entity, round(coalesce(p, 0), 6) AS prob, coalesce(p > 0, false) AS leaf, p >= 0.5 AS hypothesis FROM supplier LEFT JOIN pr ON entity = s_suppkey""")
+def agg_gated(spark, d):
+    """Entities gated by evidence, which every other one has."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"))
+    return E.gated(s, evidence(spark, d).filter("entity % 2 = 0")).withColumn("prob", F.round("prob", 6))
 
 
 @query("gr_components", f"""WITH RECURSIVE {_EDGES}, w AS (SELECT src AS node, src AS c FROM gb UNION SELECT gb.dst, w.c FROM w JOIN gb ON gb.src = w.node), m AS (SELECT node, min(c) AS component FROM w GROUP BY node)
@@ -98,6 +111,17 @@ def gr_as_of(spark, d):
     return graph.as_of(n, e, "1997-06-01")[1].select("src", "dst", "structural")
 
 
+@query("gr_window", """WITH e AS (SELECT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst, min(CASE WHEN l_partkey % 5 <> 0 THEN CAST(l_shipdate AS DATE) END) AS seen, max(CASE WHEN l_partkey % 5 <> 0 THEN CAST(l_shipdate AS DATE) END) AS until, bool_and(l_linenumber > 3) AS structural FROM lineitem GROUP BY 1, 2),
+s AS (SELECT * FROM e WHERE seen IS NULL OR (seen <= DATE '1997-06-01' AND until >= DATE '1997-01-01')), h AS (SELECT src AS node FROM s WHERE NOT structural UNION SELECT dst FROM s WHERE NOT structural) SELECT src, dst, structural FROM s WHERE src IN (SELECT node FROM h) AND dst IN (SELECT node FROM h)""")
+def gr_window(spark, d):
+    """The supplier and part graph of some months."""
+    seen = F.when(F.col("l_partkey") % 5 != 0, F.to_date("l_shipdate"))
+    e = table(spark, d, "lineitem").groupBy(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).agg(F.min(seen).alias("window_from"), F.max(seen).alias("window_to"), F.bool_and(F.col("l_linenumber") > 3).alias("structural"))
+    e = e.withColumn("first_seen", F.lit(None).cast("date"))
+    n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumns({"is_event": F.lit(False), "day": F.lit(None).cast("date")})
+    return graph.as_of(n, e, since="1997-01-01", until="1997-06-01")[1].select("src", "dst", "structural")
+
+
 @query("gr_bridges", """WITH r AS (SELECT DISTINCT 'S' || l_suppkey AS node, strftime(l_shipdate, '%Y-%m') AS run FROM lineitem) SELECT node, count(*) AS n_runs, array_to_string(list_sort(list(run)), ',') AS runs FROM r GROUP BY node HAVING count(*) >= 2""")
 def gr_bridges(spark, d):
     """Suppliers that several runs attest."""

@@ -137,6 +137,27 @@ def agg_modes(spark, d):
     return j.groupBy("mode").agg(F.round(F.avg("n"), 6).alias("mean_n"), F.count("h").alias("in_view"), F.count_if(F.col("modes") == 1).alias("only_here"), F.round(F.avg(F.when(F.col("v") > 50, 1.0).otherwise(0.0)), 6).alias("grounded"))
 
 
+@query("agg_mode_overlap", """WITH f AS (SELECT DISTINCT event_type AS mode, user_id AS q, CAST(ts AS DATE) AS i FROM events), n AS (SELECT mode, count(*) AS n FROM f GROUP BY 1), c AS (SELECT x.mode AS a, y.mode AS b, count(*) AS c FROM f x JOIN f y ON x.q = y.q AND x.i = y.i AND x.mode < y.mode GROUP BY 1, 2)
+SELECT x.mode AS a, y.mode AS b, round(coalesce(c, 0) / (x.n + y.n - coalesce(c, 0)), 6) AS jaccard FROM n x JOIN n y ON x.mode < y.mode LEFT JOIN c ON c.a = x.mode AND c.b = y.mode""")
+def agg_mode_overlap(spark, d):
+    """How alike what two modes find is."""
+    f = events(spark, d).select(F.col("event_type").alias("mode"), F.col("actor").alias("query"), F.col("day").alias("item"))
+    return reports.mode_overlap(f).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("jn_causal", """WITH c AS (SELECT 'cust ' || o_custkey AS cause, CASE WHEN o_orderkey % 5 = 0 THEN 'nobody' ELSE 'Cust ' || o_orderkey % 900 END AS effect, o_totalprice / 600000 AS s, 0.5 AS c, o_orderkey % 7 AS url, o_orderpriority AS h, o_orderstatus AS dir FROM orders), k AS (SELECT 'CUST ' || c_custkey AS name, 'G' || c_custkey % 400 AS canonical FROM customer WHERE c_custkey % 9 <> 0),
+r AS (SELECT x.canonical AS cause, y.canonical AS effect, s, c, url, h, dir FROM c JOIN k x ON x.name = upper(c.cause) JOIN k y ON y.name = upper(c.effect) WHERE x.canonical <> y.canonical), g AS (SELECT cause, effect, max(s) AS s, max(c) AS c, count(DISTINCT url) AS n, array_to_string(list_sort(list(DISTINCT h)), ',') AS hedging, array_to_string(list_sort(list(DISTINCT dir)), ',') AS direction FROM r GROUP BY 1, 2)
+SELECT cause, effect, n AS n_urls, hedging, direction, round(s * c * least(2.0, 1 + 0.3 * (n - 1)), 4) AS weight FROM g""")
+def jn_causal(spark, d):
+    """Causal claims between known entities, with their hedging and directions."""
+    o = table(spark, d, "orders")
+    effect = F.when(F.col("o_orderkey") % 5 == 0, "nobody").otherwise(F.concat(F.lit("Cust "), F.col("o_orderkey") % 900))
+    claims = o.select(F.concat(F.lit("cust "), "o_custkey").alias("cause"), effect.alias("effect"), (F.col("o_totalprice") / 600000).alias("strength"), F.lit(0.5).alias("confidence"), (F.col("o_orderkey") % 7).alias("url"), F.lit("").alias("claim_text"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("hedging"), F.col("o_orderstatus").alias("direction"))
+    keys = table(spark, d, "customer").filter("c_custkey % 9 <> 0").select(F.concat(F.lit("CUST "), "c_custkey").alias("name"), F.concat(F.lit("G"), F.col("c_custkey") % 400).alias("canonical"))
+    g = E.causal_edges(E.resolved_claims(claims, keys))
+    return g.select("cause", "effect", "n_urls", F.array_join("hedging", ",").alias("hedging"), F.array_join("direction", ",").alias("direction"), "weight")
+
+
 @query("agg_counters", f"""WITH {_AFF}, e AS (SELECT a, b, count(DISTINCT run) AS runs FROM af GROUP BY a, b), n AS (SELECT a AS node, run FROM af UNION SELECT b, run FROM af), b AS (SELECT node, count(DISTINCT run) AS runs FROM n GROUP BY node)
 SELECT (SELECT count(*) FROM b) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM b WHERE runs >= 2) AS bridges, (SELECT count(*) FROM b WHERE runs = 3) AS bridges_all, (SELECT count(*) FROM e WHERE runs >= 2) AS cross_edges""")
 def agg_counters(spark, d):

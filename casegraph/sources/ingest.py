@@ -76,6 +76,12 @@ def expanded(articles: DataFrame, most: int = MAX_SPLIT_CHARS) -> DataFrame:
     return articles.select("*", F.posexplode(pieces("text")).alias("part", "piece")).drop("text").withColumnRenamed("piece", "text")
 
 
+def ingested(sources: list[DataFrame], most: int = MAX_SPLIT_CHARS) -> DataFrame:
+    """Articles of several files and pages as one batch: those without text go, long ones are split."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+    return expanded(rows.filter(F.length(F.trim("text")) > 0), most)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Text files as articles: title is the first line with words, ``error`` tells that there is none."""
     raw = spark.read.format("binaryFile").load(path)
