@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.functions.names import company_tokens, norm_key
@@ -17,6 +17,8 @@ from casegraph.operators.picks import top_rows
 ALIAS_COSINE, ALIAS_JACCARD = 0.90, 0.50
 #: Vectors in a block, and queries whose blocks are broadcast.
 BLOB_ROWS, MAX_SHARED_QUERIES = 4096, 200_000
+#: Items whose hashes are broadcast, 24 bytes each.
+MAX_SHARED_ITEMS = 200_000
 
 
 def registry_resolve(names: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -146,22 +148,31 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, same: bool = False)
 def quoted_texts(docs: DataFrame, needles: DataFrame, words: int = 5) -> DataFrame:
     """``doc_id, items``: the items whose whole text stands in a document.
 
-    Documents and items meet by a hash of words: each item is looked up by one inner window
-    of it, so only documents that share the window are searched.
+    Documents and items meet by a hash of whole words: an item of three words and more is
+    looked up by those inside it, ``words`` of them at most, so only documents that share
+    them are searched.  Windows are taken within a row, without a shuffle of words.  Items
+    of one or two words have no word inside; all documents are searched for them.
     """
-
-    split = F.split("text", r"\s+")
-    inner = F.when(F.size(split) >= words + 2, F.xxhash64(F.array_join(F.slice(split, 2, words), " ")))
-    keyed = needles.select(F.col("item_id"), F.col("text").alias("needle"), inner.alias("window"))
-    long = keyed.filter("window is not null")
-    words_of = docs.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("at", "word"))
-    in_order = Window.partitionBy("doc_id").orderBy("at")
-    following = [F.lead("word", i).over(in_order) if i else F.col("word") for i in range(words)]
-    windows = words_of.select("doc_id", F.when(following[-1].isNotNull(), F.xxhash64(F.concat_ws(" ", *following))).alias("window"))
-    found = windows.join(F.broadcast(long.select("window", "item_id")) if long.count() <= 100_000 else long.select("window", "item_id"), "window")
-    hits = found.select("doc_id", "item_id").distinct().join(docs.select("doc_id", "text"), "doc_id").join(needles.select("item_id", F.col("text").alias("needle")), "item_id")
-    hits = hits.filter(F.contains("text", F.col("needle"))).select("doc_id", "item_id")
-    short = keyed.filter("window is null").select("item_id", "needle")
-    if not short.isEmpty():  # items of a few words have no inner window
+    n = F.size(F.split("text", r"\s+"))
+    keyed = needles.select("item_id", F.col("text").alias("needle"), F.least(F.lit(words), n - 2).alias("length"), F.split("text", r"\s+").alias("w"))
+    inner = keyed.filter("length > 0").select("item_id", "length", F.xxhash64(F.array_join(F.expr("slice(w, 2, length)"), " ")).alias("window"))
+    lengths = [r[0] for r in inner.select("length").distinct().collect()]  # at most ``words``
+    hits = docs.select("doc_id").crossJoin(needles.select("item_id")).limit(0)
+    if lengths:
+        split = docs.select("doc_id", F.split("text", r"\s+").alias("w"))
+
+        def windows(length: int) -> Column:
+            starts = F.sequence(F.lit(1), F.size("w") - length + 1)
+            hashed = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(length)), " ")))
+            return F.when(F.size("w") >= length, F.transform(F.array_distinct(hashed), lambda h: F.struct(F.lit(length).alias("length"), h.alias("window"))))
+
+        none = F.array().cast("array<struct<length:int,window:bigint>>")
+        found = split.select("doc_id", F.explode(F.concat(*[F.coalesce(windows(x), none) for x in lengths])).alias("x")).select("doc_id", "x.length", "x.window")
+        few = inner.count() <= MAX_SHARED_ITEMS
+        met = found.join(F.broadcast(inner) if few else inner, ["length", "window"]).select("doc_id", "item_id").distinct()
+        whole = met.join(docs.select("doc_id", "text"), "doc_id").join(needles.select("item_id", F.col("text").alias("needle")), "item_id")
+        hits = whole.filter(F.contains("text", F.col("needle"))).select("doc_id", "item_id")
+    short = keyed.filter("length <= 0").select("item_id", "needle")
+    if not short.isEmpty():
         hits = hits.union(docs.join(short, F.contains(docs["text"], short["needle"])).select("doc_id", "item_id"))
     return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))

@@ -158,3 +158,13 @@ def test_days_loop(spark):
     again = run(out["fired"], "2024-01-22")
     assert again["patterns"].count() == 0 and [r.final for r in again["seen"].collect()] == ["EV-KNOWN"]
     assert run(fired, "2024-06-01")["patterns"].count() == 0  # too long ago
+
+
+def test_quoted_texts_of_any_length(spark):
+    texts = {1: "the quick brown fox jumps over the lazy dog today", 2: "xquick brown foxes", 3: "nothing of it", 4: None, 5: "", 6: "brown"}
+    items = {1: "quick brown fox", 2: "fox jumps over the lazy dog", 3: "brown", 4: "quick brown", 5: "the quick brown fox jumps over the lazy dog today and more", 6: "jumps over the lazy"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    from casegraph.operators.resolve import quoted_texts
+
+    got = {r.doc_id: r["items"] for r in quoted_texts(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == {k: v for k, x in texts.items() if (v := [i for i, y in items.items() if x and y in x])}
