@@ -27,6 +27,8 @@ from casegraph.llm.scratch import materialize
 
 RANK_BLOCKS = 1024
 CACHED_WORDS = 200_000
+#: Bytes of the longest word that is kept.
+LONGEST_CACHED = 256
 
 
 _MARKS = b"!#$%&*+,-./:;<=>?@^_`|~"
@@ -68,9 +70,10 @@ class WordTokenizer(dict):
         else:
             unit = text if text.isascii() else "".join(map(self.letters.__getitem__, core))
             ids = array("I", [x.id for x in self.model.tokenize(unit)]).tobytes()
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = ids
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
     def _marks(self, marks: bytes) -> bytes:

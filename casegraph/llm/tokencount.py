@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 800_000
+#: Bytes of the longest word that is kept.
+LONGEST_CACHED = 256
 
 
 def load_vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -85,9 +87,10 @@ class PieceCounter(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = self.count(MARK + word.decode())
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = found
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
     def count_text(self, text: str) -> tuple[int, int]:

@@ -254,6 +254,15 @@ def test_token_counts(docs, nothing):
     assert tokencount.count_tokens(nothing, path).count() == 0
 
 
+def test_texts_of_one_very_long_word():
+    counter = tokencount.PieceCounter(tokencount.load_vocabulary(tokencount.vocabulary_path()))
+    tokenizer = packing.WordTokenizer(packing.tokenizer_path())
+    for text in ("ab" * 400_000, "語" * 200_000 + " x", "-" * 500_000):
+        assert counter.count_text(text)[0] == len(text.split()) and counter.count_text(text)[1] > 0
+        assert len(tokenizer.ids(text[:100_000])) > 0
+    assert max(map(len, counter)) <= tokencount.LONGEST_CACHED and max(map(len, tokenizer), default=0) <= packing.LONGEST_CACHED
+
+
 def test_fingerprints(docs, nothing):
     unique = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     texts = {r.doc_id: r.text or "" for r in unique.collect()}
