@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,22 +81,27 @@ def shingle_set(text: str | None, size: int) -> tuple[bytes, np.ndarray]:
     return key, np.unique(shingle_hashes(words, size))
 
 
+def row_marks(key: str, text: str) -> list[Column]:
+    """``row, other``: 128 bits that tell rows apart by key and text; a null is like no value."""
+    return [F.xxhash64(key, text).alias("row"), F.xxhash64(text, F.octet_length(text), F.col(text).isNull(), F.col(key).isNull(), key).alias("other")]
+
+
 def _signed_rows(docs: DataFrame, key: str, text: str, size: int, hasher: MinHasher) -> DataFrame:
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *[T.StructField(n, t) for n, t in (("row", T.LongType()), ("class", T.BinaryType()), ("n_shingles", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("signature", T.BinaryType()))]])
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *[T.StructField(n, t) for n, t in (("row", T.LongType()), ("other", T.LongType()), ("class", T.BinaryType()), ("n_shingles", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("signature", T.BinaryType()))]])
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, row, x in zip(batch["key"], batch["row"], batch["text"], strict=True):
+            for k, row, other, x in zip(batch["key"], batch["row"], batch["other"], batch["text"], strict=True):
                 own, shingles = shingle_set(x, size)
                 if not own:
-                    rows.append((k, row, None, 0, None, None))
+                    rows.append((k, row, other, None, 0, None, None))
                     continue
                 minima = hasher.minima(shingles)
-                rows.append((k, row, own, len(shingles), hasher.band_keys(minima), minima.astype(np.uint8).tobytes()))
+                rows.append((k, row, other, own, len(shingles), hasher.band_keys(minima), minima.astype(np.uint8).tobytes()))
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields]).astype({"key": batch["key"].dtype})
 
-    selected = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
+    selected = docs.select(F.col(key).alias("key"), *row_marks(key, text), F.col(text).alias("text"))
     return selected.mapInPandas(trimmed(signed), schema)
 
 
@@ -274,9 +279,11 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 28,
     rows: int = 5,
+    with_marks: bool = False,
     owner: str = "query",
 ) -> DataFrame:
-    """``key, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``key, n_shingles, component_id, kept`` for every row of ``docs``, and with
+    ``with_marks`` the columns of :func:`row_marks`, by which a verdict finds its row.
 
     Rows are linked where 100 times the common shingles reach ``percent`` times all
     shingles of both; a component is named by its least key and one row of it is kept,
@@ -335,9 +342,10 @@ def near_duplicates(
     placed = materialize(placed.select("class", "n", "first", F.coalesce("component", "node").alias("component")), "placed", owner)
     heads = materialize(placed.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("n")), "component-heads", owner)
     classes = materialize(joined_hot(placed.select("class", F.col("n").alias("rows"), "component"), heads, ["component"]).select("class", F.col("rows").alias("n"), "head"), "heads", owner)
-    rows_of = signed.select("node", "key", "class", "n_shingles")
-    judged = joined_hot(rows_of, classes, ["class"]).select("key", "n_shingles", F.col("head.key").alias("component_id"), (F.col("node") == F.col("head.node")).alias("kept"))
-    alone = rows_of.filter("class is null").select("key", "n_shingles", F.col("key").alias("component_id"), F.lit(True).alias("kept"))
+    marks = ["row", "other"] if with_marks else []
+    rows_of = signed.select("node", "key", "class", "n_shingles", *marks)
+    judged = joined_hot(rows_of, classes, ["class"]).select("key", "n_shingles", F.col("head.key").alias("component_id"), (F.col("node") == F.col("head.node")).alias("kept"), *marks)
+    alone = rows_of.filter("class is null").select("key", "n_shingles", F.col("key").alias("component_id"), F.lit(True).alias("kept"), *marks)
     return judged.union(alone).withColumnRenamed("key", key)
 
 

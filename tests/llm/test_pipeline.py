@@ -50,11 +50,13 @@ def test_stages(spark, tmp_path):
     assert WORD == r"[^\x20\x09-\x0D]+"
 
 
-def test_repeated_ids_are_one_document(spark):
-    rows = [(1, "b text of several words here", "en", "s", 1), (1, "another text of other words here", "en", "s", 1), (2, "z y x w v u t", "en", "s", 1), (2, "z y x w v u t", "en", "s", 1), (None, "q", "en", "s", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = dict(C.STAGES)["near dedup"](spark, df, "").collect()
-    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "q"), (1, "another text of other words here"), (2, "z y x w v u t")]
+def test_rows_are_told_apart_by_id_and_text(spark):
+    own = lambda tag: " ".join(f"{tag}{i}" for i in range(30))
+    near = own("n").replace("n29", "changed")
+    texts = [(1, own("a")), (1, own("b")), (2, own("c")), (2, own("c")), (3, own("c")), (None, own("n")), (None, near), (None, None), (None, None), (4, near)]
+    df = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in dict(C.STAGES)["near dedup"](spark, df, "").collect())
+    assert got == Counter([(1, own("a")), (1, own("b")), (2, own("c")), (4, near), (None, None)])
 
 
 @pytest.mark.parametrize("stage", ["quality rules", "line dedup"])
