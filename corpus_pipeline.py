@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from casegraph.llm.linededup import dedup_lines
 from casegraph.llm.memory import trim
 from casegraph.llm.mixing import mix_documents
-from casegraph.llm.neardup import near_duplicates
+from casegraph.llm.neardup import near_duplicates, row_marks
 from casegraph.llm.packing import pack_documents, tokenizer_path
 from casegraph.llm.quality import apply_quality_rules
 from casegraph.llm.scratch import materialize, release
@@ -57,19 +57,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five words, similarity 0.8.
 
-    Rows that share a doc_id are one document, of which the row of least text stays.
+    Rows are told apart by doc_id and text, a null id being one like others; of rows alike
+    in both one stays.
     """
     _begin(spark)
     docs = docs.select(*COLUMNS)
-    judged = materialize(near_duplicates(docs, owner="pipeline"), "judged", "pipeline")
-    kept = judged.filter("kept").select("doc_id").distinct()
-    dropped = judged.select("doc_id").distinct().join(kept, "doc_id", "left_anti")
-    dropped = materialize(dropped, "dropped", "pipeline")
-    out = docs.join(F.broadcast(dropped) if dropped.count() <= MAX_SHARED_IDS else dropped, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = judged.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    if not repeated.isEmpty():
-        least = out.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).filter("doc_id is not null")
-        out = least.select("doc_id", "row.*").union(out.filter("doc_id is null"))
+    marks = ["row", "other"]
+    judged = near_duplicates(docs, with_marks=True, owner="pipeline")
+    held = materialize(judged.groupBy(*marks).agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "judged", "pipeline")
+    single = held.filter("not kept or n > 1").select(*marks)
+    shared = F.broadcast(single) if single.count() <= MAX_SHARED_IDS else single
+    marked = docs.select(*COLUMNS, *row_marks("doc_id", "text"))
+    out = marked.join(shared, marks, "left_anti").select(*COLUMNS)
+    repeated = held.filter("kept and n > 1").select(*marks)
+    again = repeated.count()
+    if again:
+        found = marked.join(F.broadcast(repeated) if again <= MAX_SHARED_IDS else repeated, marks, "left_semi")
+        least = found.groupBy(*marks).agg(F.min(F.struct(*COLUMNS)).alias("_row"))
+        out = out.union(least.select("_row.*"))
     return out
 
 
