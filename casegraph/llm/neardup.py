@@ -144,27 +144,27 @@ def _tile(
     label = components.copy()
     pairs, unsure = [], []
     triangle = np.array_equal(left, right)
-    for wanted in (True, False):  # first what is surely linked, so that little of a dense group is left
-        for i in left:
-            others = right[label[right] != label[i]]
-            if triangle:
-                others = others[nodes[others] > nodes[i]]
-            if not len(others):
-                continue
-            agree = (signatures[others] == signatures[i]).mean(axis=1)
-            fit = agree >= sure if wanted else (agree >= least) & (agree < sure)
-            others = others[fit]
-            others = others[bands[i][(bands[others] == bands[i]).argmax(axis=1)] == band]
-            if not wanted:
-                unsure.append(np.stack([np.full(len(others), i), others]))
-                continue
-            while len(others):
-                pairs.append((i, others[0], True))
-                label[label == label[others[0]]] = label[i]
-                others = others[label[others] != label[i]]
+    for i in left:
+        others = right[label[right] != label[i]]
+        if triangle:
+            others = others[nodes[others] > nodes[i]]
+        if not len(others):
+            continue
+        agree = (signatures[others] == signatures[i]).mean(axis=1)
+        others, agree = others[agree >= least], agree[agree >= least]
+        first = bands[i][(bands[others] == bands[i]).argmax(axis=1)] == band
+        others, low = others[first], agree[first] < sure
+        if low.any():
+            unsure.append(np.stack([np.full(int(low.sum()), i), others[low]]))
+        others = others[~low]
+        while len(others):
+            pairs.append((i, others[0], True))
+            label[label == label[others[0]]] = label[i]
+            others = others[label[others] != label[i]]
     if unsure:
         one, two = np.concatenate(unsure, axis=1)
-        pairs += [(i, j, False) for i, j in zip(one, two, strict=True)]
+        apart = label[one] != label[two]  # what the sure pairs have not joined
+        pairs += [(i, j, False) for i, j in zip(one[apart], two[apart], strict=True)]
     return [(min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j])), flag) for i, j, flag in pairs]
 
 
