@@ -71,6 +71,24 @@ def name_groups(names: DataFrame, most: int = GROUP_SIZE) -> DataFrame:
     return placed.select("name", F.concat("block", F.lit("#"), F.floor((rank - 1) / most)).alias("group"))
 
 
+def vector_groups(names: DataFrame, most: int = GROUP_SIZE, seed: int = 7) -> DataFrame:
+    """``name, group`` of names whose vectors are alike, about ``most`` in a group.
+
+    Groups are split in two by k-means until there are as many as that takes; what k-means
+    cannot tell apart stays whole.  ``names``: name, vector (array).
+    """
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = names.filter("vector is not null").select("name", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    n = rows.count()
+    if n <= most:
+        return names.select("name", F.lit(0).cast("long").alias("group"))
+    model = BisectingKMeans(k=-(-n // most) * 2, minDivisibleClusterSize=most + 1, seed=seed).fit(rows)
+    found = model.transform(rows).select("name", F.col("prediction").cast("long").alias("group"))
+    return found.union(names.filter("vector is null").select("name", F.lit(-1).cast("long")))
+
+
 def self_dedup(records: DataFrame) -> DataFrame:
     """``id, leader``: records whose texts have one token set or are linked by token subsets."""
     tokens = records.select("id", F.array_sort(name_tokens(F.col("name"))).alias("tokens"))

@@ -362,6 +362,46 @@ def src_review(spark, d):
     return stores.review_rows(n.filter("id % 2 = 0"), known)
 
 
+@query("src_connectors", """SELECT 'q' || c_nationkey AS query, 'encyclopedia' AS provenance, c_name AS title, 'https://wiki.example/' || c_custkey AS url, 'wiki.example' AS publisher, c_mktsegment AS text, '' AS published FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT 'q' || s_nationkey, 'news_index', s_name, 'https://www.news.example/' || s_suppkey, 'news.example', '', '2024-05-15' FROM supplier
+UNION ALL SELECT 'q' || p_size, 'web_search', p_name, 'https://www.shop.example/' || p_partkey, 'shop.example', p_type, '' FROM part
+UNION ALL SELECT 'q' || c_nationkey, 'sanctions', c_name, 'sanctions:' || c_custkey, 'sanctions list', 'country: ' || c_nationkey || chr(10) || 'topics: ' || c_mktsegment, '' FROM customer""")
+def src_connectors(spark, d):
+    """Answers of four services as articles."""
+    from casegraph.sources import connectors
+
+    c, s, p = (table(spark, d, t) for t in ("customer", "supplier", "part"))
+    page = F.struct(F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("title"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("extract"), F.concat(F.lit("https://wiki.example/"), "c_custkey").alias("fullurl"))
+    said = lambda df, key, inner: df.groupBy(F.concat(F.lit("q"), key).alias("query")).agg(inner.alias("response"))
+    wiki = said(c, "c_nationkey", F.to_json(F.struct(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("k"), page.alias("v")))).alias("pages")).alias("query"))))
+    news = said(s, "s_nationkey", F.to_json(F.struct(F.collect_list(F.struct(F.concat(F.lit("https://www.news.example/"), "s_suppkey").alias("url"), F.col("s_name").alias("title"), F.lit("20240515T120000Z").alias("seendate"), F.lit("news.example").alias("domain"))).alias("articles"))))
+    web = said(p, "p_size", F.to_json(F.struct(F.collect_list(F.struct(F.col("p_name").alias("title"), F.concat(F.lit("https://www.shop.example/"), "p_partkey").alias("link"), F.col("p_type").alias("snippet"))).alias("items"))))
+    facts = F.create_map(F.lit("topics"), F.array("c_mktsegment"), F.lit("country"), F.array(F.col("c_nationkey").cast("string")))
+    listed = said(c, "c_nationkey", F.to_json(F.struct(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("caption"), facts.alias("properties"))).alias("results"))))
+    parts = [connectors.encyclopedia(wiki), connectors.news_index(news), connectors.web_search(web), connectors.sanctions(listed)]
+    names = ["query", "provenance", "title", "url", "publisher", "text", "published"]
+    out = parts[0].select(*names)
+    for x in parts[1:]:
+        out = out.union(x.select(*names))
+    return out
+
+
+@query("src_rule_entities", "SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')).list_sort(), ',') AS names FROM documents WHERE text IS NOT NULL")
+def src_rule_entities(spark, d):
+    """Names in documents, by rule."""
+    from casegraph.sources import rules
+
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(F.array_sort(rules.entities(F.col("text"))), ",").alias("names"))
+
+
+@query("udf_vector_groups")
+def udf_vector_groups(spark, d):
+    """Vectors in groups of about forty that are alike."""
+    from casegraph.operators.merge import vector_groups
+
+    return vector_groups(table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("vector")))
+
+
 @query("src_enriched", "SELECT p_partkey, CASE WHEN s_suppkey IS NOT NULL THEN 'supplier' END AS provider, s_name AS found FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 300 AND p_partkey % 2 = 0")
 def src_enriched(spark, d):
     """Entities enriched by the first provider that applies to them."""
