@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from casegraph.functions.names import found
+
 
 def host(url: Column) -> Column:
     """Lower-case host of a URL without ``www.``."""
@@ -30,6 +32,20 @@ def markdown_escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
+# Words that a news index needs not be asked for, and the most words of a query.
+QUERY_STOPS = [
+    "a", "an", "the", "of", "to", "and", "or", "in", "on", "for", "with", "by", "links", "link", "linked", "related",
+    "activities", "activity", "involving", "involved", "suspected", "alleged", "between", "about", "into", "via",
+]
+QUERY_TERMS = 6
+
+
+def query_terms(query: Column, most: int = QUERY_TERMS) -> Column:
+    """The first distinctive words of a query; the query itself without any."""
+    words = F.filter(found(query, "[A-Za-z0-9]+"), lambda w: ~F.lower(w).isin(QUERY_STOPS))
+    return F.coalesce(F.nullif(F.array_join(F.slice(words, 1, most), " "), F.lit("")), query)
+
+
 def http_urls(*columns: Column) -> Column:
     """Those of the columns that are URLs, in order, once each."""
     return F.array_distinct(F.filter(F.array(*columns), lambda u: F.coalesce(u.startswith("http"), F.lit(False))))

@@ -146,6 +146,13 @@ def step_matches(step: dict, event_type: Column, text: Column) -> Column:
     return out
 
 
+def request_fault(session_id: Column, text: Column, threshold: Column) -> Column:
+    """What is wrong with a request, null if nothing: it names a session, brings a text, and
+    its threshold, if any, is between 0 and 1."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return F.when(blank(session_id), "no session").when(blank(text), "no text").when(~F.coalesce(threshold, F.lit(0.7)).between(0, 1), "threshold out of range")
+
+
 def valid_rule(rule: dict) -> bool:
     """A rule has a name, steps that ask for something, and a whole number of days."""
     if not isinstance(rule, dict) or not str(rule.get("name") or "").strip():

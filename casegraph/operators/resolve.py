@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casegraph.functions.names import company_tokens, norm_key
 from casegraph.functions.text import cosine, jaccard
-from casegraph.operators.picks import top_rows
+from casegraph.operators.picks import first_wins, top_rows
 
 # Likeness of the vectors and of the tokens of an alias.
 ALIAS_COSINE, ALIAS_JACCARD = 0.90, 0.50
@@ -145,6 +145,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, same: bool = False)
     return top_rows(scored, ["query"], k, F.desc("sim"), "found")
 
 
+def reranked(turns: DataFrame, seed: list[float], k: int) -> DataFrame:
+    """``url, title, turn, score``: candidates of all turns, each once as it was found first,
+    the ``k`` nearest to the seed query's vector.
+
+    ``turns``: turn, ord, url, title, vector.  Candidates without a URL go.
+    """
+    pool = first_wins(turns.filter("url is not null and url <> ''"), ["url"], "turn", "ord")
+    of = F.array(*[F.lit(float(x)) for x in seed])
+    return pool.withColumn("score", cosine(F.col("vector"), of)).orderBy(F.desc("score"), "url").limit(k).select("url", "title", "turn", "score")
+
+
 def quoted_texts(docs: DataFrame, needles: DataFrame, words: int = 5) -> DataFrame:
     """``doc_id, items``: the items whose whole text stands in a document.
 

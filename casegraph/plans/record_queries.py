@@ -402,6 +402,28 @@ def udf_vector_groups(spark, d):
     return vector_groups(table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("vector")))
 
 
+@query("flt_requests", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'no session' WHEN o_orderkey % 7 = 0 THEN 'no text' WHEN o_orderkey % 3 = 0 AND o_totalprice > 200000 THEN 'threshold out of range' END AS fault FROM orders")
+def flt_requests(spark, d):
+    """What is wrong with requests."""
+    from casegraph.operators.predicates import request_fault
+
+    k = F.col("o_orderkey")
+    threshold = F.when(k % 3 == 0, F.col("o_totalprice") / 200000)
+    return table(spark, d, "orders").select("o_orderkey", request_fault(F.when(k % 5 != 0, "s"), F.when(k % 7 == 0, "  ").otherwise("t"), threshold).alias("fault"))
+
+
+@query("top_reranked", """WITH t AS (SELECT label % 3 AS turn, vec_id AS ord, 'u' || vec_id % 200 AS url, 't' || vec_id AS title, embedding FROM embeddings), p AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY url ORDER BY turn, ord) = 1), s AS (SELECT embedding FROM embeddings WHERE vec_id = 7)
+SELECT p.url, p.title, p.turn, round(list_cosine_similarity(p.embedding, s.embedding), 4) AS score FROM p, s ORDER BY list_cosine_similarity(p.embedding, s.embedding) DESC, p.url LIMIT 50""")
+def top_reranked(spark, d):
+    """Candidates of three turns, the fifty nearest to the seed query."""
+    from casegraph.operators.resolve import reranked
+
+    e = table(spark, d, "embeddings")
+    seed = e.filter("vec_id = 7").first()["embedding"]
+    turns = e.select((F.col("label") % 3).alias("turn"), F.col("vec_id").alias("ord"), F.concat(F.lit("u"), F.col("vec_id") % 200).alias("url"), F.concat(F.lit("t"), "vec_id").alias("title"), F.col("embedding").alias("vector"))
+    return reranked(turns, seed, 50).withColumn("score", F.round("score", 4))
+
+
 @query("src_enriched", "SELECT p_partkey, CASE WHEN s_suppkey IS NOT NULL THEN 'supplier' END AS provider, s_name AS found FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 300 AND p_partkey % 2 = 0")
 def src_enriched(spark, d):
     """Entities enriched by the first provider that applies to them."""

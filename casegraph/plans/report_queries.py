@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from casegraph.functions.names import found
+from casegraph.functions import text
 from casegraph.operators import projections as J
 from casegraph.operators import reports
 from casegraph.operators.picks import first_wins
@@ -16,10 +16,11 @@ from casegraph.sources.tables import affiliations, articles, events, table
 QUERIES, SQL, query = register()
 
 
-@query("src_query_trim", "SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z]{4,}'), 1, 6), ' ') AS q FROM documents")
+@query("src_query_trim", f"""WITH w AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x) NOT IN ({", ".join(f"'{w}'" for w in text.QUERY_STOPS)})) AS w FROM documents)
+SELECT doc_id, CASE WHEN len(w) > 0 THEN array_to_string(w[1:6], ' ') ELSE text END AS q FROM w""")
 def src_query_trim(spark, d):
     """A query of the first six distinctive words of each document."""
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(found(F.col("text"), "[A-Za-z]{4,}"), 1, 6), " ").alias("q"))
+    return table(spark, d, "documents").select("doc_id", text.query_terms(F.col("text")).alias("q"))
 
 
 @query("src_fan_in", "SELECT doc_id AS ord, 'news' AS provenance FROM documents WHERE doc_id % 7 <> 3 AND length(trim(text)) > 0 UNION ALL SELECT page_id, 'pages' FROM pages WHERE length(trim(regexp_replace(regexp_replace(html, '<(?:script[^>]*>[\\s\\S]*?</script|style[^>]*>[\\s\\S]*?</style)>', '', 'g'), '<.*?>', '', 'g'))) > 0")

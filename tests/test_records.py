@@ -168,3 +168,16 @@ def test_quoted_texts_of_any_length(spark):
 
     got = {r.doc_id: r["items"] for r in quoted_texts(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
     assert got == {k: v for k, x in texts.items() if (v := [i for i, y in items.items() if x and y in x])}
+
+
+def test_requests_queries_and_turns(spark):
+    from casegraph.functions.text import query_terms
+    from casegraph.operators.predicates import request_fault
+    from casegraph.operators.resolve import reranked
+
+    q = spark.createDataFrame([("links between the Acme Group and its activities in a far away land of ours today",), ("of the",), ("",), (None,)], "q string")
+    assert [r[0] for r in q.select(query_terms(F.col("q"))).collect()] == ["Acme Group its far away land", "of the", "", None]
+    r = spark.createDataFrame([("s", "t", 0.5), ("", "t", 0.5), ("s", None, 0.5), ("s", "t", 1.5), ("s", "t", None)], "s string, t string, x double")
+    assert [x[0] for x in r.select(request_fault(F.col("s"), F.col("t"), F.col("x"))).collect()] == [None, "no session", "no text", "threshold out of range", None]
+    turns = spark.createDataFrame([(1, 1, "u1", "a", [1.0, 0.0]), (2, 1, "u1", "b", [0.0, 1.0]), (2, 2, "u2", "c", [0.9, 0.1]), (2, 3, None, "d", [1.0, 0.0]), (1, 2, "u3", "e", [0.0, 1.0])], "turn int, ord int, url string, title string, vector array<double>")
+    assert [(x.url, x.title) for x in reranked(turns, [1.0, 0.0], 2).collect()] == [("u1", "a"), ("u2", "c")]
