@@ -45,16 +45,17 @@ def _byte_letters() -> list[str]:
 class WordTokenizer(dict):
     """Ids of whole texts by a tokenizer that lowers case and splits at white space.
 
-    Words repeat, so the ids of up to ``CACHED_WORDS`` are kept, as bytes by word.  A
+    Words repeat, so the ids of up to ``most`` are kept, as bytes by word.  A
     document's ids are those of its words in order.  A word of lower-case letters is one
     unit of the tokenizer and goes straight to its model; marks after it are a unit of
     their own; any other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -71,7 +72,7 @@ class WordTokenizer(dict):
             unit = text if text.isascii() else "".join(map(self.letters.__getitem__, core))
             ids = array("I", [x.id for x in self.model.tokenize(unit)]).tobytes()
         if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids
         return ids
@@ -89,9 +90,11 @@ class WordTokenizer(dict):
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
+def _tokenizer(path: str, most: int) -> WordTokenizer:
+    """The worker's tokenizer, which outlives a task with the words it keeps."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path, most)
+    _tokenizers[path].most = most
     return _tokenizers[path]
 
 
@@ -153,6 +156,7 @@ def pack_documents(
     max_tokens: int = 4096,
     end_id: int = 2,
     with_ids: bool = False,
+    cached_words: int = CACHED_WORDS,
     owner: str = "query",
 ) -> DataFrame:
     """Pieces of all rows: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
@@ -160,7 +164,8 @@ def pack_documents(
     A row's ids are its text's ids and ``end_id``; a null or empty text has that id alone.
     They are cut every ``max_tokens`` ids.  Repeated rows and rows of equal or null key are
     packed each by itself.  ``with_ids`` adds the ids of each piece for writing.  An empty
-    table gives an empty table; other input columns are dropped.  The driver holds the
+    table gives an empty table; other input columns are dropped.  A worker keeps the ids of
+    ``cached_words`` words, some 200 bytes each.  The driver holds the
     histogram, and each executor the places: both depend on ``max_tokens`` alone.
     """
     key_type = docs.schema[key].dataType
@@ -168,7 +173,7 @@ def pack_documents(
     fields += [T.StructField("ids", T.BinaryType())] if with_ids else []
 
     def tokenized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, end = _tokenizer(tokenizer_path), end_id.to_bytes(4, "little")
+        tokenizer, end = _tokenizer(tokenizer_path, cached_words), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
             for k, x in zip(batch["key"], batch["text"], strict=True):
