@@ -22,6 +22,8 @@ from casegraph.session import ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MAX_SHARED_IDS = 2_000_000
+#: Words whose ids a worker keeps: fewer than by itself, since workers outlive the stage.
+CACHED_WORDS = 150_000
 
 
 def _begin(spark: SparkSession) -> None:
@@ -88,7 +90,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences of 4096 tokens."""
     _begin(spark)
-    return pack_documents(docs, tokenizer_path(), owner="pipeline")
+    return pack_documents(docs, tokenizer_path(), cached_words=CACHED_WORDS, owner="pipeline")
 
 
 STAGES = [
