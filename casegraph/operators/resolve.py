@@ -166,15 +166,16 @@ def quoted_texts(docs: DataFrame, needles: DataFrame, words: int = 5) -> DataFra
     """
     n = F.size(F.split("text", r"\s+"))
     keyed = needles.select("item_id", F.col("text").alias("needle"), F.least(F.lit(words), n - 2).alias("length"), F.split("text", r"\s+").alias("w"))
-    inner = keyed.filter("length > 0").select("item_id", "length", F.xxhash64(F.array_join(F.expr("slice(w, 2, length)"), " ")).alias("window"))
+    hashes = F.transform("w", lambda x: F.xxhash64(x))
+    inner = keyed.filter("length > 0").withColumn("w", hashes).select("item_id", "length", F.xxhash64(F.expr("slice(w, 2, length)")).alias("window"))
     lengths = [r[0] for r in inner.select("length").distinct().collect()]  # at most ``words``
     hits = docs.select("doc_id").crossJoin(needles.select("item_id")).limit(0)
     if lengths:
-        split = docs.select("doc_id", F.split("text", r"\s+").alias("w"))
+        split = docs.select("doc_id", F.split("text", r"\s+").alias("w")).withColumn("w", hashes)
 
         def windows(length: int) -> Column:
             starts = F.sequence(F.lit(1), F.size("w") - length + 1)
-            hashed = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(length)), " ")))
+            hashed = F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(length))))
             return F.when(F.size("w") >= length, F.transform(F.array_distinct(hashed), lambda h: F.struct(F.lit(length).alias("length"), h.alias("window"))))
 
         none = F.array().cast("array<struct<length:int,window:bigint>>")
