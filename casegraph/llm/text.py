@@ -69,7 +69,7 @@ def _hash_piece(data: bytes) -> np.ndarray:
     return mix64(np.add.reduceat(weights, starts - starts[0]))
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
+def pieces_of(data: bytes) -> Iterator[bytes]:
     """The text in runs of about a MiB that end between words, to bound memory."""
     at = 0
     while len(data) - at > _PIECE:
@@ -85,7 +85,7 @@ def word_hashes(data: bytes) -> np.ndarray:
     """One 64-bit hash for each word, in order."""
     if len(data) <= _PIECE:
         return _hash_piece(data)
-    return np.concatenate([_hash_piece(x) for x in _pieces(data)])
+    return np.concatenate([_hash_piece(x) for x in pieces_of(data)])
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
