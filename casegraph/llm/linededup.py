@@ -206,7 +206,8 @@ def dedup_lines(
 
     found = selected.select("_a", "_b", "_text").mapInPandas(trimmed(hashed), schema)
     keyed = materialize(found, "chunks", owner)
-    places = materialize(_repeated(keyed, max_shared, owner), "places", owner)
+    places = _repeated(keyed, max_shared, owner).distinct()  # rows alike in key and text are one document
+    places = materialize(places, "places", owner)
     n = places.count()
     lists = places.groupBy("_a", "_b").agg(F.collect_list(F.struct("at", "h1", "h2")).alias("_list"))
     with_lists = _joined_by_row(selected, lists, n, max_shared, "inner")
@@ -214,8 +215,11 @@ def dedup_lines(
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, done = [], set()
             for a, b, k, x, own in zip(batch["_a"], batch["_b"], batch["_key"], batch["_text"], batch["_list"], strict=True):
+                if (a, b) in done:
+                    continue
+                done.add((a, b))
                 lines = x.split("\n")
                 ends = dict(chunks(lines))
                 for place in own:
