@@ -10,6 +10,7 @@ sequences; pieces are ranked within their length and looked up there.
 from __future__ import annotations
 
 import heapq
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -57,8 +58,14 @@ class WordTokenizer(dict):
         super().__init__()
         self.most = most
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # it sees lower-cased words, which are cut already
         self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(x.normalized or x.single_word or x.lstrip or x.rstrip for x in added.values()):
+            raise ValueError("added tokens must be found as they are written")
+        self.added = {x.content: array("I", [k]).tobytes() for k, x in added.items()}
+        longest_first = sorted(self.added, key=lambda x: (-len(x), x))
+        self.cuts = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.added else None
         self.letters = _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
@@ -82,9 +89,14 @@ class WordTokenizer(dict):
             self[marks] = array("I", [x.id for x in self.model.tokenize(marks.decode())]).tobytes()
         return self[marks]
 
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.encode().lower().split()))
+
     def ids(self, text: str) -> bytes:
         """Ids of a text, 4 bytes each."""
-        return b"".join(map(self.__getitem__, text.encode().lower().split()))
+        if self.cuts is None or not self.cuts.search(text):
+            return self._plain(text)
+        return b"".join(self.added[x] if i % 2 else self._plain(x) for i, x in enumerate(self.cuts.split(text)))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
