@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph.llm.columns import packed, unpacked
+from casegraph.llm.hot import joined_hot, left_joined_salted
 from casegraph.llm.memory import trim, trimmed
 from casegraph.llm.scratch import materialize
 from casegraph.llm.text import shingle_hashes, word_hashes
@@ -96,7 +97,8 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 def frequent_lines(docs: DataFrame, text: str, host: str, min_texts: int, host_percent: int) -> DataFrame:
-    """Keys of the lines that more texts of their host hold than the host's limit."""
+    """``line_key, n``: lines that more texts of their host hold than the host's limit, and
+    how many rows hold them."""
     schema = "host string, line_key long, text_key long"
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,36 +115,44 @@ def frequent_lines(docs: DataFrame, text: str, host: str, min_texts: int, host_p
 
     selected = docs.select(F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
     held = selected.mapInArrow(trimmed(lines), schema)
-    per_line = held.groupBy("line_key").agg(F.countDistinct("text_key").alias("texts"), F.first("host").alias("host"))
+    per_line = held.groupBy("line_key").agg(F.countDistinct("text_key").alias("texts"), F.first("host").alias("host"), F.count("*").alias("n"))
     filled = selected.filter(F.length("text") > 0).select("host", F.xxhash64("text").alias("text_key"))
     per_host = filled.groupBy("host").agg(F.countDistinct("text_key").alias("host_texts"))
     candidates = per_line.filter(F.col("texts") > min_texts)
     limit = F.greatest(F.lit(min_texts), F.col("host_texts") * host_percent / 100)
     joined = candidates.join(per_host, candidates["host"].eqNullSafe(per_host["host"]))
-    return joined.filter(F.col("texts") > limit).select("line_key")
+    return joined.filter(F.col("texts") > limit).select("line_key", "n")
 
 
-def _with_removed(docs: DataFrame, lines: DataFrame, text: str, host: str) -> DataFrame:
-    """Rows as ``_row`` with the numbers of their lines that are in ``lines``, by a join."""
+def _with_removed(docs: DataFrame, lines: DataFrame, text: str, host: str, owner: str) -> DataFrame:
+    """Rows as ``_row`` with the numbers of their lines that are in ``lines``, by joins.
+
+    A boilerplate line is held by many rows, and a copied text by many as well: the lines
+    that most rows hold are broadcast, and rows of much copied texts are dealt out.
+    """
     schema = "text_key long, host string, line_no int, line_key long"
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, done = [], set()
             for k, h, x in zip(*(batch[c].to_pylist() for c in ("text_key", "host", "text")), strict=True):
+                if (k, h) in done:
+                    continue
+                done.add((k, h))
                 for i, line in enumerate((x or "").split("\n")):
-                    if (own := line_key(h, line)) is not None:
+                    if (own := line_key(None if h == "-" else h[1:], line)) is not None:
                         rows.append((k, h, i, own))
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["text_key", "host", "line_no", "line_key"])
 
-    rows = docs.select(packed(docs).alias("_row"), F.xxhash64(text, F.octet_length(text)).alias("text_key"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    texts = rows.select("text_key", "host", "text")
-    found = texts.mapInArrow(trimmed(numbered), schema).join(lines, "line_key", "left_semi")
+    name = F.col(host).cast("string")
+    key = F.xxhash64(F.when(F.col(text).isNull(), "-").otherwise("+"), text, F.octet_length(text))
+    rows = docs.select(packed(docs).alias("_row"), key.alias("text_key"), F.when(name.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), name)).alias("host"), F.col(text).alias("text"))
+    found = joined_hot(rows.select("text_key", "host", "text").mapInArrow(trimmed(numbered), schema), lines, ["line_key"])
     removed = found.groupBy("text_key", "host").agg(F.collect_set("line_no").alias("_removed"))
-    same = (rows["text_key"] == removed["text_key"]) & rows["host"].eqNullSafe(removed["host"])
-    return rows.join(removed, same, "left").select("_row", "_removed")
+    removed = materialize(removed, "removed-lines", owner)
+    return left_joined_salted(rows.drop("text"), removed, ["text_key", "host"], owner).select("_row", "_removed")
 
 
 def apply_quality_rules(
@@ -168,16 +178,16 @@ def apply_quality_rules(
     A null text has no words and fails; its clean text is null.  A null host is a host.
     Repeated rows get the same verdict.  An empty table gives an empty table.  Input
     columns of the added names are replaced.  Lines are told apart by 64-bit hashes of
-    host and line.
+    host and line.  A very long text is judged whole, in the memory of its task.
     """
     lines = materialize(frequent_lines(docs, text, host, min_texts, host_percent), "lines", owner)
     n_lines = lines.count()
     shared = None
     if n_lines <= max_shared_lines:  # some 20 MB in each worker at most
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in lines.collect()))
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["line_key"] for r in lines.collect()))
         rows = docs.select(packed(docs).alias("_row"), F.lit(None).cast("array<int>").alias("_removed"))
     else:
-        rows = _with_removed(docs, lines, text, host)
+        rows = _with_removed(docs, lines, text, host, owner)
     names = docs.columns
     added = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("n_words_left", "long"), ("clean_text", "string"), ("kept", "boolean")]
     result = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in added])
