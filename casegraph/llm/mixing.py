@@ -5,7 +5,8 @@ The documents of a source, in the order of a seeded hash, form a stream that may
 source has sent by then over its target.  All streams are sorted together by that time
 and truncated where the budget is spent, which leaves each source near its target.
 
-Rows are measured once and written.  Running totals are taken in two levels, over hash
+Rows are measured once and written; what is sorted carries no texts, and decisions find
+their rows by number.  Running totals are taken in two levels, over hash
 blocks of a source and within a block, and again over ranges of the finish time and within
 a range, so that no task holds a source; a hot key is cut into blocks of its own.  One
 task sees a row for each source.
@@ -13,6 +14,8 @@ task sees a row for each source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +24,9 @@ from casegraph.llm.hot import LEAST_ROWS, MOST_KEYS
 from casegraph.llm.scratch import materialize
 from casegraph.llm.text import n_words
 
-TIME_RANGES = 4096
+#: Least numbers of hash blocks (16 to this power) and of ranges of the finish time, and the
+#: rows or entries that one of them has on average in larger inputs.
+BLOCK_DIGITS, TIME_RANGES, ROWS_EACH = 3, 4096, 100_000
 
 
 def _targets(per_source: DataFrame, weights: tuple, budget_share: float, max_repeats: int) -> DataFrame:
@@ -58,7 +63,7 @@ def _measured(docs: DataFrame, key: str, text: str, source: str, seed: int, owne
     return materialize(base.withColumn("_no", F.monotonically_increasing_id()), "measured", owner)
 
 
-def _blocked(base: DataFrame) -> DataFrame:
+def _blocked(base: DataFrame, total: int) -> DataFrame:
     """The rows with the block of the order that each is in.
 
     Blocks are ranges of the order, but rows of a hot key follow at the end of their range
@@ -66,8 +71,8 @@ def _blocked(base: DataFrame) -> DataFrame:
     """
     names = ["_source", "_order"]
     keys = base.groupBy(*names).agg(F.count("*").alias("n"))
-    total = base.agg(F.count("*")).first()[0]
     limit = max(LEAST_ROWS, total // MOST_KEYS)
+    head = max(BLOCK_DIGITS, math.ceil(math.log(max(1, total / ROWS_EACH), 16)))
     hot = keys.filter(F.col("n") > limit).select(*names, F.lit(True).alias("_hot"))
     same = base.join(F.broadcast(hot), names, "left_semi").groupBy(*names, "_tie").agg(F.count("*").alias("n"))
     alike = same.filter(F.col("n") > limit).select(*names, "_tie", F.lit(True).alias("_alike"))
@@ -75,13 +80,13 @@ def _blocked(base: DataFrame) -> DataFrame:
     digits = lambda c, n: F.substring(F.hex(c), -n, n)
     tie = F.lpad(F.hex("_tie"), 16, "0")
     ranges = F.when(F.col("_alike"), F.concat(tie, F.lit("~"), F.lpad(digits(F.xxhash64("_no"), 2), 2, "0"))).otherwise(F.substring(tie, 1, 2))
-    block = F.concat(F.substring("_order", 1, 3), F.when(F.col("_hot"), F.concat(F.lit("~"), "_order", ranges)).otherwise(""))
+    block = F.concat(F.substring("_order", 1, head), F.when(F.col("_hot"), F.concat(F.lit("~"), "_order", ranges)).otherwise(""))
     return marked.withColumn("_block", block).drop("_hot", "_alike")
 
 
-def _finish_times(base: DataFrame, weights: tuple, budget_share: float, max_repeats: int) -> tuple[DataFrame, DataFrame]:
+def _finish_times(base: DataFrame, total: int, weights: tuple, budget_share: float, max_repeats: int) -> tuple[DataFrame, DataFrame]:
     """Each row with the words its source has sent up to it; the sources."""
-    base = _blocked(base)
+    base = _blocked(base, total)
     blocks = base.groupBy("_source", "_block").agg(F.sum("_size").alias("_words"), F.max("_size").alias("_longest"))
     per_source = blocks.groupBy("_source").agg(F.sum("_words").alias("source_size"), F.max("_longest").alias("longest"))
     per_source = per_source.withColumn("source", F.when(F.col("_source") != "-", F.substring("_source", 2, 2**31 - 1)))
@@ -100,14 +105,15 @@ def _entry(epoch: Column) -> Column:
     return F.struct(time.alias("time"), F.col("rank").alias("rank"), epoch.cast("int").alias("epoch"), F.col("_order").alias("order"), F.col("_tie").alias("tie"))
 
 
-def _cut(timed: DataFrame, budget: float, latest: float, max_repeats: int):
+def _cut(timed: DataFrame, total: int, budget: float, latest: float, max_repeats: int):
     """The last entry within the budget, by a range-sort of the entries; null if there is none."""
     epochs = F.explode(F.array(*[F.lit(e) for e in range(max_repeats)]))
     entries = timed.filter("_size > 0 and target > 0").withColumn("_epoch", epochs)
     entries = entries.select(_entry(F.col("_epoch")).alias("entry"), "_size").filter(F.col("entry.time") <= latest)
-    entries = entries.withColumn("_range", F.floor(F.col("entry.time") / latest * TIME_RANGES).cast("int"))
+    n_ranges = max(TIME_RANGES, total * max_repeats // ROWS_EACH)
+    entries = entries.withColumn("_range", F.floor(F.col("entry.time") / latest * n_ranges).cast("int"))
     ranges = entries.groupBy("_range").agg(F.sum("_size").alias("_words"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most TIME_RANGES + 1 rows
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     ranges = ranges.select("_range", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_range").orderBy("entry").rowsBetween(Window.unboundedPreceding, 0)
     spent = F.col("_before") + F.sum("_size").over(within)
@@ -141,26 +147,22 @@ def mix_documents(
     empty table gives an empty table.  Input columns named ``mix_...`` are replaced.
     """
     names = docs.columns
-    timed, targets = _finish_times(_measured(docs, key, text, source, seed, owner), weights, budget_share, max_repeats)
+    base = _measured(docs, key, text, source, seed, owner)
+    total = base.count()
+    timed, targets = _finish_times(base.drop("_row"), total, weights, budget_share, max_repeats)
     budget, longest = targets.agg(F.max("budget"), F.sum("longest")).first()
     cut = None
     if budget:
-        cut = _cut(timed, budget, 1 + (longest + 1) / budget, max_repeats)
+        cut = _cut(timed, total, budget, 1 + (longest + 1) / budget, max_repeats)
     copies = F.lit(0)
     if cut is not None:
         last = F.struct(F.lit(cut.time).alias("time"), F.lit(cut.rank).alias("rank"), F.lit(cut.epoch).alias("epoch"), F.lit(cut.order).alias("order"), F.lit(cut.tie).cast("long").alias("tie"))
         for e in range(max_repeats):
             copies = copies + F.when((F.col("_size") > 0) & (F.col("target") > 0) & (_entry(F.lit(e)) <= last), 1).otherwise(0)
-    return unpacked(
-        timed,
-        "_row",
-        names,
-        mix_size=F.col("_size"),
-        mix_source_size=F.col("source_size"),
-        mix_target=F.col("target"),
-        mix_copies=copies,
-        mix_time=_entry(F.lit(0)).getField("time"),
-    )
+    added = {"size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "time": _entry(F.lit(0)).getField("time")}
+    decided = timed.select("_no", *[c.alias(f"mix_{n}") for n, c in added.items()])
+    joined = base.select("_no", "_row").join(decided, "_no")
+    return unpacked(joined, "_row", names, **{f"mix_{n}": F.col(f"mix_{n}") for n in added})
 
 
 def mixed_stream(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
