@@ -29,6 +29,7 @@ def sample_texts(seed=1):
     texts = [base, base, base.upper(), *near, say(60) + "\n" + passage, passage + "\n" + say(60), passage, None, "", " \t\n", "one", "one two three"]
     texts += ["\n".join([say(25), "shared boilerplate line of the host", say(25)]) for _ in range(8)]
     texts += [say(30_000), "shared boilerplate line of the host\nx y", "a b c d e f g h " * 5, "#*$ && | < >"]
+    texts += ["foo <|endoftext|> bar", "One<|startoftext|><|endoftext|>\u00e9<|ENDOFTEXT|> it's", "<|endoftext|>", "<|end <|endoftext| > <|<|endoftext|>|>"]
     return texts
 
 
@@ -127,7 +128,7 @@ def test_mixing_of_hot_rows(spark):
     """A third one row, a third rows of null key, in one source beside two others."""
     kind = "case when id % 9 < 3 then 'same' when id % 9 < 6 then 'null' else 'own' end"
     df = spark.range(9000).selectExpr(f"case {kind} when 'same' then 5 when 'own' then id end as doc_id", f"case {kind} when 'same' then 'one text of words' else concat(repeat('w ', id % 7), id) end as text", "if(id % 9 = 8, 'other', 'hot') as source")
-    base = mixing._blocked(mixing._measured(df, "doc_id", "text", "source", 11, "query"))
+    base = mixing._blocked(mixing._measured(df, "doc_id", "text", "source", 11, "query"), 9000)
     assert max(r["count"] for r in base.groupBy("_source", "_block").count().collect()) < 150
     rows = mixing.mix_documents(df, weights=(1, 1)).collect()
     assert len(rows) == 9000
@@ -307,7 +308,6 @@ def test_packing(docs, nothing):
 
     path = packing.tokenizer_path()
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     rows = packing.pack_documents(docs, path, max_tokens=256).collect()
     ids = {r.doc_id: [*exact.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
     for r in rows:
@@ -613,3 +613,49 @@ def test_chunk_bounds_resist_shifts():
     shifted = ["another first line", *passage]
     moved = {"\n".join(shifted[s:e]) for s, e in linededup.chunks(shifted)}
     assert len(plain & moved) >= len(plain) - 3
+
+
+def test_line_dedup_of_rows_alike_is_linear(spark, monkeypatch):
+    """Five thousand rows alike in key and text are one document, and cost a row each at most."""
+    text = "\n".join(f"line {i} has words of its own and then some more of them" for i in range(40))
+    rows = [(1, text)] * 5000 + [(2, "other words before\n" + text)]
+    sizes = {}
+    plain = linededup.materialize
+
+    def counting(df, name, owner="query"):
+        out = plain(df, name, owner)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", counting)
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert Counter((r.doc_id, r.clean_text == text) for r in got.collect())[1, True] == 5000
+    assert sizes["texts"] <= 5001 * len(linededup.chunks(text.split("\n"))) and sizes["gone"] < 50
+
+
+def test_quality_rules_of_copies_and_a_common_line(spark):
+    """Beyond the bound of shared lines, with a third of all rows alike and a line that all hold."""
+    own = "\n".join(" ".join(f"w{i}x{k}" for k in range(6)) for i in range(10))
+    rows = [(f"h{i % 2}", own + "\ncommon line of the host") if i % 3 == 0 else ("h0", f"a text {i} of its own {' '.join(str(i * k) for k in range(20))}\ncommon line of the host") for i in range(6000)]
+    df = spark.createDataFrame([*rows, (None, None), ("h0", "")], "source string, text string").repartition(5)
+    verdicts = lambda n: Counter((r.source, r.clean_text, r.kept) for r in quality.apply_quality_rules(df, max_shared_lines=n).collect())
+    few = verdicts(100)
+    assert few == verdicts(0) and few["h0", own, True] == 1000 and not any("common line" in (x or "") for h, x, _ in few if h == "h0")
+
+
+def test_left_join_on_hot_keys(spark):
+    from casegraph.llm import hot
+
+    rows = spark.range(9000).selectExpr("if(id % 3 = 0, 7, if(id % 3 = 1, 8, id)) as k", "id")
+    table = spark.createDataFrame([(7, "seven"), (2, "two"), (5, "five")], "k long, name string")
+    got = hot.left_joined_salted(rows, table, ["k"])
+    assert sorted(got.columns) == ["id", "k", "name"] and got.count() == 9000
+    assert {r.name: r.n for r in got.groupBy("name").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()} == {"seven": 3000, "two": 1, "five": 1, None: 5998}
+
+
+def test_mixing_by_more_blocks_and_ranges(docs, monkeypatch):
+    take = lambda: sorted((str(r.doc_id), str(r.text)[:30], r.mix_copies) for r in mixing.mix_documents(docs).collect())
+    before = take()
+    monkeypatch.setattr(mixing, "ROWS_EACH", 1e-4)
+    monkeypatch.setattr(mixing, "TIME_RANGES", 10)
+    assert take() == before

@@ -73,7 +73,6 @@ def test_op7(spark, folder, texts):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(packing.tokenizer_path())
-    exact.encode_special_tokens = True
     rows = queries.QUERIES["op7_packing"](spark, folder).collect()
     total = Counter()
     for r in rows:
