@@ -6,7 +6,7 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions.scores import relevance
@@ -19,21 +19,28 @@ STRUCTURAL = ["evidence"]
 REWRITE_EVERY = 8
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared checkpoint folder, so that loops keep short plans.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; it goes with the application.
 
-    What is written goes with the application.
+    A local folder is made only for a local master, where no folder is set.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="casegraph-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/casegraph-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{base.rstrip('/')}/casegraph-{name}-{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared checkpoint folder, so that loops keep short plans."""
+    path = shared_path(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:

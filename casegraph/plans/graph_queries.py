@@ -200,10 +200,12 @@ def gr_claims(spark, d):
 _CEP = """WITH e AS (SELECT event_id, user_id, event_type, CAST(ts AS DATE) d FROM events), m AS (SELECT a.event_id e1, b.event_id e2, date_diff('day', a.d, b.d) span FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND a.event_id <> b.event_id AND date_diff('day', a.d, b.d) BETWEEN 0 AND 3)"""
 
 
+_STORY = {"name": "signup then purchase", "windowDays": 3, "steps": [{"types": ["signup"]}, {"types": ["purchase"]}]}
+
+
 def _stories(spark, d):
-    rule = {"name": "signup then purchase", "windowDays": 3, "steps": [{"types": ["signup"]}, {"types": ["purchase"]}]}
     e = events(spark, d).select(F.col("event_id").alias("event"), "day", "event_type", F.lit("").alias("text"), F.array("actor").alias("participants"))
-    return cep.match_rule(e, rule)
+    return cep.match_rule(e, _STORY)
 
 
 @query("cep_matches", f"{_CEP} SELECT e1, e2, span AS days FROM m")
@@ -218,6 +220,24 @@ def cep_stories(spark, d):
     return cep.collapsed(_stories(spark, d)).select("final", F.col("chain")[0].alias("first"), F.col("days").cast("long").alias("days"), "alternates")
 
 
+@query("str_chains", f"{_CEP} SELECT e1, e2, span AS days FROM m")
+def str_chains(spark, d):
+    """The same chains from the state of a stream that brings the events in two batches."""
+    from casegraph.operators.graph import shared_path
+    from casegraph.streaming import chains
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", chains.STORE)
+    at = shared_path(spark, "chains")
+    e = events(spark, d).select(F.col("event_id").alias("event"), "day", "event_type", F.lit("").alias("text"), F.array("actor").alias("participants"))
+    e.repartition(4, "event").write.parquet(f"{at}/in")
+    rows = session.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    found = chains.match_stream(rows, _STORY, late="3650 days")
+    found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema(found.schema).parquet(f"{at}/out")
+    return told.select(F.col("chain")[0].alias("e1"), F.col("chain")[1].alias("e2"), F.col("days").cast("long").alias("days"))
+
+
 @query("cep_new", f"{_CEP} SELECT count(DISTINCT e2) FILTER (e2 % 4 <> 0) AS fresh, count(DISTINCT e2) FILTER (e2 % 4 = 0) AS fired FROM m")
 def cep_new(spark, d):
     """Stories that have not been alerted yet, and those that have."""
