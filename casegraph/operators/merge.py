@@ -166,12 +166,42 @@ def round_robin(members: DataFrame, n: int, everyone: DataFrame | None = None) -
     return picked.union(rest.select("node", place.cast("long").alias("place")))
 
 
-def store_update(store: DataFrame, new: DataFrame) -> DataFrame:
-    """The store's entities after an investigation: events stay out, fields unite, counts add up.
+def store_entities(rows: DataFrame) -> DataFrame:
+    """One row for each entity of a store: fields unite, counts add up.
 
-    Both: entity, kind, prob, runs, n.
+    ``rows``: entity, kind, prob, runs, n, of the store, of investigations or of both.
     """
-    both = store.unionByName(new.filter("kind is null or kind <> 'event'"))
-    return both.groupBy("entity").agg(
+    return rows.groupBy("entity").agg(
         F.min("kind").alias("kind"), F.max("prob").alias("prob"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"), F.sum("n").alias("n"),
     )
+
+
+def of_store(new: DataFrame) -> DataFrame:
+    """An investigation's entities that go into the store: events stay out."""
+    return new.filter("kind is null or kind <> 'event'")
+
+
+def store_update(store: DataFrame, new: DataFrame) -> DataFrame:
+    """The store's entities after an investigation.  Both: entity, kind, prob, runs, n."""
+    return store_entities(store.unionByName(of_store(new)))
+
+
+def edges_of_store(edges: DataFrame, events: DataFrame, aliases: DataFrame) -> DataFrame:
+    """An investigation's edges as the store has them: ``src, dst, runs, n`` by canonical name.
+
+    Edges that touch an event or only tie evidence to the graph go, ends are called by their
+    canonical names, and what becomes a loop goes.  ``edges``: src, dst, type, runs, n;
+    ``events``: node; ``aliases``: alias (upper case), canonical.
+    """
+    solid = edges.filter(~F.col("type").isin(graph.STRUCTURAL))
+    for end in ("src", "dst"):
+        solid = solid.join(events.select(F.col("node").alias(end)), end, "left_anti")
+        names = aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_name"))
+        solid = solid.join(names, F.upper(end) == F.col("_alias"), "left").withColumn(end, F.coalesce("_name", end)).drop("_alias", "_name")
+    return store_edges(solid.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "runs", "n"))
+
+
+def store_edges(rows: DataFrame) -> DataFrame:
+    """One row for each edge of a store: ``src, dst, pair, runs, n``; ``pair`` is its key."""
+    named = rows.withColumn("pair", F.concat_ws("\u001f", "src", "dst"))
+    return named.groupBy("src", "dst", "pair").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"), F.sum("n").alias("n"))

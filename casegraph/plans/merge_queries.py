@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegraph.operators import merge as M
+from casegraph.operators.graph import shared_path
 from casegraph.plans.graph_queries import _EDGES
 from casegraph.plans.register import register
+from casegraph.sources import deltas
 from casegraph.sources.tables import table
 
 QUERIES, SQL, query = register()
@@ -107,3 +109,14 @@ def str_store(spark, d):
     empty = a.drop("half").limit(0)
     first = M.store_update(empty, a.filter("half = 0").drop("half"))
     return M.store_update(first, a.filter("half = 1").drop("half")).select("entity", "kind", F.round("prob", 6).alias("prob"), F.array_join("runs", ",").alias("runs"), "n")
+
+
+@query("str_deltas", "WITH a AS (SELECT o_custkey AS entity, o_orderstatus AS run, o_totalprice / 1000000 AS prob, CASE WHEN o_orderkey % 10 = 0 THEN 'event' ELSE 'ORG' END AS kind FROM orders) SELECT entity, 'ORG' AS kind, round(max(prob), 6) AS prob, array_to_string(list_sort(list(DISTINCT run)), ',') AS runs, count(*) AS n FROM a WHERE kind <> 'event' GROUP BY entity")
+def str_deltas(spark, d):
+    """The cumulative store after an investigation for each year of orders, kept by deltas."""
+    a = table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), F.when(F.col("o_orderkey") % 10 == 0, "event").otherwise("ORG").alias("kind"), (F.col("o_totalprice") / 1000000).alias("prob"), F.array("o_orderstatus").alias("runs"), F.lit(1).cast("long").alias("n"), F.year("o_orderdate").alias("year"))
+    at = shared_path(spark, "store")
+    for (year,) in sorted(a.select("year").distinct().collect()):
+        new = M.of_store(a.filter(F.col("year").eqNullSafe(F.lit(year)))).drop("year")
+        deltas.merge(at, new, M.store_entities, "entity", f"year-{year}", buckets=8, most_changes=2)
+    return deltas.stored(spark, at, M.store_entities).select("entity", "kind", F.round("prob", 6).alias("prob"), F.array_join("runs", ",").alias("runs"), "n")
