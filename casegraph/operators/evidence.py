@@ -165,17 +165,25 @@ def claim_items(evidence: DataFrame) -> DataFrame:
 
 
 def corroborated_claims(evidence: DataFrame) -> DataFrame:
-    """``entity, supports, sources, claim, corroborated_claims, tier`` of each entity's winning side.
+    """``entity, supports, sources, claim, corroborated_claims, tier``: a row for each entity.
 
-    The side is that of the signed evidence, with or without sources.  ``claim`` is the
-    first of the claims of most sources; corroborated ones have two at least.
+    ``supports`` is the side of the signed evidence, with or without sources, and what is
+    told is about that side.  ``claim`` is the first of the claims of most sources;
+    corroborated ones have two at least.  Where only the other side has items, one source
+    counts and there is no claim; without any items there is no source and no side.
     """
     sign = F.when(F.col("supports"), 1.0).otherwise(-1.0)
-    sides = evidence.filter("confidence > 0 and strength > 0").groupBy("entity").agg((F.sum(sign * F.col("strength") * F.col("confidence")) >= 0).alias("supports"))
-    items = claim_items(evidence).join(sides, ["entity", "supports"])
-    sums = items.groupBy("entity", "supports").agg(
-        F.max("sources").alias("sources"),
-        F.min_by("claim", F.struct(-F.col("sources"), "claim")).alias("claim"),
-        F.countDistinct(F.when(F.col("sources") >= 2, F.col("claim"))).alias("corroborated_claims"),
+    counts = F.coalesce((F.col("confidence") > 0) & (F.col("strength") > 0), F.lit(False))
+    sides = evidence.groupBy("entity").agg((F.coalesce(F.sum(F.when(counts, sign * F.col("strength") * F.col("confidence"))), F.lit(0.0)) >= 0).alias("side"))
+    items = claim_items(evidence).join(sides, "entity")
+    own = F.col("supports") == F.col("side")
+    sums = items.groupBy("entity").agg(
+        F.first("side").alias("supports"),
+        F.max(F.when(own, F.col("sources"))).alias("sources"),
+        F.min_by(F.when(own, F.col("claim")), F.when(own, F.struct(-F.col("sources"), "claim"))).alias("claim"),
+        F.countDistinct(F.when(own & (F.col("sources") >= 2), F.col("claim"))).alias("corroborated_claims"),
+        F.lit(1).cast("long").alias("least"),
     )
-    return sums.withColumn("tier", tier(F.col("sources")))
+    every = sides.select("entity").join(sums, "entity", "left")
+    found = F.coalesce("sources", "least", F.lit(0)).cast("long")
+    return every.select("entity", "supports", found.alias("sources"), "claim", F.coalesce("corroborated_claims", F.lit(0)).alias("corroborated_claims"), tier(found).alias("tier"))

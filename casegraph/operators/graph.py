@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,16 +135,15 @@ def corroborated_edges(edges: DataFrame, root, least: int = 2) -> DataFrame:
     strong = edges.filter(F.coalesce("source_count", F.lit(1)) >= least).select("src", "dst")
     before = settled(hops(edges, start))
     after = hops(strong, start) if not strong.isEmpty() else start
-    lost = before.select("node").join(after.select("node"), "node", "left_anti")
-    climb, bridge = lost, None
-    for _ in range(before.agg(F.max("hops")).first()[0] or 0):
-        step = climb.join(before, "node").filter("parent is not null").select(F.col("node").alias("src"), F.col("parent").alias("dst"))
-        bridge = step if bridge is None else bridge.union(step)
-        climb = step.select(F.col("dst").alias("node")).distinct()
-    out = strong.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    if bridge is not None:
-        out = out.union(bridge.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
-    return out.distinct()
+    needed = settled(before.join(after.select("node"), "node", "left_anti"))
+    held = []
+    for level in range(needed.agg(F.max("hops")).first()[0] or 0, 0, -1):  # each node climbs once
+        step = settled(needed.filter(F.col("hops") == level).select(F.col("node").alias("src"), F.col("parent").alias("dst")).distinct())
+        held.append(step)
+        above = before.join(step.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+        needed = needed.filter(F.col("hops") < level).union(above)
+    least = lambda e: e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return reduce(DataFrame.union, map(least, held), least(strong)).distinct()
 
 
 def as_of(nodes: DataFrame, edges: DataFrame, day: str | None = None, since: str | None = None, until: str | None = None) -> tuple[DataFrame, DataFrame]:

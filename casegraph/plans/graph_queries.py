@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casegraph.operators import cep, graph, inference
 from casegraph.operators import evidence as E
+from casegraph.operators.graph import settled, shared_path
 from casegraph.plans.register import register
 from casegraph.sources.tables import affiliations, events, evidence, table
 
@@ -93,12 +94,15 @@ def gr_triangulate(spark, d):
     return nodes.join(wires, "node", "left").select("node", "score", F.coalesce("w", F.lit(False)).alias("wired"))
 
 
-@query("gr_corroborated", """WITH p AS (SELECT l_suppkey AS s, l_partkey AS p, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1, 2) SELECT least('S' || s, 'P' || p) AS src, greatest('S' || s, 'P' || p) AS dst FROM p WHERE n >= 2""")
+@query("gr_corroborated", """WITH RECURSIVE p AS (SELECT 'S' || l_suppkey AS s, 'P' || l_partkey AS p, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT s AS src, p AS dst, n FROM p UNION ALL SELECT p, s, n FROM p),
+w AS (SELECT 'S0' AS node, 0 AS h UNION SELECT g.dst, w.h + 1 FROM w JOIN g ON g.src = w.node WHERE w.h < 8), b AS MATERIALIZED (SELECT node, min(h) AS h FROM w GROUP BY node),
+v AS (SELECT 'S0' AS node UNION SELECT g.dst FROM v JOIN g ON g.src = v.node WHERE g.n >= 2), u AS MATERIALIZED (SELECT b.node, min(x.node) AS up FROM b JOIN g ON g.src = b.node JOIN b x ON x.node = g.dst AND x.h = b.h - 1 GROUP BY 1),
+l AS (SELECT node FROM b WHERE node NOT IN (SELECT node FROM v) UNION SELECT u.up FROM l JOIN u ON u.node = l.node)
+SELECT least(s, p) AS src, greatest(s, p) AS dst FROM p WHERE n >= 2 UNION SELECT least(u.node, u.up), greatest(u.node, u.up) FROM l JOIN u ON u.node = l.node""")
 def gr_corroborated(spark, d):
-    """Edges of two sources and more, among those that hold the graph to its root."""
+    """Edges of two sources and more, and those that hold cut-off nodes to the root."""
     p = table(spark, d, "lineitem").groupBy(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).agg(F.countDistinct("l_orderkey").alias("source_count"))
-    strong = p.filter("source_count >= 2").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    return graph.corroborated_edges(p, "S0").join(strong, ["src", "dst"], "left_semi")
+    return graph.corroborated_edges(settled(p), "S0")
 
 
 @query("gr_as_of", """WITH e AS (SELECT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst, min(CASE WHEN l_partkey % 5 <> 0 THEN CAST(l_shipdate AS DATE) END) AS seen, bool_and(l_linenumber > 3) AS structural FROM lineitem GROUP BY 1, 2),
@@ -223,7 +227,6 @@ def cep_stories(spark, d):
 @query("str_chains", f"{_CEP} SELECT e1, e2, span AS days FROM m")
 def str_chains(spark, d):
     """The same chains from the state of a stream that brings the events in two batches."""
-    from casegraph.operators.graph import shared_path
     from casegraph.streaming import chains
 
     session = spark.newSession()

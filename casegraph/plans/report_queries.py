@@ -37,10 +37,16 @@ def src_combined(spark, d):
     return p.select("run", F.size("articles").cast("long").alias("n"), F.array_min(F.map_keys("articles")).alias("first_key"))
 
 
-@query("src_split")
+@query("src_split", r"""WITH x AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda l: {'p': CAST([] AS VARCHAR[]), 'c': l}) AS ls FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, text, list_reduce(ls, lambda a, l: CASE
+  WHEN length(l.c) > 3000 THEN {'p': list_concat(list_append(a.p, a.c), list_transform(range(0, length(l.c), 3000), lambda i: substr(l.c, CAST(i AS INTEGER) + 1, 3000))), 'c': ''}
+  WHEN a.c <> '' AND length(a.c) + length(l.c) + 1 > 3000 THEN {'p': list_append(a.p, a.c), 'c': l.c}
+  WHEN a.c <> '' THEN {'p': a.p, 'c': a.c || chr(10) || l.c} ELSE {'p': a.p, 'c': l.c} END, {'p': CAST([] AS VARCHAR[]), 'c': ''}) AS r FROM x),
+f AS (SELECT doc_id, CASE WHEN length(text) <= 3000 THEN [text] ELSE list_filter(list_append(r.p, r.c), lambda p: regexp_matches(p, '\S')) END AS ps FROM r)
+SELECT doc_id, CAST(generate_subscripts(ps, 1) - 1 AS BIGINT) AS part, sha256(unnest(ps)) AS sha FROM f""")
 def src_split(spark, d):
-    """Documents split into pieces of whole paragraphs."""
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    """Documents split into pieces of whole lines."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return ingest.expanded(docs).select("doc_id", F.col("part").cast("long").alias("part"), F.sha2("text", 256).alias("sha"))
 
 

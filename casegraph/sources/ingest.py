@@ -50,20 +50,25 @@ def property_text(properties: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def split_text(text: str, most: int = MAX_SPLIT_CHARS) -> list[str]:
-    """Paragraphs packed into pieces of at most ``most`` characters; longer ones are cut."""
-    pieces: list[str] = []
-    room = 0
-    for paragraph in filter(str.strip, (text or "").split("\n\n")):
-        for at in range(0, len(paragraph), most):
-            part = paragraph[at : at + most]
-            if pieces and len(part) + 2 <= room:
-                pieces[-1] += "\n\n" + part
-                room -= len(part) + 2
-            else:
-                pieces.append(part)
-                room = most - len(part)
-    return pieces
+def split_text(text: str | None, most: int = MAX_SPLIT_CHARS) -> list[str]:
+    """A text within ``most`` characters as it is; a longer one as runs of whole lines that fit.
+
+    A line that does not fit by itself is cut at every ``most`` characters, and stands
+    apart from the lines around it.  Blank pieces go.  Null has no pieces.
+    """
+    if text is None or len(text) <= most:
+        return [] if text is None else [text]
+    pieces, run, room = [], [], most
+    for line in text.split("\n"):
+        if run and len(line) + 1 > room:
+            pieces.append("\n".join(run))
+            run = []
+        if len(line) > most:
+            pieces += [line[at : at + most] for at in range(0, len(line), most)]
+        elif run or line:  # a piece does not begin with empty lines
+            room = room - 1 - len(line) if run else most - len(line)
+            run.append(line)
+    return [x for x in [*pieces, "\n".join(run)] if x.strip()]
 
 
 def expanded(articles: DataFrame, most: int = MAX_SPLIT_CHARS) -> DataFrame:

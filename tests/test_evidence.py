@@ -70,3 +70,15 @@ def test_empty_evidence(spark):
     df = spark.createDataFrame([], "entity string, strength double, confidence double, supports boolean, source string")
     assert E.assess(df).count() == 0
     assert E.verdict(df.select(F.lit("SUPPORTS").alias("stance"), "confidence", "source")).first().verdict == "Roughly Even Chance"
+
+
+def test_every_entity_has_its_corroboration(spark):
+    """As much as is known: another side alone, nothing that counts, both sides."""
+    rows = [
+        (1, True, None, 1.0, 1.0, [1.0, 0.0], 0), (1, False, "s", 0.5, 0.5, [1.0, 0.0], 1),
+        (2, True, "s", 0.0, 1.0, [1.0, 0.0], 0), (2, True, "s", None, None, [1.0, 0.0], 1),
+        (3, False, "s", 1.0, 1.0, [1.0, 0.0], 0), (3, False, "t", 1.0, 1.0, [0.9, 0.3], 1), (3, True, "u", 0.1, 0.1, [0.0, 1.0], 2),
+    ]
+    df = spark.createDataFrame(rows, "entity long, supports boolean, source string, strength double, confidence double, vector array<double>, ord long")
+    got = {r.entity: (r.supports, r.sources, r.claim, r.corroborated_claims, r.tier) for r in E.corroborated_claims(df).collect()}
+    assert got == {1: (True, 1, None, 0, "weak"), 2: (None, 0, None, 0, "weak"), 3: (False, 2, 0, 1, "moderate")}

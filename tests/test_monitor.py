@@ -53,6 +53,10 @@ def test_watchlist(spark):
 
 
 def test_split_text():
-    assert split_text("") == []
-    assert split_text("aa\n\nbb\n\ncc", 6) == ["aa\n\nbb", "cc"]
+    assert split_text(None) == [] and split_text("") == [""] and split_text(" a\n\n") == [" a\n\n"]
+    assert split_text("aa\nbb\ncc", 6) == ["aa\nbb", "cc"]
+    assert split_text("\n\naaaa\n\nb\nc", 6) == ["aaaa\n", "b\nc"]
     assert split_text("abcdefgh", 3) == ["abc", "def", "gh"]
+    assert split_text("a\nbcdefgh\ni\nj", 3) == ["a", "bcd", "efg", "h", "i\nj"]
+    text = "\n".join(f"line {i} {'x' * (i * 7 % 50)}" for i in range(300))
+    assert all(len(x) <= 120 for x in split_text(text, 120)) and "\n".join(split_text(text, 120)) == text
