@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from casegraph.functions.scores import relevance
 from casegraph.operators.pairs import undirected
+from casegraph.operators.picks import top_rows
 from casegraph.operators.predicates import survives, without_orphans
 
 # Edge types that only tie the graph together.
@@ -78,32 +79,51 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simple_paths(edges: DataFrame, pairs: DataFrame, most: int = 4, k: int = 3) -> DataFrame:
-    """``a, b, hops, path``: the k shortest simple paths of at most ``most`` edges of each pair.
-
-    Paths grow from both ends and meet in the middle.
+    """``a, b, hops, path, rank``: the k shortest simple paths of at most ``most`` edges of each
+    pair, those of one length in the order of their nodes.
+
+    Lengths are tried in turn, and a pair that has its k paths is not followed any further.
+    The two halves of a path meet in its middle node.  Only nodes of two neighbours and more
+    lie inside a path.  Of the halves of two edges between an end and a middle the first
+    k + 2 are enough: one may hold the other end and one a node of the other half, and k are
+    left; so a hub costs its neighbours and not its pairs of neighbours.
     """
-    both = undirected(edges)
-    ends = lambda c: pairs.select(F.col(c).alias("end")).distinct()
-
-    def grown(start: DataFrame, length: int) -> list[DataFrame]:
-        paths = [start.select("end", F.array("end").alias("path"))]
-        for _ in range(length):
-            last = paths[-1].withColumn("src", F.element_at("path", -1)).join(both, "src")
-            paths.append(last.filter(~F.array_contains("path", F.col("dst"))).select("end", F.concat("path", F.array("dst")).alias("path")))
-        return paths
+    both = settled(undirected(edges))
+    inside = both.groupBy("src").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("src").alias("dst"))
+    inner = settled(both.join(inside, "dst", "left_semi").select("src", "dst"))
+    asked = settled(pairs.select("a", "b").filter("a <> b").distinct())
+
+    def half(ends: DataFrame, length: int) -> DataFrame:
+        """``end, middle, path``: the path from an end to a middle node."""
+        out = ends.select("end", F.col("end").alias("middle"), F.array("end").alias("path"))
+        for step in range(length):
+            grown = out.join(inner.select(F.col("src").alias("middle"), "dst"), "middle").filter(~F.array_contains("path", F.col("dst")))
+            out = grown.select("end", F.col("dst").alias("middle"), F.concat("path", F.array("dst")).alias("path"))
+            if step == 1 and length == 2:
+                out = top_rows(out, ["end", "middle"], k + 2, "path")
+        return out
+
+    def of_length(left: DataFrame, n: int) -> DataFrame:
+        if n == 1:
+            met = left.join(both, (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst")))
+            return met.select("a", "b", F.lit(1).alias("hops"), F.array("a", "b").alias("path"))
+        one = half(left.select(F.col("a").alias("end")).distinct(), (n + 1) // 2).select(F.col("end").alias("a"), "middle", F.col("path").alias("pa"))
+        two = half(left.select(F.col("b").alias("end")).distinct(), n // 2).select(F.col("end").alias("b"), "middle", F.col("path").alias("pb"))
+        met = left.join(one, "a").join(two, ["b", "middle"]).filter(F.size(F.array_intersect("pa", "pb")) == 1)
+        whole = met.select("a", "b", F.lit(n).alias("hops"), F.concat("pa", F.slice(F.reverse("pb"), 2, most + 1)).alias("path"))
+        return top_rows(whole, ["a", "b"], k, "path")
 
-    left, right = grown(ends("a"), (most + 1) // 2), grown(ends("b"), most // 2)
-    found = None
+    found, left = [], asked
     for n in range(1, most + 1):
-        one, two = left[(n + 1) // 2], right[n // 2]
-        x = one.select(F.col("end").alias("a"), F.col("path").alias("pa"), F.element_at("path", -1).alias("middle"))
-        y = two.select(F.col("end").alias("b"), F.col("path").alias("pb"), F.element_at("path", -1).alias("middle"))
-        met = x.join(y, "middle").join(pairs.select("a", "b"), ["a", "b"], "left_semi")
-        met = met.filter(F.size(F.array_intersect("pa", "pb")) == 1)
-        whole = met.select("a", "b", F.lit(n).alias("hops"), F.concat("pa", F.slice(F.reverse("pb"), 2, most + 1)).alias("path"))
-        found = whole if found is None else found.union(whole)
+        found.append(settled(of_length(left, n)))
+        if n == most:
+            break
+        enough = reduce(DataFrame.union, found).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+        left = settled(asked.join(enough.select("a", "b"), ["a", "b"], "left_anti"))
+        if left.isEmpty():
+            break
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("hops", "path"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return reduce(DataFrame.union, found).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def triangulate(edges: DataFrame, probs: DataFrame, root, keep_low: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,26 +111,54 @@ def retrieve(queries: DataFrame, entities: DataFrame, relations: DataFrame, mode
     return rows.groupBy("query", "found").agg(F.max("sim").alias("sim"))
 
 
-def connector(nodes: DataFrame, edges: DataFrame, selected: DataFrame, most: int = 4, k: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Paths between selected nodes, the nodes on them with centrality and brokers, and what is missing.
+class Connector(NamedTuple):
+    """What connects the chosen nodes."""
+
+    paths: DataFrame  #: a, b, hops, path, rank
+    nodes: DataFrame  #: node, role, betweenness, broker
+    missing: DataFrame  #: node (or pair), why
+    edges: DataFrame  #: src, dst: all edges between these nodes
+    stats: DataFrame  #: one row of counts
+
+
+def connector(nodes: DataFrame, edges: DataFrame, selected: DataFrame, most: int = 4, k: int = 3, mode: str = "hidden") -> Connector:
+    """The graph of the chosen nodes and of those on the paths between them.
+
+    ``mode``: ``shortest_path`` (one path a pair), ``hidden`` (k simple paths, shortest
+    first) or ``induced`` (direct edges only).  Paths have ``most`` edges at most.  Edges that
+    only tie the graph together and loops take no part.  A broker is a connecting node of
+    at least half the greatest betweenness among those, within this graph.
 
-    ``edges``: src, dst, type; edges that only tie the graph together take no part.
+    ``nodes``: node; ``edges``: src, dst, type; ``selected``: node, each once or more.
     """
+    if mode not in ("shortest_path", "hidden", "induced"):
+        raise ValueError(f"not a mode: {mode}")
     chosen = selected.select("node").distinct()
-    known = chosen.join(nodes, "node", "left_semi")
-    missing = chosen.join(nodes, "node", "left_anti").select("node", F.lit("missing").alias("why"))
-    solid = edges.filter(~F.col("type").isin(graph.STRUCTURAL)).select("src", "dst")
+    there = nodes.select("node").distinct()
+    known = graph.settled(chosen.join(there, "node", "left_semi"))
+    missing = chosen.join(there, "node", "left_anti").select("node", F.lit("missing").alias("why"))
+    named = graph.without_orphans(edges.filter(~F.col("type").isin(graph.STRUCTURAL) & (F.col("src") != F.col("dst"))), there)
+    solid = graph.settled(named.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     pairs = known.select(F.col("node").alias("a")).join(known.select(F.col("node").alias("b")), F.col("a") < F.col("b"))  # the reader's choice
-    paths = graph.settled(graph.simple_paths(solid, pairs, most, k))
-    steps = paths.select(F.explode(F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("x"), F.expr("slice(path, 2, size(path) - 1)").alias("y"))).alias("e"))
-    inner = steps.select(F.least("e.x", "e.y").alias("src"), F.greatest("e.x", "e.y").alias("dst")).distinct().withColumns({"graph": F.lit("g"), "weight": F.lit(1.0)})
-    central = inference.communities(inner).select("node", "betweenness")
-    flagged = central.join(known.withColumn("chosen", F.lit(True)), "node", "left")
+    if mode == "induced":
+        paths = graph.simple_paths(solid, pairs, 1, 1)
+        lost = missing.limit(0)
+    else:
+        paths = graph.settled(graph.simple_paths(solid, pairs, most, k if mode == "hidden" else 1))
+        lost = pairs.join(paths.select("a", "b").distinct(), ["a", "b"], "left_anti").select(F.concat_ws("-", "a", "b").alias("node"), F.lit("unreachable").alias("why"))
+    kept = graph.settled(known.union(paths.select(F.explode("path").alias("node"))).distinct())
+    inner = graph.settled(graph.without_orphans(solid, kept))
+    central = inference.centrality(inner.withColumn("graph", F.lit("g"))).select("node", "betweenness")
+    flagged = kept.join(central, "node", "left").join(known.withColumn("chosen", F.lit(True)), "node", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
     top = flagged.filter("chosen is null").agg(F.max("betweenness").alias("most"))
-    found = flagged.crossJoin(F.broadcast(top))  # one row
     broker = F.col("chosen").isNull() & (F.col("betweenness") > 0) & (F.col("betweenness") >= F.col("most") / 2)
-    lost = pairs.join(paths.select("a", "b").distinct(), ["a", "b"], "left_anti").select(F.concat_ws("-", "a", "b").alias("node"), F.lit("unreachable").alias("why"))
-    return paths, found.select("node", "betweenness", broker.alias("broker")), missing.union(lost)
+    found = flagged.crossJoin(F.broadcast(top)).select("node", F.when(F.col("chosen"), "selected").otherwise("connector").alias("role"), "betweenness", F.coalesce(broker, F.lit(False)).alias("broker"))  # one row
+    found = graph.settled(found)
+    unmet = missing.union(lost)
+    stats = found.agg(F.count_if(F.col("role") == "selected").alias("selected"), F.count_if(F.col("role") == "connector").alias("connectors"), F.count_if("broker").alias("brokers"))
+    for name, of in (("edges", inner), ("paths", paths), ("unreachable", lost)):
+        stats = stats.crossJoin(F.broadcast(of.agg(F.count("*").alias(name))))  # one row
+    return Connector(paths, found, unmet, inner, stats)
 
 
 def round_robin(members: DataFrame, n: int, everyone: DataFrame | None = None) -> DataFrame:

@@ -164,6 +164,22 @@ def gr_themes(spark, d):
     return inference.themes(e, 0.5)
 
 
+@query("gr_theme_sizes", """WITH g AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS graph, 'S' || l_suppkey AS a, 'C' || o_custkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT DISTINCT graph, a, b FROM g),
+n AS (SELECT graph, count(*) AS n FROM (SELECT graph, a FROM e UNION SELECT graph, b FROM e) GROUP BY graph), m AS (SELECT graph, count(*) AS m FROM e GROUP BY graph)
+SELECT graph, n AS nodes, CASE WHEN n >= 4 THEN 3 * n - 6 ELSE m END AS edges, greatest(n - 3, 0) AS tetrahedra FROM n JOIN m USING (graph)""")
+def gr_theme_sizes(spark, d):
+    """Nodes, edges with fill-ins, and tetrahedra of each day's filtered graph."""
+    found = gr_themes(spark, d)
+    counts = [F.count_if(F.col("kind").isin(*kinds)).alias(name) for name, kinds in (("nodes", ["belief"]), ("edges", ["edge", "fill_in"]), ("tetrahedra", ["tetrahedron"]))]
+    return found.groupBy("graph").agg(*counts)
+
+
+@query("gr_centrality")
+def gr_centrality(spark, d):
+    """Betweenness in the graph of all nations, suppliers and customers, its sources dealt over tasks."""
+    return inference.centrality(_edges(spark, d).withColumn("graph", F.lit("all")), task_work=1 << 24).select("node", "betweenness")
+
+
 @query("gr_communities")
 def gr_communities(spark, d):
     """Communities, modularity and betweenness of each day's graph."""

@@ -78,7 +78,32 @@ def gr_connector(spark, d):
     e = _edges(spark, d).withColumn("type", F.lit("affiliation"))
     n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     chosen = spark.createDataFrame([("S1",), ("S2",), ("C3",), ("C6",), ("ZZZ",)], "node string")
-    return M.connector(n, e, chosen)[1]
+    return M.connector(n, e, chosen).nodes
+
+
+_INDUCED = "p AS (SELECT l_suppkey AS s, l_partkey AS p FROM lineitem), c AS (SELECT p AS k FROM p GROUP BY 1 ORDER BY count(*) DESC, p LIMIT 20), h AS (SELECT s AS k FROM p GROUP BY 1 ORDER BY count(*) DESC, s LIMIT 20)"
+
+
+@query("gr_induced", f"WITH {_INDUCED} SELECT DISTINCT 'P' || p AS a, 'S' || s AS b FROM p WHERE p IN (SELECT k FROM c) AND s IN (SELECT k FROM h)")
+def gr_induced(spark, d):
+    """Direct edges between the busiest suppliers and parts."""
+    lines = table(spark, d, "lineitem")
+    e = lines.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.lit("supply").alias("type")).distinct()
+    n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    top = lambda k: lines.groupBy(k).count().orderBy(F.desc("count"), k).limit(20)
+    chosen = top("l_suppkey").select(F.concat(F.lit("S"), "l_suppkey").alias("node")).union(top("l_partkey").select(F.concat(F.lit("P"), "l_partkey")))
+    return M.connector(n, e, chosen, mode="induced").paths.select("a", "b")
+
+
+@query("gr_unreachable", f"WITH {_EDGES}, ch AS (SELECT 'C' || min(c_custkey) AS node FROM customer GROUP BY c_nationkey), pr AS (SELECT x.node AS a, y.node AS b FROM ch x JOIN ch y ON x.node < y.node), d1 AS (SELECT src AS a, dst AS z FROM gb), d2 AS (SELECT DISTINCT d1.a, gb.dst AS z FROM d1 JOIN gb ON gb.src = d1.z) SELECT a || '-' || b AS node, 'unreachable' AS why FROM pr WHERE NOT EXISTS (SELECT 1 FROM d2 x JOIN d2 y ON x.z = y.z WHERE x.a = pr.a AND y.a = pr.b) AND NOT EXISTS (SELECT 1 FROM d1 x JOIN d2 y ON x.z = y.z WHERE x.a = pr.a AND y.a = pr.b)")
+def gr_unreachable(spark, d):
+    """Of the first customers of each nation, the pairs without a path of four edges."""
+    from casegraph.plans.graph_queries import _edges
+
+    e = _edges(spark, d).withColumn("type", F.lit("affiliation"))
+    n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    chosen = table(spark, d, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("C"), F.min("c_custkey")).alias("node")).select("node")
+    return M.connector(n, e, chosen, mode="shortest_path").missing.select("node", "why")
 
 
 @query("gr_key_network", f"""WITH {_EDGES}, top AS (SELECT 'C' || c_custkey AS node FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 6), pr AS (SELECT x.node AS a, y.node AS b FROM top x JOIN top y ON x.node < y.node), p1 AS (SELECT src AS a, dst AS z, [src, dst] AS path FROM gb WHERE src IN (SELECT a FROM pr)),

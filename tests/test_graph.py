@@ -1,7 +1,9 @@
 """Graph operators, inference and event patterns against goldens and invariants."""
 
 import itertools
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -36,6 +38,114 @@ def test_edge_filter_restores_bridges(spark):
     assert {tuple(r) for r in graph.corroborated_edges(strong, "ROOT").collect()} == {("A", "ROOT"), ("A", "B")}
 
 
+def every_path(pairs, ends, most, k):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def grown(path, end):
+        if path[-1] == end:
+            yield path
+        elif len(path) <= most:
+            for x in near.get(path[-1], ()):
+                if x not in path:
+                    yield from grown([*path, x], end)
+
+    return {(a, b): sorted(grown([a], b), key=lambda p: (len(p), p))[:k] for a, b in ends}
+
+
+@pytest.mark.parametrize(("most", "k", "n"), [(4, 1, 14), (4, 3, 14), (3, 5, 9), (5, 4, 9)])
+def test_paths_against_all_of_them(spark, most, k, n):
+    rng = random.Random(most * k)
+    pairs = {tuple(rng.sample([f"n{i}" for i in range(n)], 2)) for _ in range(2 * n)}
+    ends = [tuple(rng.sample([f"n{i}" for i in range(n)], 2)) for _ in range(12)]
+    got = graph.simple_paths(edges(spark, pairs), spark.createDataFrame(ends, "a string, b string"), most, k)
+    found = {}
+    for r in got.orderBy("rank").collect():
+        assert r.hops == len(r.path) - 1
+        found.setdefault((r.a, r.b), []).append(r.path)
+    assert found == {e: p for e, p in every_path(pairs, ends, most, k).items() if p}
+
+
+def test_paths_through_a_hub(spark):
+    """Twenty thousand leaves around a hub, and two hundred nodes that share another one."""
+    pairs = [("hub", f"l{i}") for i in range(20_000)] + [("hub", f"x{i}") for i in range(200)] + [("other", f"x{i}") for i in range(200)]
+    ends = spark.createDataFrame([("l1", "l2"), ("l3", "x5"), ("l4", "other")], "a string, b string")
+    got = graph.simple_paths(edges(spark, pairs), ends, 4, 3).orderBy("a", "rank").collect()
+    assert [(r.a, r.path) for r in got] == [
+        ("l1", ["l1", "hub", "l2"]), ("l3", ["l3", "hub", "x5"]), *[("l3", ["l3", "hub", x, "other", "x5"]) for x in ("x0", "x1")], *[("l4", ["l4", "hub", x, "other"]) for x in ("x0", "x1", "x10")],
+    ]
+
+
+def plain_filtered(weights):
+    """The filtered graph by trying every open node in every face."""
+    names = sorted({x for e in weights for x in e})
+    w = lambda a, b: weights.get((min(a, b), max(a, b)), 0.0)
+    first = sorted(sorted(names, key=lambda x: (-math.fsum(w(x, y) for y in names if y != x), x))[:4])
+    faces, cliques = [tuple(f) for f in itertools.combinations(first, 3)], [tuple(first)]
+    left = [x for x in names if x not in first]
+    while left:
+        _, node, face = min((-sum(w(x, y) for y in f), x, f) for f in faces for x in left)
+        faces.remove(face)
+        faces += [tuple(sorted((*p, node))) for p in itertools.combinations(face, 2)]
+        cliques.append(tuple(sorted((*face, node))))
+        left.remove(node)
+    return cliques
+
+
+@pytest.mark.parametrize("values", [None, [0.25, 0.5, 1.0], [-0.5, -0.25, 0.0, 0.25, 0.5]])
+def test_filtered_graphs_against_every_choice(values):
+    rng = random.Random(9)
+    for _ in range(40):
+        n = rng.randrange(4, 16)
+        weights = {}
+        for _ in range(rng.randrange(n, 4 * n)):
+            a, b = sorted(rng.sample([f"n{i:02}" for i in range(n)], 2))
+            weights[a, b] = rng.random() if values is None else rng.choice(values)
+        if len({x for e in weights for x in e}) < 4:
+            continue
+        kept, cliques, parents = inference.filtered_graph(weights)
+        assert cliques == plain_filtered(weights) and len(kept) == 3 * (len(cliques) + 3) - 6
+        assert all(p < i and len(set(cliques[i]) & set(cliques[p])) == 3 for i, p in enumerate(parents) if i)
+
+
+def test_a_large_sparse_graph_and_a_deep_clique_tree():
+    rng = random.Random(2)
+    weights = {}
+    for _ in range(24_000):
+        a, b = sorted(rng.sample(range(8000), 2))
+        weights[f"n{a:05}", f"n{b:05}"] = rng.random()
+    began = time.time()
+    kept, cliques, parents = inference.filtered_graph(weights)
+    found = inference.beliefs(kept, cliques, parents, {}, 0.5)
+    assert len(kept) == 3 * len(found) - 6 and time.time() - began < 30
+    deep = [tuple(f"v{i + j:05}" for j in range(4)) for i in range(20_000)]
+    pulls = [(f"v{i:05}", f"v{i + d:05}", 0.3, True) for i in range(20_000) for d in (1, 2, 3)]
+    found = inference.beliefs(pulls, deep, [-1, *range(19_999)], {"v00000": 0.9}, 0.5)
+    assert found["v00000"] > found["v00001"] > 0.5 and found["v20000"] == pytest.approx(0.5, abs=1e-6)
+
+
+def plain_betweenness(pairs):
+    names = sorted({x for p in pairs for x in p})
+    ends = list(itertools.combinations(names, 2))
+    shortest = {e: [p for p in v if len(p) == len(v[0])] for e, v in every_path(pairs, ends, len(names), 10**6).items() if v}
+    score = {x: sum(sum(x in p[1:-1] for p in v) / len(v) for v in shortest.values()) for x in names}
+    n = len(names)
+    return {x: 2 * s / ((n - 1) * (n - 2)) if n > 2 else 0.0 for x, s in score.items()}
+
+
+def test_centrality_over_tasks(spark):
+    rng = random.Random(5)
+    graphs = {g: {tuple(sorted(rng.sample([f"n{i}" for i in range(8)], 2))) for _ in range(m)} for g, m in (("one", 10), ("two", 12), ("three", 1))}
+    rows = [(g, a, b) for g, v in graphs.items() for a, b in v] + [("one", "n1", "n1")]
+    df = spark.createDataFrame(rows, "graph string, src string, dst string")
+    for work in (1 << 28, 10, 1):
+        got = {(r.graph, r.node): r.betweenness for r in inference.centrality(df, work).collect()}
+        assert got == pytest.approx({(g, x): s for g, v in graphs.items() for x, s in plain_betweenness(v).items()})
+    assert inference.betweenness(list(graphs["one"])) == pytest.approx(plain_betweenness(graphs["one"]))
+
+
 def test_paths(spark):
     e = edges(spark, [("A", "X"), ("X", "D"), ("A", "Y"), ("Y", "Z"), ("Z", "D")])
     pairs = spark.createDataFrame([("A", "D")], "a string, b string")

@@ -55,10 +55,22 @@ def test_connector(spark):
     edges = spark.createDataFrame([("A", "B", "t"), ("A", "X", "t"), ("X", "D", "t"), *[("ROOT", x, "evidence") for x in "ABCD"]], "src string, dst string, type string")
     nodes = spark.createDataFrame([(x,) for x in ["A", "B", "C", "D", "X", "ROOT"]], "node string")
     chosen = spark.createDataFrame([("A",), ("A",), ("D",), ("C",), ("ZZZ",)], "node string")
-    paths, found, lost = merge.connector(nodes, edges, chosen)
+    paths, found, lost, inner, stats = merge.connector(nodes, edges, chosen)
     assert [(r.a, r.b, r.path) for r in paths.collect()] == [("A", "D", ["A", "X", "D"])]
     assert {r.node for r in found.filter("broker").collect()} == {"X"}
     assert {tuple(r) for r in lost.collect()} == {("ZZZ", "missing"), ("A-C", "unreachable"), ("C-D", "unreachable")}
+    assert {(r.node, r.role) for r in found.collect()} == {("A", "selected"), ("C", "selected"), ("D", "selected"), ("X", "connector")}
+    assert {tuple(r) for r in inner.collect()} == {("A", "X"), ("D", "X")}
+    assert stats.first().asDict() == {"selected": 3, "connectors": 1, "brokers": 1, "edges": 2, "paths": 1, "unreachable": 2}
+    induced = merge.connector(nodes, edges, spark.createDataFrame([("A",), ("B",), ("D",)], "node string"), mode="induced")
+    assert [(r.a, r.b, r.path) for r in induced.paths.collect()] == [("A", "B", ["A", "B"])] and induced.missing.count() == 0
+    more = edges.union(spark.createDataFrame([("A", "Y", "t"), ("Y", "Z", "t"), ("Z", "D", "t")], edges.schema))
+    there = nodes.union(spark.createDataFrame([("Y",), ("Z",)], nodes.schema))
+    ends = spark.createDataFrame([("A",), ("D",)], "node string")
+    assert {r.node for r in merge.connector(there, more, ends, mode="shortest_path").nodes.collect()} == {"A", "D", "X"}
+    hidden = merge.connector(there, more, ends, most=4, k=3)
+    assert sorted(r.hops for r in hidden.paths.collect()) == [2, 3] and {r.node for r in hidden.nodes.filter("broker").collect()} >= {"X"}
+    assert merge.connector(there, more, ends, most=2).stats.first()["paths"] == 1
 
 
 def test_round_robin(spark):
