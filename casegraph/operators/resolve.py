@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.functions.names import company_tokens, norm_key
-from casegraph.functions.text import cosine, jaccard
+from casegraph.functions.text import cosine
+from casegraph.operators.graph import settled
 from casegraph.operators.picks import first_wins, top_rows
 
 # Likeness of the vectors and of the tokens of an alias.
@@ -57,7 +58,7 @@ def match_companies(names: DataFrame, register: DataFrame) -> DataFrame:
 
     One side's significant tokens must lie in the other's; a single token must be equal.
     """
-    mine = names.select("id", "name", company_tokens(F.col("name")).alias("want")).filter(F.size("want") > 0)
+    mine = names.select("id", company_tokens(F.col("name")).alias("want")).filter(F.size("want") > 0)
     theirs = register.select("title", company_tokens(F.col("title")).alias("have")).filter(F.size("have") > 0)
     inside, around = F.size(F.array_except("want", "have")) == 0, F.size(F.array_except("have", "want")) == 0
 
@@ -69,11 +70,12 @@ def match_companies(names: DataFrame, register: DataFrame) -> DataFrame:
 
     one = rarest(mine, "want", theirs, "have").join(theirs.withColumn("token", F.explode("have")), "token").filter(inside)
     two = rarest(theirs, "have", mine, "want").join(mine.withColumn("token", F.explode("want")), "token").filter(around)
-    met = one.select("id", "name", "want", "title", "have").union(two.select("id", "name", "want", "title", "have"))
+    met = one.select("id", "want", "title", "have").union(two.select("id", "want", "title", "have"))
     single = F.least(F.size("want"), F.size("have")) < 2
-    good = met.filter(~single | (inside & around))
+    good = met.filter(~single | ((F.size("want") == F.size("have")) & (F.col("want") == F.col("have"))))
     gap = F.abs(F.size("have") - F.size("want"))
-    return good.groupBy("id", "name").agg(F.min_by("title", F.struct(gap, "title")).alias("title"))
+    best = good.groupBy("id").agg(F.min_by("title", F.struct(gap, "title")).alias("title"))
+    return names.select("id", "name").join(best, "id")
 
 
 def similar_aliases(new: DataFrame, saved: DataFrame, least_cosine: float = ALIAS_COSINE, least_jaccard: float = ALIAS_JACCARD) -> DataFrame:
@@ -88,19 +90,38 @@ def similar_aliases(new: DataFrame, saved: DataFrame, least_cosine: float = ALIA
     weight = every.groupBy("token").agg(F.count("*").alias("n"))
 
     def prefixes(df: DataFrame) -> DataFrame:
-        held = df.select("id", "tokens", "vector", F.explode("tokens").alias("token")).join(weight, "token")
-        rare = held.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("order"), F.first("tokens").alias("tokens"), F.first("vector").alias("vector"))
-        n = F.size("order") - F.ceil(F.size("order") * least_jaccard).cast("int") + 1
-        return rare.select("id", "tokens", "vector", F.explode(F.slice(F.transform("order", lambda x: x["token"]), 1, n)).alias("token"))
+        """Names by their rarer tokens, of which names so alike share one; tokens by hash."""
+        held = df.select("id", F.explode("tokens").alias("token")).join(weight, "token").select("id", "n", F.xxhash64("token").alias("token"))
+        rare = held.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("order"))
+        every = rare.select("id", F.transform("order", lambda x: x["token"]).alias("all"))
+        n = F.size("all") - F.ceil(F.size("all") * least_jaccard).cast("int") + 1
+        few = every.withColumn("rare", F.slice("all", 1, n))
+        return few.withColumn("token", F.explode("rare"))
 
     same = new.select("id", F.array_sort("tokens").alias("t")).join(saved.filter("size(tokens) >= 2").select(F.col("id").alias("b"), F.array_sort("tokens").alias("t")), "t").select(F.col("id").alias("a"), "b")
     inside = subset_aliases(new, saved).union(subset_aliases(saved, new).select(F.col("b").alias("a"), F.col("a").alias("b"))).union(same)
-    first = inside.groupBy("a").agg(F.min("b").alias("b"))
-    one, two = prefixes(new).alias("x"), prefixes(saved).alias("y")
-    met = one.join(two, "token").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.tokens").alias("ta"), F.col("y.tokens").alias("tb"), F.col("x.vector").alias("va"), F.col("y.vector").alias("vb"))
-    near = met.withColumn("sim", cosine(F.col("va"), F.col("vb"))).filter((F.col("sim") >= least_cosine) & (jaccard(F.col("ta"), F.col("tb")) >= least_jaccard))
+    first = settled(inside.groupBy("a").agg(F.min("b").alias("b")))
+    rest = new.join(first.select(F.col("a").alias("id")), "id", "left_anti")
+    one, two = prefixes(rest).alias("x"), prefixes(saved).alias("y")
+    sizes, common = (F.size("x.all"), F.size("y.all")), F.size(F.array_intersect("x.all", "y.all"))
+    fits = F.least(*sizes) >= F.greatest(*sizes) * least_jaccard
+    once = F.array_intersect("x.rare", "y.rare")[0] == F.col("token")  # names meet by the first of the tokens that bring them together
+    enough = common >= least_jaccard * (sizes[0] + sizes[1] - common)
+    alike = one.join(two, "token").filter(fits & once & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    met = alike.join(rest.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(saved.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
+    near = met.select("a", "b", _likeness("va", "vb").alias("sim")).filter(F.col("sim") >= least_cosine)
     best = near.groupBy("a").agg(F.min_by("b", F.struct(-F.round("sim", 9), "b")).alias("b"))
-    return first.union(best.join(first.select("a"), "a", "left_anti"))
+    return first.union(best)
+
+
+@F.pandas_udf("double")
+def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine of two vectors, 0 where one has no length."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        norm = np.linalg.norm(x) * np.linalg.norm(y)
+        out.append(float(np.dot(x, y) / norm) if norm else 0.0)
+    return pd.Series(out)
 
 
 def _blobs(rows: DataFrame, size: int = BLOB_ROWS) -> DataFrame:
