@@ -275,6 +275,16 @@ def cep_incidents(spark, d):
     return same_incidents(e)
 
 
+@query("cep_leaders", """WITH e AS (SELECT event_id, event_type, CAST(ts AS DATE) AS d, user_id AS u FROM events), g AS (SELECT *, CASE WHEN year(d) = year(lag(d) OVER w) AND date_diff('day', lag(d) OVER w, d) <= 7 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY event_type, u ORDER BY d, event_id)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type, u ORDER BY d, event_id) AS k FROM g)
+SELECT event_id AS event, first_value(event_id) OVER (PARTITION BY event_type, u, k ORDER BY d, event_id) AS leader FROM k""")
+def cep_leaders(spark, d):
+    """Events and the incidents that they join, which grow by each of them."""
+    from casegraph.operators.events import growing_incidents
+
+    e = events(spark, d).select(F.col("event_id").alias("event"), "event_type", "day", F.array(F.col("day").cast("string")).alias("dates"), F.array(F.col("actor").cast("string")).alias("participants"))
+    return growing_incidents(e, ["day", "event"])
+
+
 @query("st_windows", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def st_windows(spark, d):
     """Events by day and type: the batch twin of the streaming window."""

@@ -293,3 +293,52 @@ def test_stories_fire_once(spark):
     assert (new.count(), old.count()) == (1, 0)
     new, old = cep.new_and_fired(stories, cep.marked(none, stories, "2024-02-01"))
     assert (new.count(), old.count()) == (0, 1)
+
+
+def plain_incidents(rows, alike):
+    """Each event against all incidents as they are by then, first match wins."""
+    out, incidents = {}, []
+    for event, kind, dates, names in rows:
+        names, days = {x.strip().upper() for x in names if x and x.strip()}, [events._day(x) for x in dates if x]
+        for one in incidents:
+            dated = not days or not one["days"] or any(events._near(a, b, 7) for a in one["days"] for b in days)
+            signed = kind == one["kind"] and kind not in ("", "other") and names and one["names"] and len(names & one["names"]) / len(names | one["names"]) >= 0.6
+            signed = signed and any(x[1] for x in days) and any(x[1] for x in one["days"])
+            if dated and (signed or (one["leader"], event) in alike or (event, one["leader"]) in alike):
+                one["names"] |= names
+                one["days"] += days
+                out[event] = one["leader"]
+                break
+        else:
+            incidents.append({"leader": event, "kind": kind, "names": names, "days": days})
+            out[event] = event
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_growing_incidents_against_all_of_them(spark, seed):
+    """Random events, a participant in a third of them, months and years as dates, similar names."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(260):
+        day = f"2024-{rng.randrange(1, 4):02d}-{rng.randrange(1, 29):02d}"
+        dates = rng.choice([[day], [day], [day], [day[:7]], [day[:4]], [], [day, f"2024-{rng.randrange(1, 13):02d}-05"], [None, "2023-12-30"]])
+        names = rng.sample([f"p{k}" for k in range(9)], rng.randrange(4)) + (["Hub"] if i % 3 == 0 else []) + ([" ", None] if i % 11 == 0 else [])
+        rows.append((i, rng.choice(["strike", "strike", "deal", "other", ""]), dates, names))
+    rng.shuffle(rows)
+    alike = {tuple(sorted(rng.sample(range(260), 2))) for _ in range(40)}
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "event long, event_type string, dates array<string>, participants array<string>, ord long")
+    pairs = spark.createDataFrame(sorted(alike), "a long, b long")
+    for given in (set(), alike):
+        got = events.growing_incidents(df, ["ord"], pairs if given else None)
+        want = plain_incidents(rows, given)
+        assert {r.event: r.leader for r in got.collect()} == want and len(set(want.values())) < 250
+    records = events.grown_incidents(df.withColumns({"name": df.event.cast("string"), "confidence": df.event / 260}), got, ["ord"]).collect()
+    assert sum(r.n for r in records) == 260 and all(len(r.labels) == r.n and r.labels[0] == str(r.leader) for r in records)
+
+
+def test_an_incident_grows(spark):
+    """The third event matches what the first two have become, and neither of them."""
+    rows = [(1, "strike", ["2024-05-01"], ["A", "B", "C"]), (2, "strike", ["2024-05-06"], ["A", "B", "C", "D"]), (3, "strike", ["2024-05-12"], ["B", "C", "D", "E"]), (4, "strike", ["2024-05-12"], ["A"]), (5, "strike", ["2024-05-13"], ["a "])]
+    df = spark.createDataFrame(rows, "event long, event_type string, dates array<string>, participants array<string>")
+    assert {r.event: r.leader for r in events.growing_incidents(df, ["event"]).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
