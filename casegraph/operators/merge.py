@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,22 +74,81 @@ def name_groups(names: DataFrame, most: int = GROUP_SIZE) -> DataFrame:
     return placed.select("name", F.concat("block", F.lit("#"), F.floor((rank - 1) / most)).alias("group"))
 
 
-def vector_groups(names: DataFrame, most: int = GROUP_SIZE, seed: int = 7) -> DataFrame:
-    """``name, group`` of names whose vectors are alike, about ``most`` in a group.
+#: Rows of a group that one task splits by itself.
+TASK_ROWS = 20_000
 
-    Groups are split in two by k-means until there are as many as that takes; what k-means
-    cannot tell apart stays whole.  ``names``: name, vector (array).
+
+def _split(vectors: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows in groups of at most ``most``, by repeated two-means from the ends of the widest way.
+
+    Rows go to the nearer mean, ties to the first.  Where all go to one, or after no
+    division at all, they are cut in half by order, so every step makes groups smaller.
     """
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = names.filter("vector is not null").select("name", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    n = rows.count()
-    if n <= most:
-        return names.select("name", F.lit(0).cast("long").alias("group"))
-    model = BisectingKMeans(k=-(-n // most) * 2, minDivisibleClusterSize=most + 1, seed=seed).fit(rows)
-    found = model.transform(rows).select("name", F.col("prediction").cast("long").alias("group"))
-    return found.union(names.filter("vector is null").select("name", F.lit(-1).cast("long")))
+    done, left = [], [np.arange(len(vectors))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= most:
+            done.append(rows)
+            continue
+        x = vectors[rows]
+        one = x[((x - x.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+        two = x[((x - one) ** 2).sum(axis=1).argmax()]
+        side = np.zeros(len(rows), bool)
+        for _ in range(8):
+            nearer = ((x - two) ** 2).sum(axis=1) < ((x - one) ** 2).sum(axis=1)
+            if (nearer == side).all() or nearer.all() or not nearer.any():
+                break
+            side, one, two = nearer, x[~nearer].mean(axis=0), x[nearer].mean(axis=0)
+        if side.all() or not side.any():
+            side = np.arange(len(rows)) >= len(rows) // 2
+        left += [rows[side], rows[~side]]
+    return sorted(done, key=lambda g: g[0])
+
+
+def vector_groups(names: DataFrame, most: int = GROUP_SIZE, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``name, group`` of names whose vectors are alike, never more than ``most`` in a group.
+
+    A group of more than ``task_rows`` is cut by sums over all its rows, at the median of
+    the way between two far ends, equal places by a hash of the name; smaller ones are split
+    by two-means in a task each.  Names without a vector make groups of their own, by hash.
+    A repeated name is one, with its least vector.  ``names``: name, vector (array).
+    """
+    once = graph.settled(names.groupBy("name").agg(F.min("vector").cast("array<double>").alias("vector")))
+    rows = once.filter("vector is not null").select("name", "vector", F.lit("v").alias("group"))
+    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    while True:
+        big = rows.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > task_rows).select("group")
+        big = graph.settled(big)
+        if big.isEmpty():
+            break
+        inside = rows.join(F.broadcast(big), "group")  # fewer groups than rows / task_rows
+        sums = inside.select("group", F.posexplode("vector").alias("at", "x")).groupBy("group", "at").agg(F.avg("x").alias("x"))
+        centre = sums.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda v: v["x"]).alias("centre"))
+        order = lambda d: F.struct(d, "name")
+        one = inside.join(centre, "group").groupBy("group").agg(F.max_by("vector", order(gap(F.col("vector"), F.col("centre")))).alias("one"))
+        two = inside.join(one, "group").groupBy("group").agg(F.first("one").alias("one"), F.max_by("vector", order(gap(F.col("vector"), F.col("one")))).alias("two"))
+        far = inside.join(graph.settled(two), "group").withColumn("way", gap(F.col("vector"), F.col("one")) - gap(F.col("vector"), F.col("two")))
+        bounds = far.groupBy("group").agg(F.percentile_approx("way", 0.5).alias("middle"), F.min("way").alias("lo"), F.max("way").alias("hi"))
+        far = far.join(bounds, "group")
+        same = F.col("lo") == F.col("hi")
+        side = F.when(same | ((F.col("way") == F.col("middle")) & (F.col("middle") == F.col("hi"))), F.shiftrightunsigned(F.xxhash64("name", "group"), 63) == 1).otherwise(F.col("way") > F.col("middle"))
+        cut = far.select("name", "vector", F.concat("group", F.when(side, "1").otherwise("0")).alias("group"))
+        rows = graph.settled(rows.join(F.broadcast(big), "group", "left_anti").select("name", "vector", "group").union(cut))
+
+    def split(group: pd.DataFrame) -> pd.DataFrame:  # task_rows at most
+        group = group.sort_values("name", ignore_index=True)
+        label = np.empty(len(group), object)
+        for i, own in enumerate(_split(np.stack(group["vector"].to_list()), most)):
+            label[own] = f"{group['group'].iloc[0]}#{i}"
+        return pd.DataFrame({"name": group["name"], "group": label})
+
+    found = rows.groupBy("group").applyInPandas(split, f"name {dict(names.dtypes)['name']}, group string")
+    none = once.filter("vector is null").select("name")
+    blocks = max(1, -(-none.count() * 2 // most))
+    block = F.pmod(F.xxhash64("name"), F.lit(blocks))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy("name"))
+    rest = none.withColumn("block", block).withColumn("rank", rank)
+    return found.union(rest.select("name", F.concat_ws("#", F.lit("none"), "block", F.floor((F.col("rank") - 1) / most)).alias("group")))
 
 
 def self_dedup(records: DataFrame) -> DataFrame:

@@ -109,12 +109,11 @@ def similar_aliases(new: DataFrame, saved: DataFrame, least_cosine: float = ALIA
     enough = common >= least_jaccard * (sizes[0] + sizes[1] - common)
     alike = one.join(two, "token").filter(fits & once & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     met = alike.join(rest.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(saved.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
-    near = met.select("a", "b", _likeness("va", "vb").alias("sim")).filter(F.col("sim") >= least_cosine)
+    near = met.select("a", "b", F.pandas_udf(_likeness, "double")("va", "vb").alias("sim")).filter(F.col("sim") >= least_cosine)
     best = near.groupBy("a").agg(F.min_by("b", F.struct(-F.round("sim", 9), "b")).alias("b"))
     return first.union(best)
 
 
-@F.pandas_udf("double")
 def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Cosine of two vectors, 0 where one has no length."""
     out = []

@@ -396,12 +396,19 @@ def src_rule_entities(spark, d):
 
 @query("udf_vector_groups")
 def udf_vector_groups(spark, d):
-    """Vectors in groups of about forty that are alike."""
+    """Vectors in groups of forty at most that are alike."""
     from casegraph.operators.merge import vector_groups
 
     return vector_groups(table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("vector")))
 
 
+@query("udf_group_sizes", "SELECT count(*) AS names, count(*) AS placed, CAST(0 AS BIGINT) AS too_large FROM embeddings")
+def udf_group_sizes(spark, d):
+    """All names are in a group, and no group has more than forty."""
+    found = udf_vector_groups(spark, d).groupBy("group").agg(F.count("*").alias("n"), F.countDistinct("name").alias("k"))
+    return found.agg(F.sum("n").alias("names"), F.sum("k").alias("placed"), F.count_if(F.col("n") > 40).alias("too_large"))
+
+
 @query("flt_requests", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'no session' WHEN o_orderkey % 7 = 0 THEN 'no text' WHEN o_orderkey % 3 = 0 AND o_totalprice > 200000 THEN 'threshold out of range' END AS fault FROM orders")
 def flt_requests(spark, d):
     """What is wrong with requests."""

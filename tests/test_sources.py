@@ -51,6 +51,14 @@ def test_batches_and_groups(spark):
     one = spark.createDataFrame([("a", "x" * 7000), ("b", " ")], "title string, text string")
     two = spark.createDataFrame([("c", "short", "u")], "title string, text string, url string")
     assert sorted((r.title, r.part) for r in ingest.ingested([one, two]).collect()) == [("a", 0), ("a", 1), ("a", 2), ("c", 0)]
-    rows = [(f"n{i}", [float(i // 50), float(i % 50) / 1000]) for i in range(200)] + [("none", None)]
-    got = vector_groups(spark.createDataFrame(rows, "name string, vector array<double>")).collect()
-    assert len(got) == 201 and all(len({r.name for r in got if r.group == g} & {f"n{i}" for i in range(a, a + 50)}) in (0, len([r for r in got if r.group == g])) for g in {r.group for r in got} if g >= 0 for a in (0, 50, 100, 150))
+    rows = [(f"n{i:03}", [float(i // 50) * 10, float(i % 50) / 1000]) for i in range(200)] + [(f"none{i}", None) for i in range(90)]
+    rows += [(f"same{i:03}", [500.0, 500.0]) for i in range(150)] + [("n000", None), ("n001", [0.0, 0.001])]
+    df = spark.createDataFrame(rows, "name string, vector array<double>")
+    for task_rows in (20_000, 60):
+        groups = {}
+        for r in vector_groups(df, task_rows=task_rows).collect():
+            groups.setdefault(r.group, set()).add(r.name)
+        assert max(map(len, groups.values())) <= 40 and sum(map(len, groups.values())) == 440
+        kinds = lambda names: {("none" if x.startswith("none") else "same" if x.startswith("same") else int(x[1:]) // 50) for x in names}
+        mixed = [g for g in groups.values() if len(kinds(g)) > 1]
+        assert not mixed if task_rows > 400 else all("none" not in kinds(g) for g in mixed)
