@@ -161,9 +161,12 @@ def self_dedup(records: DataFrame) -> DataFrame:
     return tokens.join(same, "tokens").join(found, "leader", "left").select("id", F.coalesce("component", "leader").alias("leader"))
 
 
-def retrieve(queries: DataFrame, entities: DataFrame, relations: DataFrame, mode: str, k: int = 10) -> DataFrame:
-    """``query, found, sim`` by mode: local from entities, global from relations, hybrid from both."""
-    parts = {"local": [entities], "global": [relations], "hybrid": [entities, relations]}[mode]
+def retrieve(queries: DataFrame, entities: DataFrame, relations: DataFrame, mode: str, k: int = 10, chunks: DataFrame | None = None) -> DataFrame:
+    """``query, found, sim`` by mode: local from entities, global from relations, hybrid from
+    both, mix from both and from chunks of text, each the k nearest of its kind."""
+    parts = {"local": [entities], "global": [relations], "hybrid": [entities, relations], "mix": [entities, relations, chunks]}[mode]
+    if None in parts:
+        raise ValueError("mix needs chunks")
     rows = None
     for part in parts:
         some = nearest(queries, part, k)

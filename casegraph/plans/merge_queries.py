@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegraph.operators import merge as M
-from casegraph.operators.graph import shared_path
+from casegraph.operators.graph import settled, shared_path
 from casegraph.plans.graph_queries import _EDGES
 from casegraph.plans.register import register
 from casegraph.sources import deltas
@@ -70,6 +70,29 @@ def udf_retrieve(spark, d):
     return M.retrieve(e.filter("vec_id % 20 = 0"), e.filter("label % 2 = 0"), e.filter("label % 2 = 1"), "hybrid").select("query", "found", F.round("sim", 4).alias("sim"))
 
 
+@query("udf_retrieve_mix", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q.vec_id AS query, e.vec_id AS found, list_cosine_similarity(q.embedding, e.embedding) AS sim, e.label % 3 AS side FROM q JOIN embeddings e ON e.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query, side ORDER BY sim DESC, found) AS r FROM p) SELECT query, found, round(sim, 4) AS sim FROM k WHERE r <= 10")
+def udf_retrieve_mix(spark, d):
+    """Mixed retrieval: ten entities, ten relations and ten chunks for every twentieth vector."""
+    e = table(spark, d, "embeddings")
+    kinds = [e.filter(F.col("label") % 3 == i) for i in range(3)]
+    return M.retrieve(e.filter("vec_id % 20 = 0"), kinds[0], kinds[1], "mix", chunks=kinds[2]).select("query", "found", F.round("sim", 4).alias("sim"))
+
+
+@query("udf_index_recall", "SELECT count(*) AS queries, 10 * count(*) AS found, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def udf_index_recall(spark, d):
+    """What the vector index finds for every twentieth vector, and whether that is nine tenths
+    of the ten nearest of all vectors."""
+    from casegraph.operators import vector_index
+    from casegraph.operators.resolve import nearest
+
+    e = table(spark, d, "embeddings")
+    q = e.filter("vec_id % 20 = 0")
+    index = vector_index.built(e)
+    found = settled(vector_index.searched(index, q, e, 10, vector_index.tuned(index, e, 10)))
+    share = vector_index.recall(found, nearest(q, e, 10))
+    return found.agg(F.countDistinct("query").alias("queries"), F.count("*").alias("found"), F.lit(share >= 0.9).alias("enough"))
+
+
 @query("gr_connector")
 def gr_connector(spark, d):
     """Connectors and brokers between chosen suppliers and customers."""

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from casegraph.functions.names import name_tokens
-from casegraph.operators import merge, projections, resolve
+from casegraph.operators import merge, projections, resolve, vector_index
 from casegraph.operators.picks import first_wins, last_wins, page, top_rows
+from casegraph.operators.resolve import nearest
 from casegraph.sources import ingest, stores
 
 
@@ -113,3 +115,26 @@ def test_projections(spark):
     df = spark.createDataFrame(rows, "node string, is_event boolean, labels array<string>, score double, ord long")
     got = {r.node[0]: r for r in projections.payload_nodes(df).collect()}
     assert len(got["x"].label) == 38 and got["x"].labels == ["b"] and got["y"].is_event and got["y"].labels == ["z"]
+
+
+def test_vector_index_against_all_vectors(spark):
+    """Recall at ten over clustered vectors, with one list that holds a third of them."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (40, 16))
+    own = np.where(rng.random(3000) < 0.33, 0, rng.integers(0, 40, 3000))
+    x = centres[own] + rng.normal(0, 0.25, (3000, 16))
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(None, [1.0] * 16), (3000, None)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    index = vector_index.built(e, lists=40)
+    held = [i for r in index.blocks.collect() for i in r.ids]
+    assert sorted(held) == list(range(3000))
+    q = e.filter("vec_id % 20 = 0")
+    exact = nearest(q, e, 10)
+    found = vector_index.searched(index, q, e, 10, probes=6)
+    assert vector_index.recall(found, exact) >= 0.95 and found.count() == 1500
+    assert vector_index.recall(vector_index.searched(index, q, e, 10, probes=40, depth=300), exact) == 1.0
+    looked = {r.list: len(r.ids) for r in index.blocks.collect()}
+    assert sum(sorted(looked.values())[-6:]) < 3000  # six lists are less than all vectors
+    assert vector_index.tuned(index, e, 10, queries=40) < 40
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert vector_index.searched(vector_index.built(none), none, none, 10).count() == 0
