@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions import text
@@ -10,7 +10,7 @@ from casegraph.operators import projections as J
 from casegraph.operators import reports
 from casegraph.operators.picks import first_wins
 from casegraph.plans.register import register
-from casegraph.sources import ingest, stores
+from casegraph.sources import ingest, pdf, stores
 from casegraph.sources.tables import affiliations, articles, events, table
 
 QUERIES, SQL, query = register()
@@ -50,6 +50,25 @@ def src_split(spark, d):
     return ingest.expanded(docs).select("doc_id", F.col("part").cast("long").alias("part"), F.sha2("text", 256).alias("sha"))
 
 
+def _as_pdf(text: Column) -> Column:
+    """A text set as a PDF file of one page, a line for each line, in UTF-16 codes."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit("<"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj T*\n")))
+    table = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+    font = "/Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 5 0 R"
+    head = f"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Resources << /Font << /F << {font} >> >> >> >> endobj\n"
+    head += f"3 0 obj << /Type /Page /Contents 4 0 R >> endobj\n5 0 obj << >> stream\n{table}\nendstream endobj\n4 0 obj << >> stream\nBT /F 10 Tf 12 TL 72 720 Td\n"
+    tail = "ET\nendstream endobj\ntrailer << /Root 1 0 R >>\n%%EOF"
+    return F.concat(F.lit(head), F.array_join(lines, ""), F.lit(tail)).cast("binary")
+
+
+@query("src_pdf", r"SELECT doc_id, nullif(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '') AS text, CASE WHEN trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) = '' THEN 'no text' END AS error FROM documents")
+def src_pdf(spark, d):
+    """Documents set as PDF files and read back, their gaps made one space."""
+    read = table(spark, d, "documents").select("doc_id", pdf.texts(_as_pdf(F.col("text"))).alias("pdf"))
+    plain = F.trim(F.regexp_replace("pdf.text", r"[ \t\r\n]+", " "))
+    return read.select("doc_id", F.nullif(plain, F.lit("")).alias("text"), F.col("pdf.error").alias("error"))
+
+
 @query("src_extract", "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 50 = 0 THEN 'failed: bad chunk' ELSE 'ok' END AS status FROM documents")
 def src_extract(spark, d):
     """A rule-based extractor over chunks, some of which fail."""

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegraph.sources import pdf
+
 MAX_SPLIT_CHARS = 3000
 
 
@@ -88,11 +90,19 @@ def ingested(sources: list[DataFrame], most: int = MAX_SPLIT_CHARS) -> DataFrame
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as articles: title is the first line with words, ``error`` tells that there is none."""
+    """Text and PDF files as articles: ``url, title, text, error, published``.
+
+    Title is the first line with words, 200 characters at most, of a PDF without one its
+    name; ``error`` tells that there is no text, or why a PDF cannot be read.
+    """
     raw = spark.read.format("binaryFile").load(path)
-    text = F.col("content").cast("string")
+    is_pdf = F.contains(F.substring(F.col("content"), 1, 1024), F.lit(b"%PDF-"))
+    read = raw.select("path", "modificationTime", is_pdf.alias("is_pdf"), pdf.texts(F.when(is_pdf, F.col("content"))).alias("pdf"), F.when(~is_pdf, F.col("content").cast("string")).alias("plain"))
+    text = F.coalesce("pdf.text", "plain")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    return raw.select(F.col("path").alias("url"), F.trim(F.get(lines, F.lit(0))).alias("title"), text.alias("text"), F.when(F.size(lines) == 0, "no text").alias("error"))
+    stem = F.when(F.col("is_pdf"), F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1))
+    error = F.coalesce("pdf.error", F.when(F.size(lines) == 0, "no text"))
+    return read.select(F.col("path").alias("url"), F.coalesce(F.substring(F.trim(F.get(lines, F.lit(0))), 1, 200), stem).alias("title"), text.alias("text"), error.alias("error"), F.col("modificationTime").alias("published"))
 
 
 def pages(table: DataFrame) -> DataFrame:
