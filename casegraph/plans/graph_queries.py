@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casegraph.operators import cep, graph, inference
+from casegraph.operators import cep, communities, graph, inference
 from casegraph.operators import evidence as E
 from casegraph.operators.graph import settled, shared_path
 from casegraph.plans.register import register
@@ -186,6 +186,14 @@ def gr_communities(spark, d):
     return inference.communities(_graphs(spark, d))
 
 
+@query("gr_large_communities", """WITH e AS (SELECT n_nationkey AS n, 'C' || c_custkey AS x FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_nationkey, 'S' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+g AS (SELECT n, least('N' || n, min(x)) AS community FROM e GROUP BY n) SELECT x AS node, community FROM e JOIN g USING (n) UNION ALL SELECT 'N' || n, community FROM g""")
+def gr_large_communities(spark, d):
+    """Communities by rounds of joins in the graph of nations with their customers and suppliers, where each nation is one."""
+    e = _edges(spark, d).filter("src like 'N%'").withColumn("weight", F.lit(1.0))
+    return communities.large_communities(e, task_links=1000)
+
+
 def _purchases(spark, d):
     """Purchases by the customer that each touches."""
     e = events(spark, d).filter("event_type = 'purchase'")
