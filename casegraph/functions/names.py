@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 # Words that carry no identity in a name.
 NAME_STOPS = ["THE", "A", "AN", "OF", "FOR", "AND", "TO", "IN", "ON"]
 
+# Tokens of names, and words that may anchor a text.
+NAME_TOKEN = "[A-Z0-9]+"
+ANCHOR_WORD = "[A-Za-z][A-Za-z0-9&-]{3,}"
+
 # Ways to say that an attribute is absent.
 EMPTY_EXACT = ["", "n/a", "na", "none", "null", "not applicable", "unknown"]
 EMPTY_PREFIXES = ["not specified", "not found", "not available", "not provided", "not mentioned", "not disclosed", "not stated"]
@@ -33,7 +37,7 @@ def found(text: Column, pattern: str) -> Column:
 
 def name_tokens(name: Column) -> Column:
     """Distinct upper-case tokens without stop words; dotted acronyms are one token."""
-    tokens = found(F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), r"\.", ""), "[A-Z0-9]+")
+    tokens = found(F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), r"\.", ""), NAME_TOKEN)
     return F.array_except(F.array_distinct(tokens), literals(NAME_STOPS))
 
 
@@ -54,7 +58,7 @@ def token_run(tokens: Column, run: Column) -> Column:
 
 def anchor_tokens(text: Column) -> Column:
     """Distinctive upper-case tokens without plural endings, five characters at least."""
-    words = found(F.upper(text), "[A-Za-z][A-Za-z0-9&-]{3,}")
+    words = found(F.upper(text), ANCHOR_WORD)
     singular = F.transform(words, lambda w: F.regexp_replace(w, "S+$", ""))
     return F.array_distinct(F.array_except(F.filter(singular, lambda w: F.length(w) >= 5), literals(ANCHOR_STOPS)))
 
@@ -70,7 +74,7 @@ def clean(value: Column) -> Column:
 
 def company_tokens(name: Column) -> Column:
     """Significant tokens of a company name."""
-    tokens = F.array_except(F.array_distinct(found(F.upper(F.coalesce(name, F.lit(""))), "[A-Z0-9]+")), literals(COMPANY_SUFFIXES))
+    tokens = F.array_except(F.array_distinct(found(F.upper(F.coalesce(name, F.lit(""))), NAME_TOKEN)), literals(COMPANY_SUFFIXES))
     return F.filter(tokens, lambda t: F.length(t) > 1)
 
 

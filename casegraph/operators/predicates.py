@@ -49,6 +49,7 @@ HTTP_DATE = r"(?i)^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),\s+\d{1,2}\s+(Jan|Feb|Mar|Apr|M
 
 # How a query asks for alternatives to brands.
 BRAND_PATTERN = r"(?i)\b(?:alternatives?\s+to|instead\s+of|other\s+than|besides|rather\s+than|not\s+(?:from|by)|excluding|except)\s+(.+?)(?:\s+(?:for|in|on|with|under|that|which|because)\b|[.?!]|$)"
+BRAND_BREAK = r"(?i)\s*(?:,|/|\band\b|\bor\b)\s*"
 BRAND_PENALTY = 0.1
 
 
@@ -108,7 +109,7 @@ def publication_entry(event: Column) -> Column:
 
 def excluded_brands(query: Column) -> Column:
     """Brands that a product query wants alternatives to, upper case, three words at most."""
-    parts = F.flatten(F.transform(F.regexp_extract_all(query, F.lit(BRAND_PATTERN), F.lit(1)), lambda x: F.split(x, r"(?i)\s*(?:,|/|\band\b|\bor\b)\s*")))
+    parts = F.flatten(F.transform(F.regexp_extract_all(query, F.lit(BRAND_PATTERN), F.lit(1)), lambda x: F.split(x, BRAND_BREAK)))
     names = F.transform(parts, lambda x: F.upper(F.trim(x)))
     return F.array_sort(F.array_distinct(F.filter(names, lambda x: (x != "") & (F.size(F.split(x, r"\s+")) <= 3))))
 
