@@ -17,9 +17,11 @@ _owned: dict[str, list[str]] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is made only where none is set (tests)."""
+    """The cluster's shared folder; a local one is made only where none is set and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="casegraph-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
