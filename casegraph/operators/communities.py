@@ -63,7 +63,7 @@ def _best(links: DataFrame, member: DataFrame, count: int, total: int) -> DataFr
     facts = own.select("node", F.col("group").alias("own"), "weight", "n", "size", "sum", hot)
     rows = looked_up(pulls.withColumnRenamed("group", "near"), facts, "node")
     home = F.col("near") == F.col("own")
-    after = F.col("pull") - F.col("weight") * F.when(home, F.col("there") - F.col("weight")).otherwise(F.col("there")) / total
+    after = F.col("pull") - F.col("weight").cast("double") * F.when(home, F.col("there") - F.col("weight")).otherwise(F.col("there")) / total
     scored = rows.groupBy("node", "own", "weight", "n", "size", "sum").agg(
         F.max(F.when(home, F.col("pull"))).alias("pull"), F.max(F.when(home, after)).alias("stay"), F.max(F.when(~home, F.struct(after.alias("gain"), "near"))).alias("best")
     )

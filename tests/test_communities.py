@@ -48,3 +48,10 @@ def test_odd_rows(spark):
         assert sorted((r.node, r.community) for r in found) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]
     numbered = spark.createDataFrame([(1, 2, 1.0), (3, 4, 1.0)], "src long, dst long, weight double")
     assert sorted(map(tuple, communities.large_communities(numbered).collect())) == [(1, 1), (2, 1), (3, 3), (4, 3)]
+
+
+def test_heavy_hubs(spark):
+    """Two hubs whose weights, in millionths, have a product beyond 64 bits."""
+    rows = [(hub, f"{hub}{i}", 1000.0) for hub in "ab" for i in range(5)] + [("a", "b", 1.0)]
+    found = communities.large_communities(spark.createDataFrame(rows, "src string, dst string, weight double"), 0).collect()
+    assert {(r.node, r.community) for r in found} == {(x, x[0]) for row in rows for x in row[:2]}
