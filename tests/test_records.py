@@ -76,6 +76,18 @@ def test_cascade(spark):
     assert [tuple(r) for r in kept["edges"].collect()] == [("ACME", "BETA")]
 
 
+def test_themes_are_inferred_once(spark, monkeypatch):
+    from casegraph.plans import graph_queries, record_queries
+
+    def themes(spark, d):
+        rows = spark.createDataFrame([("g", "belief", ["a"], 0.5, 0.2), ("g", "tetrahedron", ["a", "b", "c", "d"], 1.0, 0.0)], "graph string, kind string, members array<string>, value double, delta double")
+        return rows.mapInPandas(lambda batches: batches, rows.schema)
+
+    monkeypatch.setattr(graph_queries, "gr_themes", themes)
+    for query in (record_queries.gr_promoted, record_queries.gr_theme_rows, record_queries.gr_hypotheses):
+        assert "MapInPandas" not in query(spark, "")._jdf.queryExecution().toString()
+
+
 def test_similar_aliases(spark):
     new = spark.createDataFrame([(1, ["US", "TREASURY"], [1.0, 0.0]), (2, ["HAMAS"], [1.0, 0.0]), (3, ["BANK", "OF", "NORTH"], [0.0, 1.0])], "id long, tokens array<string>, vector array<double>")
     saved = spark.createDataFrame([(10, ["US", "DEPARTMENT", "TREASURY"], [0.0, 1.0]), (11, ["HAMAS", "PROXIES"], [1.0, 0.01]), (12, ["BANK", "OF", "SOUTH"], [0.0, 1.0]), (13, ["HAMAS", "IN", "GAZA"], [1.0, 0.0])], "id long, tokens array<string>, vector array<double>")
