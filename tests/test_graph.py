@@ -146,6 +146,19 @@ def test_centrality_over_tasks(spark):
     assert inference.betweenness(list(graphs["one"])) == pytest.approx(plain_betweenness(graphs["one"]))
 
 
+def test_trees_cost_no_sources(spark, monkeypatch):
+    """What hangs on a graph is counted by sizes; a node of the rest weighs what hung on it."""
+    tree = [("r", f"a{i}") for i in range(4)] + [(f"a{i}", f"b{i}{j}") for i in range(3) for j in range(i)] + [("x", "y"), ("y", "z")]
+    ring = [("p", "q"), ("q", "s"), ("s", "t"), ("t", "p"), ("p", "u"), ("u", "v"), ("u", "w"), ("s", "k"), ("lone", "pair")]
+    rows = [("tree", *e) for e in tree] + [("ring", *e) for e in ring]
+    df = spark.createDataFrame(rows, "graph string, src string, dst string")
+    for work in (1 << 28, 2):
+        got = {(r.graph, r.node): r.betweenness for r in inference.centrality(df, work).collect()}
+        assert got == pytest.approx({(g, x): s for g, v in (("tree", tree), ("ring", ring)) for x, s in plain_betweenness(v).items()})
+    left, rounds, held = inference._peeled(inference.settled(df.union(df.select("graph", "dst", "src"))))
+    assert {r.src for r in left.collect()} == {"p", "q", "s", "t"} and held.filter("graph = 'tree'").count() == 2
+
+
 def test_paths(spark):
     e = edges(spark, [("A", "X"), ("X", "D"), ("A", "Y"), ("Y", "Z"), ("Z", "D")])
     pairs = spark.createDataFrame([("A", "D")], "a string, b string")
