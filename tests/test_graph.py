@@ -282,6 +282,18 @@ def test_impact(spark):
     assert {r.node: r.delta for r in inference.impact(event, e, known).collect()}["A"] != got["A"].delta
 
 
+def test_what_is_touched_alike_is_inferred_once(spark, monkeypatch):
+    pairs = [("X", "A"), ("X", "B"), ("A", "B"), ("X", "C"), ("B", "C"), ("A", "C")]
+    e = spark.createDataFrame([(a, b, 4.0) for a, b in pairs], "src string, dst string, weight double")
+    event = spark.createDataFrame([(i, ["X"] if i % 2 else ["X", "X"], 1.0 + i, 0.5) for i in range(6)], "event long, touched array<string>, strength double, recency double")
+    asked = []
+    ripple = inference.ripple
+    monkeypatch.setattr(inference, "ripple", lambda events, *a, **k: asked.append(events.count()) or ripple(events, *a, **k))
+    rows = inference.impact(event, e).collect()
+    assert asked == [1] and len(rows) == 18
+    assert all(r.score == pytest.approx((1.0 + r.event) * 0.5 * abs(r.delta) * 0.7) for r in rows)
+
+
 def test_ripple_keeps_the_nearest(spark):
     pairs = [("X", f"n{i:03}") for i in range(300)] + [(f"n{i:03}", f"m{i:03}") for i in range(250)] + [("Y", "X")]
     event = spark.createDataFrame([(1, ["X", "Y"]), (2, ["n000"])], "event long, touched array<string>")
