@@ -367,3 +367,21 @@ def test_an_incident_grows(spark):
     rows = [(1, "strike", ["2024-05-01"], ["A", "B", "C"]), (2, "strike", ["2024-05-06"], ["A", "B", "C", "D"]), (3, "strike", ["2024-05-12"], ["B", "C", "D", "E"]), (4, "strike", ["2024-05-12"], ["A"]), (5, "strike", ["2024-05-13"], ["a "])]
     df = spark.createDataFrame(rows, "event long, event_type string, dates array<string>, participants array<string>")
     assert {r.event: r.leader for r in events.growing_incidents(df, ["event"]).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
+@pytest.mark.parametrize("meetings", [40, 1_000_000])
+def test_active_windows_in_cells(spark, meetings):
+    """Spans of pairs against all pairs, whatever the cells; days may differ within an event or be missing."""
+    rng = random.Random(5)
+    rows = [(f"e{rng.randrange(12)}", rng.choice([None, *range(5)]), rng.randrange(40)) for _ in range(300)] + [("lone", 9, 1), (None, 3, 2), ("e1", 3, None)]
+    days = spark.createDataFrame(rows, "event string, n int, who long").selectExpr("event", "date_add(date'2024-01-01', n) as day", "who")
+    want: dict = {}
+    for one, day, a in rows:
+        for two, _, b in rows:
+            if one is not None and one == two and a is not None and b is not None and a < b:
+                want.setdefault((a, b), []).extend([] if day is None else [day])
+    found = events.active_windows(days, meetings)
+    got = {(r.a, r.b): (r.lo and r.lo.day - 1, r.hi and r.hi.day - 1) for r in found.collect()}
+    assert got == {k: (min(v, default=None), max(v, default=None)) for k, v in want.items()} and found.count() == len(want)
+    assert "hashpartitioning(a#" not in found._jdf.queryExecution().toString()  # no pair is shuffled
+    assert not events.active_windows(days.limit(0)).collect()
