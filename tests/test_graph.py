@@ -385,3 +385,12 @@ def test_active_windows_in_cells(spark, meetings):
     assert got == {k: (min(v, default=None), max(v, default=None)) for k, v in want.items()} and found.count() == len(want)
     assert "hashpartitioning(a#" not in found._jdf.queryExecution().toString()  # no pair is shuffled
     assert not events.active_windows(days.limit(0)).collect()
+
+
+@pytest.mark.parametrize("size", [50, 5000])
+def test_growing_incidents_are_judged_in_buckets(spark, monkeypatch, size):
+    """Small groups share a call, whatever the size of the buckets."""
+    monkeypatch.setattr(events, "BUCKET_EVENTS", size)
+    rows = [(i, "strike", [f"2024-05-{1 + i // 300:02d}"], [f"p{i % 300}"]) for i in range(900)]
+    df = spark.createDataFrame(rows, "event long, event_type string, dates array<string>, participants array<string>")
+    assert {r.event: r.leader for r in events.growing_incidents(df, ["event"]).collect()} == {i: i % 300 for i in range(900)}
