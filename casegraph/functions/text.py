@@ -80,16 +80,24 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def best_window(text: Column, terms: list[str], width: int, stride: int) -> Column:
-    """Start (0-based) of the first window with most hits of the terms, 0 for a short text."""
-    low = F.lower(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - width - 1, F.lit(0)), F.lit(stride))
+    """Start (0-based) of the first window with most hits of the terms, 0 for a short text, null for none.
 
-    def hits(at: Column) -> Column:
-        window = F.substr(low, at + 1, F.lit(width))
+    The text is cut into pieces of a stride once, and a window is put together from its own
+    pieces, so that a long text costs its length.
+    """
+    last = F.greatest(F.length(text) - width - 1, F.lit(0))
+    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  # a value of a lambda is made once
+    near = -(-width // stride)
+
+    def hits(window: Column) -> Column:
         total = F.lit(0)
         for t in terms:
             total = total + F.floor((F.length(window) - F.length(F.replace(window, F.lit(t), F.lit("")))) / len(t)).cast("int")
         return total
 
-    scored = F.transform(starts, lambda at: F.struct(hits(at).alias("score"), (-at).alias("at")))
-    return -F.array_max(scored)["at"]
+    def scored(pieces: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(last / stride).cast("int"))
+        window = lambda i: F.lower(F.substr(F.array_join(F.slice(pieces, i + 1, F.lit(near)), ""), F.lit(1), F.lit(width)))
+        return F.array_max(F.transform(starts, lambda i: F.struct(bound(window(i), hits).alias("score"), (-i * stride).alias("at"))))
+
+    return F.when(text.isNotNull(), -bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0)), scored)["at"])

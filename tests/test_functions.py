@@ -1,5 +1,8 @@
 """Scalar functions and predicates against small goldens."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from casegraph.functions import dates, names, scores, text
@@ -54,3 +57,18 @@ def test_ladders(spark):
     label = lambda x: one(spark, scores.ladder(F.lit(x), scores.CONFIDENCE_LADDER, scores.CONFIDENCE_LAST))
     assert label(0.93) == "Almost certain" and label(0.0) == "Almost no chance"
     assert one(spark, text.host(F.lit("https://www.Ex.org:80/a?b"))) == "ex.org"
+
+
+def test_best_window_of_a_long_text(spark):
+    """Windows against a plain search, with breaks, letters beyond 16 bits and a text whose windows were searched for minutes."""
+    plain = lambda x, w, s: max(range(0, max(len(x) - w, 1), s), key=lambda i: (sum(x[i : i + w].lower().count(t) for t in ("tion", "aa")), -i))
+    rng = random.Random(3)
+    some = ["", "tion", "x" * 30, *("".join(rng.choice(["a", "aA", "tion", "TION\n", "\U0001f600", "b", " "]) for _ in range(n)) for n in (7, 12, 19, 40, 41, 200))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(some)] + [(99, None)], "id int, text string")
+    for width, stride in ((20, 5), (18, 5), (9, 9)):
+        got = {r.id: r.at for r in df.select("id", text.best_window(F.col("text"), ["tion", "aa"], width, stride).alias("at")).collect()}
+        assert got == {i: plain(x, width, stride) for i, x in enumerate(some)} | {99: None}
+    long = spark.range(4).select(F.concat(F.repeat(F.lit("lorem ipsum "), 200_000), F.lit("tion"), F.repeat(F.lit("lorem ipsum "), 500)).alias("text"))
+    started = time.perf_counter()
+    assert {r.at for r in long.select(text.best_window(F.col("text"), ["tion"], 900, 200).alias("at")).collect()} == {2_399_200}
+    assert time.perf_counter() - started < 30
