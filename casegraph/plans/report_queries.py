@@ -34,7 +34,7 @@ def src_fan_in(spark, d):
 def src_combined(spark, d):
     """Second-stage payloads by run."""
     p = ingest.combined_payload(articles(spark, d), "X")
-    return p.select("run", F.size("articles").cast("long").alias("n"), F.array_min(F.map_keys("articles")).alias("first_key"))
+    return p.groupBy("run").agg(F.sum(F.size("articles")).cast("long").alias("n"), F.min(F.array_min(F.map_keys("articles"))).alias("first_key"))
 
 
 @query("src_split", r"""WITH x AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda l: {'p': CAST([] AS VARCHAR[]), 'c': l}) AS ls FROM documents WHERE text IS NOT NULL),

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from casegraph.sources import pdf
 
 MAX_SPLIT_CHARS = 3000
+#: Articles in one map of a payload, about.
+PAYLOAD_ARTICLES = 1000
 
 
 def fetched(sources: dict[str, DataFrame | None], wanted: list[str]) -> DataFrame:
@@ -32,11 +34,17 @@ def payload(articles: DataFrame) -> DataFrame:
     )
 
 
-def combined_payload(articles: DataFrame, entity: str) -> DataFrame:
-    """Second-stage payload: bodies only, keyed by publisher, entity and place, one map for each run."""
+def combined_payload(articles: DataFrame, entity: str, most: int = PAYLOAD_ARTICLES) -> DataFrame:
+    """Second-stage payload: bodies only, keyed by publisher, entity and place, in maps ``run, part, articles``.
+
+    A run's maps hold some ``most`` articles each, so that a run may be of any size.
+    """
     rows = payload(articles).filter("body_available")
     key = F.concat_ws("__", "publisher", F.lit(entity), "ord")
-    return rows.groupBy("run").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key.alias("key"), "text")))).alias("articles"))
+    parts = rows.groupBy("run").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))  # a row for each run
+    parts = parts.withColumnRenamed("run", "of")
+    dealt = rows.select("run", key.alias("key"), "text").join(F.broadcast(parts), F.col("run").eqNullSafe(F.col("of")))
+    return dealt.groupBy("run", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "text")))).alias("articles"))
 
 
 def titles(articles: DataFrame) -> DataFrame:

@@ -62,3 +62,12 @@ def test_batches_and_groups(spark):
         kinds = lambda names: {("none" if x.startswith("none") else "same" if x.startswith("same") else int(x[1:]) // 50) for x in names}
         mixed = [g for g in groups.values() if len(kinds(g)) > 1]
         assert not mixed if task_rows > 400 else all("none" not in kinds(g) for g in mixed)
+
+
+def test_a_payload_is_cut_into_maps(spark):
+    """A run's payload is in maps of bounded size that hold each body once."""
+    rows = spark.range(500).selectExpr("id as ord", "if(id % 5 = 0, null, 'r') as run", "'p' as publisher", "'t' as title", "if(id % 7 = 0, null, concat('body', id)) as text", "'403' as error")
+    maps = ingest.combined_payload(rows, "X", 40).collect()
+    assert max(len(r.articles) for r in maps) < 100 and len({(r.run, r.part) for r in maps}) == len(maps)
+    held = [(r.run, k, v) for r in maps for k, v in r.articles.items()]
+    assert sorted(held, key=str) == sorted(((None if i % 5 == 0 else "r", f"p__X__{i}", f"body{i}") for i in range(500) if i % 7), key=str)
