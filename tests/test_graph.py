@@ -394,3 +394,12 @@ def test_growing_incidents_are_judged_in_buckets(spark, monkeypatch, size):
     rows = [(i, "strike", [f"2024-05-{1 + i // 300:02d}"], [f"p{i % 300}"]) for i in range(900)]
     df = spark.createDataFrame(rows, "event long, event_type string, dates array<string>, participants array<string>")
     assert {r.event: r.leader for r in events.growing_incidents(df, ["event"]).collect()} == {i: i % 300 for i in range(900)}
+
+
+def test_betweenness_costs_the_connected_parts():
+    """A graph of many parts costs each part by itself, and its values are those of a part, scaled."""
+    pairs = [(f"{i}{a}", f"{i}{b}") for i in range(8000) for a, b in (("x", "y"), ("y", "z"))]
+    started = time.perf_counter()
+    got = inference.betweenness(pairs)
+    assert time.perf_counter() - started < 4
+    assert got == pytest.approx({f"{i}{x}": (2 / (23999 * 23998) if x == "y" else 0.0) for i in range(8000) for x in "xyz"})
