@@ -22,6 +22,8 @@ from casegraph.operators.picks import top_rows
 
 #: Rows of the sample that centroids are fitted on, and vectors or queries in a block.
 SAMPLE_ROWS, BLOCK_ROWS, QUERY_ROWS = 100_000, 4096, 256
+#: Numbers of rows times centroids, and rows of queries times lists, that a task holds at once.
+MOST_SIMS, MOST_PROBES = 1 << 20, 1 << 14
 
 
 class Index(NamedTuple):
@@ -36,6 +38,13 @@ def _unit(column: pd.Series) -> np.ndarray:
     return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-12)
 
 
+def _sliced(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches in slices of so many rows, one at least."""
+    for batch in batches:
+        for at in range(0, len(batch), max(1, rows)):
+            yield batch.iloc[at : at + max(1, rows)]
+
+
 def _fitted(rows: DataFrame, lists: int, n: int, seed: int) -> np.ndarray:
     """Means of the sample by k-means on unit vectors."""
     from pyspark.ml.clustering import KMeans
@@ -60,14 +69,13 @@ def built(vectors: DataFrame, lists: int | None = None, seed: int = 3) -> Index:
     centroids = _fitted(rows, lists or max(1, min(4096, int(n**0.5))), n, seed)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = _unit(batch["embedding"])
-                own = (x @ centroids.T).argmax(axis=1)
-                rest = x - centroids[own]
-                scale = np.abs(rest).max(axis=1) / 127 + 1e-12
-                codes = np.rint(rest / scale[:, None]).astype(np.int8)
-                yield pd.DataFrame({"list": own.astype(np.int32), "vec_id": batch["vec_id"], "code": [c.tobytes() for c in codes], "scale": scale})
+        for some in _sliced(batches, MOST_SIMS // len(centroids)):
+            x = _unit(some["embedding"])
+            own = (x @ centroids.T).argmax(axis=1)
+            rest = x - centroids[own]
+            scale = np.abs(rest).max(axis=1) / 127 + 1e-12
+            codes = np.rint(rest / scale[:, None]).astype(np.int8)
+            yield pd.DataFrame({"list": own.astype(np.int32), "vec_id": some["vec_id"], "code": [c.tobytes() for c in codes], "scale": scale})
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -92,12 +100,11 @@ def searched(index: Index, queries: DataFrame, vectors: DataFrame, k: int, probe
     asked = queries.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = _unit(batch["embedding"])
-                most = min(probes, len(centroids))
-                lists = np.argpartition(-(x @ centroids.T), most - 1, axis=1)[:, :most]
-                yield pd.DataFrame({"list": lists.reshape(-1).astype(np.int32), "query": np.repeat(batch["vec_id"].to_numpy(), most), "unit": [u.tobytes() for u in x for _ in range(most)]})
+        most = min(probes, len(centroids))
+        for some in _sliced(batches, min(MOST_SIMS // len(centroids), MOST_PROBES // most)):
+            x = _unit(some["embedding"])
+            lists = np.argpartition(-(x @ centroids.T), most - 1, axis=1)[:, :most]
+            yield pd.DataFrame({"list": lists.reshape(-1).astype(np.int32), "query": np.repeat(some["vec_id"].to_numpy(), most), "unit": [u.tobytes() for u in x for _ in range(most)]})
 
     probed = settled(asked.mapInPandas(near, "list int, query long, unit binary"))
     parts = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))

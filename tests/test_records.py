@@ -2,6 +2,8 @@
 
 import json
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +235,20 @@ def test_companies_of_equal_tokens_meet_as_one(spark):
     assert {(r.id, r.title) for r in found.collect()} == {(i, "Acme" if i % 3 == 2 else "ACME Steel") for i in range(30)}
     sets = [x for x in found.inputFiles() if spark.read.parquet(x).columns == ["want", "set"]]
     assert sum(spark.read.parquet(x).count() for x in sets) == 2
+
+
+def test_vectors_are_looked_up_in_slices(spark, monkeypatch):
+    """What a task holds does not grow with lists and probes: the same is found in slices of any size."""
+    from casegraph.operators import resolve, vector_index
+
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    asked, told = rows.filter("vec_id % 20 = 0"), []
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(vector_index, "MOST_SIMS", most)
+        monkeypatch.setattr(vector_index, "MOST_PROBES", most)
+        monkeypatch.setattr(resolve, "PRODUCT_ROWS", most)
+        found = vector_index.searched(vector_index.built(rows), asked, rows, 5, 24)
+        told.append([{(r.query, r.found) for r in x.collect()} for x in (found, nearest(asked, rows, 5))])
+    assert told[0] == told[1] and told[0][0] == told[0][1]
+    assert [len(x) for x in vector_index._sliced(iter([pd.DataFrame({"a": range(7)}), pd.DataFrame({"a": []})]), 3)] == [3, 3, 1]
