@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, FractionalType, IntegralType, TimestampType
 
 
 def first_wins(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -17,8 +18,14 @@ def first_wins(df: DataFrame, keys: list[str], *order: Column | str) -> DataFram
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
+    """The last row of each key.
+
+    Columns of a fixed width are picked one by one, so that rows are hashed and not sorted;
+    all picks see the rows in one order and take the same row, of equals too.
+    """
     rest = [c for c in df.columns if c not in keys]
+    if rest and all(isinstance(df.schema[c].dataType, (BooleanType, DateType, IntegralType, FractionalType, TimestampType)) for c in rest):
+        return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(*df.columns)
     row = F.max_by(F.struct(*rest), F.col(order)).alias("_row")
     return df.groupBy(*keys).agg(row).select(*keys, "_row.*").select(*df.columns)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions.names import name_tokens
@@ -45,17 +45,25 @@ def decoded(rows: DataFrame, schema: str) -> DataFrame:
     return parsed.select("r.*", F.map_filter("m", lambda k, v: ~k.isin(known)).alias("extra"))
 
 
+def _beside(store: DataFrame, rows: DataFrame) -> DataFrame:
+    """The store's rows and others, told by ``_new``, with ``_had`` and ``_got``: whether a session
+    has rows of the store and of the others.  Both meet in one sort in place of joins."""
+    both = store.withColumn("_new", F.lit(False)).unionByName(rows.withColumn("_new", F.lit(True)))
+    session = Window.partitionBy("session_id")
+    return both.withColumns({"_had": ~F.min("_new").over(session), "_got": F.max("_new").over(session)})
+
+
 def added(store: DataFrame, new: DataFrame) -> DataFrame:
     """The store with new sessions; those that it has already are left as they are."""
-    fresh = last_wins(new.join(store.select("session_id"), "session_id", "left_anti").select(*store.columns), ["session_id"], "ord")
-    return store.unionByName(fresh)
+    met = _beside(store, last_wins(new.select(*store.columns), ["session_id"], "ord"))
+    return met.filter(~F.col("_new") | ~F.col("_had") | F.col("session_id").isNull()).select(*store.columns)  # no session is that of a null
 
 
 def updated(store: DataFrame, changes: DataFrame) -> DataFrame:
     """The store with the last change of each session that it has; others are not made."""
-    known = changes.join(store.select("session_id"), "session_id", "left_semi").select(*store.columns)
-    kept = store.join(known.select("session_id").distinct(), "session_id", "left_anti").select(*store.columns)
-    return kept.unionByName(last_wins(known, ["session_id"], "ord"))
+    known = changes.filter("session_id is not null").select(*store.columns)
+    met = _beside(store, last_wins(known, ["session_id"], "ord"))
+    return met.filter(F.when(F.col("_new"), F.col("_had")).otherwise(~F.col("_got"))).select(*store.columns)
 
 
 def field_of(store: DataFrame, session: str, field: str) -> DataFrame:

@@ -71,3 +71,13 @@ def test_a_payload_is_cut_into_maps(spark):
     assert max(len(r.articles) for r in maps) < 100 and len({(r.run, r.part) for r in maps}) == len(maps)
     held = [(r.run, k, v) for r in maps for k, v in r.articles.items()]
     assert sorted(held, key=str) == sorted(((None if i % 5 == 0 else "r", f"p__X__{i}", f"body{i}") for i in range(500) if i % 7), key=str)
+
+
+def test_sessions_of_odd_rows(spark):
+    kind = "session_id string, ord long, changed boolean"
+    store = spark.createDataFrame([("a", 1, False), ("a", 2, False), ("b", 3, False), (None, 4, False)], kind)
+    other = spark.createDataFrame([("b", 8, True), ("b", 9, None), ("c", 5, True), ("c", 6, False), (None, 7, True)], kind)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(stores.updated(store, other)) == rows(spark.createDataFrame([("a", 1, False), ("a", 2, False), ("b", 9, None), (None, 4, False)], kind))
+    assert rows(stores.added(store, other)) == rows(store.union(spark.createDataFrame([("c", 6, False), (None, 7, True)], kind)))
+    assert rows(stores.added(store.limit(0), other)) == rows(spark.createDataFrame([("b", 9, None), ("c", 6, False), (None, 7, True)], kind))
