@@ -327,7 +327,7 @@ def jn_first_seen(spark, d):
     from casegraph.operators.events import first_seen
 
     a = affiliations(spark, d)
-    known = a.filter("chunk % 4 <> 0").select(F.col("chunk").alias("url"), "day").distinct()
+    known = table(spark, d, "orders").filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("url"), F.to_date("o_orderdate").alias("day"))
     return first_seen(a.select(F.col("a"), F.col("b"), F.col("chunk").alias("url")), known, ["a", "b"]).select("a", "b", F.col("first_seen").cast("string").alias("first_seen"))
 
 

@@ -10,6 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task sorts or hashes at once; Spark would join small partitions until the cores are just busy.
+ROWS_A_TASK = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The rows dealt by keys over tasks of ``ROWS_A_TASK`` where the cores alone would have more each."""
+    n = -(-rows // ROWS_A_TASK)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed evidence about suppliers: one row for each line item."""
     return table(spark, sf_dir, "lineitem").select(
@@ -26,6 +36,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier and customer named together in an order."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = lines.count()
+    lines, orders = dealt(lines, rows, "l_orderkey"), dealt(orders, rows, "o_orderkey")
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("a"),
         F.concat(F.lit("C"), F.col("o_custkey")).alias("b"),

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from casegraph.plans import registry
+from casegraph.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +21,16 @@ def held(spark):
 
 def test_sessions_meet_in_one_sort(held):
     assert held("src_sessions") <= 16
+
+
+def test_known_days_take_no_second_join(held):
+    assert held("jn_first_seen") <= 7
+
+
+def test_affiliations_are_dealt_over_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 50, raising=False)
+    lines = tables.table(spark, SF, "lineitem").count()
+    many = tables.affiliations(spark, SF)
+    assert many.rdd.getNumPartitions() == -(-lines // 50)
+    monkeypatch.undo()
+    assert sorted(many.collect()) == sorted(tables.affiliations(spark, SF).collect())
