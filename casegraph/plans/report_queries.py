@@ -11,7 +11,7 @@ from casegraph.operators import reports
 from casegraph.operators.picks import first_wins
 from casegraph.plans.register import register
 from casegraph.sources import ingest, pdf, stores
-from casegraph.sources.tables import affiliations, articles, events, table
+from casegraph.sources.tables import affiliations, articles, dealt, events, table
 
 QUERIES, SQL, query = register()
 
@@ -152,9 +152,10 @@ def flt_view(spark, d):
     """Edges that a reader's filters leave."""
     x = table(spark, d, "lineitem")
     n = x.filter("l_quantity > 40").groupBy(F.concat(F.lit("S"), "l_suppkey").alias("node")).agg(F.collect_set("l_returnflag").alias("runs"), F.count("*").alias("n_evidence")).withColumn("type", F.lit("ORG"))
-    s = x.select("l_orderkey", "l_suppkey").distinct()
-    pairs = s.join(s.withColumnRenamed("l_suppkey", "o"), "l_orderkey").filter("l_suppkey < o")
-    e = pairs.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("S"), "o").alias("dst")).distinct()
+    rows = x.count()
+    s = dealt(x.select("l_orderkey", "l_suppkey"), rows, "l_orderkey").distinct()
+    pairs = s.join(s.withColumnRenamed("l_suppkey", "o"), "l_orderkey").filter("l_suppkey < o").select("l_suppkey", "o")
+    e = dealt(pairs, rows, "l_suppkey", "o").distinct().select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("S"), "o").alias("dst"))
     return J.filtered_view(n, e, ["A"], ["ORG"], 100)[1].agg(F.count("*").alias("edges"))
 
 
@@ -212,7 +213,8 @@ def jn_run_articles(spark, d):
     """Evidence met with the articles of each run, several ids in a field."""
     ids = F.concat(F.lit("doc"), F.col("l_partkey") % 300, F.when(F.col("l_partkey") % 2 == 0, "; doc").otherwise(", doc"), F.col("l_orderkey") % 300)
     a = table(spark, d, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("doc"), F.col("lang").alias("run"))
-    return reports.run_articles(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), ids.alias("doc_ids")), a)
+    lines = table(spark, d, "lineitem")
+    return reports.run_articles(dealt(lines.select(F.col("l_suppkey").alias("entity"), ids.alias("doc_ids")), lines.count(), "entity", "doc_ids"), a)
 
 
 @query("jn_kb", "WITH s AS (SELECT o_custkey AS node, min(o_orderdate) AS first FROM orders GROUP BY 1) SELECT c_custkey, CAST(CAST(s.first AS DATE) AS VARCHAR) AS first_seen FROM customer LEFT JOIN s ON s.node = c_custkey WHERE s.first IS NULL OR s.first <= TIMESTAMP '1995-06-01'")

@@ -34,3 +34,12 @@ def test_affiliations_are_dealt_over_bounded_tasks(spark, monkeypatch):
     assert many.rdd.getNumPartitions() == -(-lines // 50)
     monkeypatch.undo()
     assert sorted(many.collect()) == sorted(tables.affiliations(spark, SF).collect())
+
+
+@pytest.mark.parametrize("name", ["jn_run_articles", "flt_view"])
+def test_lines_are_dealt_over_bounded_tasks(spark, monkeypatch, name):
+    whole = sorted(registry.queries()[name](spark, SF).collect())
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 500, raising=False)
+    many = registry.queries()[name](spark, SF)
+    assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(many.collect()) == whole
