@@ -65,14 +65,17 @@ def hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` by least labels with jumps over labels of labels."""
+    """``node, component`` by least labels with jumps over labels of labels.
+
+    No round sends labels through the driver: joins of nodes with nodes are shuffled.
+    """
     both = settled(undirected(edges))
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "near").alias("label"), F.col("component").alias("old"))
+        near = both.join(labels.withColumnRenamed("node", "dst").hint("merge"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
+        lower = labels.join(near.hint("merge"), "node").select("node", F.least("component", "near").alias("label"), F.col("component").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("component").alias("far"))
-        new = settled(lower.join(jump, "label").select("node", F.least("label", "far").alias("component"), "old"))
+        new = settled(lower.join(jump.hint("merge"), "label").select("node", F.least("label", "far").alias("component"), "old"))
         if new.filter("component <> old").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")

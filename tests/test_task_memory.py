@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from casegraph.operators import graph
 from casegraph.plans import registry
 from casegraph.sources import tables
 
@@ -43,3 +44,11 @@ def test_lines_are_dealt_over_bounded_tasks(spark, monkeypatch, name):
     many = registry.queries()[name](spark, SF)
     assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
     assert sorted(many.collect()) == whole
+
+
+def test_labels_of_components_pass_no_driver(spark, monkeypatch):
+    plans, written = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    found = graph.components(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "src string, dst string"))
+    assert sorted(map(tuple, found.collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")]
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
