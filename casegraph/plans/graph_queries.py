@@ -8,7 +8,7 @@ from casegraph.operators import cep, communities, graph, inference
 from casegraph.operators import evidence as E
 from casegraph.operators.graph import settled, shared_path
 from casegraph.plans.register import register
-from casegraph.sources.tables import affiliations, events, evidence, table
+from casegraph.sources.tables import ROWS_A_TASK, affiliations, events, evidence, table
 
 QUERIES, SQL, query = register()
 
@@ -257,8 +257,9 @@ def str_chains(spark, d):
     session.conf.set("spark.sql.streaming.stateStore.providerClass", chains.STORE)
     at = shared_path(spark, "chains")
     e = events(spark, d).select(F.col("event_id").alias("event"), "day", "event_type", F.lit("").alias("text"), F.array("actor").alias("participants"))
-    e.repartition(4, "event").write.parquet(f"{at}/in")
-    rows = session.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    half = max(2, -(-e.count() // (2 * ROWS_A_TASK)))  # files of a batch, each read by one task
+    e.repartition(2 * half, "event").write.parquet(f"{at}/in")
+    rows = session.readStream.schema(e.schema).option("maxFilesPerTrigger", half).parquet(f"{at}/in")
     found = chains.match_stream(rows, _STORY, late="3650 days")
     found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     told = spark.read.schema(found.schema).parquet(f"{at}/out")

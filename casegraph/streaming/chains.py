@@ -1,91 +1,25 @@
 """Event patterns on a stream, from state: open chains wait for their next event.
 
-Each step of a rule after the first is one stateful operator, keyed by participant.  Its
-state under a participant has the chains whose last event names them and the events that
-the step takes, so that either may come first.  A chain is dropped once the watermark has
-passed the window after its last event, and an event once no chain can come that is not
-later: the state is bounded by the window, whatever the stream's length.  What a step
-completes goes on to the next one with the day of its last event as event time.
+Each step of a rule after the first joins two streams by participant: the chains so far and
+the events that the step takes, so that either may come first.  Both are state until the
+watermark has passed the window after a chain's last event, or an event that no chain can
+come before any more: the state is bounded by the window, whatever the stream's length.
+What a step completes goes on to the next one with the day of its last event as event time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from casegraph.operators.cep import MOST_BRIDGES
 from casegraph.operators.predicates import step_matches, valid_rule
 from casegraph.streaming.monitor import alerts_once
 
-DAY = 86_400_000
-#: The state store that keyed list state needs.
+#: The state store that holds more than a task's memory.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_CHAIN = "chain array<long>, first int, last int, bridges array<string>, parts array<string>, seen array<string>"
-_ROW = ["chain", "first", "last", "bridges", "parts", "seen", "ts"]
-
-
-class _Step(StatefulProcessor):
-    """Chains under one participant, and the events that may follow them."""
-
-    def __init__(self, window: int) -> None:
-        self.window = window
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", _CHAIN)
-        self.nexts = handle.getListState("nexts", "event long, day int, parts array<string>")
-
-    def _joined(self, tie: str, chain: tuple, event: tuple) -> tuple | None:
-        ids, first, last, bridges, parts, seen = chain
-        own, day, names = event
-        common = sorted(set(parts) & set(names))
-        if own == ids[-1] or not 0 <= day - last <= self.window or common[0] != tie:  # of several participants the least tells it
-            return None
-        return [*ids, own], first, day, [*bridges, *[x for x in common if x not in bridges]], list(names), [*seen, *[x for x in names if x not in seen]]
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tie = key[0]
-        opened, nexts = [tuple(x) for x in self.open.get()], [tuple(x) for x in self.nexts.get()]
-        known, taken = {tuple(x[0]) for x in opened}, {x[0] for x in nexts}
-        new_open, new_nexts = [], []
-        for batch in rows:
-            for x in batch.itertuples(index=False):
-                if x.event is None or pd.isna(x.event):
-                    chain = ([int(i) for i in x.chain], int(x.first), int(x.last), list(x.bridges), list(x.parts), list(x.seen))
-                    if tuple(chain[0]) not in known:
-                        known.add(tuple(chain[0]))
-                        new_open.append(chain)
-                elif int(x.event) not in taken:
-                    taken.add(int(x.event))
-                    new_nexts.append((int(x.event), int(x.last), list(x.parts)))
-        pairs = [(c, e) for c in new_open for e in (*nexts, *new_nexts)] + [(c, e) for c in opened for e in new_nexts]
-        found = [y for c, e in pairs if (y := self._joined(tie, c, e)) is not None]
-        if new_open:
-            self.open.appendList(new_open)
-        if new_nexts:
-            self.nexts.appendList(new_nexts)
-        for day in {c[2] + self.window for c in new_open} | {e[1] for e in new_nexts}:
-            self.handle.registerTimer((day + 1) * DAY)
-        yield pd.DataFrame([(*y, pd.Timestamp(y[2] * DAY, unit="ms")) for y in found], columns=_ROW)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() // DAY - 1
-        for state, last in ((self.open, lambda x: x[2] + self.window), (self.nexts, lambda x: x[1])):
-            held = [tuple(x) for x in state.get()]
-            left = [x for x in held if last(x) > due]
-            if not left:
-                state.clear()
-            elif len(left) < len(held):
-                state.put(left)
-        yield pd.DataFrame([], columns=_ROW)
-
-    def close(self) -> None:
-        pass
 
 
 def _days(day: Column) -> Column:
@@ -107,18 +41,20 @@ def match_stream(events: DataFrame, rule: dict, late: str = "1 day") -> DataFram
     parts = F.array_sort(F.array_distinct(F.transform(F.filter("participants", lambda p: p.isNotNull()), lambda p: p.cast("string"))))
     timed = events.filter("day is not null").select("event", "day", "event_type", "text", parts.alias("parts"), F.col("day").cast("timestamp").alias("ts")).withWatermark("ts", late)
     takes = [step_matches(s, F.col("event_type"), F.concat_ws(" ", "text", F.col("event").cast("string"))) for s in rule["steps"]]
+    once = [timed.filter(take).dropDuplicatesWithinWatermark(["event"]) for take in takes]
     none = F.array().cast("array<string>")
-    chains = timed.filter(takes[0]).select(
+    chains = once[0].select(
         F.array(F.col("event").cast("long")).alias("chain"), _days(F.col("day")).alias("first"), _days(F.col("day")).alias("last"), none.alias("bridges"), "parts", F.col("parts").alias("seen"), "ts"
     )
-    for take in takes[1:]:
-        waiting = chains.select(F.lit(None).cast("long").alias("event"), *_ROW)
-        nulls = [F.lit(None).cast("array<long>").alias("chain"), F.lit(None).cast("int").alias("first")]
-        nexts = timed.filter(take).select(F.col("event").cast("long").alias("event"), *nulls, _days(F.col("day")).alias("last"), none.alias("bridges"), "parts", none.alias("seen"), "ts")
-        keyed = waiting.union(nexts).withColumn("tie", F.explode("parts"))
-        chains = keyed.groupBy("tie").transformWithStateInPandas(
-            statefulProcessor=_Step(window), outputStructType=f"{_CHAIN}, ts timestamp", outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts"
-        )
+    for taken in once[1:]:
+        nexts = taken.select(F.col("event").cast("long").alias("event"), _days(F.col("day")).alias("next"), F.col("parts").alias("names"), F.col("ts").alias("at"), F.explode("parts").alias("who"))
+        waiting = chains.withColumn("tie", F.explode("parts"))
+        common = F.array_intersect("parts", "names")
+        soon = F.col("at").between(F.col("ts"), F.col("ts") + F.expr(f"interval {window + 1} days"))  # bounds the state; days of a clock's change have other hours
+        follows = (F.col("next") - F.col("last")).between(0, window) & (F.col("event") != F.element_at("chain", -1))
+        met = waiting.join(nexts, (F.col("tie") == F.col("who")) & soon & follows & (F.array_min(common) == F.col("tie")))  # of several participants the least tells it
+        united = lambda a, b: F.concat(a, F.array_except(b, a))
+        chains = met.select(F.concat("chain", F.array("event")).alias("chain"), "first", F.col("next").alias("last"), united("bridges", common).alias("bridges"), F.col("names").alias("parts"), united("seen", "names").alias("seen"), F.col("at").alias("ts"))
     date = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c)).alias(c)
     shown = F.slice(F.array_sort("bridges"), 1, MOST_BRIDGES).alias("bridges")
     return chains.select("chain", date("first"), date("last"), (F.col("last") - F.col("first")).alias("days"), shown, F.lit(rule["name"]).alias("rule"), F.lit(rule.get("severity", "medium")).alias("severity"))

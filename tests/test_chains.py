@@ -88,3 +88,14 @@ def test_stories_go_out_once_over_restarts(spark, store, tmp_path):
         chains.watch(stream, [PAIR], str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {r.final: (list(r.chain), list(r.bridges)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {3: ([1, 3], ["A", "B"]), 5: ([4, 5], ["B"])}
+
+
+def test_steps_are_joins_of_days_over_a_change_of_clocks(spark, store, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:  # three days of 73 hours, then one too many
+        got, q = run(spark, PAIR, tmp_path, [[(1, "2024-11-01", "signup", "", ["A"]), (2, "2024-11-04", "purchase", "", ["A"]), (3, "2024-11-05", "purchase", "", ["A"])]], "30 days")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [x[0] for x in got] == [(1, 2)]
+    assert q.lastProgress["stateOperators"][0]["operatorName"] == "symmetricHashJoin"  # no Python worker has the keys one by one
