@@ -196,10 +196,10 @@ def connector(nodes: DataFrame, edges: DataFrame, selected: DataFrame, most: int
     """
     if mode not in ("shortest_path", "hidden", "induced"):
         raise ValueError(f"not a mode: {mode}")
-    chosen = selected.select("node").distinct()
-    there = nodes.select("node").distinct()
-    known = graph.settled(chosen.join(there, "node", "left_semi"))
-    missing = chosen.join(there, "node", "left_anti").select("node", F.lit("missing").alias("why"))
+    chosen = graph.settled(selected.select("node").distinct())
+    known = graph.settled(nodes.select("node").join(chosen, "node", "left_semi").distinct())
+    missing = chosen.join(known, "node", "left_anti").select("node", F.lit("missing").alias("why"))
+    there = known if mode == "induced" else nodes.select("node").distinct()  # of direct edges no other has a part
     named = graph.without_orphans(edges.filter(~F.col("type").isin(graph.STRUCTURAL) & (F.col("src") != F.col("dst"))), there)
     solid = graph.settled(named.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     pairs = known.select(F.col("node").alias("a")).join(known.select(F.col("node").alias("b")), F.col("a") < F.col("b"))  # the reader's choice

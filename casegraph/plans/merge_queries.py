@@ -111,8 +111,8 @@ _INDUCED = "p AS (SELECT l_suppkey AS s, l_partkey AS p FROM lineitem), c AS (SE
 def gr_induced(spark, d):
     """Direct edges between the busiest suppliers and parts."""
     lines = table(spark, d, "lineitem")
-    e = lines.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.lit("supply").alias("type")).distinct()
-    n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    e = lines.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.lit("supply").alias("type"))
+    n = e.select(F.col("src").alias("node")).union(e.select("dst"))
     top = lambda k: lines.groupBy(k).count().orderBy(F.desc("count"), k).limit(20)
     chosen = top("l_suppkey").select(F.concat(F.lit("S"), "l_suppkey").alias("node")).union(top("l_partkey").select(F.concat(F.lit("P"), "l_partkey")))
     return M.connector(n, e, chosen, mode="induced").paths.select("a", "b")

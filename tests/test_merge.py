@@ -74,6 +74,18 @@ def test_connector(spark):
     assert sorted(r.hops for r in hidden.paths.collect()) == [2, 3] and {r.node for r in hidden.nodes.filter("broker").collect()} >= {"X"}
 
 
+def test_direct_edges_leave_the_rest_of_the_graph_alone(spark, monkeypatch):
+    written, kept = [], merge.graph.settled
+    monkeypatch.setattr(merge.graph, "settled", lambda df: written.append(kept(df)) or written[-1])
+    pairs = [("A", "B"), ("B", "A"), ("A", "A"), ("B", "C"), *[(f"N{i}", f"N{i + 1}") for i in range(50)], ("A", "N0")]
+    edges = spark.createDataFrame([(a, b, "t") for a, b in pairs], "src string, dst string, type string")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    found = merge.connector(nodes, edges, spark.createDataFrame([("A",), ("B",), ("D",)], "node string"), mode="induced")
+    assert [(r.a, r.b) for r in found.paths.collect()] == [("A", "B")] and [tuple(r) for r in found.missing.collect()] == [("D", "missing")]
+    assert [tuple(r) for r in found.edges.collect()] == [("A", "B")]
+    assert max(df.count() for df in written) <= 3
+
+
 def test_round_robin(spark):
     rows = [("t1", 2, "a", 9.0), ("t1", 2, "b", 8.0), ("t2", 1, "a", 7.0), ("t2", 1, "c", 6.0), ("t3", 0, "d", 1.0)]
     df = spark.createDataFrame(rows, "theme string, weight long, node string, score double")
