@@ -304,6 +304,21 @@ def test_ripple_keeps_the_nearest(spark):
     assert len(two) == 61 and two["X"] == 1 == two["m000"] and two["n001"] == 2 and "Y" not in two
 
 
+def test_events_that_touch_the_same_are_followed_once(spark, monkeypatch):
+    written, kept = [], inference.settled
+    monkeypatch.setattr(inference, "settled", lambda df: written.append(kept(df)) or written[-1])
+    pairs = [("X", f"n{i:02}") for i in range(30)] + [(f"n{i:02}", f"m{i:02}") for i in range(20)]
+    touched = [["X"], ["X", "X", None], ["n00", "X"], None, ["Z"]]
+    event = spark.createDataFrame([(i, touched[i % 5]) for i in range(100)] + [(0, ["n01"])], "event long, touched array<string>")
+    found = {i: {} for i in range(100)}
+    for r in inference.ripple(event, edges(spark, pairs), most=40).collect():
+        found[r.event][r.node] = r.hops
+    near = {"X": 0, **{f"n{i:02}": 1 for i in range(30)}, **{f"m{i:02}": 2 for i in range(10)}}
+    assert found[1] == found[5] == near and not found[3] and not found[4]
+    assert found[2] == {**near, "n00": 0, "m00": 1, "m10": 2} and found[0]["n01"] == 0 == found[0]["X"]
+    assert max(df.count() for df in written) <= 300  # an event each would be 2,000 rows and more
+
+
 def test_long_chains_have_no_bound(spark):
     e = edges(spark, [(f"v{i:03}", f"v{i + 1:03}") for i in range(130)])
     assert graph.hops(e, spark.createDataFrame([("v000",)], "node string")).agg({"hops": "max"}).first()[0] == 130
