@@ -48,7 +48,8 @@ def settled(df: DataFrame) -> DataFrame:
 def hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``node, hops, parent``: breadth-first distance from the seeds, as far as edges lead; the
     least parent of a level wins."""
-    both = settled(undirected(edges))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = settled(edges.select("src", "dst").union(back).filter("src <> dst"))  # an edge may come twice: each level groups what it meets
     reached = settled(seeds.select(F.col("node"), F.lit(0).alias("hops"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent")).distinct())
     for level in itertools.count(1):
         front = reached.filter(F.col("hops") == level - 1).select(F.col("node").alias("src"))

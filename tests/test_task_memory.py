@@ -52,3 +52,26 @@ def test_labels_of_components_pass_no_driver(spark, monkeypatch):
     found = graph.components(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "src string, dst string"))
     assert sorted(map(tuple, found.collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")]
     assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
+def test_hops_shuffle_no_edges_before_the_first_level(spark, monkeypatch):
+    plans, written = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("b", "b"), ("c", "b"), ("x", "y")], "src string, dst string")
+    found = graph.hops(edges, spark.createDataFrame([("a",)], "node string"))
+    assert sorted(map(tuple, found.collect())) == [("a", 0, None), ("b", 1, "a"), ("c", 2, "b")]
+    assert "Exchange" not in plans[0]
+
+
+def test_pairs_of_lines_are_grouped_in_one_shuffle(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "corroborated_edges", lambda edges, root: edges)
+    from casegraph.plans import graph_queries
+
+    monkeypatch.setattr(graph_queries, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    got = registry.queries()["gr_corroborated"](spark, SF)
+    lines = tables.table(spark, SF, "lineitem").selectExpr("concat('S', l_suppkey) AS src", "concat('P', l_partkey) AS dst", "l_orderkey")
+    want = lines.groupBy("src", "dst").agg({"l_orderkey": "count"}).count()
+    assert plans[0].count("Exchange") == 1 and got.count() == want
+    many = lines.distinct().groupBy("src", "dst").count().filter("count > 1").select("src", "dst")
+    assert sorted(got.filter("source_count > 1").select("src", "dst").collect()) == sorted(many.collect())
