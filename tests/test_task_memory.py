@@ -75,3 +75,15 @@ def test_pairs_of_lines_are_grouped_in_one_shuffle(spark, monkeypatch):
     assert plans[0].count("Exchange") == 1 and got.count() == want
     many = lines.distinct().groupBy("src", "dst").count().filter("count > 1").select("src", "dst")
     assert sorted(got.filter("source_count > 1").select("src", "dst").collect()) == sorted(many.collect())
+
+
+def test_pairs_around_events_pass_no_driver(spark, monkeypatch):
+    """Pairs of nodes are many more than the rows of the file they are made from, by which Spark judges them."""
+    from casegraph.operators import inference
+
+    plans, written = {}, inference.settled
+    monkeypatch.setattr(inference, "settled", lambda df: plans.update({tuple(df.columns): df._jdf.queryExecution().executedPlan().toString()}) or written(df))
+    edges = spark.createDataFrame([(a, b, 4.0) for a, b in ("XA", "XB", "AB", "XC", "BC", "AC")], "src string, dst string, weight double")
+    event = spark.createDataFrame([(1, ["X"], 1.0, 1.0)], "event long, touched array<string>, strength double, recency double")
+    assert sorted(r.node for r in inference.impact(event, edges).collect()) == ["A", "B", "C"]
+    assert "SortMergeJoin" in plans["event", "src", "dst", "weight"] and "Broadcast" not in plans["event", "src", "dst", "weight"]
