@@ -418,3 +418,31 @@ def test_betweenness_costs_the_connected_parts():
     got = inference.betweenness(pairs)
     assert time.perf_counter() - started < 4
     assert got == pytest.approx({f"{i}{x}": (2 / (23999 * 23998) if x == "y" else 0.0) for i in range(8000) for x in "xyz"})
+
+
+@pytest.mark.parametrize("buckets", [None, 1, 3])
+def test_themes_of_a_bucket_are_those_of_each_graph(spark, monkeypatch, buckets):
+    """Beliefs of all graphs of a bucket run at once, and find what each graph alone does."""
+    rng = random.Random(4)
+    graphs = {f"g{i}": {tuple(sorted(rng.sample([f"n{j:02}" for j in range(3 + 4 * i)], 2))): rng.choice([0.2, 0.4, rng.random()]) for _ in range(2 + 5 * i)} for i in range(6)}
+    priors = {f"n{j:02}": 0.2 + j / 50 for j in range(40)}
+    rows = [(g, a, b, w / 2, priors[a], priors[b]) for g, e in graphs.items() for (a, b), w in e.items() for _ in range(2)] + [("g5", "n01", "n01", 9.0, priors["n01"], priors["n01"])]
+    got = inference.themes(spark.createDataFrame(rows, "graph string, src string, dst string, weight double, prior_src double, prior_dst double"), 0.5, buckets).collect()
+    want = {}
+    for g, e in graphs.items():
+        kept, cliques, parents = inference.filtered_graph(e, ["n01"] if g == "g5" else None)
+        weight = {x[:2]: x[2] for x in kept}
+        want |= {(g, "edge" if x[3] else "fill_in", x[:2]): (x[2], 0.0) for x in kept}
+        want |= {(g, "tetrahedron", c): (sum(weight[p] for p in itertools.combinations(c, 2)), 0.0) for c in cliques}
+        found = inference.beliefs(kept, cliques, parents, priors, 0.5) if cliques else {x: priors[x] for p in e for x in p}
+        want |= {(g, "belief", (x,)): (p, p - priors[x]) for x, p in found.items()}
+    assert len(got) == len(want) and {(r.graph, r.kind, tuple(r.members)): (r.value, r.delta) for r in got} == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+
+
+def test_a_star_is_filtered_without_asking_all_its_faces(monkeypatch):
+    """Faces whose one open end is the same node wait as one."""
+    asked = []
+    push = inference.heapq.heappush
+    monkeypatch.setattr(inference.heapq, "heappush", lambda heap, x: asked.append(len(x)) or push(heap, x))
+    kept, cliques, _ = inference.filtered_graph({("a", f"n{i:03}"): 1.0 for i in range(400)})
+    assert len(cliques) == 398 and asked.count(4) < 3000  # entries of waiting faces
