@@ -446,3 +446,23 @@ def test_a_star_is_filtered_without_asking_all_its_faces(monkeypatch):
     monkeypatch.setattr(inference.heapq, "heappush", lambda heap, x: asked.append(len(x)) or push(heap, x))
     kept, cliques, _ = inference.filtered_graph({("a", f"n{i:03}"): 1.0 for i in range(400)})
     assert len(cliques) == 398 and asked.count(4) < 3000  # entries of waiting faces
+
+
+def test_communities_go_over_each_part_by_itself(monkeypatch):
+    """Many parts give what each gives alone, trees are not searched, and values are those of all shortest paths."""
+    rng = random.Random(8)
+    weights = {}
+    for part in range(30):
+        for _ in range(rng.randrange(1, 14)):
+            a, b = sorted(rng.sample([f"p{part:02}n{i}" for i in range(8)], 2))
+            weights[a, b] = float(rng.randrange(1, 4))
+    asked = []
+    search = inference._part_of_betweenness
+    monkeypatch.setattr(inference, "_part_of_betweenness", lambda pairs, *a, **k: asked.append(len(pairs)) or search(pairs, *a, **k))
+    assert inference.sparse_betweenness(list(weights)) == pytest.approx(plain_betweenness(list(weights)), abs=1e-12)
+    assert asked and asked[0] < len(weights)
+    tree = [(f"n{i:03}", f"n{rng.randrange(i):03}") for i in range(1, 60)] + [("x", "y")]
+    asked.clear()
+    assert inference.sparse_betweenness(tree) == pytest.approx(plain_betweenness(tree), abs=1e-12) and not asked
+    found = inference.louvain(weights)
+    assert set(found) == {x for e in weights for x in e} and all(a[:3] == b[:3] for a in found for b in found if found[a] == found[b])
